@@ -7,6 +7,10 @@ import importlib
 #: module -> (query functions, {query: SQL constant})
 _MODULES = {
     "exact_dedup": (["op10_exact_dedup"], {"op10_exact_dedup": "OP10_SQL"}),
+    "mixing": (["op2_mixing"], {"op2_mixing": "OP2_SQL"}),
+    "packing": (["op8_packing"], {}),
+    "token_count": (["op4_token_count"], {}),
+    "token_store": (["op3_token_store"], {}),
 }
 
 
