@@ -18,8 +18,8 @@ from functools import cache
 
 import numpy as np
 
-#: Pieces remembered by one Python worker (about 100 bytes each) before it starts anew.
-MEMO_PIECES = 400_000
+#: Pieces remembered by one Python worker (about 150 bytes each, with their pre-tokens) before it starts anew.
+MEMO_PIECES = 500_000
 
 
 @cache
@@ -35,90 +35,157 @@ def load(path: str):
     return tokenizer
 
 
+#: Characters whose class, case and composition are settled in every Unicode version; pieces
+#: with any other go to the library as they are.
+UNSETTLED = r"[^\t-\r -~\xa0-\xac\xae-\xff]"
+
+
+class Memo(dict):
+    """Numbers keys as they first come up; `new` lists those that nobody has handled yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+
+class Ragged:
+    """Arrays of ids by number, in one flat array that grows."""
+
+    def __init__(self):
+        self.flat, self.used = np.empty(1 << 16, dtype=np.uint32), 0
+        self.begin, self.count = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def append(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        need = self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(need, len(self.flat)), dtype=np.uint32)])
+        self.flat[self.used : need] = ids
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.used = need
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        count = self.count[at]
+        ends = np.cumsum(count)
+        index = np.repeat(self.begin[at] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[index]
+
+
 class Encoder:
-    """Encodes texts without added special tokens; special strings inside texts are handled as the library does."""
+    """Encodes texts without added special tokens; special strings inside texts are handled as the library does.
+
+    New pieces are cut into pre-tokens by the tokenizer's own pattern, and only pre-tokens not
+    met before are encoded, many in one call: byte-level ones between line breaks, which are
+    one id and never join a neighbour, the others between spaces, each ending in an id of the
+    vocabulary's word ends.
+    """
 
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
         import json
 
+        import regex
+
         self.tokenizer = load(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"]
         parts = pre.get("pretokenizers", [pre])
-        self.spaced = any(p["type"] == "ByteLevel" and p.get("use_regex", True) for p in parts)
-        dropped = any(p["type"] == "Split" and p.get("behavior") == "Removed" and p.get("invert") for p in parts)
-        self.splittable = (self.spaced and not spec["normalizer"]) or dropped
+        self.spaced = any(p["type"] == "ByteLevel" and p.get("use_regex", True) for p in parts) and not spec["normalizer"]
+        dropped = [p for p in parts if p["type"] == "Split" and p.get("behavior") == "Removed" and p.get("invert")]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.splittable = self.spaced or bool(dropped and suffix)
         self.memo_pieces = memo_pieces
+        if not self.splittable:
+            return
+        if self.spaced:
+            import public_tokenizers
+
+            pattern = public_tokenizers.PATTERN
+            self.stop = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        else:
+            pattern = dropped[0]["pattern"]["Regex"]
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.words = regex.compile(pattern)
+        self.unsettled = regex.compile("|".join([UNSETTLED, *(regex.escape(t["content"]) for t in spec["added_tokens"])]))
         self._restart()
 
     def _restart(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.begin = np.empty(1 << 16, dtype=np.int64)
-        self.count = np.empty(1 << 16, dtype=np.int64)
-        self.n = 0
+        self.pieces, self.piece_ids = Memo(), Ragged()
+        self.known, self.word_ids = Memo(), Ragged()
+        self.odd = np.empty(0, dtype=bool)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
+    def _learn_words(self, words: list[str]) -> None:
+        for start in range(0, len(words), 512):
+            part = words[start : start + 512]
+            glue = "\n" if self.spaced else " "
+            ids = np.array(self.tokenizer.encode(glue.join(part), add_special_tokens=False).ids, dtype=np.uint32)
+            if self.spaced:
+                stops = np.flatnonzero(ids == self.stop)
+                counts = np.diff(np.concatenate([[-1], stops, [len(ids)]])) - 1
+                ids = ids[ids != self.stop]
+            else:
+                counts = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(counts) != len(part) or any(w.isspace() for w in part):
+                alone = self.whole(part)
+                counts, ids = np.array([len(a) for a in alone]), np.concatenate(alone)
+            self.word_ids.append(ids, counts)
+
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces; a piece that starts or ends with white space gets none and marks its text for the library."""
-        prefix = " " if self.spaced else ""
-        plain = [p for p in pieces if not self.spaced or (p and not p[0].isspace() and not p[-1].isspace())]
-        odd = set(pieces).difference(plain) if self.spaced else ()
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            for piece, ids in zip(part, self.whole([prefix + p for p in part]), strict=True):
-                self._put(piece, ids)
-        for piece in odd:
-            self.slot[piece] = -1
-
-    def _put(self, piece: str, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), dtype=np.uint32)])
-        if self.n == len(self.begin):
-            self.begin = np.concatenate([self.begin, np.empty_like(self.begin)])
-            self.count = np.concatenate([self.count, np.empty_like(self.count)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[self.n], self.count[self.n] = self.used, len(ids)
-        self.slot[piece] = self.n
-        self.used += len(ids)
-        self.n += 1
+        """Ids of new pieces; one that starts or ends with white space marks its text for the library."""
+        odd = np.array([self.spaced and (not p or p[0].isspace() or p[-1].isspace()) for p in pieces], dtype=bool)
+        self.odd = np.concatenate([self.odd, odd])
+        lead = " " if self.spaced else ""
+        cut = [None if self.unsettled.search(p) else self.words.findall(lead + p if self.spaced else p.lower()) for p in pieces]
+        flat = [w for words in cut if words for w in words]
+        at = self.known.numbers(flat)
+        if self.known.new:
+            fresh, self.known.new = self.known.new, []
+            self._learn_words(fresh)
+        count = self.word_ids.count[at]
+        owner = np.repeat(np.arange(len(pieces)), [len(words or ()) for words in cut])
+        sizes = np.bincount(owner, count, len(pieces)).astype(np.int64)
+        ids = self.word_ids.gather(at)
+        direct = [i for i, words in enumerate(cut) if words is None]
+        if direct:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, own in zip(direct, self.whole([lead + pieces[i] for i in direct]), strict=True):
+                parts[i], sizes[i] = own, len(own)
+            ids = np.concatenate(parts)
+        self.piece_ids.append(ids, sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array of ids for each text."""
         if not self.splittable:
             return self.whole(texts)
-        cut = [t.split(" ") for t in texts]
-        if len(self.slot) > self.memo_pieces:
+        if len(self.pieces) > self.memo_pieces:
             self._restart()
-        new: dict[str, None] = {}
-        slot = self.slot
-        for parts in cut:
-            new.update(dict.fromkeys(p for p in (parts[1:] if self.spaced else parts) if p not in slot))
-        if new:
-            self._learn(list(new))
-        first = self.whole([parts[0] for parts in cut]) if self.spaced else [None] * len(cut)
+        cut = [t.split(" ") for t in texts]
+        at = [self.pieces.numbers(parts[1:] if self.spaced else parts) for parts in cut]
+        if self.pieces.new:
+            fresh, self.pieces.new = self.pieces.new, []
+            self._learn(fresh)
+        if not self.spaced:
+            return [self.piece_ids.gather(a) for a in at]
         out = []
-        for text, parts, head in zip(texts, cut, first, strict=True):
-            rest = parts[1:] if self.spaced else parts
-            at = np.fromiter(map(slot.__getitem__, rest), dtype=np.int64, count=len(rest))
-            if self.spaced and ((at < 0).any() or (len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()))):
+        for text, parts, numbers, head in zip(texts, cut, at, self.whole([parts[0] for parts in cut]), strict=True):
+            if self.odd[numbers].any() or (len(parts) > 1 and (not parts[0] or parts[0][-1].isspace())):
                 out.append(self.whole([text])[0])
-                continue
-            ids = self._gather(at)
-            out.append(ids if head is None or not len(head) else np.concatenate([head, ids]))
+            else:
+                out.append(np.concatenate([head, self.piece_ids.gather(numbers)]))
         return out
 
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        count = self.count[at]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        index = np.repeat(self.begin[at] - (ends - count), count) + np.arange(total)
-        return self.flat[index]
-
 
 @cache
 def encoder(path: str) -> Encoder:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arborel.llm.encode import encoder, text_batches
 
 #: Items that wait for a place in one task; the choice is among these.
-WAITING = 2048
+WAITING = 1024
 #: A gap of fewer tokens is padded rather than filled by a cut.
 LEAST_CUT = 8
 #: sequence_id is the task's partition number times this, plus a running number.
