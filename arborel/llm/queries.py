@@ -6,11 +6,14 @@ import importlib
 
 #: module -> (query functions, {query: SQL constant})
 _MODULES = {
+    "ann_tree": (["op9_nearest_neighbours"], {}),
     "exact_dedup": (["op10_exact_dedup"], {"op10_exact_dedup": "OP10_SQL"}),
+    "html_extract": (["op5_main_text"], {}),
     "mixing": (["op2_mixing"], {"op2_mixing": "OP2_SQL"}),
     "packing": (["op8_packing"], {}),
     "token_count": (["op4_token_count"], {}),
     "token_store": (["op3_token_store"], {}),
+    "toxicity": (["op7_toxicity"], {}),
 }
 
 
