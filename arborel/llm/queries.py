@@ -10,6 +10,7 @@ _MODULES = {
     "exact_dedup": (["op10_exact_dedup"], {"op10_exact_dedup": "OP10_SQL"}),
     "html_extract": (["op5_main_text"], {}),
     "mixing": (["op2_mixing"], {"op2_mixing": "OP2_SQL"}),
+    "near_dedup": (["op6_near_dedup"], {}),
     "packing": (["op8_packing"], {}),
     "token_count": (["op4_token_count"], {}),
     "token_store": (["op3_token_store"], {}),
