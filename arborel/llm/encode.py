@@ -1,25 +1,22 @@
-"""Ids of whole texts, by the tokenizers library on the distinct space-separated pieces.
-
-The library needs about a microsecond for every byte. Most pieces of a corpus repeat, so an
-Encoder remembers the ids of pieces it has seen and asks the library for the rest only. The
-cut at single spaces is exact for the two tokenizers supported here:
-
-* byte-level BPE whose pre-tokenizer attaches one space to the run that follows: a run never
-  ends in the middle of non-space characters, so a new run starts at every space that stands
-  between two non-space characters. Texts with any other arrangement of white space next to
-  a space go to the library whole.
-* BPE with white space dropped after normalisation: a space always parts two runs, and none
-  of the normalisers looks across it.
+"""Ids of whole texts, by the tokenizers library on their distinct pre-tokens.
+
+The library needs about a microsecond for every byte, but most pre-tokens of a corpus repeat.
+An Encoder cuts texts by the tokenizer's own pre-token pattern, remembers the ids of
+pre-tokens it has seen and asks the library for the rest only, many in one call. That is
+exact: models of these tokenizers never look past a pre-token. Texts with characters whose
+class, case or composition may differ between Unicode versions, and texts that contain a
+special string, go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
 
-#: Pieces remembered by one Python worker (about 150 bytes each, with their pre-tokens) before it starts anew.
-MEMO_PIECES = 500_000
+#: Pre-tokens remembered by one Python worker (about 200 bytes each) before it forgets them.
+MEMO_WORDS = 800_000
 
 
 @cache
@@ -35,11 +32,28 @@ def load(path: str):
     return tokenizer
 
 
-#: Characters whose class, case and composition are settled in every Unicode version; pieces
-#: with any other go to the library as they are.
+#: Any character but those whose class, case and composition are the same in every Unicode version.
 UNSETTLED = r"[^\t-\r -~\xa0-\xac\xae-\xff]"
 
 
+#: ASCII characters among them.
+CONTROLS = [chr(c) for c in (*range(9), *range(14, 32), 11, 12, 127)]
+
+
+#: Letters, digits and white space among the settled characters, as bodies of character classes.
+LETTERS, DIGITS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t\n\r \xa0"
+
+
+def settled_pattern(pattern: str) -> re.Pattern:
+    """A pre-token pattern with its Unicode classes written out for settled characters."""
+    for name in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(f"[{name}]", name)
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACES}{LETTERS}{DIGITS}]")
+    for name, body in ((r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{DIGITS}]"), (r"\s", f"[{SPACES}]"), (r"\S", f"[^{SPACES}]")):
+        pattern = pattern.replace(name, body)
+    return re.compile(pattern)
+
+
 class Memo(dict):
     """Numbers keys as they first come up; `new` lists those that nobody has handled yet."""
 
@@ -82,26 +96,23 @@ class Ragged:
 class Encoder:
     """Encodes texts without added special tokens; special strings inside texts are handled as the library does.
 
-    New pieces are cut into pre-tokens by the tokenizer's own pattern, and only pre-tokens not
-    met before are encoded, many in one call: byte-level ones between line breaks, which are
-    one id and never join a neighbour, the others between spaces, each ending in an id of the
-    vocabulary's word ends.
+    New pre-tokens are joined for one call: byte-level ones by line breaks, which are one id
+    and never join a neighbour, the others by spaces, as each ends in an id of the
+    vocabulary's word ends. Tokenizers of another make encode every text whole.
     """
 
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         import json
 
-        import regex
-
         self.tokenizer = load(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"]
         parts = pre.get("pretokenizers", [pre])
-        self.spaced = any(p["type"] == "ByteLevel" and p.get("use_regex", True) for p in parts) and not spec["normalizer"]
+        self.spaced = pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
         dropped = [p for p in parts if p["type"] == "Split" and p.get("behavior") == "Removed" and p.get("invert")]
         suffix = spec["model"].get("end_of_word_suffix")
         self.splittable = self.spaced or bool(dropped and suffix)
-        self.memo_pieces = memo_pieces
+        self.memo_words = memo_words
         if not self.splittable:
             return
         if self.spaced:
@@ -113,20 +124,19 @@ class Encoder:
             pattern = dropped[0]["pattern"]["Regex"]
             self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
-        self.words = regex.compile(pattern)
-        self.unsettled = regex.compile("|".join([UNSETTLED, *(regex.escape(t["content"]) for t in spec["added_tokens"])]))
+        self.words = settled_pattern(pattern)
+        self.unsettled = re.compile(UNSETTLED)
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self._restart()
 
     def _restart(self) -> None:
-        self.pieces, self.piece_ids = Memo(), Ragged()
-        self.known, self.word_ids = Memo(), Ragged()
-        self.odd = np.empty(0, dtype=bool)
+        self.known, self.ids = Memo(), Ragged()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         for start in range(0, len(words), 512):
             part = words[start : start + 512]
             glue = "\n" if self.spaced else " "
@@ -140,50 +150,25 @@ class Encoder:
             if len(counts) != len(part) or any(w.isspace() for w in part):
                 alone = self.whole(part)
                 counts, ids = np.array([len(a) for a in alone]), np.concatenate(alone)
-            self.word_ids.append(ids, counts)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces; one that starts or ends with white space marks its text for the library."""
-        odd = np.array([self.spaced and (not p or p[0].isspace() or p[-1].isspace()) for p in pieces], dtype=bool)
-        self.odd = np.concatenate([self.odd, odd])
-        lead = " " if self.spaced else ""
-        cut = [None if self.unsettled.search(p) else self.words.findall(lead + p if self.spaced else p.lower()) for p in pieces]
-        flat = [w for words in cut if words for w in words]
-        at = self.known.numbers(flat)
-        if self.known.new:
-            fresh, self.known.new = self.known.new, []
-            self._learn_words(fresh)
-        count = self.word_ids.count[at]
-        owner = np.repeat(np.arange(len(pieces)), [len(words or ()) for words in cut])
-        sizes = np.bincount(owner, count, len(pieces)).astype(np.int64)
-        ids = self.word_ids.gather(at)
-        direct = [i for i, words in enumerate(cut) if words is None]
-        if direct:
-            parts = np.split(ids, np.cumsum(sizes)[:-1])
-            for i, own in zip(direct, self.whole([lead + pieces[i] for i in direct]), strict=True):
-                parts[i], sizes[i] = own, len(own)
-            ids = np.concatenate(parts)
-        self.piece_ids.append(ids, sizes)
+            self.ids.append(ids, counts)
+
+    def _by_library(self, text: str) -> bool:
+        return (not text.isascii() and self.unsettled.search(text) is not None) or any(s in text for s in self.special) or any(c in text for c in CONTROLS)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array of ids for each text."""
         if not self.splittable:
             return self.whole(texts)
-        if len(self.pieces) > self.memo_pieces:
+        if len(self.known) > self.memo_words:
             self._restart()
-        cut = [t.split(" ") for t in texts]
-        at = [self.pieces.numbers(parts[1:] if self.spaced else parts) for parts in cut]
-        if self.pieces.new:
-            fresh, self.pieces.new = self.pieces.new, []
+        at = [None if self._by_library(t) else self.known.numbers(self.words.findall(t if self.spaced else t.lower())) for t in texts]
+        if self.known.new:
+            fresh, self.known.new = self.known.new, []
             self._learn(fresh)
-        if not self.spaced:
-            return [self.piece_ids.gather(a) for a in at]
-        out = []
-        for text, parts, numbers, head in zip(texts, cut, at, self.whole([parts[0] for parts in cut]), strict=True):
-            if self.odd[numbers].any() or (len(parts) > 1 and (not parts[0] or parts[0][-1].isspace())):
-                out.append(self.whole([text])[0])
-            else:
-                out.append(np.concatenate([head, self.piece_ids.gather(numbers)]))
+        direct = [i for i, numbers in enumerate(at) if numbers is None]
+        out = [None if numbers is None else self.ids.gather(numbers) for numbers in at]
+        for i, ids in zip(direct, self.whole([texts[i] for i in direct]), strict=True):
+            out[i] = ids
         return out
 
 

@@ -13,14 +13,10 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from arborel.llm.encode import load, text_batches
+from arborel.llm.encode import CONTROLS, UNSETTLED, load, settled_pattern, text_batches
 
 #: Pre-tokens with a remembered count in one Python worker, before it starts anew.
 MEMO = 400_000
-#: Characters for which the pre-tokenizer's classes are the same in every Unicode version;
-#: texts with any other go to the library whole.
-SETTLED = r"[^\t-\r -\x7e\xa0-ɏ‐-‧€]"
-
 
 class Counter:
     """Counts the tokens of texts exactly as tokenizers or sentencepiece would list them."""
@@ -35,16 +31,17 @@ class Counter:
             return
         import json
 
+        import re
+
         import public_tokenizers
-        import regex
 
         self.tokenizer = load(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"]
         self.shortcut = pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.unsettled = regex.compile(SETTLED)
+        self.words = settled_pattern(public_tokenizers.PATTERN)
+        self.unsettled = re.compile(UNSETTLED)
         self.proven = self._prove() if self.shortcut else {}
         self.table = dict(self.proven)
 
@@ -52,17 +49,20 @@ class Counter:
         """Vocabulary strings that are one pre-token and encode alone as their own single id."""
         decoder = self.tokenizer.decoder
         pairs = [(decoder.decode([token]), i) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()]
-        pairs = [(s, i) for s, i in pairs if s and "�" not in s and self.words.findall(s) == [s] and s not in self.special]
+        pairs = [(s, i) for s, i in pairs if s and not self._by_library(s) and "�" not in s and self.words.findall(s) == [s]]
         found = self.tokenizer.encode_batch([s for s, _ in pairs], add_special_tokens=False)
         return {s: 1 for (s, i), e in zip(pairs, found, strict=True) if e.ids == [i]}
 
+    def _by_library(self, text: str) -> bool:
+        return (not text.isascii() and self.unsettled.search(text) is not None) or any(s in text for s in self.special) or any(c in text for c in CONTROLS)
+
     def count(self, texts: list[str]) -> list[int]:
         if self.pieces:
             return [len(ids) for ids in self.processor.encode(texts, num_threads=1)]
         if not self.shortcut:
             return [len(e) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list[int] = [0] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.unsettled.search(t) or any(s in t for s in self.special)]
+        whole = [i for i, t in enumerate(texts) if self._by_library(t)]
         for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = len(e)
         skip = set(whole)
