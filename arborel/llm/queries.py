@@ -12,6 +12,7 @@ _MODULES = {
     "mixing": (["op2_mixing"], {"op2_mixing": "OP2_SQL"}),
     "near_dedup": (["op6_near_dedup"], {}),
     "packing": (["op8_packing"], {}),
+    "suffix_dedup": (["op1_suffix_dedup"], {}),
     "token_count": (["op4_token_count"], {}),
     "token_store": (["op3_token_store"], {}),
     "toxicity": (["op7_toxicity"], {}),
