@@ -36,7 +36,7 @@ NEAR, SPAN = 5, 40
 MEMO = 300_000
 
 FEATURES = [
-    "words", "seed_density", "hit_density", "stem_density", "log_hits", "distinct_hits", "mean_weight", "max_weight",
+    "seed_density", "hit_density", "stem_density", "log_hits", "distinct_hits", "mean_weight", "max_weight",
     "span_hits", "near_person", "person_density", "capital_share", "shout_share", "bang_share", "punct_share", "obfuscated", "hidden_hits",
 ]
 
@@ -128,7 +128,7 @@ class Featurizer:
             near = (np.minimum(ahead, behind) <= NEAR).mean()
         chars = max(1.0, letters.sum() + punct.sum())
         return [
-            np.log1p(n), seed.sum() / n, ((weight > 0) | hidden).sum() / n, (stem > 0).sum() / n, np.log1p(hit.sum()), np.log1p(len(np.unique(at[where]))),
+            seed.sum() / n, ((weight > 0) | hidden).sum() / n, (stem > 0).sum() / n, np.log1p(hit.sum()), np.log1p(len(np.unique(at[where]))),
             strength.sum() / n, strength.max(), span, near, person.sum() / n, upper.sum() / max(1.0, letters.sum()), shout.sum() / n,
             bang.sum() / chars, punct.sum() / chars, (odd % 2).sum() / n, hidden.sum() / n,
         ]
@@ -231,6 +231,7 @@ class Model:
         if self.boosted is None:
             return np.full(len(x), self.levels[0])
         raw = self.boosted.predict(x)
+        raw[~x.any(axis=1)] = self.knots[0]  # no words, or words without any sign: no evidence
         # a trace of the raw score keeps the order of rows inside a calibrated step
         return np.clip(0.999 * np.interp(raw, self.knots, self.levels) + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
@@ -306,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, in_training, sample: int = SAMPLE) -
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for every row of docs.
 
-    Null and empty texts are scored like any other, with all features 0. Rows that repeat an
+    Null, empty and blank texts get the lowest calibrated score: they hold no evidence. Rows that repeat an
     id give a row each. Only the id and the text are read.
     """
 

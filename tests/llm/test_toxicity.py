@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborel.llm.toxicity import Boosted, Featurizer, fit, fit_on_tables, isotonic, op7_toxicity, scores
+from arborel.llm.toxicity import FEATURES, Boosted, Featurizer, fit, fit_on_tables, isotonic, op7_toxicity, scores
 
 DATA = "/root/testdata/sf0.01"
 
@@ -49,4 +49,4 @@ def test_trees_and_isotonic_against_plain_rules():
 
 def test_features_see_obfuscation():
     row = Featurizer({})(["plain words", "you 1d10t m.o.r.o.n"])
-    assert row[0, -1] == 0 and row[1, -1] > 0.5 and row[1, 9] == 1
+    assert row[0, -1] == 0 and row[1, -1] > 0.5 and row[1, FEATURES.index('near_person')] == 1
