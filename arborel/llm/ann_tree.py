@@ -6,9 +6,10 @@ holds tree nodes by distance, the nearest is opened, and each leaf that comes ou
 How many leaves are visited is calibrated on the sample: visits widen until the share of true
 neighbours found reaches the target.
 
-Rows of a leaf are dealt into blocks of bounded size, and so are the queries that visit it;
-each pair of blocks is one small matrix product. A common vector that fills a leaf only adds
-blocks.
+Neighbouring leaves form one of CELLS cells. A cell's rows are dealt into blocks of bounded
+size, and so are the queries that visit any of its leaves; where two blocks meet, each query
+is compared with its visited leaves only and k rows leave for it. A common vector that fills
+a leaf only adds blocks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from arborel.scratch import materialize
 SAMPLE, BRANCH, LEAF_ROWS = 32_768, 16, 64
 #: Share of the sample's true neighbours that the calibrated number of visits must find.
 TARGET_RECALL, CALIBRATION_QUERIES = 0.985, 256
-#: Rows, and queries, that meet in one matrix product.
-BLOCK = 4096
+#: Groups of neighbouring leaves; rows, and queries, that meet in one task step.
+CELLS, BLOCK, ASK_BLOCK = 32, 32_768, 4096
 
 
 class Tree:
@@ -166,57 +167,62 @@ def search(
     tree, dim = fitted
     rows = rows.where(F.size("vector") == dim)
 
+    cells = min(CELLS, tree.n_leaves)
+
     def file(batches):
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.assign(_unit(_matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int64())], ["vec_id", "vector", "leaf"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf), pa.array(leaf * cells // tree.n_leaves)], ["vec_id", "vector", "leaf", "cell"])
 
     def plan(batches):
         for batch in batches:
-            if batch.num_rows:
-                visits = [tree.visit(q, tree.visits) for q in _unit(_matrix(batch.column(1)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(visits, pa.list_(pa.int64()))], ["query_id", "vector", "leaves"])
-
-    filed = materialize(rows.mapInArrow(file, "vec_id long, vector array<double>, leaf long"), "ann-leaves")
-    asked = rows.where(is_query(F.col("vec_id"))).mapInArrow(plan, "query_id long, vector array<double>, leaves array<long>")
-    asked = materialize(asked.select("query_id", "vector", F.explode("leaves").alias("leaf")), "ann-visits")
-    # one row a leaf; the number of leaves is bounded by the sample, whatever the input
-    blocks = (
-        filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_rows"))
-        .join(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_queries")), "leaf")
-    )
-    blocks = F.broadcast(blocks)
-    left = filed.join(blocks, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), F.col("n_rows")).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("ask"), "vec_id", "vector",
+            rows: list[list] = [[], [], []]
+            for i, unit in enumerate(_unit(_matrix(batch.column(1))) if batch.num_rows else ()):
+                visits = np.sort(tree.visit(unit, tree.visits))
+                for own in np.split(visits, np.flatnonzero(np.diff(visits * cells // tree.n_leaves)) + 1):
+                    for column, value in zip(rows, (i, int(own[0]) * cells // tree.n_leaves, own), strict=True):
+                        column.append(value)
+            at = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], ["query_id", "vector", "cell", "leaves"])
+
+    filed = materialize(rows.mapInArrow(file, "vec_id long, vector array<double>, leaf long, cell long"), "ann-leaves")
+    asked = rows.where(is_query(F.col("vec_id"))).mapInArrow(plan, "query_id long, vector array<double>, cell long, leaves array<long>")
+    asked = materialize(asked, "ann-visits")
+    count = lambda df, block, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    # one row a cell: CELLS at most, whatever the input
+    blocks = F.broadcast(count(filed, BLOCK, "n_rows").join(count(asked, ASK_BLOCK, "n_queries"), "cell"))
+    left = filed.join(blocks, "cell").select(
+        "cell", F.pmod(F.xxhash64("vec_id"), F.col("n_rows")).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("ask"), "vec_id", "vector", "leaf",
     )
-    right = asked.join(blocks, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("part"),
-        F.pmod(F.xxhash64("query_id"), F.col("n_queries")).cast("int").alias("ask"), "query_id", "vector",
+    right = asked.join(blocks, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("part"),
+        F.pmod(F.xxhash64("query_id"), F.col("n_queries")).cast("int").alias("ask"), "query_id", "vector", "leaves",
     )
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def best(held: pa.Table, asked: pa.Table) -> pa.Table:
         if not held.num_rows or not asked.num_rows:
             return out.empty_table()
-        ids, queries = held.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
-        points, wanted = _matrix(held.column("vector").combine_chunks()), _matrix(asked.column("vector").combine_chunks())
+        held = held.sort_by("leaf")
+        ids, leaf, points = held.column("vec_id").to_numpy(), held.column("leaf").to_numpy(), _matrix(held.column("vector").combine_chunks())
+        units, wanted = _unit(points), _matrix(asked.column("vector").combine_chunks())
         found: list[list] = [[], [], []]
-        units = _unit(points)
-        for start in range(0, len(wanted), 256):
-            rough = _unit(wanted[start : start + 256]) @ units.T
-            for i, near in enumerate(rough, start):
-                near[ids == queries[i]] = -np.inf
-                floor = np.partition(near, -k)[-k] if len(near) > k else -np.inf
-                pick = np.flatnonzero((near >= floor - 1e-9) & (near > -np.inf))
-                score = cosine(points[pick], wanted[i])
-                order = np.lexsort((ids[pick], -score))[:k]
-                for column, values in zip(found, ([queries[i]] * len(order), ids[pick][order], score[order]), strict=True):
-                    column.extend(values)
+        for query_id, query, unit, leaves in zip(asked.column("query_id").to_pylist(), wanted, _unit(wanted), asked.column("leaves").to_pylist(), strict=True):
+            ranges = zip(np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, side="right"), strict=True)
+            rows = np.concatenate([np.arange(a, b) for a, b in ranges])
+            rows = rows[ids[rows] != query_id]
+            near = units[rows] @ unit
+            floor = np.partition(near, -k)[-k] if len(near) > k else -np.inf
+            rows = rows[near >= floor - 1e-9]
+            score = cosine(points[rows], query)
+            order = np.lexsort((ids[rows], -score))[:k]
+            for column, values in zip(found, ([query_id] * len(order), ids[rows][order], score[order]), strict=True):
+                column.extend(values)
         return pa.table(found, schema=out)
 
-    pairs = left.groupBy("leaf", "part", "ask").cogroup(right.groupBy("leaf", "part", "ask"))
+    pairs = left.groupBy("cell", "part", "ask").cogroup(right.groupBy("cell", "part", "ask"))
     near = pairs.applyInArrow(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

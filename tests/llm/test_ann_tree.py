@@ -25,6 +25,8 @@ def brute(rows, queries, k):
 
 def test_search_finds_neighbours_ties_and_skips_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann_tree, "BLOCK", 64)
+    monkeypatch.setattr(ann_tree, "ASK_BLOCK", 8)
+    monkeypatch.setattr(ann_tree, "CELLS", 5)
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(20, 12))
     good = [(i, np.float32(centers[i % 20] + 0.5 * rng.normal(size=12)).tolist()) for i in range(1500)]
