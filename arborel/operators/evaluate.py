@@ -91,9 +91,9 @@ def greedy_matches(ious: DataFrame, least: float = 0.5) -> DataFrame:
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
         for pred, rows in pdf.sort_values(["pred", "gt"]).groupby("pred", sort=True):
-            free = rows[~rows.gt.isin(taken)]
-            if len(free) and free.iou.max() >= least:
-                gt = free.gt.iloc[int(free.iou.to_numpy().argmax())]
+            free = rows[~rows["gt"].isin(taken)]
+            if len(free) and free["iou"].max() >= least:
+                gt = free["gt"].iloc[int(free["iou"].to_numpy().argmax())]
                 taken.add(gt)
                 out.append((pdf.plant_id.iloc[0], pdf["class"].iloc[0], pred, gt))
         return pd.DataFrame(out, columns=["plant_id", "class", "pred", "gt"])

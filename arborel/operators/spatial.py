@@ -25,9 +25,9 @@ def _cell(value: Column, size: Column) -> Column:
 
 def _around(df: DataFrame, prefix: str, size: Column) -> DataFrame:
     """df repeated for the 27 cells around each point."""
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     for axis in "xyz":
-        df = df.withColumn(f"c{axis}", F.explode(F.transform(step, lambda s, a=axis: _cell(F.col(f"{prefix}{a}"), size) + s)))
+        own = _cell(F.col(f"{prefix}{axis}"), size)
+        df = df.withColumn(f"c{axis}", F.explode(F.array(own - 1, own, own + 1)))
     return df
 
 
