@@ -22,7 +22,7 @@ def parse_line(line: Column, dims: int, delimiter: str = " ") -> Column:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(plant_id, line, value) with line numbers from 0; files are read whole, one row each, for their order."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("plant_id", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", ""))
+    whole = spark.read.text(path, wholetext=True).withColumn("plant_id", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", ""))
     text = F.regexp_replace("value", "\n$", "")
     return whole.select("plant_id", F.posexplode(F.split(text, "\n")).alias("line", "value"))
 
