@@ -5,11 +5,14 @@
    samples folded into a bitmap of parities. The population count of two sketches' XOR
    estimates their similarity, most precisely where it is high.
 2. Documents with equal sets become one node (a tree merge; no group of copies is gathered).
-3. Nodes with equal band keys meet. Each node of a bucket is paired with the bucket's smallest
-   only; sizes and sketches rule out most false pairs, the rest are confirmed on full sets.
-4. Buckets whose nodes are not all connected by then are compared in full: small ones by a
-   bounded self join, large ones first parted by a second shared band, then in blocks of
-   sketches. What passes is confirmed on full sets as well.
+3. Nodes with equal band keys meet. Each node of a bucket is paired with the bucket's leader
+   only: the node that meets most others over all its bands, which is the text that a group
+   of near copies was made from, if any. Sizes and sketches rule out most false pairs, the
+   rest are confirmed on full sets.
+4. Buckets whose nodes are not all connected by then are compared in full: nodes that share
+   such buckets, directly or not, form a cluster, dealt into blocks of bounded size. Each
+   pair of blocks compares sketches first and full sets where those allow, and only links
+   leave it, so nothing as large as the pairs is ever written.
 5. Connected components of the confirmed links.
 
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**5)**32 < 4e-6.
@@ -32,10 +35,8 @@ from arborel.scratch import materialize
 BANDS, ROWS, SKETCH_BITS = 32, 5, 1024
 #: Standard deviations of the similarity estimate by which a pair may fall short and still be confirmed.
 SLACK = 5.5
-#: Nodes up to which an unfinished bucket is self-joined, and beyond which it is parted by a second band.
-SMALL, LARGE = 64, 4096
-#: Nodes of a bucket that meet in one block.
-BLOCK = 2048
+#: Nodes, and shingles, of one block of a cluster.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,21 +117,25 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, found): the full shingle sets of the documents in ids."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
+
+    full = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, found array<long>")
+    return materialize(full, "near-sets", free_shuffles=True)
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of node ids whose full sets are similar enough."""
     of = lambda side: nodes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     close = pairs.join(of("a"), "a").where("n_a > 0").join(of("b"), "b")
     close = close.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (_differing(F.col("s_a"), F.col("s_b")) <= most_differing_bits(percent / 100)))
     close = materialize(close.select("a", "b", "n_a", "n_b"), "near-pairs")
-    needed = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
-
-    def sets(batches):
-        for batch in batches:
-            found = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
-
-    full = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, found array<long>")
-    full = materialize(full, "near-sets", free_shuffles=True)
+    full = _sets(docs, close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct(), width)
     both = close.join(full.select(F.col("doc_id").alias("a"), F.col("found").alias("f_a")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("found").alias("f_b")), "b")
     shared = F.size(F.array_intersect("f_a", "f_b"))
     both = both.select("a", "b", "n_a", "n_b", shared.alias("shared")).where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent)
@@ -141,47 +146,50 @@ def _unfinished(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members (key, id, leader) of buckets that hold more than one component of links, with the component and bucket size."""
     parts = connected_components(links, "a", "b")
     placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
     return placed.join(open_keys.where("low < high and size > 2").drop("low", "high"), "key")
 
 
-def _within(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components inside each bucket, but for those with its smallest id, which were tried before."""
-    for _ in range(2):
-        big = left.where(F.col("size") > LARGE)
-        if big.limit(1).count() == 0:
-            break
-        again = big.select("id", "component", "key").join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id")
-        again = again.select("id", "component", "key", F.explode("bands").alias("other")).where("key <> other")
-        again = again.select("id", "component", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-        sizes = again.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        # parted buckets keep their smallest id among the pairs: it was not their leader
-        again = again.join(sizes.where("low < high").drop("low", "high"), "key").withColumn("first", F.lit(None).cast("long"))
-        left = materialize(left.where(F.col("size") <= LARGE).select("key", "id", "component", "size", "first").unionByName(again.select("key", "id", "component", "size", "first")), "near-parted")
-    small = left.where(F.col("size") <= SMALL)
-    a, b = small.select("key", F.col("id").alias("a"), F.col("component").alias("of_a"), "first"), small.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
-    pairs = a.join(b, "key").where("a < b and of_a <> of_b and (first is null or a <> first)").select("a", "b")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    wide = left.where(F.col("size") > SMALL).join(nodes.select(F.col("doc_id").alias("id"), "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    wide = wide.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
+def shared_counts(own: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many values of the sorted array own stand in each of the sets flat[begin:begin + size]."""
+    ends = np.cumsum(size)
+    values = flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    return np.bincount(np.repeat(np.arange(len(size)), size), own[at] == values, len(size)).astype(np.int64)
+
+
+def _within(left: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of nodes that meet in unfinished buckets."""
+    clusters = connected_components(left.select("leader", "id"), "leader", "id").withColumnRenamed("component", "cluster")
+    who = materialize(left.select("id", "component").distinct().join(clusters, "id"), "near-clusters")
+    full = _sets(docs, who.select(F.col("id").alias("doc_id")), width)
+    rows = who.join(nodes.select(F.col("doc_id").alias("id"), "n", "sketch"), "id").join(full.withColumnRenamed("doc_id", "id"), "id")
+    total = who.join(nodes.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("cluster")
+    total = total.agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    rows = rows.join(total, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch", "found")
     schema, most = pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_differing_bits(percent / 100)
 
     def compare(table: pa.Table) -> pa.Table:
         ids, own, comp, n = (table.column(c).to_numpy() for c in ("id", "own", "component", "n"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
+        flat = table.column("found").combine_chunks().flatten().to_numpy().view(np.uint64)
+        begin = np.cumsum(n) - n
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
+        links = []
         for r in rows:
             c = columns[(comp[columns] != comp[r]) & ((ids[columns] > ids[r]) | (i != j))]
             c = c[np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * percent]
             c = c[np.bitwise_count(sketch[c] ^ sketch[r]).sum(axis=1) <= most]
-            found += [(min(ids[r], x), max(ids[r], x)) for x in ids[c]]
-        low, high = zip(*found, strict=True) if found else ((), ())
+            if len(c):
+                shared = shared_counts(flat[begin[r] : begin[r] + n[r]], flat, begin[c], n[c])
+                links += [(min(ids[r], x), max(ids[r], x)) for x in ids[c[shared * 100 >= (n[c] + n[r] - shared) * percent]]]
+        low, high = zip(*links, strict=True) if links else ((), ())
         return pa.table([pa.array(low, pa.int64()), pa.array(high, pa.int64())], schema=schema)
 
-    return pairs.unionByName(wide.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
+    return materialize(rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "near-links")
 
 
 def near_duplicates(
@@ -203,14 +211,18 @@ def near_duplicates(
     nodes = materialize(nodes.select("doc_id", "n", "bands", "sketch"), "near-nodes")
 
     exploded = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    shared = exploded.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    members = materialize(exploded.join(shared, "key"), "near-members", free_shuffles=True)
-
-    star = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    met = materialize(exploded.join(shared, "key"), "near-met", free_shuffles=True)
+    meets = met.groupBy("id").agg(F.sum("many").alias("meets"))
+    ranked = met.join(meets, "id").select("key", "id", F.struct("meets", (-F.col("id")).alias("id")).alias("by"))
+    leaders = ranked.groupBy("key").agg(F.max("by").alias("by")).select("key", (-F.col("by.id")).alias("leader"))
+    members = materialize(met.select("key", "id").join(leaders, "key"), "near-members")
+
+    star = members.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = _confirm(star, nodes, docs, width, percent)
     left = materialize(_unfinished(members, links), "near-unfinished")
     if left.limit(1).count():
-        links = links.unionByName(_confirm(_within(left, nodes, percent), nodes, docs, width, percent))
+        links = links.unionByName(_within(left, nodes, docs, width, percent))
     parts = connected_components(links, "a", "b")
     linked = keyed.join(parts.select(F.col("id").alias("node"), "component"), "node", "left")
     linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

@@ -62,12 +62,10 @@ def corpus(seed):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("width", "small", "large"), [(2, 64, 4096), (5, 64, 4096), (2, 4, 8)])
-def test_against_all_pairs(spark, monkeypatch, width, small, large):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "LARGE", large)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    rows = corpus(width + small)
+@pytest.mark.parametrize(("width", "block"), [(5, 2048), (2, 16)])
+def test_against_all_pairs(spark, monkeypatch, width, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = corpus(width + block)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, n int").repartition(5)
     got = {tuple(r) for r in near_duplicates(df, width=width).collect()}
     assert got == brute(rows, width)
