@@ -32,11 +32,11 @@ from arborel.scratch import materialize
 
 WINDOW, GRAM = 100, 32
 #: Bytes of text in one vectorised step; longer documents are taken in parts that overlap.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Rows of runs among which a task drops repeats before they leave it.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 18
 #: Bytes of one shard's suffix array.
-SHARD = 1 << 22
+SHARD = 1 << 20
 #: A run of windows is cut after so many.
 LONGEST = 256
 _BASES = (0x9E6C63D0876A9A47, 0xD1342543DE82EF95)
@@ -311,7 +311,8 @@ def shard_strings(data: np.ndarray, window_at: np.ndarray, doc: np.ndarray, star
     return first
 
 
-RUN = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+#: A window in a sorted run: 96 bits of digest, its place in its document (below 4 GiB) and the document.
+RUN = np.dtype([("a", "<u8"), ("b", "<u4"), ("start", "<u4"), ("doc", "<i8")])
 
 
 def merge_runs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,9 +343,10 @@ _OUT_DDL = "doc_id long, start long, windows long, range int, digests binary"
 
 
 def _going(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    doc, start, windows = window_ranges(doc, start)
-    none = pa.nulls(len(doc))
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(windows), none.cast(pa.int32()), none.cast(pa.binary())], schema=_OUT)
+    """Windows that go, as ranges; they travel beside the digests under negative range numbers."""
+    doc, start, windows = window_ranges(doc, start.astype(np.int64))
+    aside = -1 - (np.arange(len(doc)) % 1024)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(windows), pa.array(aside, pa.int32()), pa.nulls(len(doc)).cast(pa.binary())], schema=_OUT)
 
 
 def _shards(docs: DataFrame, unsure: DataFrame, ranges: int) -> DataFrame:
@@ -362,7 +364,8 @@ def _shards(docs: DataFrame, unsure: DataFrame, ranges: int) -> DataFrame:
         at, doc, start = at[first], doc[first], start[first]
         run = np.empty(len(at), dtype=RUN)
         width = np.full(len(at), WINDOW)
-        run["a"], run["b"] = (Hashes(data, base).at(at, width) for base in _BASES)
+        run["a"] = Hashes(data, _BASES[0]).at(at, width)
+        run["b"] = Hashes(data, _BASES[1]).at(at, width) >> np.uint64(32)
         run["doc"], run["start"] = doc, start
         run = run[np.argsort(run["a"], kind="stable")]
         step = ((1 << 64) + ranges - 1) // ranges
@@ -397,8 +400,8 @@ def _shards(docs: DataFrame, unsure: DataFrame, ranges: int) -> DataFrame:
     return docs.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, _OUT_DDL)
 
 
-def _merged(digests: DataFrame) -> DataFrame:
-    """Windows that go because another shard has their string earlier."""
+def _merged(shards: DataFrame) -> DataFrame:
+    """Windows that go: those found in one shard, and those whose string another shard has earlier."""
 
     def settle(runs):
         gone = []
@@ -413,26 +416,27 @@ def _merged(digests: DataFrame) -> DataFrame:
     def run(batches):
         current, runs = None, []
         for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            numbers = batch.column(3).to_numpy()
+            if (numbers < 0).any():
+                yield batch.filter(pa.array(numbers < 0))
+            for number, raw in zip(numbers[numbers >= 0], batch.column(4).filter(pa.array(numbers >= 0)), strict=True):
                 if number != current:
                     yield from settle(runs)
                     current, runs = number, []
                 runs.append(np.frombuffer(raw.as_py(), dtype=RUN))
         yield from settle(runs)
 
-    parts = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = digests.select("range", "digests").repartition(parts, "range").sortWithinPartitions("range")
-    return placed.mapInArrow(run, _OUT_DDL)
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, _OUT_DDL)
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, start, windows): stretches of windows of docs(doc_id, text) whose string occurs earlier."""
     known = materialize(_sorted_out(_runs(docs)), "suffix-runs", free_shuffles=True)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = materialize(_shards(docs, known.where("not goes"), 2 * parts), "suffix-shards", free_shuffles=True)
     columns = ["doc_id", "start", "windows"]
-    merged = materialize(_merged(shards.where("range is not null")).select(columns), "suffix-merged", free_shuffles=True)
-    return known.where("goes").select(columns).unionByName(shards.where("range is null").select(columns)).unionByName(merged)
+    merged = _merged(_shards(docs, known.where("not goes"), 2 * parts)).select(columns)
+    return known.where("goes").select(columns).unionByName(materialize(merged, "suffix-merged", free_shuffles=True))
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -468,7 +472,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     spans = spans_of(starts, starts + np.array([r["windows"] for r in runs]) + WINDOW - 1)
                 ends = [0, *(e for _, e in spans)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(s for s, _ in spans), len(raw)], strict=True)) if spans else raw
-                for column, value in zip(rows, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans], kept), strict=True):
+                for column, value in zip(rows, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans] if with_text else None, kept if with_text else None), strict=True):
                     column.append(value)
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()), strict=True))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
