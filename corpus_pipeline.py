@@ -15,25 +15,24 @@ from arborel.scratch import materialize
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; ids are unique."""
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs but those that decided(doc_id, kept) drops."""
+    return docs.join(decided.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled rows outside the held-out share, does not reject."""
-    rejected = toxicity.scores(docs, toxicity.fit_on_tables(spark, sf_dir)).where("predicted = 1").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.keep_clean(docs, toxicity.fit_on_tables(spark, sf_dir))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the largest doc_id of each group of equal texts; null and empty texts are one group."""
-    return _only(docs, exact_dedup.exact_duplicates(docs, keep="max").where("kept").select("doc_id"))
+    return _without(docs, exact_dedup.exact_duplicates(docs, keep="max"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of documents linked by 80 % of their five-word shingles."""
-    return _only(docs, near_dedup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id"))
+    return _without(docs, near_dedup.near_duplicates(docs, width=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
