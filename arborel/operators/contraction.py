@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborel.functions.geometry import clamp_length, kernel, l1, sub, symmetric_eigenvalues, xyz
 from arborel.operators import mesh
-from arborel.operators.spatial import knn_join, radius_join
+from arborel.operators.spatial import knn_join, radius_join, with_fallback
 from arborel.scratch import materialize
 
 #: Fixed values of the contraction's weights: growth and ceiling of WL, WH of fixed points and tips, the distance weight.
@@ -222,8 +222,12 @@ def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame]:
     near = lambda p: radius_join(p, p, config.sigma_radius * span)
     found = tips_of_sample(lambda s: graph_distance(s, lowest_point(s)), points, k=config.tip_neighbours)
     weights = materialize(initial_weights(points, found), "contract-weights")
-    k = config.knn
-    soup = materialize(mesh.local_triangles(points, k), "contract-soup")
+
+    def triangles(p: DataFrame, rebuild: int) -> DataFrame:
+        k, radius = config.neighbours_at(rebuild)
+        return mesh.local_triangles(p, k) if config.use_knn else mesh.local_triangles(p, near=with_fallback(radius_join(p, p, radius * span), p))
+
+    soup = materialize(triangles(points, 0), "contract-soup")
     threshold = materialize(mesh.edge_threshold(mesh.mesh_edges(soup, points)), "contract-threshold")
     first_area = materialize(mesh.mean_area(soup, points).withColumnRenamed("mean_area", "first"), "contract-area")
     current, done = points, None
@@ -234,8 +238,7 @@ def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame]:
             around = near(current)
             smooth = smooth_sigma(sigma(current, config.sigma_radius * span, config.sigma_threshold, around), around).select("plant_id", "point_id", F.coalesce("smooth_sigma", F.lit(0.0)).alias("smooth_sigma"))
             weights = materialize(adapt_weights(weights.join(smooth, ["plant_id", "point_id"]), config.sigma_threshold).select("plant_id", "point_id", "wl", "wh"), "contract-weights")
-            k = min(k + config.knn_step, config.knn_most)
-            soup = mesh.attach_orphans(mesh.drop_long_triangles(mesh.local_triangles(current, k), current, threshold), current)
+            soup = mesh.attach_orphans(mesh.drop_long_triangles(triangles(current, step - 1), current, threshold), current)
             soup = materialize(soup, "contract-soup")
         moved = contract_once(current, weights, mesh.laplacian(soup, current, config.laplacian_scale), distance_constraints(current, config.max_distance * span))
         moved = materialize(moved, "contract-points")

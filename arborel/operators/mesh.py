@@ -48,14 +48,15 @@ def one_ring(centre: np.ndarray, around: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def local_triangles(points: DataFrame, k: int = 8) -> DataFrame:
+def local_triangles(points: DataFrame, k: int = 8, near: DataFrame | None = None) -> DataFrame:
     """(plant_id, a, b, c): the triangles at each point of its k nearest neighbours' Delaunay triangulation; a is the point.
 
-    Neighbours are gathered for each point, k at most, so the kernel needs no whole plant.
+    near(plant_id, point_id, nbr_id, d2) gives other neighbours instead, such as those within
+    a radius. Neighbours are gathered for each point, so the kernel needs no whole plant.
     """
-    near = knn_join(points, points, k, exclude_self=True)
+    near = knn_join(points, points, k, exclude_self=True) if near is None else near.where("nbr_id <> point_id")
     theirs = points.select("plant_id", F.col("point_id").alias("nbr_id"), *[F.col(a).cast("double").alias(f"n{a}") for a in "xyz"])
-    lists = near.join(theirs, ["plant_id", "nbr_id"]).groupBy("plant_id", "point_id").agg(F.sort_array(F.collect_list(F.struct("rank", "nbr_id", "nx", "ny", "nz"))).alias("nbrs"))
+    lists = near.join(theirs, ["plant_id", "nbr_id"]).groupBy("plant_id", "point_id").agg(F.sort_array(F.collect_list(F.struct("d2", "nbr_id", "nx", "ny", "nz"))).alias("nbrs"))
     rows = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"]).join(lists, ["plant_id", "point_id"])
     kind = dict(points.dtypes)["plant_id"]
 
