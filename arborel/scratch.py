@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,8 @@ def materialize(df: DataFrame, label: str, free_shuffles: bool = False) -> DataF
     df.write.parquet(path)
     if free_shuffles:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first round finds what Python held, the second what that referred to
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
