@@ -129,13 +129,12 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return materialize(full, "near-sets", free_shuffles=True)
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of node ids whose full sets are similar enough."""
     of = lambda side: nodes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     close = pairs.join(of("a"), "a").where("n_a > 0").join(of("b"), "b")
     close = close.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (_differing(F.col("s_a"), F.col("s_b")) <= most_differing_bits(percent / 100)))
     close = materialize(close.select("a", "b", "n_a", "n_b"), "near-pairs")
-    full = _sets(docs, close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct(), width)
     both = close.join(full.select(F.col("doc_id").alias("a"), F.col("found").alias("f_a")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("found").alias("f_b")), "b")
     shared = F.size(F.array_intersect("f_a", "f_b"))
     both = both.select("a", "b", "n_a", "n_b", shared.alias("shared")).where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent)
@@ -158,11 +157,10 @@ def shared_counts(own: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np
     return np.bincount(np.repeat(np.arange(len(size)), size), own[at] == values, len(size)).astype(np.int64)
 
 
-def _within(left: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _within(left: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of nodes that meet in unfinished buckets."""
     clusters = connected_components(left.select("leader", "id"), "leader", "id").withColumnRenamed("component", "cluster")
     who = materialize(left.select("id", "component").distinct().join(clusters, "id"), "near-clusters")
-    full = _sets(docs, who.select(F.col("id").alias("doc_id")), width)
     rows = who.join(nodes.select(F.col("doc_id").alias("id"), "n", "sketch"), "id").join(full.withColumnRenamed("doc_id", "id"), "id")
     total = who.join(nodes.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("cluster")
     total = total.agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
@@ -218,11 +216,13 @@ def near_duplicates(
     leaders = ranked.groupBy("key").agg(F.max("by").alias("by")).select("key", (-F.col("by.id")).alias("leader"))
     members = materialize(met.select("key", "id").join(leaders, "key"), "near-members")
 
+    # the texts move once, for all nodes that may have to be compared
+    full = _sets(docs, meets.select(F.col("id").alias("doc_id")), width)
     star = members.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    links = _confirm(star, nodes, docs, width, percent)
+    links = _confirm(star, nodes, full, percent)
     left = materialize(_unfinished(members, links), "near-unfinished")
     if left.limit(1).count():
-        links = links.unionByName(_within(left, nodes, docs, width, percent))
+        links = links.unionByName(_within(left, nodes, full, percent))
     parts = connected_components(links, "a", "b")
     linked = keyed.join(parts.select(F.col("id").alias("node"), "component"), "node", "left")
     linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
