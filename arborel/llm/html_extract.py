@@ -30,6 +30,10 @@ SAMPLE, NAMES = 2000, 400
 RUN_COST = 6.0
 #: Elements whose content is never text of a page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select option textarea datalist button map".split())
+#: Elements whose content is plain text up to their end tag, whatever it looks like.
+RAW = frozenset("script style textarea title noscript iframe".split())
+#: Start tags that may stand in a head; any other, or a word, ends a head without its end tag.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 #: Elements that end a block; all others, line breaks included, are part of the block's white space or its words.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -55,6 +59,8 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+_IN_SCRIPT = re.compile(r"<!--(?:-*>)?|-->|</?script(?=[\s/>])", re.IGNORECASE)
 
 
 def _features(tag: str, name: str) -> frozenset:
@@ -80,35 +86,72 @@ class Run:
     tag: str
 
 
+def _after_raw(page: str, at: int, name: str) -> int:
+    """Where the page goes on after the end tag of a raw element whose content starts at `at`."""
+    end = _RAW_END[name].search(page, at)
+    if name == "script" and end and page.find("<!--", at, end.start()) >= 0:
+        # a script named in a comment of the script has an end tag of its own
+        comment = nested = False
+        for match in _IN_SCRIPT.finditer(page, at):
+            mark = match.group().lower()
+            if mark == "<!--":
+                comment = True
+            elif mark.endswith(">"):
+                comment = comment and mark != "-->"
+                nested = nested and comment
+            elif mark == "<script":
+                nested = comment
+            elif nested:
+                nested = False
+            else:
+                end = match
+                break
+    close = page.find(">", end.end()) if end else -1
+    return close + 1 if close >= 0 else len(page)
+
+
 def runs(page: str) -> list[Run]:
     """The page's tags and text runs, each text run with the features of the elements around it."""
     out: list[Run] = []
     stack: list[tuple[str, frozenset]] = []
     inside: frozenset = frozenset()
-    block, silent = 0, ""
-    for match in _TOKEN.finditer(page):
-        token = match.group()
+    block, silent, head, at = 0, "", False, 0
+    while match := _TOKEN.match(page, at):
+        token, at = match.group(), match.end()
         if token[0] == "<" and len(token) > 1:
             named = _NAME.match(token)
             if not named:
                 continue
             name = named.group(1).lower()
             closing = token[1] == "/"
-            if silent:
-                if closing and name == silent:
-                    silent = ""
+            if head and not silent:
+                head = name not in ("head", "body", "html") if closing else name in IN_HEAD
+                if closing and name == "head":
+                    continue
+            if silent or head:
+                if closing:
+                    silent = "" if name == silent else silent
+                elif name in RAW and silent not in ("svg", "math") and not token.endswith("/>"):
+                    at = _after_raw(page, at, name)
+                elif name == "template" and not silent:
+                    silent = name
                 continue
             if name in BLOCKS:
                 block += 1
             out.append(Run(block, " " if name == "br" else "", 0, inside, "/" + name if closing else name))
             if closing:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if at is not None:
-                    del stack[at:]
+                opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                if opened is not None:
+                    del stack[opened:]
                     inside = stack[-1][1] if stack else frozenset()
                 continue
             if name in SILENT and not token.endswith("/>"):
-                silent = name
+                if name in RAW:
+                    at = _after_raw(page, at, name)
+                elif name == "head":
+                    head = True
+                else:
+                    silent = name
                 continue
             if name in VOID or token.endswith("/>"):
                 continue
@@ -123,7 +166,8 @@ def runs(page: str) -> list[Run]:
             above = stack[-1][1] if stack else frozenset()
             inside = above | _features(token, name)
             stack.append((name, inside))
-        elif not silent:
+        elif not silent and not (head and token.isspace()):
+            head = False
             text = html.unescape(token)
             out.append(Run(block, text, len(text.split()), inside, ""))
     return out

@@ -39,6 +39,26 @@ def test_text_rules():
     assert extract(page(body), Weights()) == "A title of it\none two three <x> é &unknown; a < b\nfirst item\nsecond item\nx y"
 
 
+CODE = [
+    "<script>for(var i=0;i<n;i++){x()}</script>", "<style>a<b{c:'}</style>", "<SCRIPT>if(a<b)s='it\"s'</Script >", "<textarea>it's <b' \"</textarea>",
+    "<script>x='</scripty>'; i<n</script>", "<script><!-- w('<script>i<n</script>') --></script>", "<script><!--> i<n</script>", "<noscript><img alt='></noscript>",
+]
+
+
+@pytest.mark.parametrize("code", CODE)
+def test_code_is_not_cut_into_tags(code):
+    body = "<article>" + "".join(f"<p>{p}</p>{code}" for p in PARAS) + "</article>"
+    assert extract(page(body, NAV, FOOT), Weights()) == WANT
+    for end in ("</head><body>", "</head>", "<body>", ""):
+        assert extract(f"<html><head><title>a <b' c</title>{code if 'textarea' not in code else ''}<meta x=y>{end}{body}</html>", Weights()) == WANT
+
+
+def test_head_without_end_tag():
+    for start in ("<div>", "<span>", "<P>", ""):
+        assert extract(f"<head><meta charset=x><template><p>{WORDS}</p></template><title>T</title>\n{start}{PARAS[0]} {PARAS[1]}", Weights()) == f"{WANT.splitlines()[0]} {WANT.splitlines()[1]}"
+    assert extract(f"<head><title>T</title><script>never closed <p>{WORDS}</p>", Weights()) == ""
+
+
 @pytest.mark.parametrize("odd", [None, "", "   ", "<", "<p", "<!-- never closed", "<script>alert(1)", "</p></p>", "<a href='x>y", '<div class="a > b">', "<nav><a href=x>menu here</a></nav>"])
 def test_odd_pages_give_nothing(odd):
     assert extract(odd, Weights()) == ""
