@@ -78,7 +78,8 @@ def mix(
     """doc_id, source, size, source_size, target, copies, taken for every row of docs.
 
     Null and empty texts have size 0 and take 0 words; null sources are one source, ranked
-    last. Rows that repeat an id share its coin. Sources without words have target 0 and
+    last. Rows that repeat an id share its coin. A row with a null id has no coin and is taken
+    floor(rate) times, as in the SQL. Sources without words have target 0 and
     no copies. No rows give no rows. The coin is a hash of the seed and the id, so reruns
     and retried tasks agree.
     """
@@ -90,15 +91,19 @@ def mix(
     joined = sized.join(named, sized["source"].eqNullSafe(named["_source"])).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(0.0)
     coin = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    copies = (F.floor(rate) + (coin < rate - F.floor(rate)).cast("long")).cast("int")
+    copies = (F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     return joined.withColumn("copies", copies).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as mix() says, columns unchanged; names that clash with mix()'s are kept."""
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).where("_mix_copies > 0").distinct()
-    id_col = options.get("id_col", "doc_id")
-    joined = docs.join(plan, docs[id_col] == plan["_mix_id"])
+    """docs with each row repeated as mix() says, columns unchanged; names that clash with mix()'s are kept.
+
+    Rows are told apart by id and source, either of which may be null.
+    """
+    plan = mix(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"))
+    plan = plan.where("_mix_copies > 0").distinct()
+    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
+    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"]) & docs[source_col].eqNullSafe(plan["_mix_source"]))
     again = F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")
     return joined.select(*[docs[c] for c in docs.columns], again).drop("_mix_copy")
 

@@ -465,17 +465,39 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[turn].tolist(), np.append(reach[turn[1:] - 1], reach[-1]).tolist(), strict=True))
 
 
+#: From here on lie the keys of rows without an id.
+UNNAMED = 1 << 62
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, key, copy: the id, or for a null id a key from the text's digest; copy marks a text that another such row has too."""
+    unnamed = docs.where("doc_id IS NULL")
+    if unnamed.isEmpty():
+        return docs.select("doc_id", "text", F.col("doc_id").alias("key"), F.lit(False).alias("copy"))
+    rows = unnamed.select("doc_id", "text", F.md5("text").alias("digest"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "suffix-unnamed")
+    first = rows.groupBy("digest").agg(F.min("row").alias("row")).select("row", F.lit(False).alias("copy"))
+    rows = rows.join(first, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(True)))
+    digest = F.coalesce(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), F.lit(0))
+    rows = rows.select("doc_id", "text", F.when(F.col("copy"), F.col("row")).otherwise(F.lit(UNNAMED) + digest).alias("key"), "copy")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.col("doc_id").alias("key"), F.lit(False).alias("copy")).unionByName(rows)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless with_text is false, spans and kept (the bytes left) of every row.
 
     Null texts are empty; texts below WINDOW bytes lose nothing. Matches never cross
     documents, strings are judged on the input, and overlapping matches count. Documents of
     any length are taken whole. ids should be unique: rows that repeat an id are taken as one
-    document's text repeated, and each loses what any of them loses. No rows give no rows;
+    document's text repeated, and each loses what any of them loses. Rows with a null id are
+    documents of their own and keep the null; they come after all ids below 2**62, in the
+    order of their texts' digests, and one of those with equal texts comes first. No rows give no rows;
     other columns are not read. What is left need not be valid UTF-8, as cuts fall on bytes.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    docs = _keyed(docs)
+    own = docs.where("not copy").select(F.col("key").alias("doc_id"), "text")
+    gone = removed_windows(own).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     ddl += ", spans array<struct<start: long, end: long>>, kept binary" if with_text else ""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -483,9 +505,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, runs, copy in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw, spans = (text or "").encode(), []
-                if runs:
+                if copy:
+                    spans = [(0, len(raw))] if len(raw) >= WINDOW else []
+                elif runs:
                     starts = np.array([r["start"] for r in runs])
                     spans = spans_of(starts, starts + np.array([r["windows"] for r in runs]) + WINDOW - 1)
                 ends = [0, *(e for _, e in spans)]
@@ -496,7 +520,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             yield pa.RecordBatch.from_arrays(columns[: 7 if with_text else 5], names[: 7 if with_text else 5])
 
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(run, ddl)
+    return docs.join(gone, "key", "left").select("doc_id", "text", "runs", "copy").mapInArrow(run, ddl)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ size and checksum, and a footer. A reader takes the footer from the end, the see
 index before it, and then only the frames that hold the requested documents' ids.
 
 Data frames hold ids as little-endian unsigned 32-bit integers, documents one after another
-in ascending doc_id; a long document goes on in the frames that follow.
+in ascending doc_id, null first; a long document goes on in the frames that follow. The index
+holds all ids, then all sizes; a document without an id has id 0 and size -1 - size.
 """
 
 from __future__ import annotations
@@ -49,10 +50,10 @@ class Writer:
         self.held: list[np.ndarray] = []
         self.waiting = 0
         self.frames: list[tuple[int, int, int]] = []
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.sizes: list[int] = []
 
-    def add(self, doc_id: int, tokens: np.ndarray) -> None:
+    def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.sizes.append(len(tokens))
         self.held.append(tokens.astype("<u4", copy=False))
@@ -77,7 +78,7 @@ class Writer:
     def close(self) -> tuple[int, int]:
         """(documents, ids) of the file."""
         self._flush(True)
-        index = self.packer.compress(np.array([self.ids, self.sizes], dtype="<i8").tobytes())
+        index = self.packer.compress(np.array([[i or 0 for i in self.ids], [-1 - n if i is None else n for i, n in zip(self.ids, self.sizes, strict=True)]], dtype="<i8").tobytes())
         self.sink.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEKABLE_MAGIC)
         self.sink.write(struct.pack("<II", SKIPPABLE_SEEK, len(table)) + table)
@@ -107,7 +108,8 @@ class Reader:
         if kind != SKIPPABLE_INDEX:
             raise ValueError(f"{path} has no document index")
         both = np.frombuffer(self.packer.decompress(self.source.read_at(length, head + 8)), dtype="<i8").reshape(2, -1)
-        self.ids, self.sizes = both
+        self.ids, self.unnamed = both[0], both[1] < 0
+        self.sizes = np.where(self.unnamed, -1 - both[1], both[1])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.frame_starts = np.concatenate([[0], np.cumsum(self.table[:, 1].astype(np.int64) // 4)])
         self.frames_read = 0
@@ -135,13 +137,18 @@ class Reader:
             start, left, k = start + len(parts[-1]), left - len(parts[-1]), k + 1
         return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
-    def read(self, doc_ids: Iterable[int]) -> list[tuple[int, np.ndarray]]:
-        """The requested documents that the file holds, in file order; other frames stay compressed."""
-        wanted = np.flatnonzero(np.isin(self.ids, np.fromiter(doc_ids, dtype=np.int64)))
-        return [(int(self.ids[i]), self._at(i)) for i in wanted]
+    def _id(self, position: int) -> int | None:
+        return None if self.unnamed[position] else int(self.ids[position])
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
-        return ((int(self.ids[i]), self._at(i)) for i in range(len(self.ids)))
+    def read(self, doc_ids: Iterable[int | None]) -> list[tuple[int | None, np.ndarray]]:
+        """The requested documents that the file holds, in file order; None asks for all without an id. Other frames stay compressed."""
+        asked = set(doc_ids)
+        named = np.isin(self.ids, np.fromiter(asked - {None}, dtype=np.int64)) & ~self.unnamed
+        wanted = np.flatnonzero(named | self.unnamed if None in asked else named)
+        return [(self._id(i), self._at(i)) for i in wanted]
+
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
+        return ((self._id(i), self._at(i)) for i in range(len(self.ids)))
 
     def close(self) -> None:
         self.source.close()
@@ -153,7 +160,8 @@ def write_store(
     """Encode docs into files part-NNNNNN.zst below folder, ascending by doc_id over and within files.
 
     Returns one row a file: file_no, path, n_docs, n_ids. Null and empty texts hold end_id
-    alone (or nothing). Rows that repeat an id are stored next to each other. A table
+    alone (or nothing). Rows that repeat an id are stored next to each other. Rows with a null
+    id come first, by a hash of their text, and keep the null. A table
     without rows makes no file with documents. Texts are range partitioned by id, so a file
     is as large as one partition; a retried task writes the same file again.
     """
@@ -180,7 +188,8 @@ def write_store(
     fs.create_dir(name, recursive=True)
     picked = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = picked.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    ordered = picked.repartitionByRange(parts, "doc_id", unnamed).sortWithinPartitions("doc_id", unnamed)
     files = ordered.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long")
     return materialize(files, "token-files", free_shuffles=True)
 
@@ -202,7 +211,7 @@ def read_store(files: DataFrame) -> DataFrame:
                 reader = Reader(path)
                 crc = [zlib.crc32(tokens.tobytes()) for _, tokens in reader]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(reader.ids, pa.int64()), pa.array(reader.starts + at, pa.int64()), pa.array(reader.sizes, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(reader.ids, pa.int64(), mask=reader.unnamed), pa.array(reader.starts + at, pa.int64()), pa.array(reader.sizes, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
                 reader.close()

@@ -1,6 +1,7 @@
 """Exact dedup and mixing against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -72,6 +73,21 @@ def test_mix(spark):
     assert mix(df.withColumn("text", F.lit(None).cast("string"))).where("taken <> 0").count() == 0
 
 
+def test_mix_null_ids(spark):
+    rows = [(i, "w x y", s) for i, s in enumerate("abc" * 40)] + [(None, "w x y", s) for s in ("a", "a", "b", "c", None)] + [(3, "w x y", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mix(df).collect()
+    assert len(plan) == len(rows)
+    for r in plan:
+        rate = r.target / r.source_size
+        assert r.taken == r.copies * r.size and r.copies - math.floor(rate) in ((0,) if r.doc_id is None else (0, 1))
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.source] += r.copies
+    assert any(n for (i, _), n in want.items() if i is None)
+    assert Counter((r.doc_id, r.source) for r in mixed_documents(df).collect()) == Counter({k: n for k, n in want.items() if n})
+
+
 def test_targets_at_the_cap(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 20)], "source string, size long")
     got = {r.source: r.target for r in source_targets(sized, weights=(1,), share=3.0, cap=2).collect()}

@@ -60,6 +60,22 @@ def test_against_scan(spark, monkeypatch, seed, block, shard, held):
     assert sum(n for _, _, n, *_ in want.values()) > 5000
 
 
+def test_null_ids(spark):
+    rows = corpus(3)
+    long = [t for _, t in rows if t and len(t.encode()) >= 300]
+    rng = random.Random(4)
+    odd = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(3)]
+    unnamed = [long[0], long[1][50:], odd[0], odd[0], odd[0], odd[1] + long[2], odd[1] + long[3], "a" * 99, "a" * 99, "", None, None]
+    spare = [10_000 + i for i in range(len(unnamed))]
+    unnamed.sort(key=lambda t: hashlib.md5((t or "").encode()).hexdigest())
+    want = brute(rows + list(zip(spare, unnamed, strict=True)))
+    want = sorted(w if w[0] < 10_000 else (-1, *w[1:]) for w in want.values())
+    df = spark.createDataFrame(rows + [(None, t) for t in unnamed], "doc_id long, text string")
+    for n in (1, 5):
+        got = S.substring_dedup(df.repartition(n), with_text=False).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.substring_dedup(df).count() == 0

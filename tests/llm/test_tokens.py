@@ -77,6 +77,25 @@ def test_store_round_trip(spark, tmp_path):
     assert read_store(empty).count() == 0
 
 
+def test_store_keeps_null_ids(spark, tmp_path):
+    rows = [(None, "one two"), (0, "three"), (None, None), (-5, "four five"), (7, ""), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = write_store(df, P.path("word_bpe_49k.json"), str(tmp_path / "n"), end_id=2)
+    codec = Encoder(P.path("word_bpe_49k.json"))
+    want = sorted((i is not None, i or 0, [*codec.encode([t or ""])[0].tolist(), 2]) for i, t in rows)
+    got = []
+    for f in files.orderBy("file_no").collect():
+        reader = Reader(f.path)
+        part = [(i, tokens.tolist()) for i, tokens in reader]
+        assert [(i, t.tolist()) for i, t in reader.read([None])] == [p for p in part if p[0] is None]
+        assert [(i, t.tolist()) for i, t in reader.read(iter([0]))] == [p for p in part if p[0] == 0]
+        got += part
+    assert [i for i, _ in got] == [None, None, None, -5, 0, 7]
+    assert sorted((i is not None, i or 0, t) for i, t in got) == want
+    listed = read_store(files).orderBy("start").collect()
+    assert [r.doc_id for r in listed] == [None, None, None, -5, 0, 7] and [r.n_tokens for r in listed] == [len(t) for _, t in got]
+
+
 def test_reader_takes_only_needed_frames_and_checks_them(tmp_path):
     import zstandard
 
