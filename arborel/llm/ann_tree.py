@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample of unit vectors; every row is then filed
 by descending to the nearest centroid. A query visits leaves best bin first: a priority queue
 holds tree nodes by distance, the nearest is opened, and each leaf that comes out is visited.
 How many leaves are visited is calibrated on the sample: visits widen until the share of true
-neighbours found reaches the target.
+neighbours found reaches the target. A query whose leaves hold too few rows opens more.
 
 Neighbouring leaves form one of CELLS cells. A cell's rows are dealt into blocks of bounded
 size, and so are the queries that visit any of its leaves; where two blocks meet, each query
@@ -85,14 +85,15 @@ class Tree:
             work += [(int(kids[j]), rows[own == j]) for j in np.unique(own)]
         return out
 
-    def visit(self, query: np.ndarray, limit: int) -> list[int]:
-        """The first leaves that a best-bin-first traversal reaches."""
+    def visit(self, query: np.ndarray, limit: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that a best-bin-first traversal reaches: limit, and more until they hold `least` of the rows in held (by leaf)."""
         distance = ((self.centroids - query) ** 2).sum(axis=1)
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < limit:
+        queue, found, rows = [(0.0, 0)], [], 0
+        while queue and (len(found) < limit or rows < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                rows += 0 if held is None else int(held[self.leaf[node]])
             for child in self.children[node]:
                 heapq.heappush(queue, (float(distance[child]), child))
         return found
@@ -128,20 +129,22 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def fit_tree(rows: DataFrame, k: int, sample: int = SAMPLE) -> tuple[Tree, int] | None:
-    """A calibrated tree and the vectors' length, from at most `sample` rows chosen by a hash of the id; None without rows."""
+    """A calibrated tree and the vectors' length, from at most `sample` rows with the smallest hashes of the id; None without rows."""
     n = rows.count()
     if not n:
         return None
     share = min(1.0, 1.1 * sample / n)
     coin = F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30))
-    table = rows.where(coin < F.lit(int(share * (1 << 30)))).select("vec_id", "vector").limit(2 * sample).toArrow()
+    table = rows.where(coin < F.lit(int(share * (1 << 30)))).select("vec_id", "vector", coin.alias("coin")).limit(2 * sample).toArrow()
     if not table.num_rows:
-        table = rows.limit(sample).toArrow()
+        table = rows.select("vec_id", "vector", coin.alias("coin")).limit(sample).toArrow()
     lists = table.column("vector").to_pylist()
     lengths, counts = np.unique([len(v) for v in lists], return_counts=True)
     dim = int(lengths[counts.argmax()])
-    order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-    points = _unit(np.array([lists[i] for i in order if len(lists[i]) == dim][:sample], dtype=np.float64))
+    ids = table.column("vec_id").to_numpy()
+    order = np.lexsort((ids, table.column("coin").to_numpy()))
+    picked = np.array([i for i in order if len(lists[i]) == dim][:sample])
+    points = _unit(np.array([lists[i] for i in picked[np.argsort(ids[picked], kind="stable")]], dtype=np.float64))
     tree = Tree(points)
     tree.calibrate(points, k)
     return tree, dim
@@ -155,8 +158,8 @@ def search(
     Candidates are all rows but the query's own id. Scores are cosines of the original
     vectors in double precision; ties go to the smaller id. Rows with a null id, a null,
     empty or zero vector, null or non-finite components, or another length than most of the
-    sample's take no part. With fewer candidates than k, all found are given. Repeated
-    vectors are candidates of their own. Other columns are not read.
+    sample's take no part. Only with fewer candidates than k are fewer given; ids should be
+    unique. Repeated vectors are candidates of their own. Other columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -179,7 +182,7 @@ def search(
         for batch in batches:
             rows: list[list] = [[], [], []]
             for i, unit in enumerate(_unit(_matrix(batch.column(1))) if batch.num_rows else ()):
-                visits = np.sort(tree.visit(unit, tree.visits))
+                visits = np.sort(tree.visit(unit, tree.visits, sizes, k + 1))
                 for own in np.split(visits, np.flatnonzero(np.diff(visits * cells // tree.n_leaves)) + 1):
                     for column, value in zip(rows, (i, int(own[0]) * cells // tree.n_leaves, own), strict=True):
                         column.append(value)
@@ -187,6 +190,10 @@ def search(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], ["query_id", "vector", "cell", "leaves"])
 
     filed = materialize(rows.mapInArrow(file, "vec_id long, vector array<double>, leaf long, cell long"), "ann-leaves")
+    # one row a leaf, however many rows there are; a query's own row is one of its leaves' rows
+    sizes = np.zeros(tree.n_leaves, dtype=np.int64)
+    for leaf, held in filed.groupBy("leaf").count().collect():
+        sizes[leaf] = held
     asked = rows.where(is_query(F.col("vec_id"))).mapInArrow(plan, "query_id long, vector array<double>, cell long, leaves array<long>")
     asked = materialize(asked, "ann-visits")
     count = lambda df, block, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))

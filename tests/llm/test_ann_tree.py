@@ -59,6 +59,34 @@ def test_small_tables(spark):
     assert search(df.where("vec_id = 0"), lambda c: c % 50 == 0).count() == 0
 
 
+def test_small_leaves_give_k(spark, monkeypatch):
+    monkeypatch.setattr(Tree, "calibrate", lambda self, points, k: setattr(self, "visits", 1))
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 8))
+    rows = [(i, np.float32(centers[i % 12] + 0.01 * rng.normal(size=8)).tolist(), "", 1) for i in range(600)]
+    rows += [(1000 + i, np.float32(np.eye(8)[i] * -9).tolist(), "", 1) for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {}
+    for r in search(df, lambda c: c >= 500).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {i for i, *_ in rows if i >= 500}
+    assert all(len(near) == 5 and q not in near for q, near in got.items())
+
+
+def test_sample_is_cut_by_hash(spark, monkeypatch):
+    seen = []
+
+    class Seen(Tree):
+        def __init__(self, points):
+            seen.extend(np.arctan2(points[:, 1], points[:, 0]) * 2000)
+            super().__init__(points)
+
+    monkeypatch.setattr(ann_tree, "Tree", Seen)
+    df = spark.createDataFrame([(i, [math.cos(i / 2000), math.sin(i / 2000)], "", 1) for i in range(2000)], "vec_id long, vector array<double>, leaf string, score int")
+    ann_tree.fit_tree(df, 5, sample=500)
+    assert len(seen) == 500 and sum(i > 1899.5 for i in seen) >= 10
+
+
 def test_visits_widen_with_the_target():
     points = _unit(np.random.default_rng(0).normal(size=(4000, 16)))
     tree = Tree(points)
