@@ -9,7 +9,7 @@ id falls below the rate's fraction.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborel.scratch import materialize
@@ -65,6 +65,28 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return placed.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+
+
+def _rated(rows: DataFrame, source_col: str, targets: DataFrame) -> DataFrame:
+    """rows with the source_size and target of their source, which may be null.
+
+    Sources are few beside rows: Spark broadcasts their table while it is small, and splits
+    the partitions of hot sources where it is not.
+    """
+    named = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    return rows.join(named, rows[source_col].eqNullSafe(named["_source"])).drop("_source")
+
+
+def _copies(doc_id: Column, seed: str) -> Column:
+    """floor(rate), and one more when the hash of seed and id falls below the rate's fraction, of rows of _rated."""
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.greatest(F.col("_source_size"), F.lit(1))).otherwise(0.0)
+    coin = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_id.cast("long").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return (F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -78,34 +100,36 @@ def mix(
     """doc_id, source, size, source_size, target, copies, taken for every row of docs.
 
     Null and empty texts have size 0 and take 0 words; null sources are one source, ranked
-    last. Rows that repeat an id share its coin. A row with a null id has no coin and is taken
-    floor(rate) times, as in the SQL. Sources without words have target 0 and
-    no copies. No rows give no rows. The coin is a hash of the seed and the id, so reruns
-    and retried tasks agree.
+    last. Rows that repeat an id share its coin, each with its own source's rate. A row with
+    a null id has no coin and is taken floor(rate) times, as in the SQL. Sources without
+    words have target 0 and no copies. No rows give no rows. The coin is a hash of the seed
+    and the id, so reruns and retried tasks agree.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    sized = materialize(sized, "mix-sizes")
-    targets = source_targets(sized, weights, share, cap)
-    named = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(named, sized["source"].eqNullSafe(named["_source"])).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(0.0)
-    coin = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    copies = (F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    rated = _rated(sized, "source", source_targets(sized, weights, share, cap)).withColumn("copies", _copies(F.col("doc_id"), seed))
+    rated = rated.withColumnsRenamed({"_source_size": "source_size", "_target": "target"})
+    return rated.withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as mix() says, columns unchanged; names that clash with mix()'s are kept.
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = SEED,
+    weights: tuple = WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+) -> DataFrame:
+    """docs with each row repeated as mix() says of that row, columns unchanged; names that clash with mix()'s are kept.
 
-    Rows are told apart by id and source, either of which may be null.
+    Every row computes its own copies from its source's target, so rows that repeat an id
+    are told apart by nothing else and texts are not shuffled.
     """
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"))
-    plan = plan.where("_mix_copies > 0").distinct()
-    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"]) & docs[source_col].eqNullSafe(plan["_mix_source"]))
-    again = F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")
-    return joined.select(*[docs[c] for c in docs.columns], again).drop("_mix_copy")
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    rated = _rated(docs, source_col, source_targets(sized, weights, share, cap))
+    again = F.explode(F.array_repeat(F.lit(1), _copies(F.col(id_col), seed))).alias("_copy")
+    return rated.select(*[docs[c] for c in docs.columns], again).drop("_copy")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
