@@ -1,11 +1,14 @@
 """Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Every row gets a run number from a hash of its id, so a text with any number of copies is
-spread over all runs. Going up, each round merges groups of 2**FAN_BITS runs: rows of a run
-are (digest, kept id, count) and a round groups them by (digest, run >> FAN_BITS). Spark
-aggregates partially before each exchange, so a merge sees at most 2**FAN_BITS rows of one
-digest. Going down, each level takes its answer from the level above by the same keys, and
-at last every document from its own run. No step gathers all copies of a text.
+spread over all runs. A run is sorted by digest: Spark sorts a partition's rows, merges equal
+neighbours into one row (digest, kept id, count), sends the sorted run on, and sorts and
+merges again where runs meet (sort aggregates, as the kept id travels in a struct). Runs meet
+in binomial rounds, FAN_BITS of them in one exchange: run r goes to run r >> FAN_BITS, so
+2**FAN_BITS runs are merged at once, and a merge sees at most that many rows of one digest.
+Each level keeps the smallest (or largest) id whose text has the digest, length and check
+hash. Going down, each level takes its answer from the level above by the same keys, and at
+last every document from its own run. No step gathers all copies of a text.
 """
 
 from __future__ import annotations
@@ -35,18 +38,19 @@ def tree_merge(rows: DataFrame, id_col: str, keys: list[str], keep: str = "min")
     Rows that repeat an id count each. An empty table gives an empty result.
     """
     best = F.min if keep == "min" else F.max
+
+    def merged(run: DataFrame, kept: str, count: Column) -> DataFrame:
+        """One row of equal keys of a run; a struct has no place in a hash aggregate, so that runs are sorted and merged."""
+        out = run.groupBy(*keys, "_run").agg(best(F.struct(F.col(kept).alias("id"))).alias("_kept"), count.alias("group_size"))
+        return out.select(*keys, "_run", F.col("_kept.id").alias("keep_id"), "group_size")
+
     bits = run_bits(rows)
     spread = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << bits)).cast("int")
     based = rows.withColumn("_run", spread)
-    levels = [based.groupBy(*keys, "_run").agg(best(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))]
+    levels = [merged(based, id_col, F.count(F.lit(1)))]
     steps = [min(FAN_BITS, bits - done) for done in range(0, bits, FAN_BITS)]
     for step in steps:
-        levels.append(
-            levels[-1]
-            .withColumn("_run", F.shiftright("_run", step))
-            .groupBy(*keys, "_run")
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+        levels.append(merged(levels[-1].withColumn("_run", F.shiftright("_run", step)), "keep_id", F.sum("group_size")))
     answer = levels[-1]
     for level, step in zip(reversed(levels[:-1]), reversed(steps), strict=True):
         answer = _take(level.drop("keep_id", "group_size"), answer, keys, step)
@@ -79,7 +83,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when their bytes are; null counts as empty, so null and empty texts form
     one group. keep says whether the largest or smallest id of a group stays. Rows that repeat
     an id are rows of their own: each counts in group_size, and they are kept or dropped
-    together. Other columns of docs are not read, whatever their names. No rows give no rows.
+    together. Rows with a null id count too; they are kept only where no copy has an id, and
+    then keep_id is null. Other columns of docs are not read, whatever their names. No rows
+    give no rows.
     """
     digests = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_digest(F.col(text_col)))
     merged = tree_merge(materialize(digests, "digests"), "doc_id", ["digest", "n_bytes", "check"], keep)
@@ -87,7 +93,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -100,7 +106,7 @@ OP10_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """

@@ -31,6 +31,18 @@ def test_exact(spark, keep):
     assert exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_null_ids_and_plan(spark):
+    rows = [(None, "a"), (4, "a"), (2, "a"), (None, "b"), (None, "b"), (1, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_duplicates(df, keep="max")
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("a", "b", "")}
+    want = [(None, 4, 3, False, digest["a"]), (4, 4, 3, True, digest["a"]), (2, 4, 3, False, digest["a"])]
+    want += [(None, None, 2, True, digest["b"])] * 2 + [(1, 1, 2, True, digest[""]), (None, 1, 2, False, digest[""])]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def level(sizes, weights, share, cap):
     target, fixed = {}, set()
     total = share * sum(sizes.values())
@@ -88,6 +100,18 @@ def test_mix_null_ids(spark):
     assert Counter((r.doc_id, r.source) for r in mixed_documents(df).collect()) == Counter({k: n for k, n in want.items() if n})
 
 
+def test_mixed_rows_that_repeat_ids(spark):
+    """Rows of one id in sources of different rates are repeated by their own source's rate."""
+    rows = [(i % 40, "w x y z", "abc"[i % 3]) for i in range(600)] + [(i, "w x", None) for i in range(40)] + [(7, None, "a"), (7, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter()
+    for r in mix(df).collect():
+        want[r.doc_id, r.source] += r.copies
+    assert len({r.target / r.source_size for r in mix(df).collect()}) > 2
+    assert Counter((r.doc_id, r.source) for r in mixed_documents(df).collect()) == Counter({k: n for k, n in want.items() if n})
+    assert mixed_documents(df.limit(0)).count() == 0
+
+
 def test_targets_at_the_cap(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 20)], "source string, size long")
     got = {r.source: r.target for r in source_targets(sized, weights=(1,), share=3.0, cap=2).collect()}
