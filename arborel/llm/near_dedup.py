@@ -125,7 +125,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             found = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
 
-    full = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, found array<long>")
+    once = docs.join(ids, "doc_id", "left_semi").withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"])
+    full = once.select("doc_id", "text").mapInArrow(run, "doc_id long, found array<long>")
     return materialize(full, "near-sets", free_shuffles=True)
 
 
@@ -134,10 +135,11 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, full: DataFrame, percent: int)
     of = lambda side: nodes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     close = pairs.join(of("a"), "a").where("n_a > 0").join(of("b"), "b")
     close = close.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (_differing(F.col("s_a"), F.col("s_b")) <= most_differing_bits(percent / 100)))
-    close = materialize(close.select("a", "b", "n_a", "n_b"), "near-pairs")
+    close = materialize(close.select("a", "b").distinct(), "near-pairs")
     both = close.join(full.select(F.col("doc_id").alias("a"), F.col("found").alias("f_a")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("found").alias("f_b")), "b")
     shared = F.size(F.array_intersect("f_a", "f_b"))
-    both = both.select("a", "b", "n_a", "n_b", shared.alias("shared")).where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent)
+    both = both.select("a", "b", F.size("f_a").alias("n_a"), F.size("f_b").alias("n_b"), shared.alias("shared"))
+    both = both.where(F.col("shared").cast("long") * 100 >= (F.col("n_a").cast("long") + F.col("n_b") - F.col("shared")) * percent)
     return materialize(both.select("a", "b"), "near-links", free_shuffles=True)
 
 
@@ -161,12 +163,14 @@ def _within(left: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) ->
     """Links (a, b) between different components of nodes that meet in unfinished buckets."""
     clusters = connected_components(left.select("leader", "id"), "leader", "id").withColumnRenamed("component", "cluster")
     who = materialize(left.select("id", "component").distinct().join(clusters, "id"), "near-clusters")
-    rows = who.join(nodes.select(F.col("doc_id").alias("id"), "n", "sketch"), "id").join(full.withColumnRenamed("doc_id", "id"), "id")
+    rows = who.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id").join(full.withColumnRenamed("doc_id", "id").withColumn("n", F.size("found").cast("long")), "id")
     total = who.join(nodes.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("cluster")
     total = total.agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     rows = rows.join(total, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch", "found")
+    # rows lie by cluster, which Spark would take as good enough for the grouping below: one task for all blocks of a cluster
+    rows = rows.repartition(F.col("cluster"), F.col("i"), F.col("j"))
     schema, most = pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_differing_bits(percent / 100)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -198,14 +202,16 @@ def near_duplicates(
     Documents are linked when 100 * shared >= percent * united distinct shingles of `width`
     words (fewer words: the whole sequence is one); component_id is the smallest id reachable.
     Null, empty and blank texts have no shingles and are linked with nothing. Texts of any
-    length are taken whole. ids should be unique: rows that repeat an id with the same words
-    give a row each and share the result. No rows give no rows; other columns are not read.
+    length are taken whole. Rows that repeat an id give a row each and are one document: with
+    other words, it is linked with whatever any of its texts is linked with. A row with a null
+    id cannot be named in a link: it has no component_id and is kept. No rows give no rows;
+    other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, width), "near-signatures")
-    keyed = tree_merge(signed.where("n > 0").select("doc_id", "n", "set_a", "set_b"), "doc_id", ["n", "set_a", "set_b"], "min")
+    keyed = tree_merge(signed.where("n > 0 and doc_id is not null").select("doc_id", "n", "set_a", "set_b"), "doc_id", ["n", "set_a", "set_b"], "min")
     keyed = materialize(keyed.select("doc_id", "n", F.col("keep_id").alias("node")), "near-copies")
-    nodes = signed.join(keyed.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nodes = signed.join(keyed.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
     nodes = materialize(nodes.select("doc_id", "n", "bands", "sketch"), "near-nodes")
 
     exploded = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
@@ -213,7 +219,8 @@ def near_duplicates(
     met = materialize(exploded.join(shared, "key"), "near-met", free_shuffles=True)
     meets = met.groupBy("id").agg(F.sum("many").alias("meets"))
     ranked = met.join(meets, "id").select("key", "id", F.struct("meets", (-F.col("id")).alias("id")).alias("by"))
-    leaders = ranked.groupBy("key").agg(F.max("by").alias("by")).select("key", (-F.col("by.id")).alias("leader"))
+    # written, so that the join below meets two plain exchanges, of which Spark can split a hot key's
+    leaders = materialize(ranked.groupBy("key").agg(F.max("by").alias("by")).select("key", (-F.col("by.id")).alias("leader")), "near-leaders")
     members = materialize(met.select("key", "id").join(leaders, "key"), "near-members")
 
     # the texts move once, for all nodes that may have to be compared
@@ -226,8 +233,8 @@ def near_duplicates(
     parts = connected_components(links, "a", "b")
     linked = keyed.join(parts.select(F.col("id").alias("node"), "component"), "node", "left")
     linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    alone = signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

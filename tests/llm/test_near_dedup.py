@@ -78,6 +78,36 @@ def test_empty(spark):
     assert sorted(map(tuple, near_duplicates(df).collect())) == [(3, 0, 3, True), (4, 0, 4, True)]
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (5, ""), (9, a + " more"), (7, b + " more"), (8, c), (None, c), (None, a), (3, c + " x y z u v w q r s t")]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()), key=str)
+    want = [(5, 29, 5, True), (5, 29, 5, True), (5, 29, 5, True), (5, 0, 5, True), (9, 30, 5, False), (7, 30, 5, False), (8, 29, 8, True), (None, 29, None, True), (None, 29, None, True), (3, 39, 3, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_blocks_of_a_cluster_are_spread(spark, monkeypatch):
+    """All blocks of one cluster go to tasks by (cluster, i, j), not by the cluster alone."""
+    seen = []
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    write = near_dedup.materialize
+
+    def watch(df, label, *args, **options):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "FlatMapGroupsInArrow" in plan:
+            seen.append(plan)
+        return write(df, label, *args, **options)
+
+    monkeypatch.setattr(near_dedup, "materialize", watch)
+    df = spark.createDataFrame(corpus(18), "doc_id long, text string")
+    near_duplicates(df, width=2).count()
+    assert seen
+    for plan in seen:
+        below = plan[plan.index("FlatMapGroupsInArrow") :]
+        first = below[below.index("Exchange") :].split("\n")[0]
+        assert "cluster" in first and "i#" in first and "j#" in first
+
+
 def test_sketches_keep_similar_pairs():
     rng = np.random.default_rng(1)
     most, dropped, passed = most_differing_bits(0.8), 0, 0
