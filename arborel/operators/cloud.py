@@ -166,7 +166,8 @@ def debug_sphere(sectors: int = 36, stacks: int = 18, radius: float = 1.0) -> Da
     from pyspark.sql import SparkSession
 
     spark = SparkSession.active()
-    grid = spark.range(stacks + 1).withColumnRenamed("id", "stack").select("stack", F.explode(F.sequence(F.lit(0), F.lit(sectors))).cast("long").alias("sector"))
+    grid = spark.range(stacks + 1).withColumnRenamed("id", "stack").select("stack", F.explode(F.sequence(F.lit(0), F.lit(sectors))).alias("sector"))
+    grid = grid.withColumn("sector", F.col("sector").cast("long"))
     up, round_ = F.lit(np.pi / 2) - F.col("stack") * F.lit(np.pi / stacks), F.col("sector") * F.lit(2 * np.pi / sectors)
     return grid.select("stack", "sector", (radius * F.cos(up) * F.cos(round_)).alias("x"), (radius * F.cos(up) * F.sin(round_)).alias("y"), (radius * F.sin(up)).alias("z"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborel.functions.geometry import clamp_length, kernel, l1, sub, symmetric_eigenvalues, xyz
 from arborel.operators import mesh
-from arborel.operators.spatial import knn_join, radius_join, with_fallback
+from arborel.operators.spatial import knn_join, radius_join, radius_pairs, with_fallback
 from arborel.scratch import materialize
 
 #: Fixed values of the contraction's weights: growth and ceiling of WL, WH of fixed points and tips, the distance weight.
@@ -17,6 +17,8 @@ WL_GROWTH, WL_MOST, WH_FIXED, WH_TIP, W_DISTANCE, MARGIN = 3.0, 9.0, 3.0, 9.0, 9
 
 
 def _pairs(neighbours: DataFrame, points: DataFrame) -> DataFrame:
+    if "p_x" in neighbours.columns:
+        return neighbours
     for key, name in (("point_id", "p_"), ("nbr_id", "n_")):
         at = points.select("plant_id", F.col("point_id").alias(key), *[F.col(a).cast("double").alias(f"{name}{a}") for a in "xyz"])
         neighbours = neighbours.join(at, ["plant_id", key])
@@ -27,9 +29,10 @@ def sigma(points: DataFrame, radius: float, threshold: float = 0.9, neighbours:
     """(plant_id, point_id, sigma, n): the largest share of the neighbourhood's weighted scatter.
 
     n counts neighbours within radius with the point itself; below 3 sigma is the threshold.
-    Neighbours all at one place have no scatter: sigma is null.
+    Neighbours all at one place have no scatter: sigma is null. neighbours is a radius_join,
+    or radius_pairs, already at hand.
     """
-    near = radius_join(points, points, radius) if neighbours is None else neighbours
+    near = radius_pairs(points, points, radius) if neighbours is None else neighbours
     pairs = _pairs(near, points)
     w = kernel(l1(xyz("p_"), xyz("n_")), radius)
     d = dict(zip("xyz", sub(xyz("p_"), xyz("n_")), strict=True))
@@ -71,41 +74,71 @@ def adapt_weights(weights: DataFrame, threshold: float = 0.9) -> DataFrame:
     return weights.withColumns({"wl": wl, "wh": wh})
 
 
+def adjacency(points: DataFrame, k: int = 4) -> DataFrame:
+    """(plant_id, src, dst), src < dst: the places above the diagonal that a Laplacian of k neighbours fills."""
+    return mesh.unique_edges(mesh.local_triangles(points, k))
+
+
 def distance_constraints(points: DataFrame, most: float, k: int = 4) -> DataFrame:
-    """(plant_id, src, dst, ex, ey, ez): wanted differences src - dst of k-nearest-neighbour edges, `most` long at most."""
-    near = knn_join(points, points, k, exclude_self=True)
-    edges = near.select("plant_id", F.least("point_id", "nbr_id").alias("point_id"), F.greatest("point_id", "nbr_id").alias("nbr_id")).distinct()
-    pairs = _pairs(edges, points)
+    """(plant_id, src, dst, ex, ey, ez): wanted differences src - dst along adjacency(points, k), `most` long at most."""
+    pairs = _pairs(adjacency(points, k).withColumnsRenamed({"src": "point_id", "dst": "nbr_id"}), points)
     e = clamp_length(sub(xyz("p_"), xyz("n_")), most)
     return pairs.select("plant_id", F.col("point_id").alias("src"), F.col("nbr_id").alias("dst"), *[c.alias(f"e{a}") for a, c in zip("xyz", e, strict=True)])
 
 
 def constraint_rows(constraints: DataFrame) -> DataFrame:
-    """The sparse matrix of constraints: (plant_id, row, col, val), +1 at src and -1 at dst of each row."""
-    numbered = constraints.withColumn("row", F.xxhash64("src", "dst"))
+    """The sparse matrix of constraints: (plant_id, row, row2, col, val), +1 at src and -1 at dst of row (src, dst)."""
+    numbered = constraints.withColumns({"row": F.col("src"), "row2": F.col("dst")})
     cells = F.explode(F.array(F.struct(F.col("src").alias("col"), F.lit(1.0).alias("val")), F.struct(F.col("dst").alias("col"), F.lit(-1.0).alias("val")))).alias("e")
-    return numbered.select("plant_id", "row", cells).select("plant_id", "row", "e.col", "e.val")
+    return numbered.select("plant_id", "row", "row2", cells).select("plant_id", "row", "row2", "e.col", "e.val")
 
 
 def stack(*blocks: DataFrame) -> DataFrame:
-    """One matrix of blocks one below another: (plant_id, block, row, col, val)."""
+    """One matrix of blocks one below another: (plant_id, block, row, row2, col, val); row2 is null where rows have one number."""
     out = None
     for i, block in enumerate(blocks):
-        block = block.select("plant_id", F.lit(i).alias("block"), "row", "col", "val")
+        second = F.col("row2") if "row2" in block.columns else F.lit(None)
+        block = block.select("plant_id", F.lit(i).alias("block"), "row", second.cast("long").alias("row2"), "col", "val")
         out = block if out is None else out.unionByName(block)
     return out
 
 
 def normal_matrix(coo: DataFrame) -> DataFrame:
     """(plant_id, row, col, val) of A^T A for A(plant_id, row, col, val): a self join on rows and one sum."""
-    keys = [c for c in coo.columns if c in ("plant_id", "block", "row")]
+    keys = [c for c in coo.columns if c in ("plant_id", "block", "row", "row2")]
+    if "row2" in keys:
+        coo = coo.withColumn("row2", F.coalesce("row2", F.lit(-1)))
     left, right = coo.withColumnsRenamed({"col": "i", "val": "v"}), coo.withColumnsRenamed({"col": "j", "val": "w"})
     both = left.join(right, keys).groupBy("plant_id", F.col("i").alias("row"), F.col("j").alias("col"))
     return both.agg(F.sum(F.col("v") * F.col("w")).alias("val"))
 
 
-def mean_row_size(coo: DataFrame) -> DataFrame:
-    return coo.groupBy("plant_id").agg((F.count(F.lit(1)) / F.countDistinct("row")).alias("mean_row_size"))
+def stacked_system(points: DataFrame, weights: DataFrame, laplacian: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(A, b) of one contraction step: rows of WL L, of WH and of WD H one below another, and b(plant_id, block, row, row2, bx, by, bz)."""
+    own = weights.select("plant_id", F.col("point_id").alias("row"), "wl", "wh")
+    pull = laplacian.join(own, ["plant_id", "row"]).select("plant_id", "row", "col", (F.col("wl") * F.col("val")).alias("val"))
+    hold = own.select("plant_id", "row", F.col("row").alias("col"), F.col("wh").alias("val"))
+    keep = constraint_rows(constraints).withColumn("val", F.col("val") * W_DISTANCE)
+    at = points.select("plant_id", F.col("point_id").alias("row"), *[F.col(a).cast("double") for a in "xyz"]).join(own, ["plant_id", "row"])
+    none = F.lit(None).cast("long").alias("row2")
+    b = at.select("plant_id", F.lit(1).alias("block"), "row", none, *[(F.col("wh") * F.col(a)).alias(f"b{a}") for a in "xyz"])
+    wanted = [(F.col(f"e{a}") * W_DISTANCE).alias(f"b{a}") for a in "xyz"]
+    return stack(pull, hold, keep), b.unionByName(constraints.select("plant_id", F.lit(2).alias("block"), F.col("src").alias("row"), F.col("dst").alias("row2"), *wanted))
+
+
+def normal_rhs(coo: DataFrame, rhs: DataFrame) -> DataFrame:
+    """(plant_id, row, bx, by, bz) of A^T b; rows of A without an entry in b count as 0."""
+    keys = ["plant_id", "block", "row", "row2"]
+    filled = [df.withColumn("row2", F.coalesce("row2", F.lit(-1))) for df in (coo, rhs)]
+    both = filled[0].join(filled[1], keys, "left")
+    return both.groupBy("plant_id", F.col("col").alias("row")).agg(*[F.coalesce(F.sum(F.col("val") * F.col(f"b{a}")), F.lit(0.0)).alias(f"b{a}") for a in "xyz"])
+
+
+def mean_row_size(coo: DataFrame, points: DataFrame) -> DataFrame:
+    """(plant_id, mean_row_size): entries over points, rows without entries included."""
+    held = coo.groupBy("plant_id").agg(F.count(F.lit(1)).alias("entries"))
+    sizes = points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")).join(held, "plant_id", "left")
+    return sizes.select("plant_id", (F.coalesce("entries", F.lit(0)) / F.col("n")).alias("mean_row_size"))
 
 
 def conjugate_gradients(apply, b: np.ndarray, x: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-7, most: int = 5000) -> np.ndarray:
@@ -151,7 +184,9 @@ def solve_spd(coo: DataFrame, rhs: DataFrame) -> DataFrame:
 def contract_once(points: DataFrame, weights: DataFrame, laplacian: DataFrame, constraints: DataFrame) -> DataFrame:
     """New positions that minimise |WL L P'|^2 + |WH (P' - P)|^2 + |WD (H P' - e)|^2, one plant a task.
 
-    A task holds one plant's sparse rows; all plants of a step are solved in one job.
+    The least squares of stacked_system, without its product matrix. A task holds one plant's
+    sparse rows, some hundred bytes a point, and the run bounds a plant's points by its
+    down-sampling; all plants of a step are solved in one job.
     """
     rows = points.select("plant_id", F.col("point_id").cast("long"), "x", "y", "z").join(weights.select("plant_id", "point_id", "wl", "wh"), ["plant_id", "point_id"])
     lap = laplacian.select("plant_id", F.lit("L").alias("kind"), F.col("row").alias("i"), F.col("col").alias("j"), F.col("val").alias("ex"), F.lit(0.0).alias("ey"), F.lit(0.0).alias("ez"))
@@ -185,7 +220,9 @@ def contract_once(points: DataFrame, weights: DataFrame, laplacian: DataFrame, c
 def graph_distance(points: DataFrame, start: DataFrame, k: int = 8, max_rounds: int = 10_000) -> DataFrame:
     """(plant_id, point_id, value): shortest paths from start(plant_id, point_id) over k-nearest-neighbour edges.
 
-    Stands for the geodesic distance; rounds relax all plants' edges together until none improves.
+    A plain stand-in for heat_distance that needs no whole plant in a task: rounds relax all
+    plants' edges together until none improves, one hop a round. Points that cannot be reached
+    are left out; unfinished distances after max_rounds are an error.
     """
     near = knn_join(points, points, k, exclude_self=True)
     edges = near.select("plant_id", F.col("point_id").alias("a"), F.col("nbr_id").alias("b"), F.sqrt("d2").alias("w"))
@@ -196,9 +233,60 @@ def graph_distance(points: DataFrame, start: DataFrame, k: int = 8, max_rounds:
         front = reach.join(best, ["plant_id", "point_id"], "left").where("value is null or new < value").select("plant_id", "point_id", F.col("new").alias("value"))
         front = materialize(front, "geodesic-front")
         if front.limit(1).count() == 0:
-            break
+            return best
         best = materialize(best.unionByName(front).groupBy("plant_id", "point_id").agg(F.min("value").alias("value")), "geodesic")
-    return best
+    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+
+
+def heat_distance(points: DataFrame, start: DataFrame, k: int = 8) -> DataFrame:
+    """(plant_id, point_id, value): geodesic distances from start(plant_id, point_id) by the heat method on the soup of k neighbours.
+
+    Heat flows for a time t, the square of the mean edge length, but long enough to be felt
+    across the plant in double precision: (M + t L) u = the start's unit. Each triangle's gradient of u, turned round and set to length 1, has a divergence, and
+    L d = -divergence gives distances, moved so that the start is at 0. Triangles and the
+    Laplacian are joins and sums; a task solves one plant's two systems.
+    """
+    tris = materialize(mesh.local_triangles(points, k), "heat-tris")
+    faces = mesh.with_corners(tris, points).select("plant_id", F.lit("F").alias("kind"), F.col("a").alias("i"), F.col("b").alias("j"), F.col("c").alias("l"))
+    first = start.groupBy("plant_id").agg(F.min("point_id").alias("first"))
+    at = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"]).join(first, "plant_id")
+    kind = dict(points.dtypes)["plant_id"]
+
+    def run(p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("point_id")
+        ids, x = p["point_id"].to_numpy(), p[["x", "y", "z"]].to_numpy(float)
+        n, origin = len(ids), int(np.searchsorted(ids, p["first"].iloc[0]))
+        value = np.full(n, np.nan)
+        t = np.stack([np.searchsorted(ids, f[c]) for c in "ijl"], axis=1) if len(f) else np.empty((0, 3), dtype=np.int64)
+        side = np.stack([x[t[:, 2]] - x[t[:, 1]], x[t[:, 0]] - x[t[:, 2]], x[t[:, 1]] - x[t[:, 0]]], axis=1)  # opposite each corner
+        normal = np.cross(side[:, 0], side[:, 1])
+        double = np.sqrt((normal**2).sum(axis=1))
+        t, side, normal, double = (v[double > 1e-14] for v in (t, side, normal, double))
+        if len(t):
+            cot = np.stack([-(side[:, (c + 1) % 3] * side[:, (c + 2) % 3]).sum(axis=1) / double for c in range(3)], axis=1) / 2
+            i, j, w = t[:, [1, 2, 0]].ravel(), t[:, [2, 0, 1]].ravel(), cot.ravel()
+            mass = np.bincount(t.ravel(), np.repeat(double / 6, 3), n)
+
+            def lap(v):
+                d = w[:, None] * (v[i] - v[j])
+                return _scatter(n, i, d) - _scatter(n, j, d)
+
+            diagonal = np.bincount(i, w, n) + np.bincount(j, w, n)
+            time = max(np.sqrt((side**2).sum(axis=2)).mean(), np.sqrt(((x.max(axis=0) - x.min(axis=0)) ** 2).sum()) / 12) ** 2
+            unit = np.zeros((n, 1))
+            unit[origin] = 1
+            u = conjugate_gradients(lambda v: mass[:, None] * v + time * lap(v), unit, np.zeros((n, 1)), mass + time * diagonal, 1e-15)[:, 0]
+            gradient = sum(u[t[:, c], None] * np.cross(normal / double[:, None], side[:, c]) for c in range(3)) / double[:, None]
+            length = np.sqrt((gradient**2).sum(axis=1))
+            flow = np.where(length[:, None] > 1e-300, -gradient / np.maximum(length, 1e-300)[:, None], 0)
+            parts = [cot[:, (c + 2) % 3] * (side[:, (c + 2) % 3] * flow).sum(axis=1) - cot[:, (c + 1) % 3] * (side[:, (c + 1) % 3] * flow).sum(axis=1) for c in range(3)]
+            divergence = np.bincount(t.ravel(), np.stack(parts, axis=1).ravel(), n)
+            d = conjugate_gradients(lap, -divergence[:, None], np.zeros((n, 1)), diagonal, 1e-10)[:, 0]
+            value = np.where(u != 0, d - d[origin], np.nan)
+        value[origin] = 0.0
+        return pd.DataFrame({"plant_id": p["plant_id"].to_numpy(), "point_id": ids, "value": value}).dropna()
+
+    return at.groupBy("plant_id").cogroup(faces.groupBy("plant_id")).applyInPandas(run, f"plant_id {kind}, point_id long, value double")
 
 
 def stops(ratios: DataFrame, epsilon: float = 1e-4) -> DataFrame:
@@ -209,53 +297,65 @@ def stops(ratios: DataFrame, epsilon: float = 1e-4) -> DataFrame:
     return ratios.withColumn("stop", F.coalesce((before - F.col("ratio") <= epsilon) | F.isnan("ratio"), F.lit(False)))
 
 
-def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame]:
-    """(contracted points, log(plant_id, iter, ratio, done)) of the contraction loop.
+def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contracted points, log(plant_id, iter, ratio, done), snapshots) of the contraction loop.
 
-    All open plants advance together. A plant is done when its mean-area ratio falls by no
-    more than epsilon, rises or is not a number; that step is discarded and the one before stands.
+    All open plants advance together. The ratio is a step's mean area over that of the input,
+    both of the soup of area_knn neighbours. The first step always stands. A later one that
+    lowers the ratio by epsilon at most, raises it or makes it no number ends its plant: that
+    step is discarded and the one before is the result. snapshots(plant_id, iter, point_id, x,
+    y, z, smooth_sigma) holds the input as iter 0 and every step that stands.
     """
     from arborel.operators.cloud import lowest_point, tips_of_sample
 
     span = config.normalize_length
-    points = points.select("plant_id", F.col("point_id").cast("long"), "x", "y", "z")
-    near = lambda p: radius_join(p, p, config.sigma_radius * span)
-    found = tips_of_sample(lambda s: graph_distance(s, lowest_point(s)), points, k=config.tip_neighbours)
+    points = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
+    distance = heat_distance if config.geodesic == "heat" else graph_distance
+    found = tips_of_sample(lambda s: distance(s, lowest_point(s)), points, k=config.tip_neighbours)
     weights = materialize(initial_weights(points, found), "contract-weights")
 
     def triangles(p: DataFrame, rebuild: int) -> DataFrame:
         k, radius = config.neighbours_at(rebuild)
         return mesh.local_triangles(p, k) if config.use_knn else mesh.local_triangles(p, near=with_fallback(radius_join(p, p, radius * span), p))
 
+    def area(p: DataFrame) -> DataFrame:
+        return mesh.mean_area(mesh.local_triangles(p, config.area_knn), p)
+
     soup = materialize(triangles(points, 0), "contract-soup")
     threshold = materialize(mesh.edge_threshold(mesh.mesh_edges(soup, points)), "contract-threshold")
-    first_area = materialize(mesh.mean_area(soup, points).withColumnRenamed("mean_area", "first"), "contract-area")
-    current, done = points, None
+    base = materialize(area(points).withColumnRenamed("mean_area", "base"), "contract-area")
     log = points.select("plant_id").distinct().select("plant_id", F.lit(0).alias("iter"), F.lit(1.0).alias("ratio"), F.lit(False).alias("done"))
-    last = log.select("plant_id", F.col("ratio").alias("before"))
+    snapshots = points.select("plant_id", F.lit(0).alias("iter"), "point_id", "x", "y", "z", F.lit(None).cast("double").alias("smooth_sigma"))
+    current, last, done = points, None, None
     for step in range(1, config.max_iterations + 1):
         if step > 1:
-            around = near(current)
-            smooth = smooth_sigma(sigma(current, config.sigma_radius * span, config.sigma_threshold, around), around).select("plant_id", "point_id", F.coalesce("smooth_sigma", F.lit(0.0)).alias("smooth_sigma"))
-            weights = materialize(adapt_weights(weights.join(smooth, ["plant_id", "point_id"]), config.sigma_threshold).select("plant_id", "point_id", "wl", "wh"), "contract-weights")
+            adapted = adapt_weights(weights.join(smooth, ["plant_id", "point_id"]), config.sigma_threshold)  # noqa: F821
+            weights = materialize(adapted.select("plant_id", "point_id", "wl", "wh"), "contract-weights")
             soup = mesh.attach_orphans(mesh.drop_long_triangles(triangles(current, step - 1), current, threshold), current)
             soup = materialize(soup, "contract-soup")
         moved = contract_once(current, weights, mesh.laplacian(soup, current, config.laplacian_scale), distance_constraints(current, config.max_distance * span))
         moved = materialize(moved, "contract-points")
-        area = mesh.mean_area(mesh.local_triangles(moved, config.area_knn), moved)
-        ratio = area.join(first_area, "plant_id").select("plant_id", (F.col("mean_area") / F.when(F.col("first") > 0, F.col("first"))).alias("ratio"))
-        judged = ratio.join(last, "plant_id").select("plant_id", F.lit(step).alias("iter"), "ratio", F.coalesce(F.col("before") - F.col("ratio") <= config.epsilon, F.lit(True)).alias("done"))
+        ratio = area(moved).join(base, "plant_id").select("plant_id", (F.col("mean_area") / F.when(F.col("base") > 0, F.col("base"))).alias("ratio"))
+        if last is None:
+            judged = ratio.select("plant_id", F.lit(step).alias("iter"), "ratio", F.lit(False).alias("done"))
+        else:
+            stop = F.coalesce((F.col("before") - F.col("ratio") <= config.epsilon) | F.isnan("ratio"), F.lit(True))
+            judged = ratio.join(last, "plant_id").select("plant_id", F.lit(step).alias("iter"), "ratio", stop.alias("done"))
         judged = materialize(judged, "contract-log")
         log = log.unionByName(judged)
         closed = judged.where("done").select("plant_id")
         kept = current.join(closed, "plant_id", "left_semi")
         done = kept if done is None else done.unionByName(kept)
         current = materialize(moved.join(closed, "plant_id", "left_anti"), "contract-points")
-        weights = weights.join(closed, "plant_id", "left_anti")
         last = judged.where("not done").select("plant_id", F.col("ratio").alias("before"))
         if current.limit(1).count() == 0:
             break
-    return done.unionByName(current), log
+        around = materialize(radius_pairs(current, current, config.sigma_radius * span), "contract-near")
+        sigmas = smooth_sigma(sigma(current, config.sigma_radius * span, config.sigma_threshold, around), around)
+        shot = materialize(current.join(sigmas.drop("sigma"), ["plant_id", "point_id"]).withColumn("iter", F.lit(step)), "contract-snapshot")
+        snapshots = snapshots.unionByName(shot)
+        smooth = shot.select("plant_id", "point_id", F.coalesce("smooth_sigma", F.lit(0.0)).alias("smooth_sigma"))
+    return done.unionByName(current), log, snapshots
 
 
 def lop_calibrate(skeleton: DataFrame, cloud: DataFrame, h: float) -> DataFrame:

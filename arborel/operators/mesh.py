@@ -81,9 +81,13 @@ def with_corners(tris: DataFrame, points: DataFrame) -> DataFrame:
 
 def mesh_edges(tris: DataFrame, points: DataFrame) -> DataFrame:
     """(plant_id, src, dst, length) of the distinct edges, src < dst."""
+    return edge_lengths(unique_edges(tris), points)
+
+
+def unique_edges(tris: DataFrame) -> DataFrame:
+    """(plant_id, src, dst) of the distinct edges, src < dst."""
     sides = F.explode(F.array(*[F.struct(F.least(p, q).alias("src"), F.greatest(p, q).alias("dst")) for p, q in ("ab", "bc", "ca")])).alias("e")
-    edges = tris.select("plant_id", sides).select("plant_id", "e.src", "e.dst").distinct()
-    return edge_lengths(edges, points)
+    return tris.select("plant_id", sides).select("plant_id", "e.src", "e.dst").distinct()
 
 
 def edge_lengths(edges: DataFrame, points: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from arborel.functions.geometry import dist2, xyz
 from arborel.scratch import materialize
 
 #: Points of a plant up to which every pair is compared.
-BRUTE = 4096
+BRUTE = 1024
 
 
 def _cell(value: Column, size: Column) -> Column:
@@ -35,8 +35,8 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("plant_id", F.col("point_id").alias(f"{prefix}id"), *[F.col(a).cast("double").alias(f"{prefix}{a}") for a in "xyz"])
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """(plant_id, point_id, nbr_id, d2) of the points within radius (inclusive) of each query; a point finds itself."""
+def radius_pairs(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """radius_join with the coordinates p_x .. p_z of the query and n_x .. n_z of the neighbour."""
     size = F.lit(float(radius))
     q = _around(_named(queries, "q_"), "q_", size)
     p = _named(points, "p_")
@@ -44,7 +44,13 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFra
         p = p.withColumn(f"c{axis}", _cell(F.col(f"p_{axis}"), size))
     d2 = dist2(xyz("q_"), xyz("p_"))
     near = q.join(p, ["plant_id", "cx", "cy", "cz"]).where(d2 <= F.lit(float(radius) ** 2))
-    return near.select("plant_id", F.col("q_id").alias("point_id"), F.col("p_id").alias("nbr_id"), d2.alias("d2"))
+    at = [F.col(f"{old}_{a}").alias(f"{new}_{a}") for old, new in (("q", "p"), ("p", "n")) for a in "xyz"]
+    return near.select("plant_id", F.col("q_id").alias("point_id"), F.col("p_id").alias("nbr_id"), d2.alias("d2"), *at)
+
+
+def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """(plant_id, point_id, nbr_id, d2) of the points within radius (inclusive) of each query; a point finds itself."""
+    return radius_pairs(queries, points, radius).select("plant_id", "point_id", "nbr_id", "d2")
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:

@@ -95,5 +95,6 @@ def test_a_whole_run(spark, tmp_path):
     assert result.count() == 180 and result.where("`pred-semantic` not in (0, 1)").count() == 0
     assert run.stage_metrics().count() == 9
     log = run.tables["contracted"][1].orderBy("iter").collect()
-    assert log[0].ratio == 1.0 and all(r.ratio < 1 for r in log[1:] if not r.done)
+    assert [(r.iter, r.done) for r in log[:2]] == [(0, False), (1, False)] and log[0].ratio == 1.0
+    assert run.tables["contracted"][2].groupBy("iter").count().count() == sum(not r.done for r in log)
     assert run.write(str(tmp_path)).first().n == 180 and (tmp_path / "y_Result.ply").exists()

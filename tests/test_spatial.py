@@ -81,8 +81,13 @@ def test_normalize_by_longest_extent(spark):
     assert (one.x, one.scale) == (0.0, 1.0)
 
 
-def test_sphere_and_finite(spark):
-    assert cloud.debug_sphere().count() == 19 * 37
+def test_sphere(spark):
+    rows = cloud.debug_sphere().collect()
+    assert len(rows) == 19 * 37 and all(abs(r.x**2 + r.y**2 + r.z**2 - 1) < 1e-12 for r in rows)
+    assert {(r["stack"], r.sector) for r in rows} == {(i, j) for i in range(19) for j in range(37)}
+
+
+def test_finite(spark):
     nan = float("nan")
     assert cloud.finite(spark.createDataFrame([("p", 0, nan, 0.0, 0.0), ("p", 1, 1.0, float("inf"), 0.0), ("p", 2, None, 0.0, 0.0), ("p", 3, 1.0, 1.0, 1.0)], SCHEMA)).count() == 1
 
