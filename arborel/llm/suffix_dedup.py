@@ -1,20 +1,24 @@
 """Removal of byte strings that occur earlier in the corpus, by suffix arrays.
 
 A byte goes when some WINDOW-byte string over it also starts earlier: in a document with a
-smaller id, or earlier in the same one. The work narrows in three steps:
-
-1. Every window belongs to the smallest hash of its GRAM-byte strings. Neighbouring windows
-   with one such hash form a run; equal windows have equal hashes, wherever they stand. Runs
-   whose hash comes up once are done. Of runs with equal hash and equal bytes the first
-   stays and all others go. What is left are runs that agree with others only in part.
-2. Tasks gather the text of those runs into shards. Each shard gets its suffix array by
-   Larsson-Sadakane refinement in numpy and common prefixes in Kasai's order; neighbours with
-   WINDOW bytes in common are one string, and all but the shard's first go.
-3. Shards are merged: each sends the digests of its windows as sorted runs, cut at fixed
-   digests, and runs are merged in pairs by binary search; of equal ones the first stays.
-
-Before every exchange a task keeps one row of equal runs or windows, so a passage that stands
-in a third of all documents meets at most once for each task.
+smaller id, or earlier in the same one. The work takes three steps:
+
+1. What to gather. Every window belongs to the smallest hash of its GRAM-byte strings.
+   Neighbouring windows with one such hash form a run; equal windows have equal hashes,
+   wherever they stand. Runs whose hash comes up once in the corpus, and once in themselves,
+   hold no repeated window; all others are candidates. Nothing is removed here.
+2. Suffix arrays. Tasks gather the text of their documents' candidates into shards. Each shard
+   gets its suffix array by Larsson-Sadakane refinement in numpy and common prefixes in
+   Kasai's order; neighbours with WINDOW bytes in common are one string, and all but the
+   shard's first go.
+3. Shards are merged. Each sends sorted runs of 96-bit digests with other bases than those of
+   step 1, cut at fixed digests into ranges of bounded size: one digest of each candidate run
+   as a whole, and one of each window where runs agree only in part (there the first of equal
+   runs stands for all). Runs are merged in pairs by binary search; of equal digests the first
+   stays and the others go.
+
+Before every exchange a task keeps one row of equal runs, so a passage that stands in a third
+of all documents meets at most once for each task.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ BLOCK = 1 << 18
 #: Rows of runs among which a task drops repeats before they leave it.
 HELD_ROWS = 1 << 18
 #: Bytes of one shard's suffix array.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: A run of windows is cut after so many.
 LONGEST = 256
-_BASES = (0x9E6C63D0876A9A47, 0xD1342543DE82EF95)
+_BASES = (0x9E6C63D0876A9A47, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Bytes of digests that one range of the merge should hold.
+RANGE_BYTES = 1 << 23
 
 
 @cache
@@ -162,20 +168,20 @@ def _first_of_equal(key_a: np.ndarray, key_b: np.ndarray, doc: np.ndarray, start
     return first
 
 
-#: place = start * PLACE + windows, plus REPEATS for a run that may repeat itself; a negative one (-place - 1) is a run that is already known to go.
-PLACE, REPEATS = 1024, 512
+#: place = start * PLACE + windows, plus REPEATS for a run that may repeat itself, SHARED for the first of equal runs of its task, COPY for a later one.
+PLACE, REPEATS, SHARED, COPY = 8192, 512, 1024, 2048
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """(low, content, doc_id, place) of every run of windows; repeats inside a task are marked to go."""
+    """(low, content, doc_id, place) of every run of windows."""
     schema = pa.schema([("low", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
     def flush(held):
         low, content, doc, start, count, repeats = (np.concatenate(c) for c in zip(*held, strict=True))
-        place = start * PLACE + count + REPEATS * repeats
-        goes = ~_first_of_equal(low, content, doc, start)
-        place[goes] = -place[goes] - 1
-        low[goes] = mix(doc[goes].astype(np.uint64) * np.uint64(_BASES[0]) + start[goes].astype(np.uint64))  # not to the hot key's partition
+        copy = ~_first_of_equal(low, content, doc, start)
+        shared = ~copy & np.isin(content, content[copy])
+        place = start * PLACE + count + REPEATS * repeats + SHARED * shared + COPY * copy
+        low[copy] = mix(doc[copy].astype(np.uint64) * np.uint64(_BASES[0]) + start[copy].astype(np.uint64))  # not to the hot key's partition
         for at in range(0, len(low), 50_000):
             cut = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(low[cut].view(np.int64)), pa.array(content[cut].view(np.int64)), pa.array(doc[cut]), pa.array(place[cut])], schema=schema)
@@ -195,47 +201,61 @@ def _runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "low long, content long, doc_id long, place long")
 
 
-def _sorted_out(runs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows, goes) of runs that go, and of runs that repeat themselves or whose hash stands with different bytes elsewhere."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("goes", pa.bool_())])
+def _candidates(runs: DataFrame) -> DataFrame:
+    """(doc_id, start, windows, apart) of runs whose hash comes up more than once; apart: the first of its bytes, and others have other bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("apart", pa.bool_())])
 
-    def rows(doc, place, goes):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place // PLACE), pa.array(place % REPEATS), pa.array(goes)], schema=schema)
+    def rows(doc, place, apart):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place // PLACE), pa.array(place % REPEATS), pa.array(apart)], schema=schema)
 
     def run(batches):
         last = None  # low and content of the row before
-        waiting = None  # the first run of a hash, of which no second content has come up yet
+        waiting = None  # doc, place, whether it has equals: the first run of a hash, of which no other content has come up yet
+
+        def settled(apart):
+            doc, place, equals = waiting
+            if apart or equals or place[0] & (REPEATS | SHARED):
+                yield rows(doc, place, np.array([apart]))
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
             low, content, doc, place = (batch.column(i).to_numpy() for i in range(4))
-            known = place < 0
-            if known.any():
-                yield rows(doc[known], -place[known] - 1, np.ones(known.sum(), dtype=bool))
-                low, content, doc, place = (c[~known] for c in (low, content, doc, place))
+            copy = (place & COPY) > 0
+            if copy.any():
+                yield rows(doc[copy], place[copy], np.zeros(copy.sum(), dtype=bool))
+                low, content, doc, place = (c[~copy] for c in (low, content, doc, place))
             if not len(low):
                 continue
-            new_low = np.append(last is None or low[0] != last[0], low[1:] != low[:-1])
-            head = new_low | np.append(last is None or content[0] != last[1], content[1:] != content[:-1])
+            new = np.append(last is None or low[0] != last[0], low[1:] != low[:-1])
+            head = new | np.append(last is None or content[0] != last[1], content[1:] != content[:-1])
             last = (low[-1], content[-1])
-            heads = np.flatnonzero(head)
-            repeats = (place & REPEATS) > 0
-            unsure = head & (~new_low | repeats)
-            if len(heads):
-                if waiting is not None and not new_low[heads[0]]:
-                    yield rows(waiting[0], waiting[1], np.zeros(1, dtype=bool))
+            first = np.flatnonzero(new)
+            carried = int(first[0]) if len(first) else len(low)
+            if waiting is not None and head[:carried].any():
+                yield from settled(True)
+                waiting = None
+            elif waiting is not None:
+                waiting = (waiting[0], waiting[1], waiting[2] or carried > 0)
+            other = head & ~new
+            out, apart = ~new, other.copy()
+            if len(first):
+                if waiting is not None:
+                    yield from settled(False)
+                several = np.add.reduceat(other, first) > 0
+                equals = np.diff(np.append(first, len(low))) > 1
+                apart[first] = several
+                out[first] = several | equals | ((place[first] & (REPEATS | SHARED)) > 0)
                 waiting = None
-                followed = heads[:-1][~new_low[heads[1:]]]
-                unsure[followed] = True
-                if new_low[heads[-1]] and not repeats[heads[-1]]:
-                    waiting = (doc[heads[-1:]], place[heads[-1:]])
-            out = ~head | unsure
+                if not several[-1]:
+                    at = first[-1]
+                    waiting, out[at] = (doc[at : at + 1], place[at : at + 1], bool(equals[-1])), False
             if out.any():
-                yield rows(doc[out], place[out], ~head[out])
+                yield rows(doc[out], place[out], apart[out])
+        if waiting is not None:
+            yield from settled(False)
 
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = runs.repartition(parts, "low").sortWithinPartitions("low", "content", "doc_id", "place")
-    return ordered.mapInArrow(run, "doc_id long, start long, windows long, goes boolean")
+    return ordered.mapInArrow(run, "doc_id long, start long, windows long, apart boolean")
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -245,12 +265,13 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     that begins where the known prefix ends; that prefix doubles each time.
     """
     n = len(data)
-    wide = np.zeros(n + 7, dtype=np.uint64)
-    wide[:n] = data.astype(np.uint64) + np.uint64(1)
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(7):
-        key = (key << np.uint64(9)) | wide[j : j + n]
-    order = np.argsort(key, kind="stable")
+    one = np.zeros(n + 7, dtype=np.uint64)
+    one[:n] = data.astype(np.uint64) + np.uint64(1)
+    two = (one[:-1] << np.uint64(9)) | one[1:]
+    four = (two[:-2] << np.uint64(18)) | two[2:]
+    three = (two[4:-1] << np.uint64(9)) | one[6:]
+    key = (four[:n] << np.uint64(27)) | three[:n]
+    order = np.argsort(key)
     rank = np.zeros(n, dtype=np.int64)
     slots, sorted_key, known = np.arange(n), key[order], 7
     while len(slots):
@@ -263,7 +284,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         ahead = inside + known
         after = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], 0)
         sorted_key = (rank[inside].astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        again = np.argsort(sorted_key, kind="stable")
+        again = np.argsort(sorted_key)
         order[slots], sorted_key = inside[again], sorted_key[again]
         known *= 2
     return order
@@ -274,9 +295,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int = WINDOW, stri
 
     Kasai's bound, in steps: a suffix shares at least one byte less with its neighbour than
     the suffix one place before it in the text. Every stride-th suffix is compared from its
-    start, then the suffixes after those from their bound on, all of one residue at once.
+    start, then the suffixes after those from their bound on, all of one residue at once and
+    eight bytes at a time.
     """
     n = len(data)
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[:n] = data
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view("<u8").ravel()
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, dtype=np.int64)
@@ -287,10 +312,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int = WINDOW, stri
         at = at[before[at] >= 0]
         while len(at):
             near, far = at + shared[at], before[at] + shared[at]
-            more = (shared[at] < cap) & (near < n) & (far < n)
-            at, near, far = at[more], near[more], far[more]
-            at = at[data[near] == data[far]]
-            shared[at] += 1
+            room = np.minimum(np.minimum(n - near, n - far), cap - shared[at])
+            more = room > 0
+            at, near, far, room = at[more], near[more], far[more], room[more]
+            differ = eight[near] ^ eight[far]
+            lowest = differ & (~differ + np.uint64(1))  # a power of two, which a double holds exactly
+            same = np.where(differ == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3)
+            shared[at] += np.minimum(same, room)
+            at = at[(same == 8) & (room > 8)]
     return shared[order]
 
 
@@ -311,8 +340,8 @@ def shard_strings(data: np.ndarray, window_at: np.ndarray, doc: np.ndarray, star
     return first
 
 
-#: A window in a sorted run: 96 bits of digest, its place in its document (below 4 GiB) and the document.
-RUN = np.dtype([("a", "<u8"), ("b", "<u4"), ("start", "<u4"), ("doc", "<i8")])
+#: Windows in a sorted run: 96 bits of digest, their number, the first one's place in its document (below 4 GiB) and the document.
+RUN = np.dtype([("a", "<u8"), ("b", "<u4"), ("start", "<u4"), ("doc", "<i8"), ("windows", "<u2")])
 
 
 def pack_run(run: np.ndarray) -> bytes:
@@ -348,47 +377,78 @@ def merge_runs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.insert(left, at[~same], right[~same]), goes
 
 
-def window_ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, windows) of the maximal stretches of neighbouring windows."""
+def merge_all(runs) -> list[np.ndarray]:
+    """What goes when the runs are merged in pairs of like size, each as it comes."""
+    gone, stack = [], []
+    for run in runs:
+        level = 0
+        while stack and stack[-1][0] == level:
+            run, out = merge_runs(stack.pop()[1], run)
+            gone += [out] if len(out) else []
+            level += 1
+        stack.append((level, run))
+    while len(stack) > 1:
+        right, left = stack.pop()[1], stack.pop()[1]
+        run, out = merge_runs(left, right)
+        gone += [out] if len(out) else []
+        stack.append((0, run))
+    return gone
+
+
+def window_ranges(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, windows) of the maximal stretches of neighbouring windows; those given do not overlap."""
     order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    turn = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))) if len(doc) else np.empty(0, dtype=np.int64)
-    return doc[turn], start[turn], np.diff(np.append(turn, len(doc)))
+    doc, start, windows = doc[order], start[order], windows[order]
+    turn = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != (start + windows)[:-1]))) if len(doc) else np.empty(0, dtype=np.int64)
+    return doc[turn], start[turn], np.add.reduceat(windows, turn) if len(doc) else windows
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("range", pa.int32()), ("digests", pa.binary())])
 _OUT_DDL = "doc_id long, start long, windows long, range int, digests binary"
 
 
-def _going(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+def _going(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
     """Windows that go, as ranges; they travel beside the digests under negative range numbers."""
-    doc, start, windows = window_ranges(doc, start.astype(np.int64))
+    doc, start, windows = window_ranges(doc, start.astype(np.int64), windows.astype(np.int64))
     aside = -1 - (np.arange(len(doc)) % 1024)
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(windows), pa.array(aside, pa.int32()), pa.nulls(len(doc)).cast(pa.binary())], schema=_OUT)
 
 
-def _shards(docs: DataFrame, unsure: DataFrame, ranges: int) -> DataFrame:
-    """Suffix-array shards over the unsure runs: windows that go, and sorted digest runs of the others for the merge."""
+def _digests(hashes: tuple[Hashes, Hashes], at: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A sorted run of digests; of equal ones the first by (doc, start) stands for the shard."""
+    run = np.empty(len(at), dtype=RUN)
+    length = windows + WINDOW - 1
+    run["a"], run["b"] = hashes[0].at(at, length), hashes[1].at(at, length) >> np.uint64(32)
+    run["doc"], run["start"], run["windows"] = doc, start, windows
+    run = run[np.lexsort((start, doc, run["b"], run["a"]))]
+    return run[np.append(True, (run["a"][1:] != run["a"][:-1]) | (run["b"][1:] != run["b"][:-1]))] if len(run) else run
+
+
+def _shards(docs: DataFrame, candidates: DataFrame, ranges: int) -> DataFrame:
+    """Suffix-array shards over the candidates: windows that go, and sorted digest runs for the merge.
+
+    Ranges from 0 hold digests of candidate runs, those from `ranges` on digests of windows.
+    """
 
     def one(held):
         data = np.frombuffer(b"".join(h[0] for h in held), dtype=np.uint8)
         base = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-        at = np.concatenate([h[1] + b for h, b in zip(held, base, strict=True)])
-        doc = np.repeat([h[2] for h in held], [len(h[1]) for h in held])
-        start = np.concatenate([h[1] + h[3] for h in held])
+        runs = np.concatenate([h[1] + [[b, 0, 0]] for h, b in zip(held, base, strict=True)])  # place in data, windows, apart
+        owner = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+        run_doc, shift = np.array([h[2] for h in held])[owner], (np.array([h[3] for h in held]) - base)[owner]
+        of = np.repeat(np.arange(len(runs)), runs[:, 1])
+        at = np.arange(len(of)) - (np.cumsum(runs[:, 1]) - runs[:, 1] - runs[:, 0])[of]
+        doc, start = run_doc[of], at + shift[of]
         first = shard_strings(data, at, doc, start)
         if not first.all():
-            yield _going(doc[~first], start[~first])
-        at, doc, start = at[first], doc[first], start[first]
-        run = np.empty(len(at), dtype=RUN)
-        width = np.full(len(at), WINDOW)
-        run["a"] = Hashes(data, _BASES[0]).at(at, width)
-        run["b"] = Hashes(data, _BASES[1]).at(at, width) >> np.uint64(32)
-        run["doc"], run["start"] = doc, start
-        run = run[np.argsort(run["a"], kind="stable")]
+            yield _going(doc[~first], start[~first], np.ones((~first).sum(), dtype=np.int64))
+        hashes = Hashes(data, _BASES[1]), Hashes(data, _BASES[2])
+        whole = _digests(hashes, runs[:, 0], run_doc, runs[:, 0] + shift, runs[:, 1])
+        single = first & (runs[of, 2] > 0)
+        single = _digests(hashes, at[single], doc[single], start[single], np.ones(single.sum(), dtype=np.int64))
         step = ((1 << 64) + ranges - 1) // ranges
-        cut = np.searchsorted(run["a"], np.array([i * step for i in range(1, ranges)], dtype=np.uint64))
-        pieces = np.split(run, cut)
+        cuts = np.array([i * step for i in range(1, ranges)], dtype=np.uint64)
+        pieces = [*np.split(whole, np.searchsorted(whole["a"], cuts)), *np.split(single, np.searchsorted(single["a"], cuts))]
         keep = [i for i, p in enumerate(pieces) if len(p)]
         none = pa.nulls(len(keep)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(keep, pa.int32()), pa.array([pack_run(pieces[i]) for i in keep], pa.binary())], schema=_OUT)
@@ -398,15 +458,14 @@ def _shards(docs: DataFrame, unsure: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for doc_id, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode()
-                spans = sorted((r["start"], r["windows"]) for r in runs)
+                spans = sorted({(r["start"], r["windows"], r["apart"]) for r in runs if r["start"] + r["windows"] + WINDOW - 1 <= len(raw)})
                 k = 0
                 while k < len(spans):
-                    begin, wanted, end = spans[k][0], [], spans[k][0]
+                    begin, first, end = spans[k][0], k, spans[k][0]
                     while k < len(spans) and spans[k][0] <= end and end - begin < SHARD:
-                        wanted.append(np.arange(spans[k][0], spans[k][0] + spans[k][1]))
                         end = max(end, spans[k][0] + spans[k][1] + WINDOW - 1)
                         k += 1
-                    held.append((raw[begin:end], np.unique(np.concatenate(wanted)) - begin, doc_id, begin))
+                    held.append((raw[begin:end], np.array(spans[first:k], dtype=np.int64) - [begin, 0, 0], doc_id, begin))
                     size += end - begin
                     if size >= SHARD:
                         yield from one(held)
@@ -414,47 +473,42 @@ def _shards(docs: DataFrame, unsure: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield from one(held)
 
-    by_doc = unsure.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    by_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "apart")).alias("runs"))
     return docs.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, _OUT_DDL)
 
 
-def _merged(shards: DataFrame) -> DataFrame:
+def _merged(shards: DataFrame, ranges: int) -> DataFrame:
     """Windows that go: those found in one shard, and those whose string another shard has earlier."""
 
-    def settle(runs):
-        gone = []
-        while len(runs) > 1:
-            pairs = [merge_runs(a, b) for a, b in zip(runs[::2], runs[1::2])]
-            gone += [g for _, g in pairs if len(g)]
-            runs = [m for m, _ in pairs] + (runs[-1:] if len(runs) % 2 else [])
+    def settle(raws):
+        gone = merge_all(map(unpack_run, raws))
         if gone:
             gone = np.concatenate(gone)
-            yield _going(gone["doc"], gone["start"])
+            yield _going(gone["doc"], gone["start"], gone["windows"])
 
     def run(batches):
-        current, runs = None, []
+        current, raws = None, []
         for batch in batches:
             numbers = batch.column(3).to_numpy()
             if (numbers < 0).any():
                 yield batch.filter(pa.array(numbers < 0))
             for number, raw in zip(numbers[numbers >= 0], batch.column(4).filter(pa.array(numbers >= 0)), strict=True):
                 if number != current:
-                    yield from settle(runs)
-                    current, runs = number, []
-                runs.append(unpack_run(raw.as_py()))
-        yield from settle(runs)
+                    yield from settle(raws)
+                    current, raws = number, []
+                raws.append(raw.as_py())
+        yield from settle(raws)
 
-    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, _OUT_DDL)
+    return shards.repartition(2 * ranges, "range").sortWithinPartitions("range").mapInArrow(run, _OUT_DDL)
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, start, windows): stretches of windows of docs(doc_id, text) whose string occurs earlier."""
-    known = materialize(_sorted_out(_runs(docs)), "suffix-runs", free_shuffles=True)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["doc_id", "start", "windows"]
-    merged = _merged(_shards(docs, known.where("not goes"), 2 * parts)).select(columns)
-    return known.where("goes").select(columns).unionByName(materialize(merged, "suffix-merged", free_shuffles=True))
+    known = materialize(_candidates(_runs(docs)), "suffix-candidates", free_shuffles=True)
+    sent = known.agg(F.count(F.lit(1)) * 22 + F.coalesce(F.sum(F.when(F.col("apart"), F.col("windows"))), F.lit(0)) * 14).first()[0]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // RANGE_BYTES))
+    merged = _merged(_shards(docs, known, ranges), ranges).select("doc_id", "start", "windows")
+    return materialize(merged, "suffix-merged", free_shuffles=True)
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -489,7 +543,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts are empty; texts below WINDOW bytes lose nothing. Matches never cross
     documents, strings are judged on the input, and overlapping matches count. Documents of
     any length are taken whole. ids should be unique: rows that repeat an id are taken as one
-    document's text repeated, and each loses what any of them loses. Rows with a null id are
+    document's text repeated, and each loses the places that any of them loses, as far as its
+    own text reaches. Rows with a null id are
     documents of their own and keep the null; they come after all ids below 2**62, in the
     order of their texts' digests, and one of those with equal texts comes first. No rows give no rows;
     other columns are not read. What is left need not be valid UTF-8, as cuts fall on bytes.
@@ -509,7 +564,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 raw, spans = (text or "").encode(), []
                 if copy:
                     spans = [(0, len(raw))] if len(raw) >= WINDOW else []
-                elif runs:
+                elif runs and (runs := [r for r in runs if r["start"] + r["windows"] + WINDOW - 1 <= len(raw)]):
                     starts = np.array([r["start"] for r in runs])
                     spans = spans_of(starts, starts + np.array([r["windows"] for r in runs]) + WINDOW - 1)
                 ends = [0, *(e for _, e in spans)]

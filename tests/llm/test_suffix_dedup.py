@@ -76,6 +76,43 @@ def test_null_ids(spark):
         assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == want
 
 
+def test_suffix_arrays_decide(spark, monkeypatch):
+    """One shard, no merge: what the suffix array says is all that goes."""
+    monkeypatch.setattr(S, "SHARD", 1 << 30)
+    monkeypatch.setattr(S, "merge_runs", lambda left, right: (np.concatenate([left, right]), left[:0]))
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.doc_id: tuple(r) for r in S.substring_dedup(df, with_text=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(rows)
+
+
+def test_merge_in_any_order():
+    rng = np.random.default_rng(6)
+    runs = []
+    for i in range(37):
+        run = np.zeros(rng.integers(1, 60), dtype=S.RUN)
+        run["a"] = np.sort(rng.choice(400, len(run), replace=False))
+        run["doc"], run["start"], run["windows"] = rng.integers(0, 50, len(run)), i, 1
+        runs.append(run)
+    everything = np.concatenate(runs)
+    best = {}
+    for r in everything:
+        best[r["a"]] = min(best.get(r["a"], (1 << 40, 0)), (r["doc"], r["start"]))
+    want = sorted((r["a"], r["doc"], r["start"]) for r in everything if (r["doc"], r["start"]) != best[r["a"]])
+    assert sorted((r["a"], r["doc"], r["start"]) for g in S.merge_all(iter(runs)) for r in g) == want
+
+
+def test_repeated_ids(spark):
+    a, b = ("".join(random.Random(k).choices("abcdefgh ", k=400)) for k in (1, 2))
+    rows = [(1, a), (1, a), (2, a), (2, "short"), (3, b), (3, b[:150]), (4, b)]
+    got = S.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(1, 400, 0), (1, 400, 0), (2, 5, 0), (2, 400, 400), (3, 150, 0), (3, 400, 0), (4, 400, 400)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.substring_dedup(df).count() == 0
