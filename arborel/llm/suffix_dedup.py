@@ -324,7 +324,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int = WINDOW, stri
 
 
 def shard_strings(data: np.ndarray, window_at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For the windows that begin at window_at in data: whether each is its string's first by (doc, start)."""
+    """For the windows that begin at window_at in data: whether each is its string's first by (doc, start), or stands at that very place."""
     order = suffix_array(data)
     shared = common_prefixes(data, order)
     row = np.full(len(data), -1, dtype=np.int64)
@@ -335,8 +335,10 @@ def shard_strings(data: np.ndarray, window_at: np.ndarray, doc: np.ndarray, star
     by = listed[np.lexsort((start[listed], doc[listed], group))]
     of = np.empty(len(window_at), dtype=np.int64)
     of[listed] = group
+    turn = np.append(True, of[by][1:] != of[by][:-1])
+    least = by[np.maximum.accumulate(np.where(turn, np.arange(len(by)), 0))]
     first = np.ones(len(window_at), dtype=bool)
-    first[by[1:][of[by][1:] == of[by][:-1]]] = False
+    first[by] = (doc[by] == doc[least]) & (start[by] == start[least])
     return first
 
 
@@ -372,6 +374,7 @@ def merge_runs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     mine, theirs = near[same], np.flatnonzero(same)
     old = (right["doc"][theirs] < left["doc"][mine]) | ((right["doc"][theirs] == left["doc"][mine]) & (right["start"][theirs] < left["start"][mine]))
     goes = np.where(old, left[mine], right[theirs]) if len(mine) else left[:0]
+    goes = goes[(right["doc"][theirs] != left["doc"][mine]) | (right["start"][theirs] != left["start"][mine])]
     left = left.copy()
     left[mine[old]] = right[theirs[old]]
     return np.insert(left, at[~same], right[~same]), goes
@@ -542,9 +545,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts are empty; texts below WINDOW bytes lose nothing. Matches never cross
     documents, strings are judged on the input, and overlapping matches count. Documents of
-    any length are taken whole. ids should be unique: rows that repeat an id are taken as one
-    document's text repeated, and each loses the places that any of them loses, as far as its
-    own text reaches. Rows with a null id are
+    any length are taken whole. Rows that repeat an id are one document that is there again:
+    they lose nothing to each other at the same place, and each loses the places that any of
+    them loses, as far as its own text reaches. Rows with a null id are
     documents of their own and keep the null; they come after all ids below 2**62, in the
     order of their texts' digests, and one of those with equal texts comes first. No rows give no rows;
     other columns are not read. What is left need not be valid UTF-8, as cuts fall on bytes.
