@@ -5,7 +5,10 @@ its number of words times the worth of a word in that place, which is positive f
 text and negative for menus, notices and the like; it comes from a logistic model over the
 names, classes and ids of the enclosing elements, whether the run stands in a link, and its
 length. One linear scan finds the contiguous region with the largest sum; the runs inside it
-whose words are worth less than nothing are left out.
+whose words are worth less than nothing are left out, and cost the region no more than
+RUN_COST. Where the runs of the region have a common ancestor that speaks for content, such as
+an article, the region takes in what else below it is worth something: a short last block
+after an advert need not pay for the advert.
 
 The model starts from prior weights for well-known names and is fitted on labelled pages: a
 page with one <article> (or <main>) labels its words by whether they stand inside it. In half
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 SAMPLE, NAMES = 2000, 400
 #: The most that one text run of negative worth takes from a region's score.
 RUN_COST = 6.0
+#: The worth that an element's own name and classes must add up to for it to speak for content.
+LEAST_CONTENT = 0.9
 #: Elements whose content is never text of a page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select option textarea datalist button map".split())
 #: Elements whose content is plain text up to their end tag, whatever it looks like.
@@ -50,6 +56,10 @@ PRIOR = {
     "comment comments commentlist reply replies disqus respond discussion pagination pager toolbar toc skip legal disclaimer outbrain taboola paywall alert".split(),
     -7.0,
 )
+#: Elements of running text; inside content, the words TOPICAL in their classes and ids may name their subject and say nothing of their worth.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt figcaption".split())
+TOPICAL = frozenset("legal sharing discussion respond label search form".split())
+CONTENT = frozenset(["article", "main", ".content", ".post", ".story", ".entry"])
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "search", "form": "form", "main": "main", "article": "article", "dialog": "dialog"}
 
 _TOKEN = re.compile(
@@ -63,15 +73,16 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in
 _IN_SCRIPT = re.compile(r"<!--(?:-*>)?|-->|</?script(?=[\s/>])", re.IGNORECASE)
 
 
-def _features(tag: str, name: str) -> frozenset:
+def _features(tag: str, name: str, above: frozenset) -> frozenset:
     found = {name}
+    silent = TOPICAL if name in TEXTUAL and above & CONTENT else frozenset()
     if "=" in tag:
         for kind, *values in _MARKS.findall(tag):
             value = next((v for v in values if v), "")
             if kind.lower() == "role":
                 found.add(ROLES.get(value.strip().lower(), "role"))
             else:
-                found.update("." + w.lower() for w in _WORD.findall(value))
+                found.update("." + w for w in map(str.lower, _WORD.findall(value)) if w not in silent)
     return frozenset(found)
 
 
@@ -84,6 +95,8 @@ class Run:
     words: int
     inside: frozenset
     tag: str
+    #: The open elements, outermost first: (running number, own features).
+    below: tuple
 
 
 def _after_raw(page: str, at: int, name: str) -> int:
@@ -113,8 +126,9 @@ def _after_raw(page: str, at: int, name: str) -> int:
 def runs(page: str) -> list[Run]:
     """The page's tags and text runs, each text run with the features of the elements around it."""
     out: list[Run] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[tuple[str, frozenset, tuple]] = []
     inside: frozenset = frozenset()
+    below: tuple = ()
     block, silent, head, at = 0, "", False, 0
     while match := _TOKEN.match(page, at):
         token, at = match.group(), match.end()
@@ -138,12 +152,12 @@ def runs(page: str) -> list[Run]:
                 continue
             if name in BLOCKS:
                 block += 1
-            out.append(Run(block, " " if name == "br" else "", 0, inside, "/" + name if closing else name))
+            out.append(Run(block, " " if name == "br" else "", 0, inside, "/" + name if closing else name, below))
             if closing:
                 opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if opened is not None:
                     del stack[opened:]
-                    inside = stack[-1][1] if stack else frozenset()
+                    inside, below = stack[-1][1:] if stack else (frozenset(), ())
                 continue
             if name in SILENT and not token.endswith("/>"):
                 if name in RAW:
@@ -163,13 +177,14 @@ def runs(page: str) -> list[Run]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-            above = stack[-1][1] if stack else frozenset()
-            inside = above | _features(token, name)
-            stack.append((name, inside))
+            above, below = stack[-1][1:] if stack else (frozenset(), ())
+            own = _features(token, name, above)
+            inside, below = above | own, (*below, (len(out), own))
+            stack.append((name, inside, below))
         elif not silent and not (head and token.isspace()):
             head = False
             text = html.unescape(token)
-            out.append(Run(block, text, len(text.split()), inside, ""))
+            out.append(Run(block, text, len(text.split()), inside, "", below))
     return out
 
 
@@ -199,10 +214,25 @@ class Weights:
         if key not in self._known:
             if len(self._known) > 50_000:
                 self._known = {}
-            logit = sum(self.learned.get(f, prior(f)) for f in (*inside, key[1], "#bias"))
-            self._known[key] = float(np.clip(logit, -3, 1))
+            self._known[key] = float(np.clip(self.sum((*inside, key[1], "#bias")), -3, 1))
         return self._known[key]
 
+    def sum(self, features) -> float:
+        return sum(self.learned.get(f, prior(f)) for f in features)
+
+
+def _container(sequence: list[Run], worth: list[float], weights: Weights) -> tuple:
+    """The common ancestors of the runs of some worth, down to the innermost that speaks for content; () without any."""
+    shared = None
+    for run, value in zip(sequence, worth, strict=True):
+        if run.words and value > 0:
+            pairs = zip(run.below, run.below if shared is None else shared)
+            shared = tuple(a for a, b in takewhile(lambda p: p[0][0] == p[1][0], pairs))
+    shared = shared or ()
+    while shared and weights.sum(shared[-1][1]) < LEAST_CONTENT:
+        shared = shared[:-1]
+    return shared
+
 
 def extract(page: str | None, weights: Weights) -> str:
     """Blocks of the best region joined by one line break; '' for a page without any."""
@@ -219,8 +249,11 @@ def extract(page: str | None, weights: Weights) -> str:
         elif total > best:
             best, region = total, (start, i + 1)
     blocks: dict[int, list[str]] = {}
-    for run, value in zip(sequence[region[0] : region[1]], worth[region[0] : region[1]], strict=True):
-        if run.text and (value > 0 or not run.words):
+    cut = slice(*region)
+    around = _container(sequence[cut], worth[cut], weights)
+    for i, (run, value) in enumerate(zip(sequence, worth, strict=True)):
+        chosen = region[0] <= i < region[1] or (around and run.below[: len(around)] == around)
+        if chosen and run.text and (value > 0 or not run.words):
             blocks.setdefault(run.block, []).append(run.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(b for b in joined if b)

@@ -39,6 +39,21 @@ def test_text_rules():
     assert extract(page(body), Weights()) == "A title of it\none two three <x> é &unknown; a < b\nfirst item\nsecond item\nx y"
 
 
+@pytest.mark.parametrize("end", ["End.", "It is over now."])
+@pytest.mark.parametrize("notice", [f"<aside>ad of today</aside>", f'<div class="ad"><p>Buy now {WORDS} {WORDS}</p></div>', f"<form><label>Mail to us please</label></form><aside>{WORDS} {WORDS}</aside>"])
+@pytest.mark.parametrize("box", ["article", "main", "div class='content'", "div class='story x'"])
+def test_short_last_blocks_after_notices(box, notice, end):
+    body = f"<{box}>{INNER}{notice}<p>{end}</p></{box.split()[0]}>"
+    assert extract(page(body, NAV, FOOT), Weights()) == f"{WANT}\n{end}"
+
+
+def test_subject_words_in_classes_of_paragraphs():
+    mixed = f'<p class="legal">{PARAS[0]}</p><h2 id="sharing">Of sharing</h2><div class="legal"><p>{WORDS} terms</p></div><p class="advert">{PARAS[1]}</p><p>{PARAS[2]}</p>'
+    want = f"{H.unescape(PARAS[0])}\nOf sharing\n{H.unescape(PARAS[2])}"
+    assert extract(page(f"<article>{mixed}</article>", NAV, FOOT), Weights()) == want
+    assert extract(page(f"<article>{INNER}</article>", NAV, f'<div><p class="legal">{WORDS} {WORDS}</p></div>'), Weights()) == WANT
+
+
 CODE = [
     "<script>for(var i=0;i<n;i++){x()}</script>", "<style>a<b{c:'}</style>", "<SCRIPT>if(a<b)s='it\"s'</Script >", "<textarea>it's <b' \"</textarea>",
     "<script>x='</scripty>'; i<n</script>", "<script><!-- w('<script>i<n</script>') --></script>", "<script><!--> i<n</script>", "<noscript><img alt='></noscript>",
@@ -78,6 +93,18 @@ def test_every_page_of_the_table(spark):
         assert got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["div", "section", "div class='x1'"])
+def test_pages_without_their_mark(spark, name):
+    """The table's pages with <article> renamed, by weights fitted on the marked ones."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    weights, wrong, rows = fit_weights(pages), 0, pages.collect()
+    for r in rows:
+        bare = r.html.replace("<article>", f"<{name}>").replace("</article>", f"</{name.split()[0]}>")
+        wrong += extract(bare, weights) != extract(r.html, weights)
+    assert wrong <= 0.02 * len(rows)
+
+
 def test_table_edges(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (2, "u", page(f"<article>{INNER}</article>"), "z")], "page_id long, url string, html string, text string")
     rows = sorted((r.page_id, r.text) for r in main_text(df, fit_weights(df)).collect())
