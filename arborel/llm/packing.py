@@ -115,7 +115,7 @@ def pack_documents(
     tokenizer_path: str,
     end_id: int,
     max_tokens: int = 2048,
-    max_segments: int = 1024,
+    max_segments: int = 128,
     max_loss: int | None = None,
     prompt_tokens_col: str | None = None,
     id_col: str = "doc_id",
@@ -125,10 +125,13 @@ def pack_documents(
 
     A document is its text's ids and end_id. prompt_tokens_col holds how many of its first
     ids bear no loss (null: none); max_loss limits loss-bearing ids in a sequence (by default
-    it equals max_tokens). Null and empty texts are end_id alone. Rows that repeat an id are
+    it equals max_tokens); limits below 1 are an error. A row with a null id is a document and
+    keeps the null. Null and empty texts are end_id alone. Rows that repeat an id are
     documents of their own. Long documents are cut, never shortened. No rows give no pieces.
     """
     max_loss = max_tokens if max_loss is None else max_loss
+    if min(max_tokens, max_segments, max_loss) < 1:
+        raise ValueError("a sequence must have room for a token, a segment and a token that bears loss")
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())]
 
     def pack(batches):

@@ -151,6 +151,20 @@ def test_packing(spark):
     assert pack_documents(frame(spark, []), P.path("byte_bpe_50k.json"), 1).count() == 0
 
 
+def test_packing_limits_and_null_ids(spark):
+    path = P.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(i if i else None, "a b", 2) for i in range(300)] + [(1000, "w " * 500, 400)], "doc_id long, text string, prompt int").coalesce(1)
+    rows = pack_documents(df, path, 1, max_tokens=256, max_segments=16, max_loss=128, prompt_tokens_col="prompt").collect()
+    assert sum(r.doc_id is None for r in rows) == 1 and len({r.doc_id for r in rows}) == 301
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    assert max(len(v) for v in by.values()) == 16 and all(sum(r.length for r in v) <= 256 and sum(r.loss_tokens for r in v) <= 128 for v in by.values())
+    for bad in ({"max_loss": 0}, {"max_segments": 0}, {"max_tokens": 0}):
+        with pytest.raises(ValueError):
+            pack_documents(df, path, 1, **bad)
+
+
 def test_packer_keeps_all_limits():
     rng = random.Random(5)
     for max_segments, max_loss in ((4, 100), (100, 60), (2, 20)):
