@@ -5,43 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.scratch import materialize
+from arborel.scratch import discard, materialize
 
 
-def _is_forest_of_stars(edges: DataFrame) -> bool:
+def _is_forest_of_stars(edges: DataFrame, by: list[str]) -> bool:
     """True when every child has one parent and no parent is itself a child."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
-        edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    ends = edges.select(*by, F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(*by, F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
     )
-    sums = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    sums = ends.groupBy(*by, "node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
     return sums.where("child > 1 or (child = 1 and parent = 1)").limit(1).count() == 0
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """(id, component) for every vertex that has an edge; component is the smallest id reachable.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, by: list[str] | None = None) -> DataFrame:
+    """(*by, id, component) for every vertex that has an edge; component is the smallest id reachable.
 
-    Self loops and nulls are ignored; repeated and reversed edges count once; an empty edge
-    table gives an empty result. Each round is two grouped minima joined back to the edges,
-    so a hub's neighbours never meet in one place: the minima are pre-aggregated and the
-    joins can be split by adaptive execution. Rounds end when the edges form stars.
+    by names columns, such as a plant's, within which ids are counted apart. Self loops and
+    nulls are ignored; repeated and reversed edges count once; an empty edge table gives an
+    empty result. Each round is two grouped minima joined back to the edges, so a hub's
+    neighbours never meet in one place: the minima are pre-aggregated and the joins can be
+    split by adaptive execution. Rounds end when the edges form stars.
     """
+    by = by or []
     step = materialize(
         edges.where(F.col(src) != F.col(dst))
-        .select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v"))
+        .select(*by, F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v"))
         .distinct(),
         "components",
     )
     for _ in range(max_rounds):
-        if _is_forest_of_stars(step):
+        if _is_forest_of_stars(step, by):
             break
-        both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = step.unionByName(step.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
+        # dealt out again, so that the join meets two plain exchanges, of which Spark can split a hub's
+        low = low.repartition(*by, "u")
+        large = both.where("v > u").join(low, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "components")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "components")
+        low = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
+        small = large.join(low, [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+        before, step = step, materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "components")
+        discard(before, large)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    children = step.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return children.unionByName(step.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    children = step.select(*by, F.col("u").alias("id"), F.col("v").alias("component"))
+    return children.unionByName(step.select(*by, F.col("v").alias("id"), F.col("v").alias("component")).distinct())

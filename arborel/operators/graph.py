@@ -11,18 +11,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborel.functions.geometry import segment_distance, xyz
+from arborel.functions.geometry import dist2, segment_distance, xyz
+from arborel.operators.components import connected_components
 from arborel.operators.spatial import knn_join, nearest_join, radius_join
-from arborel.scratch import materialize
+from arborel.scratch import discard, materialize
+
+
+#: Pointer jumps between two written tables: pointers reach 2**JUMPS times as far.
+JUMPS = 3
 
 
 def _jump(parent: DataFrame, label: str) -> DataFrame:
     """Follow parent(plant_id, node, up) to its roots by pointer jumping."""
     while True:
-        above = parent.select("plant_id", F.col("node").alias("up"), F.col("up").alias("top"))
-        jumped = materialize(parent.join(above, ["plant_id", "up"]).select("plant_id", "node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), label)
-        parent = jumped.drop("moved")
-        if jumped.where("moved").limit(1).count() == 0:
+        far = parent
+        for _ in range(JUMPS):
+            above = far.select("plant_id", F.col("node").alias("up"), F.col("up").alias("top"))
+            far = far.join(above, ["plant_id", "up"]).select("plant_id", "node", F.col("top").alias("up"))
+        jumped = materialize(far, label)
+        discard(parent)
+        parent = jumped
+        roots = parent.select("plant_id", F.col("node").alias("up"), F.col("up").alias("top"))
+        if parent.join(roots, ["plant_id", "up"]).where("top <> up").limit(1).count() == 0:
             return parent
 
 
@@ -31,17 +41,17 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Each round every component takes its least edge and follows it to a root by pointer
     jumping, so rounds grow with the logarithm of the vertices, for all plants together.
+    Between components that are joined by many edges only the least goes on to the next round.
     """
-    edges = materialize(edges.select("plant_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src <> dst"), "mst-edges")
-    ends = edges.select("plant_id", F.col("src").alias("v")).union(edges.select("plant_id", "dst")).distinct()
-    comp = materialize(ends.select("plant_id", "v", F.col("v").alias("comp")), "mst-comp")
+    least = F.min(F.struct("weight", "src", "dst")).alias("e")
+    between = edges.where("src <> dst").select("plant_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    between = between.withColumns({"ca": F.col("src"), "cb": F.col("dst")}).groupBy("plant_id", "ca", "cb").agg(least)
+    between = first = materialize(between, "mst-edges")
     tree = None
     for _ in range(max_rounds):
-        a, b = comp.select("plant_id", F.col("v").alias("src"), F.col("comp").alias("ca")), comp.select("plant_id", F.col("v").alias("dst"), F.col("comp").alias("cb"))
-        open_ = edges.join(a, ["plant_id", "src"]).join(b, ["plant_id", "dst"]).where("ca <> cb")
         sides = F.explode(F.array(F.struct(F.col("ca").alias("own"), F.col("cb").alias("to")), F.struct(F.col("cb").alias("own"), F.col("ca").alias("to")))).alias("s")
-        least = open_.select("plant_id", sides, F.struct("weight", "src", "dst").alias("e")).groupBy("plant_id", "s.own").agg(F.min_by(F.struct("e", "s.to"), "e").alias("m"))
-        picked = materialize(least.select("plant_id", "own", "m.to", "m.e.weight", "m.e.src", "m.e.dst"), "mst-picked")
+        picked = between.select("plant_id", sides, "e").groupBy("plant_id", "s.own").agg(F.min_by(F.struct("e", "s.to"), "e").alias("m"))
+        picked = materialize(picked.select("plant_id", "own", "m.to", "m.e.weight", "m.e.src", "m.e.dst"), "mst-picked")
         if picked.limit(1).count() == 0:
             break
         chosen = picked.select("plant_id", "src", "dst", "weight").distinct()
@@ -51,17 +61,60 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         up = picked.select("plant_id", "own", "to").join(other, ["plant_id", "to"], "left")
         up = up.select("plant_id", F.col("own").alias("node"), F.when((F.col("back") == F.col("own")) & (F.col("own") < F.col("to")), F.col("own")).otherwise(F.col("to")).alias("up"))
         roots = _jump(materialize(up, "mst-up"), "mst-jump")
-        comp = comp.join(roots.withColumnRenamed("node", "comp"), ["plant_id", "comp"], "left").select("plant_id", "v", F.coalesce("up", "comp").alias("comp"))
-        comp = materialize(comp, "mst-comp")
-        edges = materialize(open_.select("plant_id", "src", "dst", "weight"), "mst-edges")
-    return tree.distinct() if tree is not None else edges.limit(0)
+        for end in ("ca", "cb"):
+            between = between.join(roots.select("plant_id", F.col("node").alias(end), F.col("up").alias(f"new_{end}")), ["plant_id", end]).drop(end).withColumnRenamed(f"new_{end}", end)
+        low, high = F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")
+        between = materialize(between.where("ca <> cb").select("plant_id", low, high, "e").groupBy("plant_id", "ca", "cb").agg(F.min("e").alias("e")), "mst-edges")
+        discard(roots)
+    else:
+        raise RuntimeError(f"the tree is not finished after {max_rounds} rounds")
+    if tree is None:
+        return first.select("plant_id", "e.src", "e.dst", "e.weight").limit(0)
+    return tree.distinct()
+
+
+def euclidean_tree(points: DataFrame, k: int = 4, max_rounds: int = 60) -> DataFrame:
+    """The tree of all pairs of each plant's points, on Spark: (plant_id, src, dst, weight).
+
+    A radius join starts from twice the largest k-nearest-neighbour distance in a plant, and
+    doubles for the plants it does not yet connect; all edges of the tree are then among the
+    pairs found, as none is longer than the radius that connects. No task holds a plant.
+    Points without finite coordinates should be filtered first.
+    """
+    points = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
+    sizes = points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("extent"))
+    near = knn_join(points, points, k, exclude_self=True).groupBy("plant_id").agg(F.sqrt(F.max("d2")).alias("far"))
+    state = sizes.where("n > 1").join(near, "plant_id").select("plant_id", "n", F.when(F.col("far") > 0, F.col("far")).otherwise(1.0).alias("radius"))
+    state = materialize(state, "tree-state")
+    found = None
+    for _ in range(max_rounds):
+        if state.limit(1).count() == 0:
+            break
+        # each plant in units of its own radius
+        scaled = points.join(state, "plant_id").select("plant_id", "point_id", *[(F.col(a) / F.col("radius")).alias(a) for a in "xyz"])
+        pairs = radius_join(scaled, scaled, 1.0).where("point_id < nbr_id").select("plant_id", F.col("point_id").alias("src"), F.col("nbr_id").alias("dst"))
+        pairs = materialize(pairs, "tree-pairs")
+        parts = connected_components(pairs, by=["plant_id"])
+        whole = parts.groupBy("plant_id").agg(F.count(F.lit(1)).alias("linked"), F.countDistinct("component").alias("parts"))
+        judged = state.join(whole, "plant_id", "left").withColumn("done", F.coalesce((F.col("linked") == F.col("n")) & (F.col("parts") == 1), F.lit(False)))
+        judged = materialize(judged, "tree-judged")
+        done = pairs.join(judged.where("done").select("plant_id"), "plant_id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        state = judged.where("not done").select("plant_id", "n", (F.col("radius") * 2).alias("radius"))
+    else:
+        raise RuntimeError(f"a plant is not connected after {max_rounds} doublings of the radius")
+    if found is None:
+        return sizes.select("plant_id", F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(0.0).alias("weight")).limit(0)
+    for end in ("src", "dst"):
+        found = found.join(points.select("plant_id", F.col("point_id").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in "xyz"]), ["plant_id", end])
+    return minimum_spanning_tree(found.select("plant_id", "src", "dst", F.sqrt(dist2(xyz("src_"), xyz("dst_"))).alias("weight")))
 
 
 def point_spanning_tree(points: DataFrame) -> DataFrame:
     """The tree of all pairs of each plant's points, without listing pairs: Prim's algorithm, one plant a task.
 
-    Memory is linear in a plant's points, time quadratic; for clouds beyond some 20,000 points
-    a plant, feed minimum_spanning_tree with radius or nearest-neighbour edges instead.
+    Memory is linear in a plant's points, time quadratic: for many plants of few points. Larger
+    ones are for euclidean_tree.
     """
 
     def prim(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,17 +162,10 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plant_id, vertex_id, component): the smallest vertex reachable, by minimum hooking and pointer jumping."""
-    both = materialize(edges.select("plant_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("plant_id", "dst", "src")).distinct(), "comp-edges")
-    label = materialize(vertices.select("plant_id", F.col("vertex_id").alias("node"), F.col("vertex_id").alias("up")), "comp-label")
-    while True:
-        far = label.select("plant_id", F.col("node").alias("b"), F.col("up").alias("theirs"))
-        own = label.select("plant_id", F.col("node").alias("a"), F.col("up").alias("mine"))
-        hook = both.join(far, ["plant_id", "b"]).join(own, ["plant_id", "a"]).where("theirs < mine").groupBy("plant_id", F.col("mine").alias("node")).agg(F.min("theirs").alias("hook"))
-        hook = materialize(hook, "comp-hook")
-        if hook.limit(1).count() == 0:
-            return label.select("plant_id", F.col("node").alias("vertex_id"), F.col("up").alias("component"))
-        label = _jump(materialize(label.join(hook, ["plant_id", "node"], "left").select("plant_id", "node", F.coalesce("hook", "up").alias("up")), "comp-label"), "comp-jump")
+    """(plant_id, vertex_id, component): the smallest vertex reachable, each plant by itself."""
+    found = connected_components(edges, by=["plant_id"]).withColumnRenamed("id", "vertex_id")
+    joined = vertices.select("plant_id", "vertex_id").join(found, ["plant_id", "vertex_id"], "left")
+    return joined.select("plant_id", "vertex_id", F.coalesce("component", "vertex_id").alias("component"))
 
 
 def _chains(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -183,23 +229,33 @@ def vertex_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def leaf_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(plant_id, branch_id, pos, vertex_id): each leaf from its tip (pos 0) towards its junction.
 
-    A chain is a path, so a vertex's place is its number of steps from the tip, found by
-    doubling: after each round every vertex knows twice as much of the way.
+    A chain is a path: the step from a vertex to a neighbour has one next step, and every step
+    is told where its walk ends and how far that is by pointer doubling, so that rounds grow
+    with the logarithm of the longest leaf. Walks that end at the tip give the places.
     """
     labels = materialize(vertex_labels(vertices, edges).where("instance >= 0"), "leaf-labels")
     tips = degrees(vertices, edges).where("degree = 1").join(root(vertices), ["plant_id", "vertex_id"], "left_anti").join(labels, ["plant_id", "vertex_id"])
+    tips = tips.groupBy("plant_id", "instance").agg(F.min("vertex_id").alias("tip"))
     at = lambda end: labels.select("plant_id", F.col("vertex_id").alias(end), F.col("instance").alias(f"of_{end}"))
-    inner = edges.join(at("src"), ["plant_id", "src"]).join(at("dst"), ["plant_id", "dst"]).where("of_src = of_dst").select("plant_id", "src", "dst", F.col("of_src").alias("instance"))
-    both = materialize(inner.union(inner.select("plant_id", "dst", "src", "instance")), "leaf-steps")
-    found = materialize(tips.select("plant_id", "instance", "vertex_id", F.lit(0).alias("pos")), "leaf-found")
-    front = found
+    inner = edges.join(at("src"), ["plant_id", "src"]).join(at("dst"), ["plant_id", "dst"]).where("of_src = of_dst")
+    both = inner.select("plant_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(inner.select("plant_id", "dst", "src"))
+    both = materialize(both, "leaf-steps")
+    next_ = both.select("plant_id", F.col("a").alias("b"), F.col("b").alias("c"))
+    step = both.join(next_, ["plant_id", "b"], "left").where("c is null or c <> a")
+    # a step a -> b leads on to b -> c; the last one of a walk leads to itself
+    last = both.join(step.where("c is not null").select("plant_id", "a", "b"), ["plant_id", "a", "b"], "left_anti")
+    walk = step.where("c is not null").select("plant_id", "a", "b", F.col("b").alias("to_a"), F.col("c").alias("to_b"), F.lit(1).alias("far"))
+    walk = materialize(walk.unionByName(last.select("plant_id", "a", "b", F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.lit(0).alias("far"))), "leaf-walk")
     while True:
-        step = front.join(both.select("plant_id", F.col("src").alias("vertex_id"), F.col("dst").alias("next")), ["plant_id", "vertex_id"])
-        step = step.select("plant_id", "instance", F.col("next").alias("vertex_id"), (F.col("pos") + 1).alias("pos"))
-        front = materialize(step.join(found.select("plant_id", "vertex_id"), ["plant_id", "vertex_id"], "left_anti").select("plant_id", "instance", "vertex_id", "pos"), "leaf-front")
-        if front.limit(1).count() == 0:
-            return found.select("plant_id", F.col("instance").alias("branch_id"), "pos", "vertex_id")
-        found = materialize(found.unionByName(front), "leaf-found")
+        more = walk.select("plant_id", F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.col("to_a").alias("end_a"), F.col("to_b").alias("end_b"), F.col("far").alias("rest"))
+        longer = walk.join(more, ["plant_id", "to_a", "to_b"]).select("plant_id", "a", "b", F.col("end_a").alias("to_a"), F.col("end_b").alias("to_b"), (F.col("far") + F.col("rest")).alias("far"), (F.col("rest") > 0).alias("moved"))
+        before, walk = walk, materialize(longer, "leaf-walk")
+        discard(before)
+        if walk.where("moved").limit(1).count() == 0:
+            break
+    placed = walk.select("plant_id", F.col("a").alias("vertex_id"), F.col("to_b").alias("tip"), (F.col("far") + 1).alias("pos")).join(tips, ["plant_id", "tip"])
+    own = tips.select("plant_id", F.col("instance").alias("branch_id"), F.lit(0).alias("pos"), F.col("tip").alias("vertex_id"))
+    return own.unionByName(placed.select("plant_id", F.col("instance").alias("branch_id"), "pos", "vertex_id"))
 
 
 def edge_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ class Run:
 
     def _graph(self):
         at = self.tables["calibrated"]
-        tree = graph.point_spanning_tree(at)
+        tree = graph.euclidean_tree(at)
         return graph.initial_graph(at, materialize(tree, "stage-bottleneck"), self.config.normalize_length * self.config.graph_step)
 
     def _tree(self):

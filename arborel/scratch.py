@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborel-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -50,4 +50,16 @@ def materialize(df: DataFrame, label: str, free_shuffles: bool = False) -> DataF
             gc.collect()
             spark.sparkContext._jvm.System.gc()
             time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that a loop has finished with; what was derived from them must be written by now."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

@@ -107,6 +107,16 @@ def test_boruvka_is_kruskal(spark):
     assert got == want
 
 
+def test_euclidean_tree_is_prims(spark):
+    rng = random.Random(5)
+    rows = [(p, i, rng.gauss(0, s), rng.gauss(0, s), rng.gauss(0, 1)) for p, n, s in (("a", 60, 1), ("b", 25, 0.01), ("c", 2, 1), ("d", 1, 1)) for i in range(n)]
+    rows += [("e", i, float(i % 5), float(i // 5), 0.0) for i in range(20)] + [("f", i, 0.0, 0.0, 0.0) for i in range(3)] + [("g", i, 1.0 * i if i < 9 else 500.0, 0.0, 0.0) for i in range(10)]
+    p = spark.createDataFrame(rows, "plant_id string, point_id long, x double, y double, z double")
+    want = {tuple(r) for r in G.point_spanning_tree(p).collect()}
+    assert {tuple(r) for r in G.euclidean_tree(p).collect()} == want and len(want) == 59 + 24 + 1 + 19 + 2 + 9
+    assert G.euclidean_tree(p.limit(0)).count() == 0
+
+
 def test_components_and_projection(spark):
     v = spark.createDataFrame([("p", i, float(i), 0.0, 0.0) for i in range(6)], V)
     e = spark.createDataFrame([("p", 0, 1), ("p", 1, 2), ("p", 4, 5)], E)
