@@ -141,6 +141,10 @@ def mean_row_size(coo: DataFrame, points: DataFrame) -> DataFrame:
     return sizes.select("plant_id", (F.coalesce("entries", F.lit(0)) / F.col("n")).alias("mean_row_size"))
 
 
+#: Points of a plant up to which its system is solved as a full matrix.
+DENSE = 256
+
+
 def conjugate_gradients(apply, b: np.ndarray, x: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-7, most: int = 5000) -> np.ndarray:
     """Solve for three right-hand sides at once with a Jacobi preconditioner, from the guess x."""
     r = b - apply(x)
@@ -173,6 +177,10 @@ def solve_spd(coo: DataFrame, rhs: DataFrame) -> DataFrame:
         b = b.sort_values("row")
         ids = b["row"].to_numpy()
         i, j, v = np.searchsorted(ids, a["row"]), np.searchsorted(ids, a["col"]), a["val"].to_numpy(float)
+        if len(ids) <= DENSE:
+            dense = np.zeros((len(ids), len(ids)))
+            np.add.at(dense, (i, j), v)
+            return pd.DataFrame({"plant_id": b["plant_id"], "row": ids, "x": np.linalg.solve(dense, b["b"].to_numpy(float))})
         diagonal = np.bincount(i[i == j], v[i == j], len(ids))
         x = conjugate_gradients(lambda p: _scatter(len(ids), i, v[:, None] * p[j]), b[["b"]].to_numpy(float), np.zeros((len(ids), 1)), diagonal, 1e-10)
         return pd.DataFrame({"plant_id": b["plant_id"], "row": ids, "x": x[:, 0]})
@@ -210,7 +218,8 @@ def contract_once(points: DataFrame, weights: DataFrame, laplacian: DataFrame, c
 
         diagonal = np.bincount(lj, (wl**2)[li] * lv**2, n) + wh**2 + w2 * (np.bincount(di, minlength=n) + np.bincount(dj, minlength=n))
         b = (wh**2)[:, None] * at + w2 * (_scatter(n, di, e) - _scatter(n, dj, e))
-        x = conjugate_gradients(apply, b, at, diagonal)
+        # the product with the unit matrix is the matrix
+        x = np.linalg.solve(np.stack([apply(e[:, None])[:, 0] for e in np.eye(n)], axis=1), b) if n <= DENSE else conjugate_gradients(apply, b, at, diagonal)
         return pd.DataFrame({"plant_id": p["plant_id"].to_numpy(), "point_id": ids, "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
 
     kind = dict(points.dtypes)["plant_id"]
