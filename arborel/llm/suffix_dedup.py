@@ -332,13 +332,15 @@ def shard_strings(data: np.ndarray, window_at: np.ndarray, doc: np.ndarray, star
     group = np.cumsum(shared < WINDOW)
     listed = row[order]
     group, listed = group[listed >= 0], listed[listed >= 0]
-    by = listed[np.lexsort((start[listed], doc[listed], group))]
-    of = np.empty(len(window_at), dtype=np.int64)
-    of[listed] = group
-    turn = np.append(True, of[by][1:] != of[by][:-1])
-    least = by[np.maximum.accumulate(np.where(turn, np.arange(len(by)), 0))]
+    same = group[1:] == group[:-1]
+    several = np.append(same, False) | np.append(False, same)  # only strings that come up again need an order
+    group, listed = group[several], listed[several]
+    by = np.lexsort((start[listed], doc[listed], group))
+    group, listed = group[by], listed[by]
+    turn = np.append(True, group[1:] != group[:-1])
+    least = listed[np.maximum.accumulate(np.where(turn, np.arange(len(listed)), 0))] if len(listed) else listed
     first = np.ones(len(window_at), dtype=bool)
-    first[by] = (doc[by] == doc[least]) & (start[by] == start[least])
+    first[listed] = (doc[listed] == doc[least]) & (start[listed] == start[least])
     return first
 
 
