@@ -1,21 +1,30 @@
-"""Nearest neighbours by cosine over a hierarchical k-means tree.
-
-The tree is fitted on a bounded sample of unit vectors; every row is then filed under a leaf
-by descending to the nearest centroid. A query visits leaves best bin first: a priority queue
-holds tree nodes by distance, the nearest is opened, and each leaf that comes out is visited.
-How many leaves are visited is calibrated on the sample: visits widen until the share of true
-neighbours found reaches the target. A query whose leaves hold too few rows opens more.
-
-Neighbouring leaves form one of CELLS cells. A cell's rows are dealt into blocks of bounded
-size, and so are the queries that visit any of its leaves; where two blocks meet, each query
-is compared with its visited leaves only and k rows leave for it. A common vector that fills
-a leaf only adds blocks.
+"""Nearest neighbours by cosine over a hierarchical k-means tree that grows with the table.
+
+The top of the tree is fitted on a bounded sample of unit vectors; every row is filed under a
+leaf by descending to the nearest centroid. A leaf that then holds more than LEAF_MOST rows is
+split by a tree of its own, fitted on a bounded sample of its rows in the task that holds it,
+and so on: leaves stay small however large the table is, and no task and no driver holds the
+whole tree.
+
+A query visits leaves best bin first: a priority queue holds tree nodes by distance, the
+nearest is opened, and leaves come out in that order; where leaves have trees of their own,
+the query goes on in those and its nearest leaves of all are kept. How many leaves are visited
+is calibrated: the true neighbours of some random rows are found by comparison with all rows,
+and visits widen until the share of them that lies in visited leaves reaches the target. A
+query whose leaves hold too few rows opens more.
+
+Neighbouring leaves form a cell. A cell's rows are dealt into blocks of bounded size, and so
+are the queries that visit any of its leaves; where two blocks meet, each query is compared
+with its visited leaves only and k rows leave for it. A common vector that fills a leaf only
+adds blocks.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +33,18 @@ from pyspark.sql import functions as F
 
 from arborel.scratch import materialize
 
-#: Rows the tree is fitted on, children of a node, sample rows below which a node is a leaf.
+log = logging.getLogger("arborel")
+
+#: Rows the top of the tree is fitted on, children of a node, sample rows below which a node is a leaf.
 SAMPLE, BRANCH, LEAF_ROWS = 32_768, 16, 64
-#: Share of the sample's true neighbours that the calibrated number of visits must find.
-TARGET_RECALL, CALIBRATION_QUERIES = 0.985, 256
-#: Groups of neighbouring leaves; rows, and queries, that meet in one task step.
-CELLS, BLOCK, ASK_BLOCK = 32, 32_768, 4096
+#: Rows beyond which a leaf is split by its own tree, and about how many of them that is fitted on.
+LEAF_MOST, SUB_SAMPLE = 8192, 4096
+#: Share of the true neighbours that the calibrated number of visits must find, queries it is measured on, leaves that calibration looks at.
+TARGET_RECALL, CALIBRATION_QUERIES, MOST_VISITS = 0.97, 256, 4096
+#: Cells of the top's leaves at least, rows of one at most otherwise; rows, and queries, that meet in one task step.
+CELLS, CELL_ROWS, BLOCK, ASK_BLOCK = 32, 16_384, 32_768, 4096
+#: A leaf of the top is TOP + its number; a leaf below a leaf is that one's number times SUB, plus its own.
+TOP, SUB, DEPTH = 1 << 16, 1 << 12, 3
 
 
 class Tree:
@@ -37,7 +52,6 @@ class Tree:
 
     def __init__(self, points: np.ndarray, branch: int = BRANCH, leaf_rows: int = LEAF_ROWS, seed: int = 7):
         self.centroids, self.children, self.leaf = [points.mean(axis=0)], [[]], [-1]
-        self.visits = 0
         rng, work = np.random.default_rng(seed), [(0, points)]
         n_leaves = 0
         while work:
@@ -85,31 +99,18 @@ class Tree:
             work += [(int(kids[j]), rows[own == j]) for j in np.unique(own)]
         return out
 
-    def visit(self, query: np.ndarray, limit: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
-        """The first leaves that a best-bin-first traversal reaches: limit, and more until they hold `least` of the rows in held (by leaf)."""
+    def visit(self, query: np.ndarray, limit: int) -> list[tuple[float, int]]:
+        """(squared distance, leaf) of the first leaves that a best-bin-first traversal reaches."""
         distance = ((self.centroids - query) ** 2).sum(axis=1)
-        queue, found, rows = [(0.0, 0)], [], 0
-        while queue and (len(found) < limit or rows < least):
+        queue, found = [(0.0, 0)], []
+        while queue and len(found) < limit:
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
-                found.append(self.leaf[node])
-                rows += 0 if held is None else int(held[self.leaf[node]])
+                found.append((float(distance[node]), self.leaf[node]))
             for child in self.children[node]:
                 heapq.heappush(queue, (float(distance[child]), child))
         return found
 
-    def calibrate(self, points: np.ndarray, k: int, target: float = TARGET_RECALL, queries: int = CALIBRATION_QUERIES) -> int:
-        """Widen visits until the share of the sample's true k nearest that lie in visited leaves reaches target."""
-        own, places = self.assign(points), []
-        for i in np.linspace(0, len(points) - 1, min(queries, len(points))).astype(int):
-            order = {leaf: p for p, leaf in enumerate(self.visit(points[i], self.n_leaves))}
-            near = points @ points[i]
-            near[i] = -np.inf
-            places += [order[own[j]] for j in np.argsort(-near, kind="stable")[:k]]
-        places = np.sort(places)
-        self.visits = self.n_leaves if not len(places) else min(self.n_leaves, int(places[math.ceil(target * len(places)) - 1]) + 1)
-        return self.visits
-
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -128,8 +129,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return picked.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
 
 
-def fit_tree(rows: DataFrame, k: int, sample: int = SAMPLE) -> tuple[Tree, int] | None:
-    """A calibrated tree and the vectors' length, from at most `sample` rows with the smallest hashes of the id; None without rows."""
+def fit_top(rows: DataFrame, sample: int = SAMPLE) -> tuple[Tree, int, list, int] | None:
+    """The top tree, the vectors' length, calibration queries (id, vector) and the number of rows.
+
+    The tree is fitted on at most `sample` rows with the smallest hashes of the id, and the
+    first of those are the calibration queries. None without rows.
+    """
     n = rows.count()
     if not n:
         return None
@@ -144,14 +149,145 @@ def fit_tree(rows: DataFrame, k: int, sample: int = SAMPLE) -> tuple[Tree, int]
     ids = table.column("vec_id").to_numpy()
     order = np.lexsort((ids, table.column("coin").to_numpy()))
     picked = np.array([i for i in order if len(lists[i]) == dim][:sample])
-    points = _unit(np.array([lists[i] for i in picked[np.argsort(ids[picked], kind="stable")]], dtype=np.float64))
-    tree = Tree(points)
-    tree.calibrate(points, k)
-    return tree, dim
+    asked = [(int(ids[i]), lists[i]) for i in picked[:CALIBRATION_QUERIES]]
+    return Tree(_unit(np.array([lists[i] for i in picked[np.argsort(ids[picked], kind="stable")]], dtype=np.float64))), dim, asked, n
+
+
+def _packed(ids: list, leaves: list, distances: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(distances, pa.float64())], schema=schema)
+
+
+_ROUTES = pa.schema([("query_id", pa.int64()), ("leaf", pa.int64()), ("distance", pa.float64())])
+_ROUTES_DDL = "query_id long, leaf long, distance double"
+
+
+class Index:
+    """Rows filed under the leaves of a top tree and of the trees below it."""
+
+    def __init__(self, rows: DataFrame, top: Tree):
+        """rows(vec_id, vector) of one length."""
+        self.top, self.levels = top, []
+
+        def file(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(TOP + top.assign(_unit(_matrix(batch.column(1)))))], ["vec_id", "vector", "leaf"])
+
+        self.filed = materialize(rows.mapInArrow(file, "vec_id long, vector array<double>, leaf long"), "ann-leaves")
+        self._count()
+        tried = None
+        for _ in range(DEPTH):
+            over = self.sizes.where(F.col("n") > LEAF_MOST)
+            over = over if tried is None else over.join(tried, "leaf", "left_anti")
+            if over.isEmpty():
+                break
+            tried = over.select("leaf") if tried is None else tried.unionByName(over.select("leaf"))
+            self._split(over)
+
+    def _count(self) -> None:
+        self.sizes = materialize(self.filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "ann-sizes")
+
+    def _split(self, over: DataFrame) -> None:
+        """Give each of the leaves over(leaf, n) a tree of its own, and file its rows anew."""
+        trees = pa.schema([("leaf", pa.int64()), ("tree", pa.binary())])
+        moved = pa.schema([("vec_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("leaf", pa.int64())])
+
+        def fit(held: pa.Table) -> pa.Table:
+            tree = Tree(_unit(_matrix(held.column("vector").combine_chunks())))
+            rows = [(held.column("leaf")[0].as_py(), pickle.dumps(tree))] if 1 < tree.n_leaves <= SUB else []
+            return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary()))], schema=trees)
+
+        def assign(held: pa.Table, own: pa.Table) -> pa.Table:
+            if not held.num_rows or not own.num_rows:
+                return moved.empty_table()
+            tree = pickle.loads(own.column("tree")[0].as_py())
+            leaf = held.column("leaf").to_numpy() * SUB + tree.assign(_unit(_matrix(held.column("vector").combine_chunks())))
+            return pa.table([held.column("vec_id"), held.column("vector"), pa.array(leaf)], schema=moved)
+
+        coin = F.pmod(F.xxhash64("vec_id", F.lit("split")), F.lit(1 << 30))
+        sample = self.filed.join(over, "leaf").where(coin < F.lit(float(1 << 30)) * SUB_SAMPLE / F.col("n")).select("leaf", "vector")
+        below = materialize(sample.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"), "ann-trees")
+        parts = materialize(over.join(below.select("leaf"), "leaf").select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "ann-parts")
+        left = self.filed.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "vector")
+        right = below.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tree")
+        again = left.repartition("leaf", "part").groupBy("leaf", "part").cogroup(right.repartition("leaf", "part").groupBy("leaf", "part"))
+        again = again.applyInArrow(assign, "vec_id long, vector array<double>, leaf long")
+        self.filed = materialize(self.filed.join(parts, "leaf", "left_anti").select("vec_id", "vector", "leaf").unionByName(again), "ann-leaves")
+        self.levels.append(below)
+        self._count()
+
+    def routes(self, asked: DataFrame, most: int) -> DataFrame:
+        """(query_id, leaf, distance, n, place) of the `most` nearest leaves of each row of asked(query_id, vector), from place 1 on; n is the leaf's rows."""
+        top = self.top
+
+        def start(batches):
+            for batch in batches:
+                out: list[list] = [[], [], []]
+                for query_id, unit in zip(batch.column(0).to_pylist(), _unit(_matrix(batch.column(1))) if batch.num_rows else ()):
+                    for distance, leaf in top.visit(unit, most):
+                        for column, value in zip(out, (query_id, TOP + leaf, distance), strict=True):
+                            column.append(value)
+                yield _packed(*out, _ROUTES)
+
+        def go_on(asks: pa.Table, own: pa.Table) -> pa.Table:
+            out: list[list] = [[], [], []]
+            if asks.num_rows and own.num_rows:
+                tree, leaf = pickle.loads(own.column("tree")[0].as_py()), own.column("leaf")[0].as_py()
+                for query_id, unit in zip(asks.column("query_id").to_pylist(), _unit(_matrix(asks.column("vector").combine_chunks())), strict=True):
+                    for distance, sub in tree.visit(unit, most):
+                        for column, value in zip(out, (query_id, leaf * SUB + sub, distance), strict=True):
+                            column.append(value)
+            return pa.Table.from_batches([_packed(*out, _ROUTES)])
+
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "leaf"))
+        found = asked.mapInArrow(start, _ROUTES_DDL)
+        for below in self.levels:
+            found = materialize(found, "ann-routes")
+            hit = found.join(below.select("leaf"), "leaf", "left_semi")
+            parts = materialize(hit.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ASK_BLOCK).cast("int").alias("parts")), "ann-parts")
+            left = hit.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id").join(asked, "query_id")
+            right = below.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tree")
+            opened = left.repartition("leaf", "part").groupBy("leaf", "part").cogroup(right.repartition("leaf", "part").groupBy("leaf", "part")).applyInArrow(go_on, _ROUTES_DDL)
+            found = found.join(below.select("leaf"), "leaf", "left_anti").select("query_id", "leaf", "distance").unionByName(opened)
+            found = found.withColumn("place", place).where(F.col("place") <= most).drop("place")
+        return found.join(self.sizes, "leaf").withColumn("place", place)
+
+    def calibrate(self, queries: list, k: int, target: float) -> int:
+        """Leaves to visit so that the target share of the queries' true k nearest, found among all rows, lies in them."""
+        ids = np.array([i for i, _ in queries])
+        units = _unit(np.array([v for _, v in queries], dtype=np.float64))
+        schema = pa.schema([("query_id", pa.int64()), ("leaf", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64())])
+
+        def nearest(batches):
+            best = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.float64, np.int64)]  # query, leaf, score, vec_id
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                vec, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                score = units @ _unit(_matrix(batch.column(1))).T
+                score[vec[None] == ids[:, None]] = -np.inf
+                top = np.argpartition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
+                query = np.repeat(np.arange(len(ids)), top.shape[1])
+                rows = top.ravel()
+                best = [np.concatenate(p) for p in zip(best, (query, leaf[rows], score[query, rows], vec[rows]), strict=True)]
+                order = np.lexsort((best[3], -best[2], best[0]))
+                at = np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order])
+                best = [b[order[at < k]] for b in best]
+            sure = best[2] > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0][sure]], pa.int64()), *(pa.array(b[sure]) for b in best[1:])], schema=schema)
+
+        found = self.filed.mapInArrow(nearest, "query_id long, leaf long, score double, vec_id long")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        true = found.withColumn("rank", rank).where(F.col("rank") <= k)
+        asked = self.filed.sparkSession.createDataFrame(queries, "query_id long, vector array<double>")
+        seen = true.join(self.routes(asked, MOST_VISITS), ["query_id", "leaf"], "left")
+        # k rows for each calibration query
+        places = sorted(r.place or MOST_VISITS for r in seen.select("place").collect())
+        return places[math.ceil(target * len(places)) - 1] if places else 1
 
 
 def search(
-    vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE
+    vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = TARGET_RECALL
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds.
 
@@ -164,46 +300,34 @@ def search(
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vector_col)
-    fitted = fit_tree(rows, k, sample)
+    fitted = fit_top(rows, sample)
     if fitted is None:
         return spark.createDataFrame([], schema)
-    tree, dim = fitted
+    top, dim, queries, n = fitted
     rows = rows.where(F.size("vector") == dim)
-
-    cells = min(CELLS, tree.n_leaves)
-
-    def file(batches):
-        for batch in batches:
-            if batch.num_rows:
-                leaf = tree.assign(_unit(_matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf), pa.array(leaf * cells // tree.n_leaves)], ["vec_id", "vector", "leaf", "cell"])
-
-    def plan(batches):
-        for batch in batches:
-            rows: list[list] = [[], [], []]
-            for i, unit in enumerate(_unit(_matrix(batch.column(1))) if batch.num_rows else ()):
-                visits = np.sort(tree.visit(unit, tree.visits, sizes, k + 1))
-                for own in np.split(visits, np.flatnonzero(np.diff(visits * cells // tree.n_leaves)) + 1):
-                    for column, value in zip(rows, (i, int(own[0]) * cells // tree.n_leaves, own), strict=True):
-                        column.append(value)
-            at = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], ["query_id", "vector", "cell", "leaves"])
-
-    filed = materialize(rows.mapInArrow(file, "vec_id long, vector array<double>, leaf long, cell long"), "ann-leaves")
-    # one row a leaf, however many rows there are; a query's own row is one of its leaves' rows
-    sizes = np.zeros(tree.n_leaves, dtype=np.int64)
-    for leaf, held in filed.groupBy("leaf").count().collect():
-        sizes[leaf] = held
-    asked = rows.where(is_query(F.col("vec_id"))).mapInArrow(plan, "query_id long, vector array<double>, cell long, leaves array<long>")
-    asked = materialize(asked, "ann-visits")
+    index = Index(rows, top)
+    visits = index.calibrate(queries, k, recall)
+    log.info("a query visits %d leaves of %d in the top and %d levels below it", visits, top.n_leaves, len(index.levels))
+
+    # every leaf holds a row, so k + 1 more than the visits are enough for a query to find k others
+    asked = materialize(rows.where(is_query(F.col("vec_id"))).withColumnRenamed("vec_id", "query_id"), "ann-asked")
+    ahead = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    routes = index.routes(asked, visits + k + 1).withColumn("held", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    routes = routes.where((F.col("place") <= visits) | (F.col("held") <= k))
+    cells = min(top.n_leaves, max(CELLS, -(-n // CELL_ROWS)))
+    # leaves of the top lie side by side where their numbers do, other leaves below one leaf
+    cell = F.when(F.col("leaf") < 2 * TOP, -1 - F.floor((F.col("leaf") - TOP) * cells / top.n_leaves)).otherwise(F.floor(F.col("leaf") / SUB)).cast("long")
+    visited = routes.withColumn("cell", cell).groupBy("query_id", "cell").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    visited = materialize(visited.join(asked, "query_id"), "ann-visits")
+    filed = index.filed.withColumn("cell", cell)
     count = lambda df, block, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    # one row a cell: CELLS at most, whatever the input
-    blocks = F.broadcast(count(filed, BLOCK, "n_rows").join(count(asked, ASK_BLOCK, "n_queries"), "cell"))
+    blocks = materialize(count(filed, BLOCK, "n_rows").join(count(visited, ASK_BLOCK, "n_queries"), "cell"), "ann-blocks")
+    keys = ["cell", "part", "ask"]
     left = filed.join(blocks, "cell").select(
         "cell", F.pmod(F.xxhash64("vec_id"), F.col("n_rows")).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("ask"), "vec_id", "vector", "leaf",
     )
-    right = asked.join(blocks, "cell").select(
+    right = visited.join(blocks, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("part"),
         F.pmod(F.xxhash64("query_id"), F.col("n_queries")).cast("int").alias("ask"), "query_id", "vector", "leaves",
     )
@@ -229,7 +353,8 @@ def search(
                 column.extend(values)
         return pa.table(found, schema=out)
 
-    pairs = left.groupBy("cell", "part", "ask").cogroup(right.groupBy("cell", "part", "ask"))
+    # dealt by all three keys: by the cell alone, all its blocks would meet in one task
+    pairs = left.repartition(*keys).groupBy(*keys).cogroup(right.repartition(*keys).groupBy(*keys))
     near = pairs.applyInArrow(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

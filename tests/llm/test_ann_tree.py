@@ -1,13 +1,16 @@
 """Tree search against brute force."""
 
 import math
+import os
 import random
 
 import numpy as np
+import pytest
 
 from arborel.llm import ann_tree
 from arborel.llm.ann_tree import Tree, _unit, cosine, search
 
+DATA = "/root/testdata/sf0.01"
 SCHEMA = "vec_id long, embedding array<float>, leaf string, score int"
 
 
@@ -59,8 +62,43 @@ def test_small_tables(spark):
     assert search(df.where("vec_id = 0"), lambda c: c % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 3])
+def test_the_tree_grows_with_the_table(spark, monkeypatch, depth):
+    """Leaves beyond LEAF_MOST get trees of their own, level by level, and recall holds."""
+    for name, value in (("LEAF_MOST", 100), ("SUB_SAMPLE", 200), ("BLOCK", 100), ("ASK_BLOCK", 7), ("DEPTH", depth)):
+        monkeypatch.setattr(ann_tree, name, value)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 8))
+    rows = [(i, np.float32(centers[i % 40] + 0.3 * rng.normal(size=8)).tolist(), "", 1) for i in range(6000)] + [(7000 + i, [1.0] * 8, "", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    index = ann_tree.Index(ann_tree.usable(df, "vec_id", "embedding"), ann_tree.fit_top(ann_tree.usable(df, "vec_id", "embedding"), 500)[0])
+    assert 1 <= len(index.levels) <= depth and index.filed.count() == len(rows) and index.filed.select("vec_id").distinct().count() == len(rows)
+    if depth > 1:
+        assert index.sizes.where("n > 100").count() == 1  # equal vectors cannot be split
+    got = {}
+    for r in search(df, lambda c: c % 50 == 0, sample=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute([r[:2] for r in rows], {r[0] for r in rows if r[0] % 50 == 0}, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_recall_on_embeddings(spark):
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in table.select("vec_id", "embedding").collect()]
+    want = brute(rows, {i for i, _ in rows if i % 50 == 0}, 5)
+    got = {}
+    for r in ann_tree.op9_nearest_neighbours(spark, DATA).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(want)
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+    scores = {q: dict(w) for q, w in want.items()}
+    assert all(math.isclose(s, scores[q][v], rel_tol=1e-12) for q in got for v, s in got[q] if v in scores[q])
+
+
 def test_small_leaves_give_k(spark, monkeypatch):
-    monkeypatch.setattr(Tree, "calibrate", lambda self, points, k: setattr(self, "visits", 1))
+    monkeypatch.setattr(ann_tree.Index, "calibrate", lambda self, *args: 1)
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(12, 8))
     rows = [(i, np.float32(centers[i % 12] + 0.01 * rng.normal(size=8)).tolist(), "", 1) for i in range(600)]
@@ -83,13 +121,15 @@ def test_sample_is_cut_by_hash(spark, monkeypatch):
 
     monkeypatch.setattr(ann_tree, "Tree", Seen)
     df = spark.createDataFrame([(i, [math.cos(i / 2000), math.sin(i / 2000)], "", 1) for i in range(2000)], "vec_id long, vector array<double>, leaf string, score int")
-    ann_tree.fit_tree(df, 5, sample=500)
+    ann_tree.fit_top(df, sample=500)
     assert len(seen) == 500 and sum(i > 1899.5 for i in seen) >= 10
 
 
-def test_visits_widen_with_the_target():
+def test_visits_widen_with_the_target(spark):
     points = _unit(np.random.default_rng(0).normal(size=(4000, 16)))
-    tree = Tree(points)
-    assert tree.calibrate(points, 5, 0.5) < tree.calibrate(points, 5, 0.95) <= tree.n_leaves
-    assert sorted(tree.visit(points[0], tree.n_leaves)) == list(range(tree.n_leaves))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, vector array<double>")
+    tree, _, queries, n = ann_tree.fit_top(df)
+    index = ann_tree.Index(df, tree)
+    assert n == 4000 and index.calibrate(queries, 5, 0.5) < index.calibrate(queries, 5, 0.95) <= tree.n_leaves
+    assert sorted(leaf for _, leaf in tree.visit(points[0], tree.n_leaves)) == list(range(tree.n_leaves))
     assert Tree(np.repeat(points[:1], 500, axis=0)).n_leaves == 1
