@@ -6,11 +6,12 @@ import logging
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arborel.config import Config
 from arborel.operators import cloud, contraction, graph
 from arborel.scratch import materialize
-from arborel.sources import ply
+from arborel.sources import inputs, ply
 
 log = logging.getLogger("arborel")
 
@@ -30,6 +31,11 @@ class Run:
         self.tables: dict[str, DataFrame | tuple] = {}
         self.timings: list[tuple[str, float]] = []
 
+    @classmethod
+    def of(cls, spark: SparkSession, config: Config) -> Run:
+        """A run over the configured input, with its labels."""
+        return cls(inputs.load(spark, config), config)
+
     def until(self, stage: str) -> Run:
         for name in STAGES[: STAGES.index(stage) + 1]:
             if name not in self.tables:
@@ -83,7 +89,36 @@ class Run:
     def stage_metrics(self) -> DataFrame:
         return self.spark.createDataFrame(self.timings, "stage string, seconds double")
 
-    def write(self, folder: str) -> DataFrame:
-        """PLY files of the result, one a plant, as <plant>_Result.ply."""
+    def normalization(self) -> DataFrame:
+        """(plant_id, cx, cy, cz, scale): what the input was moved and scaled by."""
+        return self.tables["input"].select("plant_id", "cx", "cy", "cz", "scale").distinct()
+
+    def write(self, folder: str | None = None) -> DataFrame:
+        """Everything the run made, below folder (the configured output by default); (plant_id, path, n) of the results.
+
+        <plant>_Result.ply has the labelled cloud; 1_Input to 7_Segmented hold each stage's
+        PLY files, one a plant; iterations/<n> the contraction's snapshots as
+        cpts_<n> files; tables each stage as Parquet, by name; config.json the parameters and
+        normalization the plants' centres and scales. The configured mode says whether a
+        folder that holds something is an error.
+        """
         self.until("result")
+        folder = inputs.prepare_folder(self.spark, (folder or self.config.output).rstrip("/"), self.config.output_mode)
+        own = [c for c in ("semantic", "instance") if c in self.tables["input"].columns]
+        clouds = [("1_Input", self.tables["input"], own), ("2_Sampled", self.tables["sampled"].withColumn("point_id", F.col("pos")), []), ("3_Calibrated", self.tables["calibrated"], [])]
+        for name, points, columns in clouds:
+            ply.write_clouds(points, f"{folder}/{name}", "{plant}.ply", self.config.binary, columns).collect()
+        graphs = [("4_Graph", self._vertices(), self.tables["graph"], False), ("5_Tree", self._vertices(), self.tables["tree"], False), ("6_Pruned", *self.tables["pruned"], False), ("7_Segmented", *self.tables["segmented"], True)]
+        for name, vertices, edges, labels in graphs:
+            ply.write_graphs(vertices, edges, f"{folder}/{name}", "{plant}.ply", self.config.binary, labels).collect()
+        snapshots = self.tables["contracted"][2]
+        # at most max_iterations + 1 numbers
+        for (step,) in snapshots.select("iter").distinct().orderBy("iter").collect():
+            shot = snapshots.where(F.col("iter") == step).withColumnRenamed("smooth_sigma", "smooth-sigma")
+            ply.write_clouds(shot, f"{folder}/iterations/{step}", "{plant}_" + f"cpts_{step}.ply", self.config.binary, ["smooth-sigma"] if step else []).collect()
+        for name, made in self.tables.items():
+            for i, df in enumerate(made if isinstance(made, tuple) else (made,)):
+                df.write.mode("overwrite").parquet(f"{folder}/tables/{name}" + (f"-{i}" if isinstance(made, tuple) else ""))
+        self.normalization().write.mode("overwrite").json(f"{folder}/normalization")
+        inputs.write_text(self.spark, f"{folder}/config.json", self.config.dump())
         return ply.write_clouds(self.tables["result"], folder, "{plant}_Result.ply", self.config.binary, ["pred-semantic", "pred-instance"])

@@ -98,3 +98,10 @@ def test_a_whole_run(spark, tmp_path):
     assert [(r.iter, r.done) for r in log[:2]] == [(0, False), (1, False)] and log[0].ratio == 1.0
     assert run.tables["contracted"][2].groupBy("iter").count().count() == sum(not r.done for r in log)
     assert run.write(str(tmp_path)).first().n == 180 and (tmp_path / "y_Result.ply").exists()
+    assert Config.load((tmp_path / "config.json").read_text()) == config and run.normalization().count() == 1
+    assert all((tmp_path / name / "y.ply").exists() for name in ("1_Input", "2_Sampled", "3_Calibrated", "4_Graph", "5_Tree", "6_Pruned", "7_Segmented"))
+    kept = sum(not r.done for r in log)
+    assert sorted(p.name for p in (tmp_path / "iterations").iterdir()) == [str(i) for i in range(kept)] and (tmp_path / "iterations" / "1" / "y_cpts_1.ply").exists()
+    assert spark.read.parquet(str(tmp_path / "tables" / "tree")).count() == 44
+    with pytest.raises(ValueError, match="not empty"):
+        run.write(str(tmp_path))
