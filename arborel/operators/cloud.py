@@ -7,11 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborel.functions.geometry import xyz
+from arborel.functions.geometry import dist2, xyz
 from arborel.operators.spatial import knn_join, nearest_join
 from arborel.scratch import materialize
 
 
+#: Points of a plant up to which farthest points are chosen in one task, and rounds between two written tables beyond.
+KERNEL_POINTS, WRITE_EVERY = 65_536, 16
+
+
 def normalize(points: DataFrame, length: float = 1.6) -> DataFrame:
     """points centred on their box and scaled so that the longest extent is `length`; adds cx, cy, cz, scale.
 
@@ -90,9 +94,52 @@ def farthest_points(points: DataFrame, m: int | None = None, ratio: float | None
     """(plant_id, pos, point_id, x, y, z): m points (or ratio of all) in the order of farthest-point sampling.
 
     The first is row 42 mod n by point_id; each next is farthest from those chosen, ties to
-    the smaller id. m = n keeps the order of ids; n < m is an error. The choice is sequential,
-    so one task holds one plant's coordinates, about 24 bytes a point.
+    the smaller id. m = n keeps the order of ids; n < m is an error. The choice is sequential:
+    one task takes a plant of up to KERNEL_POINTS points, and larger ones advance in rounds of
+    one aggregate over all their points each, with the same result.
     """
+    sizes = materialize(points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")), "far-sizes")
+    picked = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
+    large = sizes.where(F.col("n") > KERNEL_POINTS)
+    if large.isEmpty():
+        return _far_in_one_task(picked, m, ratio)
+    small = picked.join(large, "plant_id", "left_anti")
+    return _far_in_rounds(picked.join(large, "plant_id"), m, ratio).unionByName(_far_in_one_task(small, m, ratio))
+
+
+def _far_in_rounds(points: DataFrame, m: int | None, ratio: float | None) -> DataFrame:
+    """farthest_points of points with n, their plant's number of points, above 42."""
+    want = F.lit(m) if m is not None else F.floor(F.lit(ratio) * F.col("n") + 0.5)
+    columns = ["plant_id", "pos", "point_id", "x", "y", "z"]
+    state = materialize(points.withColumns({"want": want.cast("long"), "far": F.lit(float("inf"))}), "far-state")
+    if state.where("want > n").limit(1).count():
+        raise ValueError("a plant has fewer points than are wanted")
+    rank = F.row_number().over(Window.partitionBy("plant_id").orderBy("point_id"))
+    last = state.withColumn("_rank", rank).where(F.col("_rank") == 43).withColumn("pos", F.lit(0).cast("long")).select(*columns, "want")
+    found = last = materialize(last, "far-picked")
+    pending = [last]
+    while True:
+        # those chosen since the table was last written, one row a plant
+        new = pending[0]
+        for df in pending[1:]:
+            new = new.unionByName(df)
+        new = new.groupBy("plant_id").agg(F.collect_list(F.struct("point_id", "x", "y", "z")).alias("new"), F.max("pos").alias("pos"))
+        away = F.array_min(F.transform("new", lambda s: dist2(xyz(), (s["x"], s["y"], s["z"]))))
+        taken = F.exists("new", lambda s: s["point_id"] == F.col("point_id")) | (F.col("far") < 0)
+        moved = state.join(new, "plant_id").where("pos + 1 < want").withColumn("far", F.when(taken, F.lit(-1.0)).otherwise(F.least("far", away)))
+        if len(pending) == WRITE_EVERY:
+            state = materialize(moved.drop("new", "pos"), "far-state")
+            moved = state.join(last.select("plant_id", "pos"), "plant_id")
+            pending = []
+        best = moved.groupBy("plant_id", "pos", "want").agg(F.max(F.struct("far", (-F.col("point_id")).alias("id"), "point_id", "x", "y", "z")).alias("b"))
+        last = materialize(best.select("plant_id", (F.col("pos") + 1).alias("pos"), "b.point_id", "b.x", "b.y", "b.z", "want"), "far-picked")
+        if last.limit(1).count() == 0:
+            return found.where("pos < want").select(*columns)
+        pending.append(last)
+        found = found.unionByName(last)
+
+
+def _far_in_one_task(points: DataFrame, m: int | None, ratio: float | None) -> DataFrame:
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id", kind="stable")
@@ -115,8 +162,7 @@ def farthest_points(points: DataFrame, m: int | None = None, ratio: float | None
         return out
 
     kind = dict(points.dtypes)["plant_id"]
-    picked = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
-    return picked.groupBy("plant_id").applyInPandas(pick, f"plant_id {kind}, pos long, point_id long, x double, y double, z double")
+    return points.groupBy("plant_id").applyInPandas(pick, f"plant_id {kind}, pos long, point_id long, x double, y double, z double")
 
 
 def uniform_downsample(points: DataFrame, n: int, tolerance: float = 0.05, max_rounds: int = 24) -> DataFrame:

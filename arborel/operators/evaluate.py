@@ -148,10 +148,21 @@ def forward_distances(cloud: DataFrame, vertices: DataFrame, edges: DataFrame, s
 
 
 def index_percentile(values: DataFrame, value: str, share: float = 0.9) -> DataFrame:
-    """(plant_id, p): the element at index floor(share * n) of the sorted values; no interpolation."""
-    w = Window.partitionBy("plant_id")
-    ranked = values.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") * F.lit(share)) + 1).select("plant_id", F.col(value).alias("p"))
+    """(plant_id, p): the element at index floor(share * n) of the sorted values; no interpolation. Nulls are left out.
+
+    Values are counted and their counts dealt out by range; sums say which range of a plant
+    holds the index, and only that one is sorted. No task takes a whole plant.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy("plant_id", F.col(value).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = materialize(counts.repartitionByRange(parts, "plant_id", "p").withColumn("_part", F.spark_partition_id()), "percentile")
+    plant = Window.partitionBy("plant_id")
+    before = plant.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.groupBy("plant_id", "_part").agg(F.sum("c").alias("n"))
+    placed = sums.select("plant_id", "_part", "n", F.floor(F.sum("n").over(plant) * F.lit(share)).alias("index"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    chosen = placed.where("ahead <= index and index < ahead + n").select("plant_id", "_part", (F.col("index") - F.col("ahead")).alias("index"))
+    upto = F.sum("c").over(Window.partitionBy("plant_id", "_part").orderBy("p"))
+    return spread.join(chosen, ["plant_id", "_part"]).withColumn("upto", upto).where("upto > index").groupBy("plant_id").agg(F.min("p").alias("p"))
 
 
 def skeleton_metrics(cloud: DataFrame, vertices: DataFrame, edges: DataFrame, interval: float | None = None) -> DataFrame:

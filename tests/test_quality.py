@@ -35,6 +35,15 @@ def test_skeleton_distance_of_a_known_line(spark):
     assert (m.forward_mean, m.forward_90th, m.reverse_mean, m.chamfer) == (1.0, 1.0, 1.0, 1.0)
 
 
+def test_index_percentile_with_ties(spark):
+    rng = random.Random(3)
+    rows = [(p, float(rng.randrange(k))) for p, n, k in (("a", 500, 7), ("b", 1, 3), ("c", 333, 10_000), ("d", 90, 1)) for _ in range(n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "plant_id string, v double").repartition(3)
+    for share in (0.0, 0.5, 0.9):
+        want = {p: sorted(v for q, v in rows if q == p and v is not None)[int(share * sum(q == p and v is not None for q, v in rows))] for p in "abcd"}
+        assert {r.plant_id: r.p for r in evaluate.index_percentile(df, "v", share).collect()} == want
+
+
 def test_one_ring_is_delaunay():
     rng = np.random.default_rng(4)
     for _ in range(30):

@@ -81,6 +81,19 @@ def test_normalize_by_longest_extent(spark):
     assert (one.x, one.scale) == (0.0, 1.0)
 
 
+@pytest.mark.parametrize("options", [{"m": 12}, {"ratio": 0.2}])
+def test_farthest_points_in_rounds(spark, monkeypatch, options):
+    rng = random.Random(9)
+    rows = [(p, i * 3, rng.random(), rng.random(), rng.random()) for p, n in (("a", 70), ("b", 55), ("c", 20)) for i in range(n)] + [("d", i, float(i % 2), 0.0, 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, cloud.farthest_points(df, **options).collect()))
+    monkeypatch.setattr(cloud, "KERNEL_POINTS", 50)
+    monkeypatch.setattr(cloud, "WRITE_EVERY", 5)
+    assert sorted(map(tuple, cloud.farthest_points(df, **options).collect())) == want
+    with pytest.raises(ValueError):
+        cloud.farthest_points(df, m=58)
+
+
 def test_sphere(spark):
     rows = cloud.debug_sphere().collect()
     assert len(rows) == 19 * 37 and all(abs(r.x**2 + r.y**2 + r.z**2 - 1) < 1e-12 for r in rows)
