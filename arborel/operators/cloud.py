@@ -12,6 +12,8 @@ from arborel.operators.spatial import knn_join, nearest_join
 from arborel.scratch import materialize
 
 
+#: Halvings of the voxel size in one job.
+LEVELS = 4
 #: Points of a plant up to which farthest points are chosen in one task, and rounds between two written tables beyond.
 KERNEL_POINTS, WRITE_EVERY = 65_536, 16
 
@@ -179,18 +181,28 @@ def uniform_downsample(points: DataFrame, n: int, tolerance: float = 0.05, max_r
         raise ValueError(f"a plant has fewer than {n} points")
     same = points.join(sizes.where(F.col("n") == n).select("plant_id"), "plant_id", "left_semi")
     state = sizes.where(F.col("n") > n).select("plant_id", F.lit(0.0).alias("low"), (F.col("extent") + 1e-12).alias("high"), F.lit(0.0).alias("best"))
-    for _ in range(max_rounds):
-        step = state.withColumn("size", (F.col("low") + F.col("high")) / 2)
-        voxels = points.join(step.where("low < high").select("plant_id", "size"), "plant_id").select("plant_id", *[F.floor(F.col(a) / F.col("size")).alias(f"v{a}") for a in "xyz"]).distinct()
-        counts = voxels.groupBy("plant_id").agg(F.count(F.lit(1)).alias("kept"))
-        enough, close = F.col("kept") >= n, F.col("kept") <= n * (1 + tolerance)
-        step = step.join(counts, "plant_id", "left")
-        step = step.select(
-            "plant_id",
-            F.when(F.col("kept").isNull(), F.col("low")).when(enough, F.col("size")).otherwise(F.col("low")).alias("low"),
-            F.when(F.col("kept").isNull(), F.col("high")).when(enough & close, F.col("size")).when(enough, F.col("high")).otherwise(F.col("size")).alias("high"),
-            F.when(F.col("kept").isNotNull() & enough, F.col("size")).otherwise(F.col("best")).alias("best"),
-        )
+    # a job counts all the sizes that LEVELS halvings may come to
+    ends = 1 << LEVELS
+    tried: dict = {0: F.col("low"), ends: F.col("high")}
+    for width in (ends >> level for level in range(LEVELS)):
+        tried |= {at + width // 2: (tried[at] + tried[at + width]) / 2 for at in range(0, ends, width)}
+    for _ in range(max_rounds // LEVELS):
+        step = state.withColumn("sizes", F.array(*[tried[i] for i in range(ends + 1)]))
+        sizes_of = step.where("low < high").select("plant_id", F.explode(F.sequence(F.lit(1), F.lit(ends - 1))).alias("i"), "sizes").select("plant_id", "i", F.element_at("sizes", F.col("i") + 1).alias("size"))
+        voxels = points.join(sizes_of, "plant_id").select("plant_id", "i", *[F.floor(F.col(a) / F.col("size")).alias(f"v{a}") for a in "xyz"]).distinct()
+        counts = voxels.groupBy("plant_id", "i").agg(F.count(F.lit(1)).alias("kept")).groupBy("plant_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "kept"))).alias("kept"))
+        step = step.join(counts, "plant_id", "left").withColumns({"a": F.lit(0), "b": F.when(F.col("kept").isNull(), 0).otherwise(ends), "m": F.lit(-1)})
+        for _ in range(LEVELS):
+            middle = ((F.col("a") + F.col("b")) / 2).cast("int")
+            kept = F.coalesce(F.element_at("kept", middle), F.lit(0))
+            enough, still = kept >= n, F.col("a") < F.col("b")
+            step = step.withColumns({
+                "a": F.when(still & enough, middle).otherwise(F.col("a")),
+                "b": F.when(still & (~enough | (kept <= n * (1 + tolerance))), middle).otherwise(F.col("b")),
+                "m": F.when(still & enough, middle).otherwise(F.col("m")),
+            })
+        size = lambda at: F.element_at("sizes", F.col(at) + 1)
+        step = step.select("plant_id", *[F.when(F.col("kept").isNull(), F.col(c)).otherwise(size(at)).alias(c) for c, at in (("low", "a"), ("high", "b"))], F.when(F.col("m") >= 0, size("m")).otherwise(F.col("best")).alias("best"))
         state = materialize(step, "down-state")
         if state.where("low < high").limit(1).count() == 0:
             break

@@ -147,7 +147,21 @@ def fps_50(spark, d):
     return C.farthest_points(_one(spark, d), m=50).select("pos", "point_id")
 
 
-@_query()
+SIZE = "((b.low + b.high) / 2)"
+
+
+@_query(f"""WITH RECURSIVE {PLANTS}, sizes AS (SELECT plant_id, count(*) AS n, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent FROM plants GROUP BY plant_id),
+ halved(plant_id, round, low, high, best) AS (SELECT plant_id, 0, 0.0::DOUBLE, extent + 1e-12, 0.0::DOUBLE FROM sizes WHERE n > 24 UNION ALL
+  SELECT plant_id, round + 1, CASE WHEN kept >= 24 THEN size ELSE low END, CASE WHEN kept >= 24 AND kept > 24 * 1.05::DOUBLE THEN high ELSE size END, CASE WHEN kept >= 24 THEN size ELSE best END
+  FROM (SELECT b.plant_id, b.round, b.low, b.high, b.best, {SIZE} AS size, count(DISTINCT [floor(p.x / {SIZE}), floor(p.y / {SIZE}), floor(p.z / {SIZE})]) AS kept FROM halved b JOIN plants p USING (plant_id) WHERE b.round < 24 AND b.low < b.high GROUP BY ALL)),
+ final AS (SELECT plant_id, arg_max(best, round) AS best FROM halved GROUP BY plant_id),
+ voxels AS (SELECT p.*, floor(x / best) AS vx, floor(y / best) AS vy, floor(z / best) AS vz FROM plants p JOIN final USING (plant_id)),
+ means AS (SELECT plant_id, vx, vy, vz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM voxels GROUP BY plant_id, vx, vy, vz),
+ kept AS (SELECT plant_id, arg_min(point_id, ((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz), point_id)) AS point_id FROM voxels JOIN means USING (plant_id, vx, vy, vz) GROUP BY plant_id, vx, vy, vz),
+ held AS (SELECT p.* FROM plants p JOIN kept USING (plant_id, point_id)),
+ spaced AS (SELECT p.plant_id, p.point_id, p.x, p.y, p.z, min({D2}) AS d2 FROM held p JOIN held q ON p.plant_id = q.plant_id AND p.point_id <> q.point_id GROUP BY p.plant_id, p.point_id, p.x, p.y, p.z),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY d2 DESC, point_id) AS rank FROM spaced)
+SELECT plant_id, point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM ranked WHERE rank <= 24""")
 def uniform_downsample(spark, d):
     return C.uniform_downsample(_plants(spark, d), 24).select("plant_id", "point_id", *_r("x", "y", "z"))
 
@@ -211,6 +225,28 @@ def skeleton_chamfer(spark, d):
     return E.skeleton_metrics(_one(spark, d), v, e).select(*_r("forward_mean", "forward_90th", "reverse_mean", "chamfer"))
 
 
+@_query(f"WITH {PLANTS} SELECT plant_id, row_number() OVER (PARTITION BY plant_id ORDER BY z, point_id) - 1 AS pos, point_id, round(x, 6) + 0.0 AS x FROM plants")
+def select_by_ids(spark, d):
+    """All points in the order of their heights."""
+    from pyspark.sql import Window
+
+    p = _plants(spark, d)
+    order = F.row_number().over(Window.partitionBy("plant_id").orderBy("z", "point_id")).cast("long") - 1
+    return C.select_by_ids(p, p.select("plant_id", "point_id", order.alias("pos"))).select("plant_id", "pos", "point_id", *_r("x"))
+
+
+@_query(f"WITH {PLANTS} SELECT plant_id, point_id FROM plants WHERE point_id % 3 <> 0")
+def finite_points(spark, d):
+    """Every third point's x is made infinite, null or no number, and goes."""
+    bad = F.when(F.col("point_id") % 9 == 0, F.lit(float("nan"))).when(F.col("point_id") % 9 == 3, F.lit(float("-inf")))
+    return C.finite(_plants(spark, d).withColumn("x", F.when(F.col("point_id") % 3 == 0, bad).otherwise(F.col("x")))).select("plant_id", "point_id")
+
+
+@_query(f"""WITH {PLANTS}, low AS (SELECT plant_id, arg_min(point_id, (z, point_id)) AS point_id FROM plants GROUP BY plant_id) SELECT plant_id, point_id, round(z, 6) + 0.0 AS z FROM low JOIN plants USING (plant_id, point_id)""")
+def lowest_point(spark, d):
+    return C.lowest_point(_plants(spark, d)).select("plant_id", "point_id", *_r("z"))
+
+
 @_query("SELECT plant_id, p FROM (SELECT l_returnflag AS plant_id, l_extendedprice AS p, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE i = floor(n * 0.9::DOUBLE) + 1")
 def p90_index(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("plant_id"), "l_extendedprice")
