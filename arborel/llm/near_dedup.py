@@ -36,7 +36,9 @@ BANDS, ROWS, SKETCH_BITS = 32, 5, 1024
 #: Standard deviations of the similarity estimate by which a pair may fall short and still be confirmed.
 SLACK = 5.5
 #: Nodes, and shingles, of one block of a cluster.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
+#: Shingles that are looked up at a time, and texts that are taken out of a batch at a time.
+COUNTED, TEXTS = 1 << 16, 512
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,11 +92,18 @@ def most_differing_bits(similarity: float) -> int:
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * k * (1 - least) / SKETCH_BITS)))
 
 
+def pieces(batches):
+    """Batches of TEXTS rows at most, so that no more texts than those are Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, set_a, set_b, bands, sketch of docs(doc_id, text); sets without shingles have no bands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             n, first, second, bands, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
@@ -121,7 +130,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, found): the full shingle sets of the documents in ids."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
 
@@ -152,7 +161,12 @@ def _unfinished(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shared_counts(own: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How many values of the sorted array own stand in each of the sets flat[begin:begin + size]."""
+    """How many values of the sorted array own stand in each of the sets flat[begin:begin + size]; about COUNTED values at a time."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // COUNTED)) + 1
+    return np.concatenate([_shared_counts(own, flat, b, n) for b, n in zip(np.split(begin, cuts), np.split(size, cuts), strict=True)])
+
+
+def _shared_counts(own: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size)
     values = flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
     at = np.minimum(np.searchsorted(own, values), len(own) - 1)

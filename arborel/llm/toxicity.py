@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborel.llm.near_dedup import pieces
+
 #: The bound on labelled rows that the model is fitted on, and on terms of the lexicon.
 SAMPLE, LEXICON = 16_384, 4000
 THRESHOLD = 0.3
@@ -313,8 +315,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         maker = Featurizer(model.lexicon)
-        for batch in batches:
-            value = model.score(maker([t or "" for t in batch.column(1).to_pylist()])) if batch.num_rows else np.zeros(0)
+        for batch in pieces(batches):
+            value = model.score(maker([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     picked = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
@@ -327,10 +329,9 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches):
         maker = Featurizer(model.lexicon)
-        for batch in batches:
-            if batch.num_rows:
-                value = model.score(maker([t or "" for t in batch.column(at).to_pylist()]))
-                yield batch.filter(pa.array(value < threshold))
+        for batch in pieces(batches):
+            value = model.score(maker([t or "" for t in batch.column(at).to_pylist()]))
+            yield batch.filter(pa.array(value < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
