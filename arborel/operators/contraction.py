@@ -74,14 +74,15 @@ def adapt_weights(weights: DataFrame, threshold: float = 0.9) -> DataFrame:
     return weights.withColumns({"wl": wl, "wh": wh})
 
 
-def adjacency(points: DataFrame, k: int = 4) -> DataFrame:
-    """(plant_id, src, dst), src < dst: the places above the diagonal that a Laplacian of k neighbours fills."""
-    return mesh.unique_edges(mesh.local_triangles(points, k))
+def adjacency(points: DataFrame, k: int = 4, intrinsic: bool = False) -> DataFrame:
+    """(plant_id, src, dst), src < dst: the places above the diagonal that a Laplacian of k neighbours, of the soup or its cover, fills."""
+    soup = mesh.local_triangles(points, k)
+    return mesh.intrinsic_edges(mesh.intrinsic(soup, points)) if intrinsic else mesh.unique_edges(soup)
 
 
-def distance_constraints(points: DataFrame, most: float, k: int = 4) -> DataFrame:
+def distance_constraints(points: DataFrame, most: float, k: int = 4, intrinsic: bool = False) -> DataFrame:
     """(plant_id, src, dst, ex, ey, ez): wanted differences src - dst along adjacency(points, k), `most` long at most."""
-    pairs = _pairs(adjacency(points, k).withColumnsRenamed({"src": "point_id", "dst": "nbr_id"}), points)
+    pairs = _pairs(adjacency(points, k, intrinsic).withColumnsRenamed({"src": "point_id", "dst": "nbr_id"}), points)
     e = clamp_length(sub(xyz("p_"), xyz("n_")), most)
     return pairs.select("plant_id", F.col("point_id").alias("src"), F.col("nbr_id").alias("dst"), *[c.alias(f"e{a}") for a, c in zip("xyz", e, strict=True)])
 
@@ -310,7 +311,8 @@ def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame, DataFrame
     """(contracted points, log(plant_id, iter, ratio, done), snapshots) of the contraction loop.
 
     All open plants advance together. The ratio is a step's mean area over that of the input,
-    both of the soup of area_knn neighbours. The first step always stands. A later one that
+    both of the soup of area_knn neighbours. config.intrinsic says whether Laplacians, areas
+    and constraints come from each soup's tufted cover. The first step always stands. A later one that
     lowers the ratio by epsilon at most, raises it or makes it no number ends its plant: that
     step is discarded and the one before is the result. snapshots(plant_id, iter, point_id, x,
     y, z, smooth_sigma) holds the input as iter 0 and every step that stands.
@@ -328,7 +330,11 @@ def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame, DataFrame
         return mesh.local_triangles(p, k) if config.use_knn else mesh.local_triangles(p, near=with_fallback(radius_join(p, p, radius * span), p))
 
     def area(p: DataFrame) -> DataFrame:
-        return mesh.mean_area(mesh.local_triangles(p, config.area_knn), p)
+        soup = mesh.local_triangles(p, config.area_knn)
+        return mesh.intrinsic_mean_area(mesh.intrinsic(soup, p), p) if config.intrinsic else mesh.mean_area(soup, p)
+
+    def laplacian(soup: DataFrame, p: DataFrame) -> DataFrame:
+        return mesh.intrinsic_laplacian(mesh.intrinsic(soup, p), config.laplacian_scale) if config.intrinsic else mesh.laplacian(soup, p, config.laplacian_scale)
 
     soup = materialize(triangles(points, 0), "contract-soup")
     threshold = materialize(mesh.edge_threshold(mesh.mesh_edges(soup, points)), "contract-threshold")
@@ -342,7 +348,7 @@ def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame, DataFrame
             weights = materialize(adapted.select("plant_id", "point_id", "wl", "wh"), "contract-weights")
             soup = mesh.attach_orphans(mesh.drop_long_triangles(triangles(current, step - 1), current, threshold), current)
             soup = materialize(soup, "contract-soup")
-        moved = contract_once(current, weights, mesh.laplacian(soup, current, config.laplacian_scale), distance_constraints(current, config.max_distance * span))
+        moved = contract_once(current, weights, laplacian(soup, current), distance_constraints(current, config.max_distance * span, intrinsic=config.intrinsic))
         moved = materialize(moved, "contract-points")
         ratio = area(moved).join(base, "plant_id").select("plant_id", (F.col("mean_area") / F.when(F.col("base") > 0, F.col("base"))).alias("ratio"))
         if last is None:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.functions.geometry import dist2, half_cotan, triangle_area, xyz
+from arborel.functions.geometry import dist2, half_cotan, heron_area, triangle_area, xyz
 from arborel.operators.spatial import knn_join
 
 
@@ -138,9 +138,120 @@ def laplacian(tris: DataFrame, points: DataFrame, scale: float = 1.0) -> DataFra
     faces = with_corners(tris, points).withColumn("area", triangle_area(xyz("a"), xyz("b"), xyz("c")))
     d2 = {p + q: dist2(xyz(p), xyz(q)) for p, q in ("ab", "bc", "ca")}
     sides = [("a", "b", d2["ab"], d2["bc"], d2["ca"]), ("b", "c", d2["bc"], d2["ca"], d2["ab"]), ("c", "a", d2["ca"], d2["ab"], d2["bc"])]
+    return _laplacian_of(faces, sides, scale)
+
+
+def _laplacian_of(faces: DataFrame, sides: list, scale: float) -> DataFrame:
+    """Cotangent weights of the sides (from, to, their squared length, the others') of faces with area, summed up as a matrix."""
     weights = F.array(*[F.struct(F.col(p).alias("i"), F.col(q).alias("j"), half_cotan(o, m, n, F.col("area")).alias("w")) for p, q, o, m, n in sides])
     pairs = faces.select("plant_id", F.explode(weights).alias("e")).select("plant_id", "e.i", "e.j", "e.w").where("w is not null")
     cells = F.explode(F.array(*[F.struct(r.alias("row"), c.alias("col"), v.alias("val")) for r, c, v in (
         (F.col("i"), F.col("j"), F.col("w")), (F.col("j"), F.col("i"), F.col("w")), (F.col("i"), F.col("i"), -F.col("w")), (F.col("j"), F.col("j"), -F.col("w")))]))
     coo = pairs.select("plant_id", cells.alias("e")).groupBy("plant_id", "e.row", "e.col").agg((F.sum("e.val") * scale).alias("val"))
     return coo
+
+
+#: Mollification, relative to the mean edge length, and the sum of cotangents below which an edge is flipped.
+MOLLIFY, LEAST_COTAN = 1e-5, -1e-9
+
+
+def tufted_cover(tris: np.ndarray, at: np.ndarray, mollify: float = MOLLIFY, most_rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """(corners, lengths) of the intrinsic Delaunay triangulation of the tufted cover of triangles(n, 3) over positions.
+
+    Every triangle has a front and a back; around an edge each front is glued to the back of
+    the next triangle, so that edges of any soup have two sides. Edges first grow by what keeps
+    all triangle inequalities. Then edges whose opposite angles add up to more than half a turn
+    are flipped, many at once that share no face. lengths[:, i] lies between corners i and i + 1.
+    Triangles that name a corner twice are left out.
+    """
+    tris = tris[(tris[:, 0] != tris[:, 1]) & (tris[:, 1] != tris[:, 2]) & (tris[:, 2] != tris[:, 0])]
+    if not len(tris):
+        return np.empty((0, 3), dtype=np.int64), np.empty((0, 3))
+    faces = np.stack([tris, tris[:, [0, 2, 1]]], axis=1).reshape(-1, 3)
+    n = 3 * len(faces)
+    tail, half = faces.ravel().copy(), np.arange(n)
+    follow = half - half % 3 + (half + 1) % 3
+    face = half // 3
+    head = tail[follow]
+    # sides by edge: of each triangle one runs up and one runs down; an up side meets the down side of the next triangle
+    order = np.lexsort((face // 2, tail > head, np.maximum(tail, head), np.minimum(tail, head)))
+    up, down = order[(tail < head)[order]], order[(tail > head)[order]]
+    key = np.stack([tail[up], head[up]])
+    start = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+    first = np.flatnonzero(start)
+    last = np.append(first[1:], len(up)) - 1
+    after = np.arange(len(up)) + 1
+    after[last] = first
+    twin = np.empty(n, dtype=np.int64)
+    twin[up], twin[down[after]] = down[after], up
+    length = np.sqrt(((at[tail] - at[head]) ** 2).sum(axis=1))
+    short = length + mollify * length.mean() - length[follow] - length[follow[follow]]
+    length = length + max(0.0, short.max())
+    for _ in range(most_rounds):
+        b, c = length[follow], length[follow[follow]]
+        s = (length + b + c) / 2
+        area = np.sqrt(np.maximum(s * (s - length) * (s - b) * (s - c), 1e-300))
+        cotan = (b * b + c * c - length * length) / (4 * area)
+        bad = np.flatnonzero((cotan + cotan[twin] < LEAST_COTAN) & (half < twin) & (face != face[twin]))
+        if not len(bad):
+            begin = np.unique(face, return_index=True)[1]
+            around = np.stack([begin, follow[begin], follow[follow[begin]]], axis=1)
+            return tail[around], length[around]
+        worst = np.full(len(faces), np.iinfo(np.int64).max)
+        rank = np.empty(len(bad), dtype=np.int64)
+        rank[np.argsort((cotan + cotan[twin])[bad], kind="stable")] = np.arange(len(bad))
+        for side in (bad, twin[bad]):
+            np.minimum.at(worst, face[side], rank)
+        h = bad[(worst[face[bad]] == rank) & (worst[face[twin[bad]]] == rank)]
+        t = twin[h]
+        v_w, w_u, u_x, x_v = follow[h], follow[follow[h]], follow[t], follow[follow[t]]
+        # the angles at the tail of h, in both faces, by their cosines and sines
+        uv, uw, ux = length[h], length[w_u], length[u_x]
+        cos_f = (uv * uv + uw * uw - length[v_w] ** 2) / (2 * uv * uw)
+        cos_g = (uv * uv + ux * ux - length[x_v] ** 2) / (2 * uv * ux)
+        sin_f, sin_g = 2 * area[h] / (uv * uw), 2 * area[t] / (uv * ux)
+        length[h] = length[t] = np.sqrt(np.maximum(uw * uw + ux * ux - 2 * uw * ux * (cos_f * cos_g - sin_f * sin_g), 1e-300))
+        tail[h], tail[t] = tail[x_v], tail[w_u]
+        follow[h], follow[w_u], follow[u_x] = w_u, u_x, h
+        follow[t], follow[x_v], follow[v_w] = x_v, v_w, t
+        face[u_x], face[v_w] = face[h], face[t]
+    raise RuntimeError(f"edges are still to be flipped after {most_rounds} rounds")
+
+
+def intrinsic(tris: DataFrame, points: DataFrame) -> DataFrame:
+    """(plant_id, a, b, c, ab, bc, ca): tufted_cover of every plant's soup, with the lengths of its sides.
+
+    Flips depend on each other, so a task takes one plant's soup, some hundred bytes a triangle;
+    the run bounds a plant's points by its down-sampling.
+    """
+    kind = dict(points.dtypes)["plant_id"]
+
+    def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("point_id")
+        ids = p["point_id"].to_numpy()
+        corners, lengths = tufted_cover(np.searchsorted(ids, t[["a", "b", "c"]].to_numpy()), p[["x", "y", "z"]].to_numpy(float))
+        named = {c: ids[corners[:, i]] for i, c in enumerate("abc")} | {c: lengths[:, i] for i, c in enumerate(("ab", "bc", "ca"))}
+        return pd.DataFrame({"plant_id": p["plant_id"].iloc[0] if len(p) else None, **named})
+
+    own = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"]).groupBy("plant_id")
+    return own.cogroup(tris.select("plant_id", "a", "b", "c").groupBy("plant_id")).applyInPandas(run, f"plant_id {kind}, a long, b long, c long, ab double, bc double, ca double")
+
+
+def intrinsic_laplacian(faces: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(plant_id, row, col, val) of faces from intrinsic(); half of each weight, as the cover has every triangle twice."""
+    area = heron_area(F.col("ab"), F.col("bc"), F.col("ca"))
+    d2 = {s: F.col(s) * F.col(s) for s in ("ab", "bc", "ca")}
+    sides = [("a", "b", d2["ab"], d2["bc"], d2["ca"]), ("b", "c", d2["bc"], d2["ca"], d2["ab"]), ("c", "a", d2["ca"], d2["ab"], d2["bc"])]
+    return _laplacian_of(faces.withColumn("area", area), sides, scale / 2)
+
+
+def intrinsic_mean_area(faces: DataFrame, points: DataFrame) -> DataFrame:
+    """(plant_id, mean_area): the mean of a third of the faces' area at each point, halved as for the Laplacian."""
+    sums = faces.groupBy("plant_id").agg((F.sum(heron_area(F.col("ab"), F.col("bc"), F.col("ca"))) / 2).alias("area"))
+    sizes = points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")).join(sums, "plant_id", "left")
+    return sizes.select("plant_id", (F.coalesce("area", F.lit(0.0)) / F.col("n")).alias("mean_area"))
+
+
+def intrinsic_edges(faces: DataFrame) -> DataFrame:
+    """(plant_id, src, dst), src < dst, of the distinct sides of faces from intrinsic()."""
+    return unique_edges(faces).where("src <> dst")

@@ -204,7 +204,7 @@ def contraction_step(spark, d):
 
 
 #: Of the loop's query: what fits clouds of points spread over a box.
-LOOP = Config(max_iterations=3, knn=8, knn_step=2, knn_most=12, area_knn=10, sigma_radius=0.1, max_distance=0.03, tip_neighbours=12, geodesic="graph", normalize_length=1.0)
+LOOP = Config(max_iterations=3, knn=8, knn_step=2, knn_most=12, area_knn=10, sigma_radius=0.1, max_distance=0.03, tip_neighbours=12, geodesic="graph", intrinsic=False, normalize_length=1.0)
 
 
 @_query()

@@ -2,6 +2,7 @@
 
 import heapq
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -55,6 +56,32 @@ def cotan(p, tris):
     return lap
 
 
+def cover_laplacian(p, tris):
+    corners, sides = mesh.tufted_cover(np.array(tris), p)
+    lap = np.zeros((len(p), len(p)))
+    for t, s in zip(corners, sides):
+        q = s.sum() / 2
+        a = np.sqrt(q * (q - s[0]) * (q - s[1]) * (q - s[2]))
+        for k in range(3):
+            i, j = t[k], t[(k + 1) % 3]
+            w = (s[(k + 1) % 3] ** 2 + s[(k + 2) % 3] ** 2 - s[k] ** 2) / (8 * a) / 2
+            lap[i, j] += w
+            lap[j, i] += w
+            lap[i, i] -= w
+            lap[j, j] -= w
+    return lap
+
+
+def cover_edges(p, tris):
+    return [e for e in edges_of(mesh.tufted_cover(np.array(tris), p)[0].tolist()) if e[0] != e[1]]
+
+
+def cover_area(p, tris):
+    s = mesh.tufted_cover(np.array(tris), p)[1]
+    q = s.sum(axis=1) / 2
+    return np.sqrt(q * (q - s[:, 0]) * (q - s[:, 1]) * (q - s[:, 2])).sum() / 2 / len(p)
+
+
 def smooth(p, r, tau):
     d = p[:, None] - p[None]
     near = (d**2).sum(axis=2) <= r * r
@@ -97,7 +124,8 @@ def twin(p, c):
     lengths = np.array([np.linalg.norm(p[i] - p[j]) for i, j in edges_of(tris)])
     long_ = lengths[lengths - lengths.mean() > 3 * lengths.std()]
     cut = long_.min() if len(long_) else np.inf
-    base, ratios, kept = area(p, soup(p, c.area_knn)), [], [p]
+    measure = cover_area if c.intrinsic else area
+    base, ratios, kept = measure(p, soup(p, c.area_knn)), [], [p]
     for step in range(1, c.max_iterations + 1):
         if step > 1:
             s = smooth(p, c.sigma_radius * span, c.sigma_threshold)
@@ -111,7 +139,7 @@ def twin(p, c):
             tris = [t for t in tris if max(np.linalg.norm(p[t[a]] - p[t[b]]) for a, b in ((0, 1), (1, 2), (2, 0))) < cut]
             used, near = {i for t in tris for i in t}, nearest(p, 2)
             tris += [(i, *map(int, near[i])) for i in range(n) if i not in used]
-        lap, e = cotan(p, tris), edges_of(soup(p, 4))
+        lap, e = (cover_laplacian(p, tris), cover_edges(p, soup(p, 4))) if c.intrinsic else (cotan(p, tris), edges_of(soup(p, 4)))
         h, want = np.zeros((len(e), n)), np.zeros((len(e), 3))
         for row, (i, j) in enumerate(e):
             d = p[i] - p[j]
@@ -119,7 +147,7 @@ def twin(p, c):
             want[row] = d * min(1, c.max_distance * span / np.linalg.norm(d))
         a = np.concatenate([wl[:, None] * lap, np.diag(wh), 9 * h])
         new = np.linalg.lstsq(a, np.concatenate([np.zeros((n, 3)), wh[:, None] * p, 9 * want]), rcond=None)[0]
-        ratios.append(area(new, soup(new, c.area_knn)) / base)
+        ratios.append(measure(new, soup(new, c.area_knn)) / base)
         if step > 1 and ratios[-2] - ratios[-1] <= c.epsilon:
             break
         p = new
@@ -127,16 +155,46 @@ def twin(p, c):
     return p, ratios, kept
 
 
-CONFIG = Config(max_iterations=5, knn=8, knn_step=2, knn_most=12, area_knn=10, sigma_radius=0.1, max_distance=0.03, tip_neighbours=12, geodesic="graph")
+CONFIG = Config(max_iterations=3, knn=8, knn_step=2, knn_most=12, area_knn=10, sigma_radius=0.1, max_distance=0.03, tip_neighbours=12, geodesic="graph")
+
+
+def test_cover_of_a_manifold_mesh_changes_nothing():
+    """A regular octahedron is Delaunay: the cover's halved Laplacian is the plain one."""
+    p = np.concatenate([np.eye(3), -np.eye(3)])
+    tris = [(i, j, k) for i in (0, 3) for j in (1, 4) for k in (2, 5)]
+    corners, sides = mesh.tufted_cover(np.array(tris), p, mollify=0.0)
+    assert len(corners) == 16 and np.allclose(sides, np.sqrt(2))
+    assert np.allclose(cover_laplacian(p, tris), cotan(p, tris)) and cover_area(p, tris) == pytest.approx(area(p, tris))
+
+
+@pytest.mark.parametrize("k", [4, 8, 16])
+def test_cover_of_a_soup_is_delaunay(k):
+    p = noisy_y(7, 120)
+    tris = soup(p, k)
+    corners, sides = mesh.tufted_cover(np.array(tris), p, mollify=0.0)
+    assert len(corners) == 2 * len(tris) and cover_area(p, tris) == pytest.approx(area(p, tris), rel=1e-3)
+    plain = np.sqrt(np.maximum((sides.sum(axis=1) / 2) * np.prod(sides.sum(axis=1, keepdims=True) / 2 - sides, axis=1), 0)).sum() / 2 / len(p)
+    assert plain == pytest.approx(area(p, tris), rel=1e-6)  # flips keep the surface
+    lap = cover_laplacian(p, tris)
+    assert np.allclose(lap.sum(axis=1), 0, atol=1e-6) and (lap - np.diag(np.diag(lap))).min() > -1e-6
+    assert mesh.tufted_cover(np.empty((0, 3), dtype=np.int64), p)[0].shape == (0, 3)
+
+
+def test_mollified_edges_keep_thin_triangles():
+    p = np.array([[0.0, 0, 0], [1, 0, 0], [0.5, 0, 0], [0.5, 1e-13, 0]])
+    corners, sides = mesh.tufted_cover(np.array([[0, 1, 2], [0, 1, 3], [2, 2, 3]]), p)
+    assert len(corners) == 4 and (sides.sum(axis=1) - 2 * sides.max(axis=1) > 1e-6).all()
 
 
-def test_the_loop_against_its_twin(spark):
+@pytest.mark.parametrize("intrinsic", [False, True])
+def test_the_loop_against_its_twin(spark, intrinsic):
+    config = replace(CONFIG, intrinsic=intrinsic)
     clouds = {"a": noisy_y(1, 150), "b": noisy_y(2, 120, 0.08)}
     rows = [(name, 10 + i, *map(float, r)) for name, p in clouds.items() for i, r in enumerate(p)]
-    points, log, snapshots = contraction.contract(spark.createDataFrame(rows, POINTS), CONFIG)
+    points, log, snapshots = contraction.contract(spark.createDataFrame(rows, POINTS), config)
     out, log, shots = points.collect(), log.collect(), snapshots.groupBy("plant_id", "iter").count().collect()
     for name, p in clouds.items():
-        want, ratios, kept = twin(p, CONFIG)
+        want, ratios, kept = twin(p, config)
         mine = sorted((r for r in log if r.plant_id == name), key=lambda r: r.iter)
         assert [r.iter for r in mine] == list(range(len(ratios) + 1)) and [r.ratio for r in mine] == pytest.approx([1.0, *ratios], abs=1e-4)
         assert len(kept) > 2 and all(b < a for a, b in zip([1.0, *ratios], ratios[: len(kept) - 1]))
