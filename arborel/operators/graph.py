@@ -49,18 +49,18 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     between = first = materialize(between, "mst-edges")
     tree = None
     for _ in range(max_rounds):
+        if between.limit(1).count() == 0:
+            break
         sides = F.explode(F.array(F.struct(F.col("ca").alias("own"), F.col("cb").alias("to")), F.struct(F.col("cb").alias("own"), F.col("ca").alias("to")))).alias("s")
         picked = between.select("plant_id", sides, "e").groupBy("plant_id", "s.own").agg(F.min_by(F.struct("e", "s.to"), "e").alias("m"))
-        picked = materialize(picked.select("plant_id", "own", "m.to", "m.e.weight", "m.e.src", "m.e.dst"), "mst-picked")
-        if picked.limit(1).count() == 0:
-            break
-        chosen = picked.select("plant_id", "src", "dst", "weight").distinct()
+        # an edge that both its components chose joins the two: the smaller is the root
+        both = picked.select("plant_id", "m.e", F.struct("own", "m.to").alias("p")).groupBy("plant_id", "e").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+        node = F.explode(F.array_distinct(F.array("low", "high"))).alias("p")
+        up = F.when((F.col("low") != F.col("high")) & (F.col("p") == F.col("low")), F.col("p.own")).otherwise(F.col("p.to"))
+        ups = materialize(both.select("plant_id", "e", "low", "high", node).select("plant_id", "e", F.col("p.own").alias("node"), up.alias("up")), "mst-up")
+        chosen = ups.select("plant_id", "e.src", "e.dst", "e.weight").distinct()
         tree = chosen if tree is None else tree.unionByName(chosen)
-        # two components that chose the same edge point at each other: the smaller is the root
-        other = picked.select("plant_id", F.col("own").alias("to"), F.col("to").alias("back"))
-        up = picked.select("plant_id", "own", "to").join(other, ["plant_id", "to"], "left")
-        up = up.select("plant_id", F.col("own").alias("node"), F.when((F.col("back") == F.col("own")) & (F.col("own") < F.col("to")), F.col("own")).otherwise(F.col("to")).alias("up"))
-        roots = _jump(materialize(up, "mst-up"), "mst-jump")
+        roots = _jump(ups.select("plant_id", "node", "up"), "mst-jump")
         for end in ("ca", "cb"):
             between = between.join(roots.select("plant_id", F.col("node").alias(end), F.col("up").alias(f"new_{end}")), ["plant_id", end]).drop(end).withColumnRenamed(f"new_{end}", end)
         low, high = F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")
@@ -76,38 +76,31 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 def euclidean_tree(points: DataFrame, k: int = 4, max_rounds: int = 60) -> DataFrame:
     """The tree of all pairs of each plant's points, on Spark: (plant_id, src, dst, weight).
 
-    A radius join starts from twice the largest k-nearest-neighbour distance in a plant, and
-    doubles for the plants it does not yet connect; all edges of the tree are then among the
-    pairs found, as none is longer than the radius that connects. No task holds a plant.
-    Points without finite coordinates should be filtered first.
+    A radius join starts from twice the largest k-nearest-neighbour distance in a plant. Where
+    the tree of the pairs found connects the plant it is the tree of all pairs, as none of its
+    edges is longer than the radius; else the radius doubles. No task holds a plant. Points
+    without finite coordinates should be filtered first.
     """
     points = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
-    sizes = points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("extent"))
+    sizes = points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n"))
     near = knn_join(points, points, k, exclude_self=True).groupBy("plant_id").agg(F.sqrt(F.max("d2")).alias("far"))
-    state = sizes.where("n > 1").join(near, "plant_id").select("plant_id", "n", F.when(F.col("far") > 0, F.col("far")).otherwise(1.0).alias("radius"))
-    state = materialize(state, "tree-state")
-    found = None
+    state = sizes.where("n > 1").join(near, "plant_id").select("plant_id", "n", F.when(F.col("far") > 0, 2 * F.col("far")).otherwise(1.0).alias("radius"))
+    state, found = materialize(state, "tree-state"), None
     for _ in range(max_rounds):
-        if state.limit(1).count() == 0:
-            break
         # each plant in units of its own radius
         scaled = points.join(state, "plant_id").select("plant_id", "point_id", *[(F.col(a) / F.col("radius")).alias(a) for a in "xyz"])
         pairs = radius_join(scaled, scaled, 1.0).where("point_id < nbr_id").select("plant_id", F.col("point_id").alias("src"), F.col("nbr_id").alias("dst"))
-        pairs = materialize(pairs, "tree-pairs")
-        parts = connected_components(pairs, by=["plant_id"])
-        whole = parts.groupBy("plant_id").agg(F.count(F.lit(1)).alias("linked"), F.countDistinct("component").alias("parts"))
-        judged = state.join(whole, "plant_id", "left").withColumn("done", F.coalesce((F.col("linked") == F.col("n")) & (F.col("parts") == 1), F.lit(False)))
-        judged = materialize(judged, "tree-judged")
-        done = pairs.join(judged.where("done").select("plant_id"), "plant_id", "left_semi")
+        for end in ("src", "dst"):
+            pairs = pairs.join(points.select("plant_id", F.col("point_id").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in "xyz"]), ["plant_id", end])
+        tree = materialize(minimum_spanning_tree(pairs.select("plant_id", "src", "dst", F.sqrt(dist2(xyz("src_"), xyz("dst_"))).alias("weight"))), "tree")
+        edges = tree.groupBy("plant_id").agg(F.count(F.lit(1)).alias("edges"))
+        open_ = state.join(edges, "plant_id", "left").where("coalesce(edges, 0) < n - 1").select("plant_id", "n", (F.col("radius") * 2).alias("radius"))
+        state = materialize(open_, "tree-state")
+        done = tree.join(state.select("plant_id"), "plant_id", "left_anti")
         found = done if found is None else found.unionByName(done)
-        state = judged.where("not done").select("plant_id", "n", (F.col("radius") * 2).alias("radius"))
-    else:
-        raise RuntimeError(f"a plant is not connected after {max_rounds} doublings of the radius")
-    if found is None:
-        return sizes.select("plant_id", F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(0.0).alias("weight")).limit(0)
-    for end in ("src", "dst"):
-        found = found.join(points.select("plant_id", F.col("point_id").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in "xyz"]), ["plant_id", end])
-    return minimum_spanning_tree(found.select("plant_id", "src", "dst", F.sqrt(dist2(xyz("src_"), xyz("dst_"))).alias("weight")))
+        if state.limit(1).count() == 0:
+            return found
+    raise RuntimeError(f"a plant is not connected after {max_rounds} doublings of the radius")
 
 
 def point_spanning_tree(points: DataFrame) -> DataFrame:

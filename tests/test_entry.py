@@ -10,7 +10,7 @@ from arborel.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-QUICK = ["normalize_aabb", "knn_8", "radius_count", "nearest_label_transfer", "sigma_smooth", "lop_calibrate", "fps_50", "mst_points", "semantic_overall", "mucov_mwcov", "skeleton_chamfer", "triangle_geometry"]
+QUICK = ["normalize_aabb", "knn_8", "radius_count", "nearest_label_transfer", "sigma_smooth", "lop_calibrate", "fps_50", "mst_points", "semantic_overall", "mucov_mwcov", "skeleton_chamfer", "triangle_geometry", "cotan_laplacian", "contraction_step", "edge_labels", "p90_index"]
 
 
 def test_names():
