@@ -44,3 +44,25 @@ def test_stages(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum(r.n for r in frames[4].where("start = 0").select(F.col("doc_tokens").alias("n")).collect())
     assert zlib.crc32((1).to_bytes(4, "little")) in {p.ids_crc32 for p in pieces} or 3001 not in want
     assert C.run(spark, d).count() == len(pieces)
+
+
+def tables(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_empty_table(spark, tmp_path):
+    assert C.run(spark, tables(spark, tmp_path, [], [])).count() == 0
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    """No stage fails on them; rows that repeat an id are kept or dropped together, and rows with a null id stay."""
+    text = lambda i: " ".join(hashlib.md5(f"{i}-{k}".encode()).hexdigest()[:5] for k in range(40))
+    docs = [(i, text(i), "en", "ab"[i % 2], 1) for i in range(30)] + [(3, text(3), "en", "b", 1), (4, text(99), None, "a", 1), (None, text(5), "en", None, 1), (None, text(50), "en", "a", 1)]
+    folder = tables(spark, tmp_path, docs, [(i, 1, 0) for i in range(20)])
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in C.STAGES[:3]:
+        kept = stage(spark, kept, folder)
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in docs), key=str)
+    assert C.run(spark, folder).where("start = 0").count() > 30
