@@ -15,7 +15,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,13 +135,12 @@ class Featurizer:
         ]
 
 
-def learn_lexicon(counts: pd.DataFrame, n_toxic: int, n_clean: int, least_odds: float = 2.0) -> dict[str, float]:
-    """{term: log odds} of the terms (term, toxic, clean document counts) that mark toxic documents."""
-    odds = np.log((counts["toxic"] + 0.5) / (n_toxic + 1)) - np.log((counts["clean"] + 0.5) / (n_clean + 1))
-    least = max(3, round(0.004 * n_toxic))
-    keep = counts.assign(odds=odds)[(counts["toxic"] >= least) & (odds >= least_odds)]
-    keep = keep.assign(rank=keep["odds"] * np.sqrt(keep["toxic"])).sort_values(["rank", "term"], ascending=[False, True])[:LEXICON]
-    return dict(zip(keep["term"], keep["odds"].astype(float), strict=True))
+def learn_lexicon(counts: DataFrame, n_toxic: int, n_clean: int, least_odds: float = 2.0) -> dict[str, float]:
+    """{term: log odds} of the LEXICON best terms (term, toxic, clean document counts) that mark toxic documents."""
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
+    marking = counts.withColumn("odds", odds).where((F.col("toxic") >= max(3, round(0.004 * n_toxic))) & (F.col("odds") >= least_odds))
+    best = marking.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "term").limit(LEXICON).select("term", "odds").toPandas()
+    return dict(zip(best["term"], best["odds"].astype(float), strict=True))
 
 
 @dataclass
@@ -279,13 +277,10 @@ def fit(docs: DataFrame, labels: DataFrame, in_training, sample: int = SAMPLE) -
         return Model({}, None, np.zeros(1), np.array([tox / (tox + clean) if tox + clean else 0.0]))
     of = lambda t, h: F.sum(F.when((F.col("toxic") == t) & (F.col("half") == h), F.col("n")).otherwise(0))
     counts = rows.mapInArrow(count, "term string, half int, toxic int, n long").groupBy("term").agg(of(1, 0).alias("t0"), of(0, 0).alias("c0"), of(1, 1).alias("t1"), of(0, 1).alias("c1"))
-    # few terms stand in so many toxic documents; the rest cannot enter any of the lexicons
-    least = max(3, round(0.004 * tox / 2))
-    table = counts.where((F.col("t0") >= least) | (F.col("t1") >= least) | (F.col("t0") + F.col("t1") >= least)).where("(t0 + t1) * 2 > (c0 + c1) * %f" % (tox / clean)).toPandas()
+    counts = materialize(counts.where("t0 + t1 >= 3"), "toxicity-terms")
     n = lambda h, t: sizes.get((h, t), 0)
-    name = table["term"]
-    lexicons = [learn_lexicon(pd.DataFrame({"term": name, "toxic": table[f"t{h}"], "clean": table[f"c{h}"]}), n(h, 1), n(h, 0)) for h in (0, 1)]
-    both = learn_lexicon(pd.DataFrame({"term": name, "toxic": table["t0"] + table["t1"], "clean": table["c0"] + table["c1"]}), tox, clean)
+    lexicons = [learn_lexicon(counts.select("term", F.col(f"t{h}").alias("toxic"), F.col(f"c{h}").alias("clean")), n(h, 1), n(h, 0)) for h in (0, 1)]
+    both = learn_lexicon(counts.select("term", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), tox, clean)
 
     def featurize(batches):
         makers = [Featurizer(lexicons[1]), Featurizer(lexicons[0])]
