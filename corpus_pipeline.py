@@ -1,7 +1,10 @@
 """A training corpus from raw documents: toxicity, exact and near duplicates, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next stage's docs; all but the last return the columns of documents.
+read again as the next stage's docs; all but the last return the columns of documents. Rows
+with a null id pass the two dedup stages, which decide by id; rows that repeat an id are kept or
+dropped together there. Null and empty texts go through all stages, and an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
