@@ -37,6 +37,8 @@ BANDS, ROWS, SKETCH_BITS = 32, 5, 1024
 SLACK = 5.5
 #: Nodes, and shingles, of one block of a cluster.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
+#: A smaller cluster still makes up to so many blocks of so many nodes, for as many tasks.
+SPREAD, LEAST_BLOCK = 8, 256
 #: Shingles that are looked up at a time, and texts that are taken out of a batch at a time.
 COUNTED, TEXTS = 1 << 16, 512
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -179,7 +181,7 @@ def _within(left: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) ->
     who = materialize(left.select("id", "component").distinct().join(clusters, "id"), "near-clusters")
     rows = who.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id").join(full.withColumnRenamed("doc_id", "id").withColumn("n", F.size("found").cast("long")), "id")
     total = who.join(nodes.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("cluster")
-    total = total.agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    total = total.agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES, F.least(F.lit(float(SPREAD)), F.count(F.lit(1)) / LEAST_BLOCK))).cast("int").alias("parts"))
     rows = rows.join(total, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch", "found")
