@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborel.llm import toxicity as T
-from arborel.llm.toxicity import FEATURES, Boosted, Featurizer, fit, fit_on_tables, isotonic, op7_toxicity, scores
+from arborel.llm.toxicity import FEATURES, Boosted, Featurizer, fit, isotonic, op7_toxicity, scores
 
 DATA = "/root/testdata/sf0.01"
 
