@@ -255,3 +255,26 @@ def near_duplicates(
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM worded
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS common FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * common >= 80 * (n_a + n_b - common)
+), ends AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, ends.b FROM reach JOIN ends ON ends.a = reach.seen
+), least_seen AS (
+  SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_seen USING (doc_id)
+"""

@@ -10,9 +10,9 @@ _MODULES = {
     "exact_dedup": (["op10_exact_dedup"], {"op10_exact_dedup": "OP10_SQL"}),
     "html_extract": (["op5_main_text"], {}),
     "mixing": (["op2_mixing"], {"op2_mixing": "OP2_SQL"}),
-    "near_dedup": (["op6_near_dedup"], {}),
+    "near_dedup": (["op6_near_dedup"], {"op6_near_dedup": "OP6_SQL"}),
     "packing": (["op8_packing"], {}),
-    "suffix_dedup": (["op1_suffix_dedup"], {}),
+    "suffix_dedup": (["op1_suffix_dedup"], {"op1_suffix_dedup": "OP1_SQL"}),
     "token_count": (["op4_token_count"], {}),
     "token_store": (["op3_token_store"], {}),
     "toxicity": (["op7_toxicity"], {}),

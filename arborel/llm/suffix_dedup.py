@@ -585,3 +585,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
+OP1_SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), blocks AS (
+  SELECT doc_id, base, substr(h, 2 * base + 1, 1198) AS part, least(500, n - 99 - base) AS many FROM (SELECT doc_id, h, n, unnest(range(0, n - 99, 500)) AS base FROM bytes WHERE n >= 100)
+), windows AS (
+  SELECT doc_id, base + q AS p, doc_id * 4294967296 + base + q AS place, substr(part, 2 * q + 1, 200) AS w FROM (SELECT doc_id, base, part, unnest(range(many)) AS q FROM blocks)
+), firsts AS (
+  SELECT w, min(place) AS first FROM windows GROUP BY w HAVING count(*) > 1
+), gone AS (
+  SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE place <> first
+), marked AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM gone
+), numbered AS (
+  SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(p) AS start, max(p) + 100 AS stop FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS start, start AS stop FROM spans
+  UNION ALL SELECT b.doc_id, coalesce(max(s.stop), 0), b.n FROM bytes b LEFT JOIN spans s USING (doc_id) GROUP BY b.doc_id, b.n
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS h FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, sum(stop - start)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT bytes.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM bytes JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
