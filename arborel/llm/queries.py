@@ -8,7 +8,10 @@ import importlib
 _MODULES = {
     "ann_tree": (["op9_nearest_neighbours"], {}),
     "exact_dedup": (["op10_exact_dedup"], {"op10_exact_dedup": "OP10_SQL"}),
+    "fill_in_middle": (["op11_fill_in_middle"], {"op11_fill_in_middle": "OP11_SQL"}),
+    "filter_audit": (["op12_filter_audit"], {"op12_filter_audit": "OP12_SQL"}),
     "html_extract": (["op5_main_text"], {}),
+    "language_id": (["op13_language_id"], {}),
     "mixing": (["op2_mixing"], {"op2_mixing": "OP2_SQL"}),
     "near_dedup": (["op6_near_dedup"], {"op6_near_dedup": "OP6_SQL"}),
     "packing": (["op8_packing"], {}),
