@@ -4,16 +4,18 @@ A page becomes a sequence of tags and text runs. Every tag scores negative. A te
 its number of words times the worth of a word in that place, which is positive for article
 text and negative for menus, notices and the like; it comes from a logistic model over the
 names, classes and ids of the enclosing elements, whether the run stands in a link, and its
-length. One linear scan finds the contiguous region with the largest sum; the runs inside it
-whose words are worth less than nothing are left out, and cost the region no more than
-RUN_COST. Where the runs of the region have a common ancestor that speaks for content, such as
+length. Words below elements with bad names (menus, comments, adverts and the like) are taken
+out before. One linear scan finds the contiguous region with the largest sum; runs inside it
+whose words are worth less than nothing are left out. Where the runs of the region have a common ancestor that speaks for content, such as
 an article, the region takes in what else below it is worth something: a short last block
 after an advert need not pay for the advert.
 
 The model starts from prior weights for well-known names and is fitted on labelled pages: a
-page with one <article> (or <main>) labels its words by whether they stand inside it. In half
-of the labelled pages those two names are hidden from the model, so that it also learns to do
-without them.
+page with one <article> (or <main>) labels its words by whether they stand inside it, with no
+element of a bad name between. In half of the labelled pages those two names are hidden from
+the model, so that it also learns to do without them. Names that are bad beforehand (menus,
+comments, adverts and the like) hold whatever else surrounds a word, unless the labelled pages
+themselves show that name around articles.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 #: The bound on labelled pages that the weights are fitted on, and on feature names.
 SAMPLE, NAMES = 2000, 400
-#: The most that one text run of negative worth takes from a region's score.
-RUN_COST = 6.0
+#: A name of this prior or less is bad: text below it goes, unless labelled pages show it around more article words than others.
+BAD = -4.0
+#: Elements that stand around everything and say nothing.
+EVERYWHERE = frozenset(["html", "body"])
 #: The worth that an element's own name and classes must add up to for it to speak for content.
 LEAST_CONTENT = 0.9
 #: Elements whose content is never text of a page.
@@ -48,7 +52,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Prior worth of a word below an element with this name or with this word in its class or id.
 PRIOR = {
-    "article": 4.0, "main": 2.0, "p": 0.5, "h1": 0.5, "blockquote": 0.5, "pre": 0.5, "content": 1.5, "post": 1.0, "story": 1.5, "entry": 1.0, "body-text": 1.0,
+    "article": 4.0, "main": 3.0, "p": 0.5, "h1": 0.5, "blockquote": 0.5, "pre": 0.5, "content": 1.5, "post": 1.0, "story": 1.5, "entry": 1.0, "body-text": 1.0,
     "nav": -7.0, "menu": -7.0, "header": -6.0, "footer": -7.0, "aside": -7.0, "form": -7.0, "dialog": -7.0, "search": -6.0, "label": -4.0, "a": -2.5,
 } | dict.fromkeys(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promoted sidebar widget cookie cookies consent notice notification popup modal newsletter subscribe "
@@ -74,6 +78,8 @@ _IN_SCRIPT = re.compile(r"<!--(?:-*>)?|-->|</?script(?=[\s/>])", re.IGNORECASE)
 
 
 def _features(tag: str, name: str, above: frozenset) -> frozenset:
+    if name in EVERYWHERE:
+        return frozenset()
     found = {name}
     silent = TOPICAL if name in TEXTUAL and above & CONTENT else frozenset()
     if "=" in tag:
@@ -204,19 +210,25 @@ def prior(name: str) -> float:
 class Weights:
     """The worth of a word in a place, and the cost of tags."""
 
-    def __init__(self, learned: dict[str, float] | None = None, tag_cost: float = 0.1):
-        self.learned = learned or {}
+    def __init__(self, learned: dict[str, float] | None = None, tag_cost: float = 0.1, lifted: frozenset = frozenset()):
+        self.learned, self.lifted = learned or {}, lifted
         self.tag_cost = tag_cost
-        self._known: dict[tuple, float] = {}
+        self._known: dict[tuple, float | None] = {}
 
-    def worth(self, inside: frozenset, words: int) -> float:
+    def worth(self, inside: frozenset, words: int) -> float | None:
+        """The worth of each word, from -1 to 1; None below a bad element, which is no text at all."""
         key = (inside, _size(words))
         if key not in self._known:
             if len(self._known) > 50_000:
                 self._known = {}
-            self._known[key] = float(np.clip(self.sum((*inside, key[1], "#bias")), -3, 1))
+            bad = self.is_bad(inside)
+            self._known[key] = None if bad else float(np.clip(self.sum((*inside, key[1], "#bias")), -1, 1))
         return self._known[key]
 
+    def is_bad(self, features) -> bool:
+        """Whether a feature is bad beforehand and the labelled pages have not shown it around articles."""
+        return any(prior(f) <= BAD and f not in self.lifted for f in features)
+
     def sum(self, features) -> float:
         return sum(self.learned.get(f, prior(f)) for f in features)
 
@@ -229,7 +241,7 @@ def _container(sequence: list[Run], worth: list[float], weights: Weights) -> tup
             pairs = zip(run.below, run.below if shared is None else shared)
             shared = tuple(a for a, b in takewhile(lambda p: p[0][0] == p[1][0], pairs))
     shared = shared or ()
-    while shared and weights.sum(shared[-1][1]) < LEAST_CONTENT:
+    while shared and (weights.sum(shared[-1][1]) < LEAST_CONTENT or shared[-1][1] & TEXTUAL):
         shared = shared[:-1]
     return shared
 
@@ -241,9 +253,10 @@ def extract(page: str | None, weights: Weights) -> str:
     worth = []
     for i, run in enumerate(sequence):
         value = weights.worth(run.inside, run.words) if run.words else 0.0
-        worth.append(value)
-        # a run that would be left out anyway costs no more than a few words
-        total += max(value * run.words, -RUN_COST) if run.words else -weights.tag_cost * (not run.text.isspace())
+        worth.append(-1.0 if value is None else value)
+        if value is None:
+            continue
+        total += value * run.words if run.words else -weights.tag_cost * (not run.text.isspace())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -268,7 +281,9 @@ def _labelled(page: str, hide: bool):
     for run in runs(page):
         if run.words:
             features = run.inside - {"article", "main", ".article", ".main"} if hide else run.inside
-            yield frozenset((*features, _size(run.words), "#bias")), run.words, mark in run.inside
+            at = next((i for i, (_, own) in enumerate(run.below) if mark in own), None)
+            good = at is not None and all(prior(f) > BAD for _, own in run.below[at + 1 :] for f in own)
+            yield frozenset((*features, _size(run.words), "#bias")), run.words, good
 
 
 def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE) -> Weights:
@@ -296,7 +311,17 @@ def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
         F.sum(F.when(F.col("label"), F.col("words")).otherwise(0)).alias("good"), F.sum(F.when(~F.col("label"), F.col("words")).otherwise(0)).alias("bad")
     )
     table = places.orderBy((F.col("good") + F.col("bad")).desc(), "features").limit(5000).toPandas()
-    return Weights(_logistic(table)) if len(table) else Weights()
+    return Weights(_logistic(table), lifted=_lifted(table)) if len(table) else Weights()
+
+
+def _lifted(table) -> frozenset:
+    """Bad names below which most words of the labelled pages are words of an article."""
+    balance: dict[str, int] = {}
+    for features, good, bad in zip(table["features"], table["good"], table["bad"], strict=True):
+        for f in features.split("\t"):
+            if prior(f) <= BAD:
+                balance[f] = balance.get(f, 0) + int(good) - int(bad)
+    return frozenset(f for f, more in balance.items() if more > 0)
 
 
 def hash_half(page_id: str | None) -> bool:
@@ -320,11 +345,18 @@ def _logistic(table) -> dict[str, float]:
     start = np.array([prior(f) for f in names])
     good, bad = np.sqrt(table["good"].to_numpy(float)), np.sqrt(table["bad"].to_numpy(float))
     total, w = good + bad, start.copy()
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((total * np.logaddexp(0, z) - good * z).sum() + ((w - start) ** 2).sum())
+
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (total * p - good) + 2.0 * (w - start)
         hessian = (x.T * (total * p * (1 - p))) @ x + 2.0 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
+        while np.abs(step).max() >= 1e-6 and loss(w - step) > loss(w):
+            step = step / 2  # a full step overshoots where all chances are near 0 or 1
         w -= step
         if np.abs(step).max() < 1e-6:
             break

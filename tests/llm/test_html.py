@@ -12,6 +12,19 @@ DATA = "/root/testdata/sf0.01"
 WORDS = "ouea and the onsh in anst of erwh he edly with this"
 
 
+def fitted(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    return Weights() if sf == "priors" else fit_weights(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@pytest.fixture(scope="module", params=["priors", "sf0.01", "sf0.1"])
+def weights(spark, request):
+    """Priors alone and weights fitted on the tables' pages."""
+    if request.param != "priors" and not os.path.isdir(f"/root/testdata/{request.param}"):
+        pytest.skip("needs the driver's tables")
+    return fitted(spark, request.param)
+
+
 def page(body, head="", tail=""):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p><p>no';</script></head><body>{head}{body}{tail}</body></html>"
 
@@ -115,3 +128,54 @@ def test_table_edges(spark):
 def test_very_long_page():
     big = "<article>" + f"<p>{PARAS[0]}</p>" * 20_000 + "</article>"
     assert extract(page(big, NAV, FOOT), Weights()).count("\n") == 19_999
+
+
+BOXES = {
+    "comments": f'<section class="comments"><p>{WORDS} said one reader, {WORDS}.</p><p>{WORDS}</p></section>',
+    "comment ids": f'<div id="comments"><ol class="commentlist"><li><p>{WORDS} {WORDS}</p></li></ol></div>',
+    "disqus": f'<div id="disqus_thread"><p>{WORDS} {WORDS}</p></div>',
+    "aside": f"<aside><h2>By the way and more</h2><p>{WORDS} {WORDS}</p></aside>",
+    "nav": f'<nav><ul><li><a href="/a">Home page of the site</a></li><li>{WORDS}</li></ul></nav>',
+    "advert p": f'<p class="advert">Buy this now, {WORDS} {WORDS}</p>',
+    "advert div": f'<div class="ad-banner"><p>Buy this now, {WORDS} {WORDS}</p></div>',
+    "sponsored": f'<div class="post sponsored"><p>{WORDS} {WORDS}</p></div>',
+    "newsletter": f'<div class="newsletter"><p>Get our letter, {WORDS} {WORDS}</p></div>',
+    "cookies": f'<div class="cookie-notice"><p>We use cookies, {WORDS} {WORDS}</p></div>',
+    "related": f'<div class="related"><article><h3>Other news of the day</h3><p>{WORDS} {WORDS}</p></article></div>',
+    "sidebar": f'<div id="sidebar"><p>{WORDS} {WORDS}</p></div>',
+    "footer": f"<footer><p>All rights reserved, {WORDS} {WORDS}</p></footer>",
+    "header": f"<header><p>Masthead of the paper, {WORDS}</p></header>",
+    "form": f"<form><p>Send us your mail, {WORDS}</p><label>Your name please</label></form>",
+    "role": f'<div role="complementary"><p>{WORDS} {WORDS}</p></div>',
+}
+
+
+@pytest.mark.parametrize("place", ["between", "before", "after", "outside"])
+@pytest.mark.parametrize("box", ["article", "main", "div class='content'", "div"])
+@pytest.mark.parametrize("name", sorted(BOXES))
+def test_boilerplate_goes_with_any_weights(weights, name, box, place):
+    parts = [f"<p>{p}</p>" for p in PARAS]
+    tail = ""
+    if place == "between":
+        inner = BOXES[name].join(parts)
+    else:
+        inner = {"before": BOXES[name], "after": "", "outside": ""}[place] + "".join(parts) + (BOXES[name] if place == "after" else "")
+        tail = BOXES[name] if place == "outside" else ""
+    assert extract(page(f"<{box}>{inner}</{box.split()[0]}>{tail}", NAV, FOOT), weights) == WANT
+
+
+def test_content_stays_with_any_weights(weights):
+    rich = (
+        f'<article><h1>Of the title</h1><p>{WORDS} <a href="/x">with a link to that</a>, {WORDS}.</p><ul><li>first item</li><li><a href="/y">second</a> item</li></ul>'
+        f"<blockquote>{WORDS}</blockquote><table><tr><td>cell one</td><td>cell two</td></tr></table><pre>code here</pre><h2>Next</h2><p>Short.</p></article>"
+    )
+    want = f"Of the title\n{WORDS} with a link to that, {WORDS}.\nfirst item\nsecond item\n{WORDS}\ncell one\ncell two\ncode here\nNext\nShort."
+    for body in (rich, rich.replace("article>", "main>"), f'<div class="wrap">{rich}</div>'):
+        assert extract(page(body, NAV, FOOT), weights) == want
+
+
+def test_bad_names_around_labelled_articles_are_learned(spark):
+    """A layout class with a bad word around every labelled article is no boilerplate there; a comment box inside still is."""
+    rows = [(i, page(f'<div class="sidebar-layout"><article>{INNER}{BOXES["comments"]}</article></div>', NAV, FOOT)) for i in range(60)]
+    learned = fit_weights(spark.createDataFrame(rows, "page_id long, html string"))
+    assert all(extract(html, learned) == WANT for _, html in rows[:3])
