@@ -39,8 +39,8 @@ log = logging.getLogger("arborel")
 SAMPLE, BRANCH, LEAF_ROWS = 32_768, 16, 64
 #: Rows beyond which a leaf is split by its own tree, and about how many of them that is fitted on.
 LEAF_MOST, SUB_SAMPLE = 8192, 4096
-#: Share of the true neighbours that the calibrated number of visits must find, queries it is measured on, leaves that calibration looks at.
-TARGET_RECALL, CALIBRATION_QUERIES, MOST_VISITS = 0.97, 256, 4096
+#: Share of the true neighbours that the calibrated number of visits must find, queries it is measured on, leaves that calibration looks at first.
+TARGET_RECALL, CALIBRATION_QUERIES, FIRST_LOOK = 0.97, 256, 4096
 #: Cells of the top's leaves at least, rows of one at most otherwise; rows, and queries, that meet in one task step.
 CELLS, CELL_ROWS, BLOCK, ASK_BLOCK = 32, 16_384, 32_768, 4096
 #: A leaf of the top is TOP + its number; a leaf below a leaf is that one's number times SUB, plus its own.
@@ -149,7 +149,7 @@ def fit_top(rows: DataFrame, sample: int = SAMPLE) -> tuple[Tree, int, list, int
     ids = table.column("vec_id").to_numpy()
     order = np.lexsort((ids, table.column("coin").to_numpy()))
     picked = np.array([i for i in order if len(lists[i]) == dim][:sample])
-    asked = [(int(ids[i]), lists[i]) for i in picked[:CALIBRATION_QUERIES]]
+    asked = list({int(ids[i]): lists[i] for i in picked[:CALIBRATION_QUERIES]}.items())
     return Tree(_unit(np.array([lists[i] for i in picked[np.argsort(ids[picked], kind="stable")]], dtype=np.float64))), dim, asked, n
 
 
@@ -166,7 +166,7 @@ class Index:
 
     def __init__(self, rows: DataFrame, top: Tree):
         """rows(vec_id, vector) of one length."""
-        self.top, self.levels = top, []
+        self.top, self.levels, self.recall = top, [], 0.0
 
         def file(batches):
             for batch in batches:
@@ -183,6 +183,9 @@ class Index:
                 break
             tried = over.select("leaf") if tried is None else tried.unionByName(over.select("leaf"))
             self._split(over)
+        large = self.sizes.where(F.col("n") > LEAF_MOST).count()
+        if large:
+            log.warning("%d leaves hold more than %d rows that cannot be told apart further; they are compared in blocks", large, LEAF_MOST)
 
     def _count(self) -> None:
         self.sizes = materialize(self.filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "ann-sizes")
@@ -253,7 +256,11 @@ class Index:
         return found.join(self.sizes, "leaf").withColumn("place", place)
 
     def calibrate(self, queries: list, k: int, target: float) -> int:
-        """Leaves to visit so that the target share of the queries' true k nearest, found among all rows, lies in them."""
+        """Leaves to visit so that the target share of the queries' true k nearest, found among all rows, lies in them.
+
+        Looks at the FIRST_LOOK nearest leaves of a query, and at four times as many as long as
+        the target is not reached in them, up to all.
+        """
         ids = np.array([i for i, _ in queries])
         units = _unit(np.array([v for _, v in queries], dtype=np.float64))
         schema = pa.schema([("query_id", pa.int64()), ("leaf", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64())])
@@ -278,12 +285,20 @@ class Index:
 
         found = self.filed.mapInArrow(nearest, "query_id long, leaf long, score double, vec_id long")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-        true = found.withColumn("rank", rank).where(F.col("rank") <= k)
+        true = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k), "ann-true")
         asked = self.filed.sparkSession.createDataFrame(queries, "query_id long, vector array<double>")
-        seen = true.join(self.routes(asked, MOST_VISITS), ["query_id", "leaf"], "left")
-        # k rows for each calibration query
-        places = sorted(r.place or MOST_VISITS for r in seen.select("place").collect())
-        return places[math.ceil(target * len(places)) - 1] if places else 1
+        leaves, look = self.sizes.count(), FIRST_LOOK
+        while True:
+            seen = true.join(self.routes(asked, look), ["query_id", "leaf"], "left")
+            # k rows for each calibration query; a neighbour outside of the leaves looked at has no place
+            places = sorted(math.inf if r.place is None else r.place for r in seen.select("place").collect())
+            visits = places[math.ceil(target * len(places)) - 1] if places else 1
+            if visits < math.inf:
+                self.recall = sum(p <= visits for p in places) / max(1, len(places))
+                return visits
+            if look >= leaves:
+                raise RuntimeError(f"true neighbours lie outside of all {leaves} leaves")
+            look *= 4
 
 
 def search(
@@ -294,8 +309,13 @@ def search(
     Candidates are all rows but the query's own id. Scores are cosines of the original
     vectors in double precision; ties go to the smaller id. Rows with a null id, a null,
     empty or zero vector, null or non-finite components, or another length than most of the
-    sample's take no part. Only with fewer candidates than k are fewer given; ids should be
-    unique. Repeated vectors are candidates of their own. Other columns are not read.
+    sample's take no part. Only with fewer candidates than k are fewer given. Repeated vectors
+    are candidates of their own, and so are rows that repeat an id, but for the query's; an id
+    with several rows asks with the smallest of its vectors. Other columns are not read.
+
+    Leaves are opened until the calibration queries' recall, measured against all rows, reaches
+    `recall`. A leaf stays larger than LEAF_MOST where its rows are equal or lie DEPTH trees
+    deep; that costs time, as all of a visited leaf is compared in blocks, and no neighbours.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -307,10 +327,11 @@ def search(
     rows = rows.where(F.size("vector") == dim)
     index = Index(rows, top)
     visits = index.calibrate(queries, k, recall)
-    log.info("a query visits %d leaves of %d in the top and %d levels below it", visits, top.n_leaves, len(index.levels))
+    log.info("a query visits %d leaves of %d in the top and %d levels below it: recall %.3f", visits, top.n_leaves, len(index.levels), index.recall)
 
     # every leaf holds a row, so k + 1 more than the visits are enough for a query to find k others
-    asked = materialize(rows.where(is_query(F.col("vec_id"))).withColumnRenamed("vec_id", "query_id"), "ann-asked")
+    asked = rows.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    asked = materialize(asked, "ann-asked")
     ahead = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     routes = index.routes(asked, visits + k + 1).withColumn("held", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     routes = routes.where((F.col("place") <= visits) | (F.col("held") <= k))

@@ -133,3 +133,29 @@ def test_visits_widen_with_the_target(spark):
     assert n == 4000 and index.calibrate(queries, 5, 0.5) < index.calibrate(queries, 5, 0.95) <= tree.n_leaves
     assert sorted(leaf for _, leaf in tree.visit(points[0], tree.n_leaves)) == list(range(tree.n_leaves))
     assert Tree(np.repeat(points[:1], 500, axis=0)).n_leaves == 1
+
+
+def test_recall_beyond_the_first_look(spark, monkeypatch):
+    """Where true neighbours lie beyond the leaves looked at first, calibration looks on."""
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist(), "", 1) for i, v in enumerate(np.float32(rng.normal(size=(1200, 24))))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute([r[:2] for r in rows], {i for i in range(0, 1200, 50)}, 5)
+    used = ann_tree.usable(df, "vec_id", "embedding")
+    top, _, queries, _ = ann_tree.fit_top(used)
+    index = ann_tree.Index(used, top)
+    full = index.calibrate(queries, 5, 0.97)
+    assert full > 8
+    monkeypatch.setattr(ann_tree, "FIRST_LOOK", 2)
+    assert index.calibrate(queries, 5, 0.97) == full and index.recall >= 0.97
+    got = {}
+    for r in search(df, lambda c: c % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+
+
+def test_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0], "", 1), (50, [0.0, 1.0], "", 1), (1, [0.1, 1.0], "", 1), (1, [0.0, 2.0], "", 1), (2, [1.0, 0.1], "", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.rank, r.vec_id, round(r.score, 6)) for r in search(df, lambda c: c % 50 == 0).collect())
+    assert got == [(1, 1, 1.0), (2, 1, round(1 / math.sqrt(1.01), 6)), (3, 2, round(0.1 / math.sqrt(1.01), 6))]
