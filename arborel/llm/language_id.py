@@ -28,8 +28,8 @@ from arborel.scratch import materialize
 
 #: Bytes of the longest context.
 ORDER = 3
-#: Code lengths in the table of states at most (states x byte classes x languages): 64 MB.
-CELLS = 1 << 24
+#: Code lengths in the table of states at most (states x byte classes x languages): 32 MB.
+CELLS = 1 << 23
 #: Contexts of all languages together at most; each language keeps its commonest.
 CONTEXTS = 1 << 15
 #: Grams of a task that wait before equal ones are merged.
