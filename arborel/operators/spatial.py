@@ -1,10 +1,9 @@
 """Neighbourhood joins of point tables (plant_id, point_id, x, y, z).
 
 A radius join buckets both sides by a grid of the radius and joins equal cells, with one side
-copied to the 27 cells around it. A nearest-neighbour join uses the same grid with a cell
-from the plant's density: a query is settled once its k-th distance is within one cell, and
-only the rest go to the next round with doubled cells. Plants up to BRUTE points are compared
-in full instead; sizes are counted first.
+copied to the 27 cells around it. A nearest-neighbour join uses a k-d partition: a query's own
+cell bounds its k-th distance, and it is compared with the cells whose boxes lie within that.
+Plants up to BRUTE points are compared in full instead; sizes are counted first.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborel.functions.geometry import dist2, xyz
+from arborel.operators.cells import Cells, corner_d2
 from arborel.scratch import materialize
 
 #: Points of a plant up to which every pair is compared.
@@ -35,21 +35,28 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("plant_id", F.col("point_id").alias(f"{prefix}id"), *[F.col(a).cast("double").alias(f"{prefix}{a}") for a in "xyz"])
 
 
-def radius_pairs(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+def radius_pairs(queries: DataFrame, points: DataFrame, radius: float | DataFrame) -> DataFrame:
     """radius_join with the coordinates p_x .. p_z of the query and n_x .. n_z of the neighbour."""
-    size = F.lit(float(radius))
-    q = _around(_named(queries, "q_"), "q_", size)
-    p = _named(points, "p_")
+    q, p = _named(queries, "q_"), _named(points, "p_")
+    if isinstance(radius, DataFrame):
+        sizes = radius.select("plant_id", F.col("radius").cast("double").alias("reach"))
+        q, p = q.join(sizes, "plant_id"), p.join(sizes.withColumnRenamed("reach", "_reach"), "plant_id")
+    else:
+        q, p = q.withColumn("reach", F.lit(float(radius))), p.withColumn("_reach", F.lit(float(radius)))
+    q = _around(q, "q_", F.col("reach"))
     for axis in "xyz":
-        p = p.withColumn(f"c{axis}", _cell(F.col(f"p_{axis}"), size))
+        p = p.withColumn(f"c{axis}", _cell(F.col(f"p_{axis}"), F.col("_reach")))
     d2 = dist2(xyz("q_"), xyz("p_"))
-    near = q.join(p, ["plant_id", "cx", "cy", "cz"]).where(d2 <= F.lit(float(radius) ** 2))
+    near = q.join(p, ["plant_id", "cx", "cy", "cz"]).where(d2 <= F.col("reach") * F.col("reach"))
     at = [F.col(f"{old}_{a}").alias(f"{new}_{a}") for old, new in (("q", "p"), ("p", "n")) for a in "xyz"]
     return near.select("plant_id", F.col("q_id").alias("point_id"), F.col("p_id").alias("nbr_id"), d2.alias("d2"), *at)
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """(plant_id, point_id, nbr_id, d2) of the points within radius (inclusive) of each query; a point finds itself."""
+def radius_join(queries: DataFrame, points: DataFrame, radius: float | DataFrame) -> DataFrame:
+    """(plant_id, point_id, nbr_id, d2) of the points within radius (inclusive) of each query; a point finds itself.
+
+    radius may be a table (plant_id, radius) with a radius above 0 for each plant.
+    """
     return radius_pairs(queries, points, radius).select("plant_id", "point_id", "nbr_id", "d2")
 
 
@@ -58,46 +65,50 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _full(q: DataFrame, p: DataFrame, k: int, other: Column) -> DataFrame:
+    """The k nearest of q in plants of p whose pairs are all compared."""
+    d2 = dist2(xyz("q_"), xyz("p_")).alias("d2")
+    return _top(q.join(p, "plant_id").where(other).select("plant_id", "q_id", "p_id", d2), k)
+
+
+def _by_cells(q: DataFrame, p: DataFrame, k: int, other: Column) -> DataFrame:
+    """The k nearest of q by a k-d partition of p: the own cell bounds the k-th distance, then all cells within it are compared."""
+    # of equal points none but the k + 1 smallest ids can be among k neighbours
+    rank = F.row_number().over(Window.partitionBy("plant_id", "p_x", "p_y", "p_z").orderBy("p_id"))
+    first = p.withColumn("_same", rank).where(F.col("_same") <= k + 1)
+    cells = Cells(first.select("plant_id", F.col("p_id").alias("point_id"), *[F.col(f"p_{a}").alias(a) for a in "xyz"]), max(8, 2 * (k + 1)))
+    held = cells.filed.select("plant_id", "node", F.col("point_id").alias("p_id"), *[F.col(a).alias(f"p_{a}") for a in "xyz"])
+    placed = cells.place(q.select("plant_id", "q_id", *[F.col(f"q_{a}").alias(a) for a in "xyz"]))
+    placed = materialize(placed.select("plant_id", "q_id", "node", *[F.col(a).alias(f"q_{a}") for a in "xyz"]), "knn-placed")
+    d2 = dist2(xyz("q_"), xyz("p_"))
+    own = placed.join(held, ["plant_id", "node"]).where(other).groupBy("plant_id", "q_id").agg(F.sort_array(F.collect_list(d2)).alias("own"))
+    kth = F.when(F.size("own") >= k, F.get("own", F.lit(k - 1)))
+    far = placed.join(cells.around(k + 1), ["plant_id", "node"], "left").join(own, ["plant_id", "q_id"], "left")
+    bound = F.least(F.coalesce(kth, F.lit(float("inf"))), F.coalesce(corner_d2("q_"), F.lit(float("inf"))))
+    asks = far.select("plant_id", "q_id", "q_x", "q_y", "q_z", bound.alias("bound"))
+    near = cells.visits(asks).join(held, ["plant_id", "node"]).where(other & (d2 <= F.col("bound")))
+    return _top(near.select("plant_id", "q_id", "p_id", d2.alias("d2")), k)
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, brute: int | None = None) -> DataFrame:
     """(plant_id, point_id, nbr_id, d2, rank) of the k nearest points of each query in its plant; ties go to the smaller id.
 
     exclude_self leaves out the point with the query's id. Queries of plants with fewer
-    points get all of them. Points without finite coordinates should be filtered first.
+    points get all of them. Plants up to `brute` points are compared in full, larger ones by
+    cells. Points without finite coordinates should be filtered first.
     """
     limit = BRUTE if brute is None else brute
     q, p = _named(queries, "q_"), _named(points, "p_")
     other = (F.col("q_id") != F.col("p_id")) if exclude_self else F.lit(True)
-    d2 = dist2(xyz("q_"), xyz("p_")).alias("d2")
-    span = [F.max(a) - F.min(a) for a in ("p_x", "p_y", "p_z")]
-    stats = p.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(*span).alias("extent"))
-    stats = materialize(stats, "knn-stats")
-    out = [F.col("plant_id"), F.col("q_id").alias("point_id"), F.col("p_id").alias("nbr_id"), "d2", "rank"]
+    stats = materialize(p.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")), "knn-stats")
+    out = ["plant_id", F.col("q_id").alias("point_id"), F.col("p_id").alias("nbr_id"), "d2", "rank"]
     few = stats.where(F.col("n") <= limit).select("plant_id")
-    full = q.join(few, "plant_id").join(p, "plant_id").where(other).select("plant_id", "q_id", "p_id", d2)
-    result = _top(full, k).select(*out)
-    many = stats.where(F.col("n") > limit)
-    if many.limit(1).count() == 0:
+    result = _full(q.join(few, "plant_id"), p, k, other).select(*out)
+    many = stats.where(F.col("n") > limit).select("plant_id")
+    if many.isEmpty():
         return result
-    size = F.when(F.col("extent") > 0, F.col("extent") * F.pow(F.lit(float(k)) / F.col("n"), F.lit(1 / 3))).otherwise(1.0)
-    left = materialize(q.join(many.select("plant_id", size.alias("size"), "extent"), "plant_id"), "knn-left")
-    while left.limit(1).count():
-        cells = p.join(left.select("plant_id", "size").distinct(), "plant_id")
-        for axis in "xyz":
-            cells = cells.withColumn(f"c{axis}", _cell(F.col(f"p_{axis}"), F.col("size")))
-        pairs = _around(left, "q_", F.col("size")).join(cells.drop("size"), ["plant_id", "cx", "cy", "cz"]).where(other)
-        top = materialize(_top(pairs.select("plant_id", "q_id", "p_id", d2, "size", "extent"), k), "knn-top")
-        last = top.groupBy("plant_id", "q_id").agg(F.count(F.lit(1)).alias("found"), F.max("d2").alias("far"))
-        judged = left.join(last, ["plant_id", "q_id"], "left")
-        # points outside the 27 cells are at least one cell away
-        sure = (F.coalesce(F.col("found"), F.lit(0)) == k) & (F.col("far") <= F.col("size") * F.col("size")) | (F.col("size") > F.col("reach"))
-        reach = F.greatest(*[F.greatest(F.abs(F.col(f"q_{a}") - F.col(f"low_{a}")), F.abs(F.col(f"q_{a}") - F.col(f"high_{a}"))) for a in "xyz"])
-        box = p.groupBy("plant_id").agg(*[f(f"p_{a}").alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "low"), (F.max, "high"))])
-        judged = judged.join(box, "plant_id").withColumn("reach", reach).withColumn("sure", sure)
-        judged = materialize(judged.select("plant_id", "q_id", "q_x", "q_y", "q_z", "size", "extent", "sure"), "knn-judged")
-        done = judged.where("sure").select("plant_id", "q_id")
-        result = result.unionByName(top.join(done, ["plant_id", "q_id"]).select(*out))
-        left = judged.where("not sure").withColumn("size", F.col("size") * 2).drop("sure")
-    return result
+    large = _by_cells(q.join(many, "plant_id", "left_semi"), p.join(many, "plant_id", "left_semi"), k, other)
+    return result.unionByName(large.select(*out))
 
 
 def nearest_join(queries: DataFrame, points: DataFrame) -> DataFrame:
