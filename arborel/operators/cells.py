@@ -23,19 +23,25 @@ AXES = ("x", "y", "z")
 
 
 def _cut(p: np.ndarray) -> tuple[int, float] | None:
-    """The axis and value that part points at a median: of the longest axis that parts off a quarter, else of the longest."""
+    """The axis and value that part points: of the longest axis that parts off a quarter, else of the longest.
+
+    The value is a median, or the end of a gap among the middle half that is a tenth of the extent and four times the mean gap.
+    """
     fallback = None
     for axis in np.argsort(-np.ptp(p, axis=0), kind="stable"):
-        values = p[:, axis]
-        low = values.min()
-        cut = np.partition(values, len(values) // 2)[len(values) // 2]
+        values = np.sort(p[:, axis])
+        n, low = len(values), values[0]
+        if values[-1] == low:
+            continue
+        gaps = np.diff(values[(n - 1) // 4 : 3 * n // 4 + 1])
+        if len(gaps) and gaps.max() >= max(0.1, 4 / n) * (values[-1] - low):
+            cut = values[(n - 1) // 4 + int(gaps.argmax()) + 1]
+        else:
+            cut = values[n // 2]
         if cut == low:
-            above = values[values > low]
-            if not len(above):
-                continue
-            cut = above.min()
-        left = np.count_nonzero(values < cut)
-        if 4 * min(left, len(values) - left) >= len(values):
+            cut = values[np.searchsorted(values, low, side="right")]
+        left = int(np.searchsorted(values, cut))
+        if 4 * min(left, n - left) >= n:
             return int(axis), float(cut)
         fallback = fallback or (int(axis), float(cut))
     return fallback

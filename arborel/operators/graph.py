@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborel.functions.geometry import dist2, segment_distance, xyz
+from arborel.operators.cells import STEP, Cells, box_d2, corner_d2
 from arborel.operators.components import connected_components
 from arborel.operators.spatial import knn_join, nearest_join, radius_join
 from arborel.scratch import discard, materialize
@@ -19,6 +20,8 @@ from arborel.scratch import discard, materialize
 
 #: Pointer jumps between two written tables: pointers reach 2**JUMPS times as far.
 JUMPS = 3
+#: Points of a plant up to which its tree is made in one task.
+KERNEL = 2048
 
 
 def _jump(parent: DataFrame, label: str) -> DataFrame:
@@ -36,6 +39,16 @@ def _jump(parent: DataFrame, label: str) -> DataFrame:
             return parent
 
 
+def _merge(picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen edges (plant_id, e) and roots (plant_id, node, up) of picked(plant_id, own, e, to): each component's least edge and where it leads."""
+    # an edge that both its components chose joins the two: the smaller is the root
+    both = picked.select("plant_id", "e", F.struct("own", "to").alias("p")).groupBy("plant_id", "e").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    node = F.explode(F.array_distinct(F.array("low", "high"))).alias("p")
+    up = F.when((F.col("low") != F.col("high")) & (F.col("p") == F.col("low")), F.col("p.own")).otherwise(F.col("p.to"))
+    ups = materialize(both.select("plant_id", "e", "low", "high", node).select("plant_id", "e", F.col("p.own").alias("node"), up.alias("up")), "mst-up")
+    return ups.select("plant_id", "e").distinct(), _jump(ups.select("plant_id", "node", "up"), "mst-jump")
+
+
 def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Boruvka's algorithm on weighted edges: the forest's (plant_id, src, dst, weight).
 
@@ -53,14 +66,9 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         sides = F.explode(F.array(F.struct(F.col("ca").alias("own"), F.col("cb").alias("to")), F.struct(F.col("cb").alias("own"), F.col("ca").alias("to")))).alias("s")
         picked = between.select("plant_id", sides, "e").groupBy("plant_id", "s.own").agg(F.min_by(F.struct("e", "s.to"), "e").alias("m"))
-        # an edge that both its components chose joins the two: the smaller is the root
-        both = picked.select("plant_id", "m.e", F.struct("own", "m.to").alias("p")).groupBy("plant_id", "e").agg(F.min("p").alias("low"), F.max("p").alias("high"))
-        node = F.explode(F.array_distinct(F.array("low", "high"))).alias("p")
-        up = F.when((F.col("low") != F.col("high")) & (F.col("p") == F.col("low")), F.col("p.own")).otherwise(F.col("p.to"))
-        ups = materialize(both.select("plant_id", "e", "low", "high", node).select("plant_id", "e", F.col("p.own").alias("node"), up.alias("up")), "mst-up")
-        chosen = ups.select("plant_id", "e.src", "e.dst", "e.weight").distinct()
+        chosen, roots = _merge(picked.select("plant_id", "own", "m.e", "m.to"))
+        chosen = chosen.select("plant_id", "e.src", "e.dst", "e.weight")
         tree = chosen if tree is None else tree.unionByName(chosen)
-        roots = _jump(ups.select("plant_id", "node", "up"), "mst-jump")
         for end in ("ca", "cb"):
             between = between.join(roots.select("plant_id", F.col("node").alias(end), F.col("up").alias(f"new_{end}")), ["plant_id", end]).drop(end).withColumnRenamed(f"new_{end}", end)
         low, high = F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")
@@ -73,34 +81,113 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return tree.distinct()
 
 
-def euclidean_tree(points: DataFrame, k: int = 4, max_rounds: int = 60) -> DataFrame:
-    """The tree of all pairs of each plant's points, on Spark: (plant_id, src, dst, weight).
+def euclidean_tree(points: DataFrame, k: int = 3, kernel: int | None = None) -> DataFrame:
+    """The tree of all pairs of each plant's points: (plant_id, src, dst, weight); ties by (distance, src, dst).
 
-    A radius join starts from twice the largest k-nearest-neighbour distance in a plant. Where
-    the tree of the pairs found connects the plant it is the tree of all pairs, as none of its
-    edges is longer than the radius; else the radius doubles. No task holds a plant. Points
-    without finite coordinates should be filtered first.
+    Plants up to `kernel` points (KERNEL) are a task each; larger ones go through foreign_tree, where no
+    task holds a plant. Points without finite coordinates should be filtered first.
+    """
+    most = KERNEL if kernel is None else kernel
+    points = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
+    sizes = materialize(points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")), "tree-sizes")
+    large = sizes.where(F.col("n") > most).select("plant_id")
+    if large.isEmpty():
+        return point_spanning_tree(points)
+    small = points.join(large, "plant_id", "left_anti")
+    return foreign_tree(points.join(large, "plant_id", "left_semi"), k).unionByName(point_spanning_tree(small))
+
+
+def foreign_tree(points: DataFrame, k: int = 3, max_rounds: int = 60) -> DataFrame:
+    """euclidean_tree by Boruvka's rounds on a k-d partition, without listing pairs of a plant.
+
+    In a round every component needs the nearest pair to a point of another. The k nearest
+    neighbours of each point give candidates. Only points all of whose neighbours are of their own
+    component, and nearer than the component's candidate, are searched for: they walk down the
+    partition's boxes, past boxes that hold nothing but their own component and those beyond
+    the bound, which falls at every level to the nearest far corner of a box with a foreign point.
+    Equal points are chained by id first and stand for each other through the smallest.
     """
     points = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
-    sizes = points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n"))
-    near = knn_join(points, points, k, exclude_self=True).groupBy("plant_id").agg(F.sqrt(F.max("d2")).alias("far"))
-    state = sizes.where("n > 1").join(near, "plant_id").select("plant_id", "n", F.when(F.col("far") > 0, 2 * F.col("far")).otherwise(1.0).alias("radius"))
-    state, found = materialize(state, "tree-state"), None
+    same = ["plant_id", "x", "y", "z"]
+    marked = points.join(points.groupBy(*same).agg(F.min("point_id").alias("first")), same)
+    marked = materialize(marked.select("plant_id", "point_id", "first", "x", "y", "z"), "tree-points")
+    # of equal points the edges of least ids are those to the smallest
+    chain = marked.where("point_id <> first").select("plant_id", F.struct(F.lit(0.0).alias("d2"), F.col("first").alias("src"), F.col("point_id").alias("dst")).alias("e"))
+    single = marked.where("point_id = first").drop("first")
+    cells = Cells(single, max(8, 2 * (k + 1)))
+    near = knn_join(single, single, k, exclude_self=True, brute=0)
+    near = materialize(near.select("plant_id", "point_id", "nbr_id", "d2"), "tree-near")
+    state = materialize(cells.filed.drop("depth").withColumn("comp", F.col("point_id")), "tree-state")
+    levels = materialize(_ancestors(cells), "tree-levels")
+    tree = chain
     for _ in range(max_rounds):
-        # each plant in units of its own radius
-        scaled = points.join(state, "plant_id").select("plant_id", "point_id", *[(F.col(a) / F.col("radius")).alias(a) for a in "xyz"])
-        pairs = radius_join(scaled, scaled, 1.0).where("point_id < nbr_id").select("plant_id", F.col("point_id").alias("src"), F.col("nbr_id").alias("dst"))
-        for end in ("src", "dst"):
-            pairs = pairs.join(points.select("plant_id", F.col("point_id").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in "xyz"]), ["plant_id", end])
-        tree = materialize(minimum_spanning_tree(pairs.select("plant_id", "src", "dst", F.sqrt(dist2(xyz("src_"), xyz("dst_"))).alias("weight"))), "tree")
-        edges = tree.groupBy("plant_id").agg(F.count(F.lit(1)).alias("edges"))
-        open_ = state.join(edges, "plant_id", "left").where("coalesce(edges, 0) < n - 1").select("plant_id", "n", (F.col("radius") * 2).alias("radius"))
-        state = materialize(open_, "tree-state")
-        done = tree.join(state.select("plant_id"), "plant_id", "left_anti")
-        found = done if found is None else found.unionByName(done)
-        if state.limit(1).count() == 0:
-            return found
-    raise RuntimeError(f"a plant is not connected after {max_rounds} doublings of the radius")
+        picked = _nearest_foreign(cells, levels, state, near)
+        if picked is None:
+            out = tree.select("plant_id", "e.src", "e.dst", F.sqrt("e.d2").alias("weight"))
+            return out
+        chosen, roots = _merge(picked)
+        tree = tree.unionByName(materialize(chosen, "tree-edges"))
+        moved = state.join(roots.select("plant_id", F.col("node").alias("comp"), "up"), ["plant_id", "comp"])
+        before, state = state, materialize(moved.withColumn("comp", F.col("up")).drop("up"), "tree-state")
+        discard(before, roots, picked)
+    raise RuntimeError(f"the tree is not finished after {max_rounds} rounds")
+
+
+def _ancestors(cells: Cells) -> DataFrame:
+    """(plant_id, node, above): the nodes of cells.boxes that hold each leaf, itself included."""
+    kept = cells.leaves.select("plant_id", "node", "depth", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("depth"), F.lit(STEP)), F.array("depth")))).alias("level"))
+    return kept.select("plant_id", "node", F.expr("shiftright(node, depth - level)").alias("above"))
+
+
+def _nearest_foreign(cells: Cells, levels: DataFrame, state: DataFrame, near: DataFrame) -> DataFrame | None:
+    """(plant_id, own, e, to): each component's nearest pair (d2, src, dst) and the component it leads to; None when plants are whole."""
+    span = state.groupBy("plant_id", "node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    span = span.join(levels, ["plant_id", "node"]).groupBy("plant_id", F.col("above").alias("node")).agg(F.min("low").alias("c_low"), F.max("high").alias("c_high"))
+    boxes = materialize(cells.boxes.join(span, ["plant_id", "node"]), "tree-boxes")
+    open_ = boxes.where("parent = 0 and c_low <> c_high").select("plant_id")
+    if open_.isEmpty():
+        return None
+    state = state.join(open_, "plant_id", "left_semi")
+    of = state.select("plant_id", "point_id", "comp")
+    theirs = of.select("plant_id", F.col("point_id").alias("nbr_id"), F.col("comp").alias("to"))
+    lists = near.join(of, ["plant_id", "point_id"]).join(theirs, ["plant_id", "nbr_id"])
+    edge = F.struct("d2", F.least("point_id", "nbr_id").alias("src"), F.greatest("point_id", "nbr_id").alias("dst"))
+    first = F.min(F.when(F.col("to") != F.col("comp"), F.struct(edge.alias("e"), "to"))).alias("best")
+    seen = materialize(lists.groupBy("plant_id", "point_id", "comp").agg(first, F.max("d2").alias("reach")), "tree-seen")
+    best = materialize(seen.where("best is not null").groupBy("plant_id", "comp").agg(F.min("best").alias("best")), "tree-best")
+    # a list without a foreign point says that those are no nearer than its last
+    asks = seen.where("best is null").drop("best").join(best, ["plant_id", "comp"], "left").withColumn("bound", F.coalesce("best.e.d2", F.lit(float("inf"))))
+    asks = asks.where("reach <= bound").select("plant_id", "point_id", "comp", "bound")
+    at = state.select("plant_id", "point_id", *[F.col(a).alias(f"q_{a}") for a in "xyz"])
+    front = materialize(asks.join(at, ["plant_id", "point_id"]).withColumn("parent", F.lit(0).cast("long")), "tree-front")
+    columns = ["plant_id", "point_id", "comp", "q_x", "q_y", "q_z", "bound"]
+    foreign = (F.col("c_low") != F.col("comp")) | (F.col("c_high") != F.col("comp"))
+    for _ in range(cells.steps):
+        met = front.join(boxes, ["plant_id", "parent"]).where(foreign & (box_d2("q_") <= F.col("bound")))
+        met = materialize(met.select(*columns, "node", box_d2("q_").alias("least"), corner_d2("q_").alias("most")), "tree-front")
+        tight = met.groupBy("plant_id", "comp").agg(F.min("most").alias("tight"))
+        low = F.least("bound", "tight")
+        before = front
+        front = met.join(tight, ["plant_id", "comp"]).where(F.col("least") <= low).select(*columns[:-1], low.alias("bound"), F.col("node").alias("parent"), "least", "most")
+        front = materialize(front, "tree-front")
+        discard(before, met)
+    held = state.select("plant_id", F.col("node").alias("parent"), F.col("point_id").alias("nbr_id"), F.col("comp").alias("to"), *[F.col(a).alias(f"p_{a}") for a in "xyz"])
+    d2 = dist2(xyz("q_"), xyz("p_"))
+    # two leaves of each component, the nearest and the one surely near, bring its bound close to the answer
+    visit = F.struct("q_x", "q_y", "q_z", "parent")
+    probes = front.groupBy("plant_id", "comp").agg(F.array(F.min_by(visit, "least"), F.min_by(visit, "most")).alias("two"))
+    probes = probes.select("plant_id", "comp", F.explode(F.array_distinct("two")).alias("v")).select("plant_id", "comp", "v.*")
+    probed = probes.join(held, ["plant_id", "parent"]).where(F.col("to") != F.col("comp")).groupBy("plant_id", "comp").agg(F.min(d2).alias("tight"))
+    low = F.least("bound", "tight")
+    before = front
+    front = materialize(front.join(probed, ["plant_id", "comp"], "left").where(F.col("least") <= low).select(*columns[:-1], low.alias("bound"), "parent"), "tree-front")
+    discard(before)
+    pairs = front.join(held, ["plant_id", "parent"]).where((F.col("to") != F.col("comp")) & (d2 <= F.col("bound"))).withColumn("d2", d2)
+    found = pairs.groupBy("plant_id", "comp").agg(F.min(F.struct(edge.alias("e"), "to")).alias("best"))
+    least = best.unionByName(found).groupBy("plant_id", F.col("comp").alias("own")).agg(F.min("best").alias("b"))
+    picked = materialize(least.select("plant_id", "own", "b.e", "b.to"), "tree-picked")
+    discard(front, seen, best, boxes)
+    return picked
 
 
 def point_spanning_tree(points: DataFrame) -> DataFrame:
@@ -137,13 +224,12 @@ def point_spanning_tree(points: DataFrame) -> DataFrame:
 
 
 def initial_graph(points: DataFrame, tree: DataFrame, step: float) -> DataFrame:
-    """All pairs within the first multiple of `step` that connects a plant: the least one not below its tree's longest edge."""
-    reach = tree.groupBy("plant_id").agg((F.ceil(F.round(F.max("weight") / step, 9)) * step).alias("reach"))
-    reach = materialize(reach, "graph-reach")
-    most = reach.agg(F.max("reach")).first()[0]
-    if most is None:
-        return tree.select("plant_id", "src", "dst", "weight")
-    near = radius_join(points, points, most).where("point_id < nbr_id").join(reach, "plant_id").where(F.sqrt("d2") <= F.col("reach") + step * 1e-9)
+    """All pairs within the first multiple of `step` that connects a plant: the least one not below its tree's longest edge.
+
+    Each plant is joined by its own reach; a plant of equal points has a reach of one step.
+    """
+    reach = tree.groupBy("plant_id").agg((F.greatest(F.ceil(F.round(F.max("weight") / step, 9)), F.lit(1)) * step + step * 1e-9).alias("radius"))
+    near = radius_join(points, points, materialize(reach, "graph-reach")).where("point_id < nbr_id")
     return near.select("plant_id", F.col("point_id").alias("src"), F.col("nbr_id").alias("dst"), F.sqrt("d2").alias("weight"))
 
 

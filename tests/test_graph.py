@@ -3,8 +3,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborel.operators import graph as G
+from arborel.operators.cells import Cells
 
 V, E = "plant_id string, vertex_id long, x double, y double, z double", "plant_id string, src long, dst long"
 
@@ -113,10 +115,58 @@ def test_euclidean_tree_is_prims(spark):
     rows += [("e", i, float(i % 5), float(i // 5), 0.0) for i in range(20)] + [("f", i, 0.0, 0.0, 0.0) for i in range(3)] + [("g", i, 1.0 * i if i < 9 else 500.0, 0.0, 0.0) for i in range(10)]
     p = spark.createDataFrame(rows, "plant_id string, point_id long, x double, y double, z double")
     want = {tuple(r) for r in G.point_spanning_tree(p).collect()}
-    assert {tuple(r) for r in G.euclidean_tree(p).collect()} == want and len(want) == 59 + 24 + 1 + 19 + 2 + 9
+    assert len(want) == 59 + 24 + 1 + 19 + 2 + 9
+    for kernel in (0, 1000):
+        assert {tuple(r) for r in G.euclidean_tree(p, kernel=kernel).collect()} == want
     assert G.euclidean_tree(p.limit(0)).count() == 0
 
 
+def shapes(n, rng):
+    """Even, clustered and outlying clouds, and parallel needles, whose nearest points are many alike."""
+    even = [(rng.random(), rng.random(), rng.random()) for _ in range(n)]
+    balls = [(9.0 * (i % 3) + rng.gauss(0, 0.05), 4.0 * (i % 5) + rng.gauss(0, 0.05), rng.gauss(0, 0.05)) for i in range(n)]
+    apart = [(rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(n - 1)] + [(3e4, 3e4, 3e4)]
+    needles = [(9.0 * (i % 3) + rng.gauss(0, 0.01), 4.0 * (i % 5) + rng.gauss(0, 0.01), rng.gauss(0, 1)) for i in range(n)]
+    return {"even": even, "balls": balls, "apart": apart, "needles": needles}
+
+
+def test_pairs_looked_at_stay_few(spark, monkeypatch):
+    """Below 100 a point on all shapes, candidates and searches of all rounds together."""
+    n = 1000
+    rows = [(p, i, *xyz) for p, cloud in shapes(n, random.Random(4)).items() for i, xyz in enumerate(cloud)]
+    df = spark.createDataFrame(rows, "plant_id string, point_id long, x double, y double, z double")
+    looked = {p: 0 for p in shapes(2, random.Random(0))}
+
+    def count(visits, leaves):
+        for r in visits.join(leaves.select("plant_id", "node", "n"), ["plant_id", "node"]).groupBy("plant_id").agg(F.sum("n").alias("n")).collect():
+            looked[r.plant_id] += r.n
+
+    visits, discard = Cells.visits, G.discard
+
+    def counted(self, asks):
+        out = visits(self, asks)
+        count(asks.join(self.filed.select("plant_id", F.col("point_id").alias("q_id"), "node"), ["plant_id", "q_id"]), self.leaves)  # own cells
+        count(out, self.leaves)
+        leaves.append(self.leaves)
+        return out
+
+    def watched(*tables):
+        for t in tables:
+            # the last front of a round names the leaves searched
+            if len(tables) > 2 and "tree-front" in getattr(t, "_scratch_path", ""):
+                count(t.withColumnRenamed("parent", "node"), leaves[0])
+        discard(*tables)
+
+    leaves = []
+    monkeypatch.setattr(Cells, "visits", counted)
+    monkeypatch.setattr(G, "discard", watched)
+    got = {tuple(r) for r in G.euclidean_tree(df, kernel=0).collect()}
+    print({p: v / n for p, v in looked.items()})
+    assert all(v < 100 * n for v in looked.values())
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in G.point_spanning_tree(df).collect()} and len(got) == 4 * (n - 1)
+
+
 def test_components_and_projection(spark):
     v = spark.createDataFrame([("p", i, float(i), 0.0, 0.0) for i in range(6)], V)
     e = spark.createDataFrame([("p", 0, 1), ("p", 1, 2), ("p", 4, 5)], E)
