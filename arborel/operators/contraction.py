@@ -146,15 +146,23 @@ def mean_row_size(coo: DataFrame, points: DataFrame) -> DataFrame:
 DENSE = 256
 
 
-def conjugate_gradients(apply, b: np.ndarray, x: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-7, most: int = 5000) -> np.ndarray:
-    """Solve for three right-hand sides at once with a Jacobi preconditioner, from the guess x."""
+def conjugate_gradients(apply, b: np.ndarray, x: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-7, most: int = 5000, enough: float | None = None) -> np.ndarray:
+    """Solve for three right-hand sides at once with a Jacobi preconditioner, from the guess x.
+
+    Residuals fall to `tolerance` times the right-hand side's norm. Where they do not within
+    `most` rounds, or numbers stop being finite, that is an ArithmeticError; a coarser `enough`
+    is for tolerances at the edge of double precision, which rounding may keep out of reach.
+    """
     r = b - apply(x)
     inverse = 1 / np.where(diagonal > 0, diagonal, 1.0)[:, None]
     z = inverse * r
     p, rz = z.copy(), (r * z).sum(axis=0)
-    goal = tolerance * np.maximum(np.sqrt((b * b).sum(axis=0)), 1e-300)
+    norm = np.maximum(np.sqrt((b * b).sum(axis=0)), 1e-300)
     for _ in range(most):
-        if (np.sqrt((r * r).sum(axis=0)) <= goal).all():
+        left = np.sqrt((r * r).sum(axis=0))
+        if (left <= tolerance * norm).all():
+            return x
+        if not np.isfinite(left).all():
             break
         q = apply(p)
         alpha = rz / np.maximum((p * q).sum(axis=0), 1e-300)
@@ -164,6 +172,10 @@ def conjugate_gradients(apply, b: np.ndarray, x: np.ndarray, diagonal: np.ndarra
         new = (r * z).sum(axis=0)
         p = z + new / np.maximum(rz, 1e-300) * p
         rz = new
+    r = b - apply(x)
+    left = np.sqrt((r * r).sum(axis=0)) / norm
+    if not (left <= (tolerance if enough is None else enough)).all():
+        raise ArithmeticError(f"the system is not solved after {most} rounds: residual {left.max():.3g} of the right-hand side, wanted {tolerance:.3g}")
     return x
 
 
@@ -285,13 +297,13 @@ def heat_distance(points: DataFrame, start: DataFrame, k: int = 8) -> DataFrame:
             time = max(np.sqrt((side**2).sum(axis=2)).mean(), np.sqrt(((x.max(axis=0) - x.min(axis=0)) ** 2).sum()) / 12) ** 2
             unit = np.zeros((n, 1))
             unit[origin] = 1
-            u = conjugate_gradients(lambda v: mass[:, None] * v + time * lap(v), unit, np.zeros((n, 1)), mass + time * diagonal, 1e-15)[:, 0]
+            u = conjugate_gradients(lambda v: mass[:, None] * v + time * lap(v), unit, np.zeros((n, 1)), mass + time * diagonal, 1e-15, enough=1e-9)[:, 0]
             gradient = sum(u[t[:, c], None] * np.cross(normal / double[:, None], side[:, c]) for c in range(3)) / double[:, None]
             length = np.sqrt((gradient**2).sum(axis=1))
             flow = np.where(length[:, None] > 1e-300, -gradient / np.maximum(length, 1e-300)[:, None], 0)
             parts = [cot[:, (c + 2) % 3] * (side[:, (c + 2) % 3] * flow).sum(axis=1) - cot[:, (c + 1) % 3] * (side[:, (c + 1) % 3] * flow).sum(axis=1) for c in range(3)]
             divergence = np.bincount(t.ravel(), np.stack(parts, axis=1).ravel(), n)
-            d = conjugate_gradients(lap, -divergence[:, None], np.zeros((n, 1)), diagonal, 1e-10)[:, 0]
+            d = conjugate_gradients(lap, -divergence[:, None], np.zeros((n, 1)), diagonal, 1e-10, enough=1e-6)[:, 0]
             value = np.where(u != 0, d - d[origin], np.nan)
         value[origin] = 0.0
         return pd.DataFrame({"plant_id": p["plant_id"].to_numpy(), "point_id": ids, "value": value}).dropna()

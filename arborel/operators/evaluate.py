@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborel.functions.geometry import distance, segment_distance, xyz
+from arborel.operators.numbering import numbered
 from arborel.operators.spatial import knn_join, nearest_join
 from arborel.scratch import materialize
 
@@ -134,8 +135,7 @@ def edge_samples(vertices: DataFrame, edges: DataFrame, interval: float | None =
     points = lines.withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     t = F.col("s") / (F.col("n") - 1)
     placed = points.select("plant_id", "src", "dst", "s", *[(F.col(f"a_{a}") + t * (F.col(f"b_{a}") - F.col(f"a_{a}"))).alias(a) for a in "xyz"])
-    number = F.row_number().over(Window.partitionBy("plant_id").orderBy("src", "dst", "s")).cast("long") - 1
-    return placed.withColumn("point_id", number)
+    return numbered(placed, [F.col(c) for c in ("src", "dst", "s")], "point_id")
 
 
 def forward_distances(cloud: DataFrame, vertices: DataFrame, edges: DataFrame, samples: DataFrame, candidates: int = 5) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from arborel.functions.geometry import dist2, segment_distance, xyz
 from arborel.operators.cells import STEP, Cells, box_d2, corner_d2
 from arborel.operators.components import connected_components
+from arborel.operators.numbering import numbered
 from arborel.operators.spatial import knn_join, nearest_join, radius_join
 from arborel.scratch import discard, materialize
 
@@ -259,8 +260,7 @@ def _chains(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def renumber(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices numbered 0, 1, ... in the order of their ids, and edges to match; edges to missing vertices go."""
-    new = F.row_number().over(Window.partitionBy("plant_id").orderBy("vertex_id")).cast("long") - 1
-    mapped = materialize(vertices.withColumn("new", new), "renumber")
+    mapped = materialize(numbered(vertices, [F.col("vertex_id")], "new"), "renumber")
     for end in ("src", "dst"):
         edges = edges.join(mapped.select("plant_id", F.col("vertex_id").alias(end), F.col("new").alias(f"new_{end}")), ["plant_id", end])
     edges = edges.drop("src", "dst").withColumnsRenamed({"new_src": "src", "new_dst": "dst"})

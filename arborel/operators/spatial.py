@@ -15,8 +15,8 @@ from arborel.functions.geometry import dist2, xyz
 from arborel.operators.cells import Cells, corner_d2
 from arborel.scratch import materialize
 
-#: Points of a plant up to which every pair is compared.
-BRUTE = 1024
+#: Points of a plant, or pairs of its queries and points, up to which every pair is compared.
+BRUTE, BRUTE_PAIRS = 1024, 1 << 22
 
 
 def _cell(value: Column, size: Column) -> Column:
@@ -94,17 +94,21 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     """(plant_id, point_id, nbr_id, d2, rank) of the k nearest points of each query in its plant; ties go to the smaller id.
 
     exclude_self leaves out the point with the query's id. Queries of plants with fewer
-    points get all of them. Plants up to `brute` points are compared in full, larger ones by
-    cells. Points without finite coordinates should be filtered first.
+    points get all of them. Plants up to `brute` points (by default of up to BRUTE points or
+    BRUTE_PAIRS pairs) are compared in full, larger ones by cells. Points without finite coordinates should be filtered first.
     """
     limit = BRUTE if brute is None else brute
     q, p = _named(queries, "q_"), _named(points, "p_")
     other = (F.col("q_id") != F.col("p_id")) if exclude_self else F.lit(True)
     stats = materialize(p.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")), "knn-stats")
     out = ["plant_id", F.col("q_id").alias("point_id"), F.col("p_id").alias("nbr_id"), "d2", "rank"]
-    few = stats.where(F.col("n") <= limit).select("plant_id")
-    result = _full(q.join(few, "plant_id"), p, k, other).select(*out)
-    many = stats.where(F.col("n") > limit).select("plant_id")
+    if brute is None:
+        asked = q.groupBy("plant_id").agg(F.count(F.lit(1)).alias("asked"))
+        stats = materialize(stats.join(asked, "plant_id").where((F.col("n") > limit) & (F.col("n") * F.col("asked") > BRUTE_PAIRS)), "knn-large")
+    else:
+        stats = stats.where(F.col("n") > limit)
+    many = stats.select("plant_id")
+    result = _full(q.join(many, "plant_id", "left_anti"), p, k, other).select(*out)
     if many.isEmpty():
         return result
     large = _by_cells(q.join(many, "plant_id", "left_semi"), p.join(many, "plant_id", "left_semi"), k, other)

@@ -16,6 +16,7 @@ from arborel.operators import contraction as K
 from arborel.operators import evaluate as E
 from arborel.operators import graph as R
 from arborel.operators import mesh as M
+from arborel.operators import spacing as N
 from arborel.operators import spatial as S
 from arborel.plans.tables import (
     A3, B3, C3, CENTROIDS, D2, FORWARD, INST, KNN_EDGES, L1, LOP_H, ONE, PLANTS, RADIUS, SAMPLES, SEG_M, SIDE, SIGMA_RADIUS, TRI, _centroids, _eigen_sql, _FOUND, _inst, _knn_edges, _knn_sql, _one, _plants, _query, _r, _seg, _sigma_sql, _skeleton,
@@ -166,6 +167,33 @@ def uniform_downsample(spark, d):
     return C.uniform_downsample(_plants(spark, d), 24).select("plant_id", "point_id", *_r("x", "y", "z"))
 
 
+#: The greedy order of spaced points: each is kept unless a kept one is nearer than the spacing.
+TURNS = f"{PLANTS}, turned AS (SELECT *, ('0x' || substr(md5(point_id::VARCHAR), 1, 8))::BIGINT AS turn FROM plants), ordered AS (SELECT plant_id, count(*) AS n, list({{'id': point_id, 'x': x, 'y': y, 'z': z}} ORDER BY turn, point_id) AS pts FROM turned GROUP BY plant_id)"
+NEARER = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)"
+
+
+def _greedy(spacing: str) -> str:
+    return f"list_reduce(pts, lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: {NEARER} < {spacing} * {spacing})) > 0 THEN kept ELSE list_append(kept, p) END, pts[:0])"
+
+
+@_query(f"WITH {TURNS} SELECT plant_id, unnest({_greedy('0.15::DOUBLE')}).id AS point_id FROM ordered")
+def spaced_points(spark, d):
+    return N.spaced_points(_plants(spark, d), 0.15)
+
+
+@_query(f"""WITH RECURSIVE {TURNS}, {_knn_sql(1)}, start AS (SELECT plant_id, pow(2.0::DOUBLE, floor(log2(1.17::DOUBLE * avg(sqrt(d2))))) AS start FROM knn GROUP BY plant_id),
+ tried(plant_id, round, low, high, gap, best) AS (SELECT plant_id, 0, 0.0::DOUBLE, NULL::DOUBLE, start, pts FROM start JOIN ordered USING (plant_id) WHERE n > 24 UNION ALL
+  SELECT plant_id, round + 1, low, high, CASE WHEN len(kept) BETWEEN 24 AND 25 OR high - low <= high / 1024 OR high <= start / 1024 THEN NULL WHEN high IS NULL THEN 2 * gap ELSE (low + high) / 2 END, best FROM (
+   SELECT plant_id, round, gap, start, kept, CASE WHEN len(kept) >= 24 THEN gap ELSE low END AS low, CASE WHEN len(kept) < 24 THEN gap ELSE high END AS high, CASE WHEN len(kept) >= 24 THEN kept ELSE best END AS best
+   FROM (SELECT t.plant_id, t.round, s.start, t.low, t.high, t.gap, t.best, {_greedy("t.gap")} AS kept FROM tried t JOIN ordered o USING (plant_id) JOIN start s USING (plant_id) WHERE t.round < 40 AND t.gap IS NOT NULL))),
+ held AS (SELECT plant_id, unnest(best, recursive := true) FROM (SELECT plant_id, arg_max(best, round) AS best FROM tried GROUP BY plant_id)),
+ spaced AS (SELECT p.plant_id, p.id, min({NEARER}) AS d2 FROM held p JOIN held q ON p.plant_id = q.plant_id AND p.id <> q.id GROUP BY p.plant_id, p.id),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY d2 DESC, id) AS rank FROM spaced)
+SELECT plant_id, id AS point_id FROM ranked WHERE rank <= 24 UNION ALL SELECT plant_id, point_id FROM plants JOIN ordered USING (plant_id) WHERE n = 24""")
+def spaced_downsample(spark, d):
+    return N.spaced_downsample(_plants(spark, d), 24).select("plant_id", "point_id")
+
+
 @_query(f"WITH {SEG_M} SELECT plant_id, class, tp, fp, fn, n FROM c")
 def semantic_confusion(spark, d):
     return E.semantic_counts(_seg(spark, d)).select("plant_id", "class", "tp", "fp", "fn", "n")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborel.config import Config
-from arborel.operators import cloud, contraction, graph
+from arborel.operators import cloud, contraction, graph, spacing
 from arborel.scratch import materialize
 from arborel.sources import inputs, ply
 
@@ -48,7 +48,7 @@ class Run:
         return self
 
     def _input(self):
-        kept = cloud.uniform_downsample(cloud.finite(self.points), self.config.down_sample)
+        kept = spacing.spaced_downsample(cloud.finite(self.points), self.config.down_sample)
         return cloud.normalize(kept, self.config.normalize_length)
 
     def _contracted(self):

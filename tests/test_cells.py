@@ -85,7 +85,7 @@ def test_pairs_stay_few_beside_points_apart(spark, monkeypatch):
 
     monkeypatch.setattr(Cells, "visits", counted)
     df = spark.createDataFrame(rows, SCHEMA)
-    assert spatial.knn_join(df, df, 8, exclude_self=True).count() == 32_000
+    assert spatial.knn_join(df, df, 8, exclude_self=True).count() == 32_000 and looked
     assert sum(looked) < 1_000_000
 
 

@@ -255,3 +255,20 @@ def test_unused_orphans_and_long_triangles(spark):
     whole = {r.a: (r.b, r.c) for r in mesh.attach_orphans(short, p).collect()}
     assert set(whole) == {0, 1, 2, 5, 6, 7, 8, 20} and whole[2] == (1, 5)
     assert cloud.lowest_point(p).first().point_id == 0
+
+
+def test_unfinished_solves_are_errors(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(60, 60))
+    a = a @ a.T + 1e-9 * np.eye(60)
+    b = rng.normal(size=(60, 1))
+    with pytest.raises(ArithmeticError, match="not solved"):
+        contraction.conjugate_gradients(lambda v: a @ v, b, np.zeros((60, 1)), np.diag(a), 1e-12, most=5)
+    with pytest.raises(ArithmeticError, match="not solved"):
+        contraction.conjugate_gradients(lambda v: a @ v, b * np.nan, np.zeros((60, 1)), np.diag(a))
+    n = contraction.DENSE + 10
+    coo = [("p", i, j, 1.0 if i == j else 2.0) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n]
+    rhs = [("p", i, float(i % 7) - 3) for i in range(n)]
+    broken = contraction.solve_spd(spark.createDataFrame(coo, "plant_id string, row long, col long, val double"), spark.createDataFrame(rhs, "plant_id string, row long, b double"))
+    with pytest.raises(Exception, match="not solved"):
+        broken.collect()
