@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborel.functions.geometry import dist2, xyz
+from arborel.operators.numbering import numbered
 from arborel.operators.spatial import knn_join, nearest_join
-from arborel.scratch import materialize
+from arborel.scratch import discard, materialize
 
 
 #: Halvings of the voxel size in one job.
 LEVELS = 4
-#: Points of a plant up to which farthest points are chosen in one task, and rounds between two written tables beyond.
-KERNEL_POINTS, WRITE_EVERY = 65_536, 16
+#: Points of a plant up to which farthest points are chosen in one task; beyond, points that a round picks from, and rounds between two tables of all picks.
+KERNEL_POINTS, TOP, WRITE_EVERY = 65_536, 4096, 16
 
 
 def normalize(points: DataFrame, length: float = 1.6) -> DataFrame:
@@ -97,8 +98,8 @@ def farthest_points(points: DataFrame, m: int | None = None, ratio: float | None
 
     The first is row 42 mod n by point_id; each next is farthest from those chosen, ties to
     the smaller id. m = n keeps the order of ids; n < m is an error. The choice is sequential:
-    one task takes a plant of up to KERNEL_POINTS points, and larger ones advance in rounds of
-    one aggregate over all their points each, with the same result.
+    one task takes a plant of up to KERNEL_POINTS points, and larger ones advance in rounds that
+    settle many picks each, with the same result.
     """
     sizes = materialize(points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")), "far-sizes")
     picked = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
@@ -110,35 +111,61 @@ def farthest_points(points: DataFrame, m: int | None = None, ratio: float | None
 
 
 def _far_in_rounds(points: DataFrame, m: int | None, ratio: float | None) -> DataFrame:
-    """farthest_points of points with n, their plant's number of points, above 42."""
+    """farthest_points of points with n, their plant's number of points, above 42.
+
+    A round settles many picks: of the TOP points that lie farthest from those chosen, a task
+    goes on picking as long as the next lies no nearer than any point outside of them can,
+    whose distances only fall. Then all points' distances take in the round's picks.
+    """
     want = F.lit(m) if m is not None else F.floor(F.lit(ratio) * F.col("n") + 0.5)
     columns = ["plant_id", "pos", "point_id", "x", "y", "z"]
-    state = materialize(points.withColumns({"want": want.cast("long"), "far": F.lit(float("inf"))}), "far-state")
-    if state.where("want > n").limit(1).count():
+    points = materialize(points.withColumns({"want": want.cast("long"), "far": F.lit(float("inf"))}), "far-state")
+    if points.where("want > n").limit(1).count():
         raise ValueError("a plant has fewer points than are wanted")
-    rank = F.row_number().over(Window.partitionBy("plant_id").orderBy("point_id"))
-    last = state.withColumn("_rank", rank).where(F.col("_rank") == 43).withColumn("pos", F.lit(0).cast("long")).select(*columns, "want")
-    found = last = materialize(last, "far-picked")
-    pending = [last]
+    whole = numbered(points.where("want = n"), [F.col("point_id")], "pos").select(*columns)
+    state = points.where("want < n and want > 0")
+    last = numbered(state, [F.col("point_id")], "pos").where("pos = 42").withColumn("pos", F.lit(0).cast("long")).select(*columns)
+    last = materialize(last, "far-picked")
+    found, tables = whole.unionByName(last), 0
+    kind = dict(points.dtypes)["plant_id"]
+    most = TOP
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["far", "point_id"], ascending=[False, True], kind="stable")
+        ids, p, far = pdf["point_id"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float), pdf["far"].to_numpy(float).copy()
+        # the best point outside: it and its like are picked next time
+        edge = (far[most], ids[most]) if len(pdf) > most else (-np.inf, 0)
+        far, order = far[:most], []
+        p, left = p[:most], int(pdf["want"].iloc[0] - pdf["pos"].iloc[0] - 1)
+        while len(order) < left:
+            best = far.max()
+            at = np.flatnonzero(far == best)
+            at = int(at[ids[at].argmin()])
+            if best < 0 or best < edge[0] or (best == edge[0] and ids[at] > edge[1]):
+                break
+            order.append(at)
+            far = np.where(far < 0, far, np.minimum(far, ((p - p[at]) ** 2).sum(axis=1)))
+            far[at] = -1.0
+        out = pdf.iloc[order][["plant_id", "point_id", "x", "y", "z"]].copy()
+        out.insert(1, "pos", int(pdf["pos"].iloc[0]) + 1 + np.arange(len(order)))
+        return out
+
     while True:
-        # those chosen since the table was last written, one row a plant
-        new = pending[0]
-        for df in pending[1:]:
-            new = new.unionByName(df)
-        new = new.groupBy("plant_id").agg(F.collect_list(F.struct("point_id", "x", "y", "z")).alias("new"), F.max("pos").alias("pos"))
+        new = last.groupBy("plant_id").agg(F.collect_list(F.struct("point_id", "x", "y", "z")).alias("new"), F.max("pos").alias("pos"))
         away = F.array_min(F.transform("new", lambda s: dist2(xyz(), (s["x"], s["y"], s["z"]))))
         taken = F.exists("new", lambda s: s["point_id"] == F.col("point_id")) | (F.col("far") < 0)
-        moved = state.join(new, "plant_id").where("pos + 1 < want").withColumn("far", F.when(taken, F.lit(-1.0)).otherwise(F.least("far", away)))
-        if len(pending) == WRITE_EVERY:
-            state = materialize(moved.drop("new", "pos"), "far-state")
-            moved = state.join(last.select("plant_id", "pos"), "plant_id")
-            pending = []
-        best = moved.groupBy("plant_id", "pos", "want").agg(F.max(F.struct("far", (-F.col("point_id")).alias("id"), "point_id", "x", "y", "z")).alias("b"))
-        last = materialize(best.select("plant_id", (F.col("pos") + 1).alias("pos"), "b.point_id", "b.x", "b.y", "b.z", "want"), "far-picked")
-        if last.limit(1).count() == 0:
-            return found.where("pos < want").select(*columns)
-        pending.append(last)
-        found = found.unionByName(last)
+        moved = state.drop("pos").join(new, "plant_id").where("pos + 1 < want").withColumn("far", F.when(taken, F.lit(-1.0)).otherwise(F.least("far", away)))
+        before, state = state, materialize(moved.drop("new"), "far-state")
+        discard(before)
+        if state.isEmpty():
+            return found
+        rank = F.row_number().over(Window.partitionBy("plant_id").orderBy(F.col("far").desc(), "point_id"))
+        top = state.withColumn("_rank", rank).where(F.col("_rank") <= most + 1).drop("_rank")
+        last = top.groupBy("plant_id").applyInPandas(pick, f"plant_id {kind}, pos long, point_id long, x double, y double, z double")
+        last = materialize(last, "far-picked")
+        found, tables = found.unionByName(last), tables + 1
+        if tables % WRITE_EVERY == 0:
+            found = materialize(found, "far-found")
 
 
 def _far_in_one_task(points: DataFrame, m: int | None, ratio: float | None) -> DataFrame:
@@ -214,8 +241,7 @@ def uniform_downsample(points: DataFrame, n: int, tolerance: float = 0.05, max_r
     best = chosen.join(means, ["plant_id", "vx", "vy", "vz"]).groupBy("plant_id", "vx", "vy", "vz").agg(F.min(F.struct(d2.alias("d2"), "point_id")).alias("b"))
     kept = materialize(points.join(best.select("plant_id", F.col("b.point_id").alias("point_id")), ["plant_id", "point_id"], "left_semi"), "down-kept")
     near = knn_join(kept, kept, 1, exclude_self=True).select("plant_id", "point_id", "d2")
-    rank = F.row_number().over(Window.partitionBy("plant_id").orderBy(F.col("d2").desc_nulls_last(), "point_id"))
-    final = kept.join(near, ["plant_id", "point_id"], "left").withColumn("_rank", rank).where(F.col("_rank") <= n)
+    final = numbered(kept.join(near, ["plant_id", "point_id"], "left"), [F.col("d2").desc_nulls_last(), F.col("point_id")], "_rank").where(F.col("_rank") < n)
     return final.select(*points.columns).unionByName(same)
 
 

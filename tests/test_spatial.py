@@ -88,12 +88,29 @@ def test_farthest_points_in_rounds(spark, monkeypatch, options):
     df = spark.createDataFrame(rows, SCHEMA)
     want = sorted(map(tuple, cloud.farthest_points(df, **options).collect()))
     monkeypatch.setattr(cloud, "KERNEL_POINTS", 50)
-    monkeypatch.setattr(cloud, "WRITE_EVERY", 5)
+    monkeypatch.setattr(cloud, "WRITE_EVERY", 2)
+    monkeypatch.setattr(cloud, "TOP", 9)
     assert sorted(map(tuple, cloud.farthest_points(df, **options).collect())) == want
     with pytest.raises(ValueError):
         cloud.farthest_points(df, m=58)
 
 
+def test_many_picks_in_a_round(spark, monkeypatch):
+    """Rows are the one-task kernel's, ties of a grid and equal points included, in fewer than m / 20 rounds."""
+    rng = random.Random(12)
+    rows = [("even", i, rng.random(), rng.random(), rng.random()) for i in range(2500)] + [("grid", i, float(i % 40), float(i // 40 % 30), 0.0) for i in range(1300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, cloud.farthest_points(df, m=400).collect()))
+    monkeypatch.setattr(cloud, "KERNEL_POINTS", 50)
+    monkeypatch.setattr(cloud, "TOP", 1000)
+    written, materialize = [], cloud.materialize
+    monkeypatch.setattr(cloud, "materialize", lambda df, label, **options: written.append(label) or materialize(df, label, **options))
+    assert sorted(map(tuple, cloud.farthest_points(df, m=400).collect())) == want
+    assert written.count("far-picked") < 400 / 20
+    whole = cloud.farthest_points(df.where("plant_id = 'grid'"), m=1300)
+    assert [r.point_id for r in whole.orderBy("pos").collect()] == list(range(1300))
+
+
 def test_sphere(spark):
     rows = cloud.debug_sphere().collect()
     assert len(rows) == 19 * 37 and all(abs(r.x**2 + r.y**2 + r.z**2 - 1) < 1e-12 for r in rows)
