@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +92,30 @@ def prepare_folder(spark: SparkSession, folder: str, mode: str = "errorifexists"
     return folder
 
 
+def fingerprint(spark: SparkSession, config: Config) -> str:
+    """Name, length and time of change of every configured file, labels included, as one digest."""
+    files = input_files(spark, config) + ([config.semantic_file, config.instance_file] if config.with_labels and config.semantic_file else [])
+    said = []
+    for path in files:
+        found = _status(spark, path)
+        if found is None:
+            raise ValueError(f"no file at {path!r}")
+        said.append([path, found[1].getLen(), found[1].getModificationTime()])
+    return hashlib.sha256(json.dumps(said).encode()).hexdigest()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file from any store that Spark reads; None where there is none."""
+    found = _status(spark, path)
+    if found is None:
+        return None
+    opened = found[0].open(found[1].getPath())
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
+    finally:
+        opened.close()
+
+
 def write_text(spark: SparkSession, path: str, content: str) -> str:
     """One small text file, such as a configuration, in any store that Spark writes."""
     jvm = spark.sparkContext._jvm
