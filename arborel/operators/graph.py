@@ -22,7 +22,7 @@ from arborel.scratch import discard, materialize
 #: Pointer jumps between two written tables: pointers reach 2**JUMPS times as far.
 JUMPS = 3
 #: Points of a plant up to which its tree is made in one task.
-KERNEL = 2048
+KERNEL = 8192
 
 
 def _jump(parent: DataFrame, label: str) -> DataFrame:
