@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborel.functions.geometry import clamp_length, kernel, l1, sub, symmetric_eigenvalues, xyz
-from arborel.operators import mesh
+from arborel.operators import dissection, mesh
 from arborel.operators.spatial import knn_join, radius_join, radius_pairs, with_fallback
 from arborel.scratch import materialize
 
@@ -142,8 +142,8 @@ def mean_row_size(coo: DataFrame, points: DataFrame) -> DataFrame:
     return sizes.select("plant_id", (F.coalesce("entries", F.lit(0)) / F.col("n")).alias("mean_row_size"))
 
 
-#: Points of a plant up to which its system is solved as a full matrix.
-DENSE = 256
+#: Points of a plant up to which its system is solved as a full matrix, and by one task; beyond, by nested dissection.
+DENSE, ONE_TASK = 256, 16_384
 
 
 def conjugate_gradients(apply, b: np.ndarray, x: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-7, most: int = 5000, enough: float | None = None) -> np.ndarray:
@@ -183,8 +183,27 @@ def _scatter(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(at, values[:, c], n) for c in range(values.shape[1])], axis=1)
 
 
-def solve_spd(coo: DataFrame, rhs: DataFrame) -> DataFrame:
-    """x of A x = b per plant, for A(plant_id, row, col, val) and b(plant_id, row, b); (plant_id, row, x)."""
+def _large(rows: DataFrame, one_task: int) -> DataFrame | None:
+    """(plant_id) of plants with more than one_task rows, or None where there are none."""
+    large = rows.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > one_task).select("plant_id")
+    large = materialize(large, "large-plants")
+    return None if large.isEmpty() else large
+
+
+def solve_spd(coo: DataFrame, rhs: DataFrame, places: DataFrame | None = None, one_task: int = ONE_TASK) -> DataFrame:
+    """x of A x = b per plant, for A(plant_id, row, col, val) and b(plant_id, row, b); (plant_id, row, x).
+
+    Plants of more than one_task unknowns are solved by nested dissection over
+    places(plant_id, row, x, y, z); where none are given, over the order of their row numbers.
+    """
+    large = _large(rhs, one_task)
+    if large is not None:
+        if places is None:
+            places = rhs.select("plant_id", "row", F.col("row").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+        parts = [df.join(large, "plant_id", "left_semi") for df in (coo, rhs.select("plant_id", "row", F.col("b").alias("x")), places)]
+        solved = dissection.solve(*parts)
+        coo, rhs = (df.join(large, "plant_id", "left_anti") for df in (coo, rhs))
+        return solve_spd(coo, rhs, one_task=one_task).unionByName(solved)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("row")
@@ -202,13 +221,23 @@ def solve_spd(coo: DataFrame, rhs: DataFrame) -> DataFrame:
     return coo.groupBy("plant_id").cogroup(rhs.groupBy("plant_id")).applyInPandas(run, f"plant_id {kind}, row long, x double")
 
 
-def contract_once(points: DataFrame, weights: DataFrame, laplacian: DataFrame, constraints: DataFrame) -> DataFrame:
-    """New positions that minimise |WL L P'|^2 + |WH (P' - P)|^2 + |WD (H P' - e)|^2, one plant a task.
+def contract_once(points: DataFrame, weights: DataFrame, laplacian: DataFrame, constraints: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """New positions that minimise |WL L P'|^2 + |WH (P' - P)|^2 + |WD (H P' - e)|^2.
 
-    The least squares of stacked_system, without its product matrix. A task holds one plant's
-    sparse rows, some hundred bytes a point, and the run bounds a plant's points by its
-    down-sampling; all plants of a step are solved in one job.
+    The least squares of stacked_system. Plants of up to one_task points are a task each, which
+    holds their sparse rows, some hundred bytes a point, and no product matrix; all of them are
+    solved in one job. The normal equations of larger ones are solved by nested dissection.
     """
+    large = _large(points, one_task)
+    if large is not None:
+        parts = [materialize(df.join(large, "plant_id", "left_semi"), "large-system") for df in (points, weights, laplacian, constraints)]
+        a, b = stacked_system(*parts)
+        a = materialize(a, "large-stacked")
+        places = parts[0].select("plant_id", F.col("point_id").alias("row"), "x", "y", "z")
+        b = normal_rhs(a, b).select("plant_id", "row", *[F.col(f"b{c}").alias(c) for c in "xyz"])
+        solved = dissection.solve(normal_matrix(a), b, places).withColumnRenamed("row", "point_id")
+        rest = [df.join(large, "plant_id", "left_anti") for df in (points, weights, laplacian, constraints)]
+        return contract_once(*rest, one_task=one_task).unionByName(solved)
     rows = points.select("plant_id", F.col("point_id").cast("long"), "x", "y", "z").join(weights.select("plant_id", "point_id", "wl", "wh"), ["plant_id", "point_id"])
     lap = laplacian.select("plant_id", F.lit("L").alias("kind"), F.col("row").alias("i"), F.col("col").alias("j"), F.col("val").alias("ex"), F.lit(0.0).alias("ey"), F.lit(0.0).alias("ez"))
     con = constraints.select("plant_id", F.lit("D").alias("kind"), F.col("src").alias("i"), F.col("dst").alias("j"), "ex", "ey", "ez")

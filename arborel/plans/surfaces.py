@@ -8,6 +8,7 @@ from arborel.config import Config
 from arborel.functions import geometry as G
 from arborel.operators import cloud as C
 from arborel.operators import contraction as K
+from arborel.operators import dissection
 from arborel.operators import mesh as M
 from arborel.plans.tables import D2, KNN_EDGES, PLANTS, _eigen_sql, _knn_edges, _knn_sql, _plants, _query, _r
 from arborel.scratch import materialize
@@ -161,15 +162,31 @@ def normal_matrix_coo(spark, d):
     return K.normal_matrix(K.stack(materialize(K.constraint_rows(K.distance_constraints(_plants(spark, d), 0.1)), "coo")))
 
 
-@_query(f"""WITH RECURSIVE {PLANTS}, {ADJACENT}, {HTH}, m AS (SELECT plant_id, row, col, val + CASE WHEN row = col THEN 1.0 ELSE 0.0 END AS val FROM hth), b AS (SELECT plant_id, point_id AS row, z AS x FROM plants),
- {_eliminate_sql("m", "b", ("x",))} SELECT plant_id, row, round(x, 6) + 0.0 AS x FROM solved""")
-def spd_solve(spark, d):
+SPD = f"""WITH RECURSIVE {PLANTS}, {ADJACENT}, {HTH}, m AS (SELECT plant_id, row, col, val + CASE WHEN row = col THEN 1.0 ELSE 0.0 END AS val FROM hth), b AS (SELECT plant_id, point_id AS row, z AS x FROM plants),
+ {_eliminate_sql("m", "b", ("x",))} SELECT plant_id, row, round(x, 6) + 0.0 AS x FROM solved"""
+
+
+def _spd(spark, d):
     p = _plants(spark, d)
     a = K.normal_matrix(materialize(K.constraint_rows(K.distance_constraints(p, 0.1)), "coo"))
     a = a.withColumn("val", F.col("val") + F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0))
+    return p, a
+
+
+@_query(SPD)
+def spd_solve(spark, d):
+    p, a = _spd(spark, d)
     return K.solve_spd(a, p.select("plant_id", F.col("point_id").alias("row"), F.col("z").alias("b"))).select("plant_id", "row", *_r("x"))
 
 
+@_query(SPD)
+def spd_solve_dissected(spark, d):
+    """The same systems by nested dissection, with leaves of 32 points so that plants of every size are cut."""
+    p, a = _spd(spark, d)
+    rows = p.select("plant_id", F.col("point_id").alias("row"), "x", "y", "z")
+    return dissection.solve(a, rows.select("plant_id", "row", F.col("z").alias("x")), rows, leaf=32).select("plant_id", "row", *_r("x"))
+
+
 #: One step's normal equations: WL is 1 but 2 for even ids, WH is 1 but 9 for the lowest point, and WD is 9.
 STEP = f"""{LAPLACIAN}, {ADJACENT}, {HTH}, low AS (SELECT arg_min(point_id, (z, point_id)) AS tip FROM plants GROUP BY plant_id),
  w AS (SELECT plant_id, point_id, CASE WHEN point_id % 2 = 0 THEN 2.0 ELSE 1.0 END AS wl, CASE WHEN point_id IN (SELECT tip FROM low) THEN 9.0 ELSE 1.0 END AS wh FROM plants),
