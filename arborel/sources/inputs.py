@@ -37,13 +37,6 @@ def input_files(spark: SparkSession, config: Config) -> list[str]:
     return inside
 
 
-def _together(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df)
-    return out
-
-
 def _named_labels(spark: SparkSession, path: str, config: Config) -> DataFrame:
     """A PLY file whose vertices carry the configured label properties."""
     rows = ply.read_vertices(spark, path)
@@ -67,8 +60,11 @@ def load(spark: SparkSession, config: Config) -> DataFrame:
     match the points in number are an error.
     """
     paths = input_files(spark, config.validate())
+    folder = paths != [config.input]
+    together = f"{config.input.rstrip('/')}/*{config.extension}" if folder else config.input  # one scan
+    is_ply = paths[0].lower().endswith(".ply")
     if not config.with_labels:
-        return _together([text.load_cloud(spark, p) for p in paths])
+        return ply.read_cloud(spark, together) if is_ply else text.read_cloud(spark, together)
     if config.semantic_file:
         if len(paths) != 1:
             raise ValueError("separate label files belong to one cloud")
@@ -76,7 +72,7 @@ def load(spark: SparkSession, config: Config) -> DataFrame:
         plants = points.select("plant_id").distinct()  # one row: the one file's name
         return text.with_labels(points, _label_file(spark, config.semantic_file, "semantic", plants), _label_file(spark, config.instance_file, "instance", plants))
     columns = config.total_columns, config.semantic_column, config.instance_column
-    return _together([_named_labels(spark, p, config) if p.lower().endswith(".ply") else text.read_labelled_cloud(spark, p, *columns) for p in paths])
+    return _named_labels(spark, together, config) if is_ply else text.read_labelled_cloud(spark, together, *columns)
 
 
 def prepare_folder(spark: SparkSession, folder: str, mode: str = "errorifexists") -> str:

@@ -1,10 +1,12 @@
 """PLY files as a Spark data source: format "ply".
 
-Reading: one partition a file; options path (file, folder or glob), element (vertex by
-default), columns (comma separated; all by default), as_float32 (cast coordinates through
-single precision). Rows carry plant_id (the file's stem) and point_id (the row's place).
-List properties become arrays. ASCII and binary files of both byte orders are read, other
-elements are skipped.
+Reading: options path (file, folder or glob), element (vertex by default), columns (comma
+separated; all by default), split (bytes of a partition, 64 MB by default). Files that are
+smaller share partitions; a larger binary file whose rows have one size is cut into ranges of
+rows, and a partition reads its range's bytes only. Larger ASCII files, and those with a list
+property in or before the element, are a partition each, as their rows' places are not known.
+Rows carry plant_id (the file's stem) and point_id (the row's place). List properties become
+arrays. ASCII and binary files of both byte orders are read, other elements are skipped.
 
 Writing: write_clouds and write_graphs make one file a plant, ASCII or binary little-endian.
 """
@@ -33,6 +35,11 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 def list_files(path: str, suffix: str = ".ply", recursive: bool = False) -> list[str]:
     """Files below a folder, or the one file, or those a * pattern names; any store that the URI reaches."""
+    return [f for f, _ in sized_files(path, suffix, recursive)]
+
+
+def sized_files(path: str, suffix: str = ".ply", recursive: bool = False) -> list[tuple[str, int]]:
+    """list_files with each file's size in bytes, by one listing."""
     from fnmatch import fnmatch
 
     scheme = path.split("://")[0] + "://" if "://" in path else ""
@@ -40,10 +47,10 @@ def list_files(path: str, suffix: str = ".ply", recursive: bool = False) -> list
     fs, name = _open(folder)
     info = fs.get_file_info(name)
     if info.type == pafs.FileType.File:
-        return [path]
-    found = [f.path for f in fs.get_file_info(pafs.FileSelector(name, recursive=recursive)) if f.type == pafs.FileType.File]
+        return [(path, info.size)]
+    found = [(f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(name, recursive=recursive)) if f.type == pafs.FileType.File]
     pattern = path.rsplit("/", 1)[1] if "*" in path else f"*{suffix}"
-    return sorted((scheme if scheme and scheme != "file://" else "") + f for f in found if fnmatch(f.rsplit("/", 1)[1], pattern))
+    return sorted(((scheme if scheme and scheme != "file://" else "") + f, size) for f, size in found if fnmatch(f.rsplit("/", 1)[1], pattern))
 
 
 def stem(path: str) -> str:
@@ -74,6 +81,27 @@ class Header:
             raise ValueError(f"unknown PLY format {self.format!r}")
 
 
+    def rows_at(self, element: str) -> tuple[np.dtype, int, int] | None:
+        """(row, offset of the first row, rows) of a binary element whose rows have one size, as have all before it; else None."""
+        if self.format == "ascii":
+            return None
+        at = self.start
+        for name, count, properties in self.elements:
+            if any(size is not None for _, _, size in properties):
+                return None
+            kind = np.dtype([(p, ("<" if "little" in self.format else ">") + t) for p, t, _ in properties])
+            if name == element:
+                return kind, at, count
+            at += kind.itemsize * count
+        return None
+
+
+def _header(path: str) -> Header:
+    fs, name = _open(path)
+    with fs.open_input_stream(name) as source:
+        return Header(source.read(1 << 20))
+
+
 def read_element(raw: bytes, element: str) -> dict[str, np.ndarray | list]:
     """The element's columns by property name."""
     header = Header(raw)
@@ -130,9 +158,7 @@ class PlySource(DataSource):
         files = list_files(self.options["path"])
         if not files:
             raise ValueError(f"no PLY files at {self.options['path']}")
-        fs, name = _open(files[0])
-        with fs.open_input_stream(name) as source:
-            header = Header(source.read(1 << 20))
+        header = _header(files[0])
         wanted = self.options.get("element", "vertex")
         found = next((p for n, _, p in header.elements if n == wanted), None)
         if found is None:
@@ -145,28 +171,66 @@ class PlySource(DataSource):
         return PlyReader(schema, dict(self.options))
 
 
-class PlyFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes of a partition.
+SPLIT = 64 << 20
+
+
+class PlyPieces(InputPartition):
+    """Pieces (path, first row, rows); rows is None for a whole file."""
+
+    def __init__(self, pieces: list[tuple[str, int, int | None]]):
+        self.pieces = pieces
 
 
 class PlyReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
+        self.element = options.get("element", "vertex")
 
     def partitions(self):
-        return [PlyFile(f) for f in list_files(self.options["path"])]
-
-    def read(self, partition: PlyFile):
-        fs, name = _open(partition.path)
-        with fs.open_input_stream(name) as source:
-            columns = read_element(source.read(), self.options.get("element", "vertex"))
+        """Small files together, large ones by ranges of rows; only the headers of large files are opened here."""
+        split = int(self.options.get("split", SPLIT))
+        out, bundle, held = [], [], 0
+        for path, size in sized_files(self.options["path"]):
+            fixed = _header(path).rows_at(self.element) if size > split else None
+            if fixed is not None:
+                kind, _, count = fixed
+                step = max(1, split // max(1, kind.itemsize))
+                out += [PlyPieces([(path, first, min(step, count - first))]) for first in range(0, count, step)]
+            elif size > split:
+                out.append(PlyPieces([(path, 0, None)]))
+            else:
+                if bundle and held + size > split:
+                    out.append(PlyPieces(bundle))
+                    bundle, held = [], 0
+                bundle, held = [*bundle, (path, 0, None)], held + size
+        return [*out, PlyPieces(bundle)] if bundle or not out else out
+
+    def read(self, partition: PlyPieces):
+        for path, first, count in partition.pieces:
+            yield from self._rows(path, first, count)
+
+    def _rows(self, path: str, first: int, count: int | None):
+        fs, name = _open(path)
+        if count is None:
+            with fs.open_input_stream(name) as source:
+                columns = read_element(source.read(), self.element)
+        else:
+            kind, at, _ = _header(path).rows_at(self.element)
+            with fs.open_input_file(name) as source:
+                rows = np.frombuffer(source.read_at(count * kind.itemsize, at + first * kind.itemsize), dtype=kind)
+            if len(rows) < count:
+                raise ValueError(f"{path} ends before its {self.element} rows do")
+            columns = {c: rows[c].astype(rows[c].dtype.newbyteorder("=")) for c in kind.names}
         names = self.schema.fieldNames()[2:]
+        missing = [c for c in names if c not in columns]
+        if missing:
+            raise ValueError(f"{path} has no {self.element} property {' and no '.join(missing)}")
         n = len(columns[names[0]]) if names else 0
         target = self.schema_arrow()
         for start in range(0, n, 65_536):
             stop = min(n, start + 65_536)
-            arrays = [pa.array([stem(partition.path)] * (stop - start)), pa.array(np.arange(start, stop))]
+            arrays = [pa.array([stem(path)] * (stop - start)), pa.array(np.arange(first + start, first + stop))]
             arrays += [pa.array(columns[c][start:stop]).cast(target.field(c).type) for c in names]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arborel.scratch import materialize
+
 
 def parse_line(line: Column, dims: int, delimiter: str = " ") -> Column:
     """The first `dims` numbers of a line as an array of doubles.
@@ -20,20 +22,29 @@ def parse_line(line: Column, dims: int, delimiter: str = " ") -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("line without its numbers: "), line)).cast("array<double>")).otherwise(numbers)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(plant_id, line, value) with line numbers from 0; files are read whole, one row each, for their order."""
-    whole = spark.read.text(path, wholetext=True).withColumn("plant_id", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", ""))
-    text = F.regexp_replace("value", "\n$", "")
-    return whole.select("plant_id", F.posexplode(F.split(text, "\n")).alias("line", "value"))
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(plant_id, line, value) with line numbers from 0, of one scan over all files of path.
+
+    Spark cuts large files at line ends. A block of a file is read in order by one task, so
+    that a row's place in it is the distance from the block's first row; the rows of the blocks
+    before, counted first, are added. Rows are not shuffled.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    window = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select("file", "start", (F.coalesce(F.sum("n").over(window), F.lit(0)) - F.col("first")).alias("shift"))
+    plant = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    return rows.join(materialize(blocks, "text-blocks"), ["file", "start"]).select(plant.alias("plant_id"), (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
-def read_cloud(spark: SparkSession, path: str, dims: int = 3, delimiter: str = " ") -> DataFrame:
+def read_cloud(spark: SparkSession, path: str | list[str], dims: int = 3, delimiter: str = " ") -> DataFrame:
     """(plant_id, point_id, x, y, z) of text clouds; point_id is the line number."""
     rows = _lines(spark, path).withColumn("v", parse_line(F.col("value"), max(3, dims), delimiter))
     return rows.select("plant_id", F.col("line").cast("long").alias("point_id"), *[F.col("v")[i].alias(a) for i, a in enumerate("xyz")])
 
 
-def read_labelled_cloud(spark: SparkSession, path: str, dims: int, semantic_column: int, instance_column: int, delimiter: str = " ") -> DataFrame:
+def read_labelled_cloud(spark: SparkSession, path: str | list[str], dims: int, semantic_column: int, instance_column: int, delimiter: str = " ") -> DataFrame:
     """A text cloud with two label columns, by 0-based index; values are cut to integers."""
     if not (0 <= semantic_column < dims and 0 <= instance_column < dims):
         raise ValueError("label columns must be among the columns")
