@@ -124,7 +124,7 @@ def _put_in(width: int):
         x = np.stack(rows["b"].to_list()) if len(rows) else np.zeros((0, width))
         if len(border) and len(rows):
             x = x - np.stack(rows["vals"].to_list()) @ np.stack(border.sort_values("place")["x"].to_list())
-        return pd.DataFrame({"plant_id": rows["plant_id"], "row": rows["row"], "x": list(x)})
+        return pd.DataFrame({"plant_id": rows["plant_id"], "row": rows["row"], "x": pd.Series(list(x), rows.index, dtype=object)})
 
     return run
 

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from arborel.operators import contraction, dissection, mesh
@@ -135,6 +137,15 @@ def test_unsolved_dissections_are_errors(spark):
         dissection._check(unit, right, wrong.withColumnRenamed("b", "x"), 1, 1e-7)
 
 
+def test_nodes_that_only_hand_on_give_no_rows():
+    """A node may have a border and nothing to eliminate: an empty frame that Arrow can still type."""
+    rows = pd.DataFrame({"plant_id": [], "row": [], "vals": [], "b": []})
+    border = pd.DataFrame({"plant": ["p"], "at": [4], "place": [7], "x": [np.array([1.0])]})
+    got = dissection._put_in(1)(("p", 4), rows, border)
+    assert len(got) == 0
+    assert pa.Array.from_pandas(got["x"], type=pa.list_(pa.float64())).type == pa.list_(pa.float64())
+
+
 def test_empty_systems(spark):
     coo, rhs, places = (df.limit(0) for df in _tables(spark, {"one": (np.array([[4.0]]), np.array([[2.0, 8.0]]), np.zeros((1, 3)))}))
     assert dissection.solve(coo, rhs, places).count() == 0
