@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborel.functions.geometry import clamp_length, kernel, l1, sub, symmetric_eigenvalues, xyz
 from arborel.operators import dissection, mesh
+from arborel.operators.paths import patch_distance
 from arborel.operators.spatial import knn_join, radius_join, radius_pairs, with_fallback
 from arborel.scratch import materialize
 
@@ -362,7 +363,7 @@ def contract(points: DataFrame, config) -> tuple[DataFrame, DataFrame, DataFrame
 
     span = config.normalize_length
     points = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
-    distance = heat_distance if config.geodesic == "heat" else graph_distance
+    distance = heat_distance if config.geodesic == "heat" else patch_distance
     found = tips_of_sample(lambda s: distance(s, lowest_point(s)), points, k=config.tip_neighbours)
     weights = materialize(initial_weights(points, found), "contract-weights")
 

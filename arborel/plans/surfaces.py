@@ -8,7 +8,7 @@ from arborel.config import Config
 from arborel.functions import geometry as G
 from arborel.operators import cloud as C
 from arborel.operators import contraction as K
-from arborel.operators import dissection
+from arborel.operators import dissection, paths
 from arborel.operators import mesh as M
 from arborel.plans.tables import D2, KNN_EDGES, PLANTS, _eigen_sql, _knn_edges, _knn_sql, _plants, _query, _r
 from arborel.scratch import materialize
@@ -230,18 +230,29 @@ def contraction_loop(spark, d):
     return K.contract(_plants(spark, d), LOOP)[1].select("plant_id", "iter", *_r("ratio"), "done")
 
 
-@_query(f"""WITH RECURSIVE {PLANTS}, {_knn_sql(8)}, steps2 AS (SELECT DISTINCT plant_id, a, b, w FROM (SELECT plant_id, point_id AS a, nbr_id AS b, sqrt(d2) AS w FROM knn UNION ALL SELECT plant_id, nbr_id, point_id, sqrt(d2) FROM knn)),
+#: Shortest paths over 8 neighbours from each plant's lowest point, relaxed hop by hop.
+GEODESIC = f"""WITH RECURSIVE {PLANTS}, {_knn_sql(8)}, steps2 AS (SELECT DISTINCT plant_id, a, b, w FROM (SELECT plant_id, point_id AS a, nbr_id AS b, sqrt(d2) AS w FROM knn UNION ALL SELECT plant_id, nbr_id, point_id, sqrt(d2) FROM knn)),
  placed AS (SELECT plant_id, point_id, z, row_number() OVER (PARTITION BY plant_id ORDER BY point_id) AS i FROM plants),
  near AS (SELECT p.plant_id, p.i, list({{'j': q.i, 'w': w}}) AS steps FROM steps2 e JOIN placed p ON p.point_id = e.a JOIN placed q ON q.point_id = e.b GROUP BY p.plant_id, p.i),
  nets AS (SELECT n.plant_id, list(steps ORDER BY n.i) AS net, list(p.point_id ORDER BY n.i) AS ids, arg_min(n.i, (p.z, p.point_id)) AS low, count(*) AS n FROM near n JOIN placed p ON p.plant_id = n.plant_id AND p.i = n.i GROUP BY n.plant_id),
  relaxed(plant_id, step, d) AS (SELECT plant_id, 0, list_transform(range(1, n + 1), lambda i: CASE WHEN i = low THEN 0.0 ELSE 1e300 END) FROM nets UNION ALL
   SELECT r.plant_id, step + 1, list_transform(net, lambda s, i: least(d[i], list_min(list_transform(s, lambda e: d[e.j] + e.w)))) FROM relaxed r JOIN nets USING (plant_id) WHERE step < n)
-SELECT plant_id, point_id, round(value, 6) + 0.0 AS value FROM (SELECT r.plant_id, unnest(ids) AS point_id, unnest(d) AS value FROM relaxed r JOIN nets USING (plant_id) WHERE step = n) WHERE value < 1e299""")
+SELECT plant_id, point_id, round(value, 6) + 0.0 AS value FROM (SELECT r.plant_id, unnest(ids) AS point_id, unnest(d) AS value FROM relaxed r JOIN nets USING (plant_id) WHERE step = n) WHERE value < 1e299"""
+
+
+@_query(GEODESIC)
 def geodesic_from_root(spark, d):
     p = _plants(spark, d)
     return K.graph_distance(p, C.lowest_point(p)).select("plant_id", "point_id", *_r("value"))
 
 
+@_query(GEODESIC)
+def geodesic_patches(spark, d):
+    """The same distances, a patch of points at a time."""
+    p = _plants(spark, d)
+    return paths.patch_distance(p, C.lowest_point(p)).select("plant_id", "point_id", *_r("value"))
+
+
 @_query()
 def geodesic_heat(spark, d):
     """The heat method's distances; tests hold it against distances along a sheet."""
