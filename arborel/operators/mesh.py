@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,62 +13,155 @@ from arborel.functions.geometry import dist2, half_cotan, heron_area, triangle_a
 from arborel.operators.spatial import knn_join
 
 
-def one_ring(centre: np.ndarray, around: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of indices into `around` that form Delaunay triangles with the centre in its tangent plane.
+#: Rounding of a float turn relative to the sum of its products' sizes (3 + 16 e) e with e = 2^-53, and where underflow may hide one.
+TURN_ERROR, TINY = (3 + 16 * 2.0**-53) * 2.0**-53, 1e-290
+#: Coordinates that one_rings takes at a time.
+RING_CELLS = 1 << 18
+
+
+def _two_product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a * b as a float and its exact error."""
+    p = a * b
+    parts = []
+    for v in (a, b):
+        big = v * 134217729.0
+        high = big - (big - v)
+        parts += [high, v - high]
+    ah, al, bh, bl = parts
+    return p, al * bl - (((p - ah * bh) - al * bh) - ah * bl)
+
+
+def turns(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1: the exact sign of the turn a, b, c of points (n, 2).
 
-    Inversion at the centre turns its Delaunay neighbours into the convex hull of the images.
+    A float value beyond its error bound stands. The others' products are taken exactly where
+    the differences in them are exact, and in fractions where they are not.
     """
-    d = around - centre
-    keep = np.flatnonzero((d**2).sum(axis=1) > 0)
-    if len(keep) < 2:
-        return []
-    _, axes = np.linalg.eigh(d[keep].T @ d[keep])
-    flat = d[keep] @ axes[:, 1:]
-    size = (flat**2).sum(axis=1)
-    inside = np.flatnonzero(size > 1e-300)
-    q = flat[inside] / size[inside, None]
-    order = np.lexsort((q[:, 1], q[:, 0]))
-
-    def turn(a, b, c):
-        return (q[b][0] - q[a][0]) * (q[c][1] - q[a][1]) - (q[b][1] - q[a][1]) * (q[c][0] - q[a][0])
-
-    def half(points):
-        chain: list[int] = []
-        for p in points:
-            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 0:
-                chain.pop()
-            chain.append(int(p))
-        return chain
-
-    hull = half(order)[:-1] + half(order[::-1])[:-1]
-    if len(hull) < 2:
-        return []
-    out = []
-    for a, b in zip(hull, hull[1:] + hull[:1], strict=True):
-        if q[a][0] * q[b][1] - q[a][1] * q[b][0] > 0:
-            out.append((int(keep[inside[a]]), int(keep[inside[b]])))
-    return out
+    u, v, s, t = b[:, 0] - a[:, 0], c[:, 1] - a[:, 1], b[:, 1] - a[:, 1], c[:, 0] - a[:, 0]
+    left, right = u * v, s * t
+    sign = np.sign(left - right).astype(int)
+    near = np.flatnonzero(np.abs(left - right) <= TURN_ERROR * (np.abs(left) + np.abs(right)) + TINY)
+    if not len(near):
+        return sign
+    sign[near] = 0
+    near = near[~(((u[near] == 0) | (v[near] == 0)) & ((s[near] == 0) | (t[near] == 0)))]
+    inexact = np.zeros(len(near), dtype=bool)
+    for p, q, d in ((b[near, 0], a[near, 0], u[near]), (c[near, 1], a[near, 1], v[near]), (b[near, 1], a[near, 1], s[near]), (c[near, 0], a[near, 0], t[near])):
+        bent = p - d  # p - q is exact if d and the part of q that it took add up to p and q
+        inexact |= ((p - (d + bent)) + (bent - q)) != 0
+    size = np.abs(left[near]) + np.abs(right[near])
+    inexact |= (size < 1e-250) | (np.maximum.reduce([np.abs(e[near]) for e in (u, v, s, t)]) > 1e150)
+    exact = near[~inexact]
+    (l1, l0), (r1, r0) = _two_product(u[exact], v[exact]), _two_product(s[exact], t[exact])
+    sign[exact] = np.where(l1 != r1, np.sign(l1 - r1), np.sign(l0 - r0)).astype(int)
+    for i in near[inexact]:
+        ax, ay, bx, by, cx, cy = (Fraction(float(e)) for e in (*a[i], *b[i], *c[i]))
+        turn = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        sign[i] = (turn > 0) - (turn < 0)
+    return sign
+
+
+def _rings(centre: np.ndarray, around: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, j) of the triangles of centre (n, 3) with neighbours i and j of around (n, m, 3); real (n, m) marks neighbours.
+
+    Inversion at the centre turns its Delaunay neighbours into the convex hull of the images,
+    which is wrapped for all rows at once, a corner in a step.
+    """
+    n, m = real.shape
+    d = np.where(real[..., None], around - centre[:, None], 0.0)
+    d = np.ldexp(d, -np.frexp(np.abs(d).max(axis=(1, 2), initial=0.0))[1][:, None, None])
+    _, axes = np.linalg.eigh(d.transpose(0, 2, 1) @ d)
+    flat = d @ axes[:, :, 1:]
+    size = (flat**2).sum(axis=2)
+    real = real & (size > 1e-300)
+    q = np.where(real[..., None], flat / np.where(real, size, 1.0)[..., None], np.inf)
+    rows = np.flatnonzero(real.sum(axis=1) > 1)
+    at = np.lexsort((q[rows, :, 1], q[rows, :, 0]), axis=1)[:, 0]
+    begin, found = q[rows, at], []
+    for _ in range(m):
+        if not len(rows):
+            break
+        here, best = q[rows, at], np.full(len(rows), -1)
+        for k in range(m):
+            there = q[rows, k]
+            use = np.flatnonzero(real[rows, k] & (there != here).any(axis=1))
+            first = use[best[use] < 0]
+            best[first] = k
+            rest = use[best[use] != k]
+            if not len(rest):
+                continue
+            now = q[rows[rest], best[rest]]
+            turn = turns(here[rest], now, there[rest])
+            # on one line from a corner the farther one is the hull's
+            away = np.abs(there[rest] - here[rest]).max(axis=1) > np.abs(now - here[rest]).max(axis=1)
+            best[rest[(turn < 0) | ((turn == 0) & away)]] = k
+        some = best >= 0
+        rows, at, best, begin, here = rows[some], at[some], best[some], begin[some], here[some]
+        there = q[rows, best]
+        found.append((rows, at, best, turns(np.zeros_like(here), here, there) > 0))
+        more = (there != begin).any(axis=1)
+        rows, at, begin = rows[more], best[more], begin[more]
+    if not found:
+        return (np.empty(0, dtype=np.int64),) * 3
+    row, i, j, seen = (np.concatenate([f[c] for f in found]) for c in range(4))
+    return row[seen], i[seen], j[seen]
+
+
+def one_rings(centre: np.ndarray, around: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, j): around[i] and around[j] form a Delaunay triangle with centre[row] in its tangent plane.
+
+    counts tells how many of the rows of around, in order, each centre has as neighbours. They
+    are taken by their coordinates, so their order has no bearing. Of neighbours on one circle
+    with the centre the first and last count, of equal ones one, and those equal to the centre
+    none. Centres with like numbers of neighbours go together.
+    """
+    begin, order, out, at = np.cumsum(counts) - counts, np.argsort(counts, kind="stable"), [], 0
+    sizes = counts[order]
+    while at < len(order):
+        end = int(np.searchsorted(sizes, 1.25 * sizes[at] + 4, side="right"))
+        end = min(end, at + max(1, RING_CELLS // max(1, int(sizes[end - 1]))))
+        some, m = order[at:end], int(sizes[end - 1])
+        at = end
+        if m < 2:
+            continue
+        real = np.arange(m) < counts[some, None]
+        take = np.where(real, begin[some, None] + np.arange(m), 0)
+        p = np.where(real[..., None], around[take], np.inf)
+        by = np.lexsort((p[..., 2], p[..., 1], p[..., 0]), axis=1)
+        take, p = np.take_along_axis(take, by, axis=1), np.take_along_axis(p, by[..., None], axis=1)
+        row, i, j = _rings(centre[some], np.where(real[..., None], p, 0.0), real)
+        out.append((some[row], take[row, i], take[row, j]))
+    return tuple(np.concatenate([o[c] for o in out]) if out else np.empty(0, dtype=np.int64) for c in range(3))
+
+
+def one_ring(centre: np.ndarray, around: np.ndarray) -> list[tuple[int, int]]:
+    """one_rings of one point: pairs of indices into `around`."""
+    around = np.asarray(around, dtype=float).reshape(-1, 3)
+    _, i, j = one_rings(np.asarray(centre, dtype=float)[None], around, np.array([len(around)]))
+    return list(zip(i.tolist(), j.tolist(), strict=True))
 
 
 def local_triangles(points: DataFrame, k: int = 8, near: DataFrame | None = None) -> DataFrame:
     """(plant_id, a, b, c): the triangles at each point of its k nearest neighbours' Delaunay triangulation; a is the point.
 
     near(plant_id, point_id, nbr_id, d2) gives other neighbours instead, such as those within
-    a radius. Neighbours are gathered for each point, so the kernel needs no whole plant.
+    a radius. Neighbours are gathered for each point, so the kernel needs no whole plant; it
+    triangulates a batch of points at once.
     """
     near = knn_join(points, points, k, exclude_self=True) if near is None else near.where("nbr_id <> point_id")
     theirs = points.select("plant_id", F.col("point_id").alias("nbr_id"), *[F.col(a).cast("double").alias(f"n{a}") for a in "xyz"])
     lists = near.join(theirs, ["plant_id", "nbr_id"]).groupBy("plant_id", "point_id").agg(F.sort_array(F.collect_list(F.struct("d2", "nbr_id", "nx", "ny", "nz"))).alias("nbrs"))
     rows = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"]).join(lists, ["plant_id", "point_id"])
+    rows = rows.select("plant_id", "point_id", "x", "y", "z", *[F.col(f"nbrs.{c}").alias(c) for c in ("nbr_id", "nx", "ny", "nz")])
     kind = dict(points.dtypes)["plant_id"]
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for plant, at, x, y, z, nbrs in pdf.itertuples(index=False, name=None):
-                around = np.array([[r["nx"], r["ny"], r["nz"]] for r in nbrs])
-                out += [(plant, at, nbrs[i]["nbr_id"], nbrs[j]["nbr_id"]) for i, j in one_ring(np.array([x, y, z]), around)]
-            yield pd.DataFrame(out, columns=["plant_id", "a", "b", "c"])
+            if not len(pdf):
+                continue
+            around, ids = np.stack([np.concatenate(pdf[c].to_numpy()) for c in ("nx", "ny", "nz")], axis=1), np.concatenate(pdf["nbr_id"].to_numpy())
+            row, i, j = one_rings(pdf[["x", "y", "z"]].to_numpy(float), around, pdf["nbr_id"].map(len).to_numpy())
+            yield pd.DataFrame({"plant_id": pdf["plant_id"].to_numpy()[row], "a": pdf["point_id"].to_numpy()[row], "b": ids[i], "c": ids[j]})
 
     return rows.mapInPandas(run, f"plant_id {kind}, a long, b long, c long")
 
