@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arborel.functions.geometry import dist2, half_cotan, heron_area, triangle_area, xyz
 from arborel.operators.spatial import knn_join
+from arborel.scratch import materialize
 
 
 #: Rounding of a float turn relative to the sum of its products' sizes (3 + 16 e) e with e = 2^-53, and where underflow may hide one.
@@ -248,6 +249,8 @@ def _laplacian_of(faces: DataFrame, sides: list, scale: float) -> DataFrame:
 
 #: Mollification, relative to the mean edge length, and the sum of cotangents below which an edge is flipped.
 MOLLIFY, LEAST_COTAN = 1e-5, -1e-9
+#: Points of a plant whose cover one task flips, some 100 MB.
+COVER_TASK = 16_384
 
 
 def tufted_cover(tris: np.ndarray, at: np.ndarray, mollify: float = MOLLIFY, most_rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
@@ -313,12 +316,20 @@ def tufted_cover(tris: np.ndarray, at: np.ndarray, mollify: float = MOLLIFY, mos
     raise RuntimeError(f"edges are still to be flipped after {most_rounds} rounds")
 
 
-def intrinsic(tris: DataFrame, points: DataFrame) -> DataFrame:
+def intrinsic(tris: DataFrame, points: DataFrame, one_task: int = COVER_TASK) -> DataFrame:
     """(plant_id, a, b, c, ab, bc, ca): tufted_cover of every plant's soup, with the lengths of its sides.
 
-    Flips depend on each other, so a task takes one plant's soup, some hundred bytes a triangle;
-    the run bounds a plant's points by its down-sampling.
+    A task takes the soup of one plant of up to one_task points, some hundred bytes a triangle;
+    the covers of larger ones are tables, flipped in rounds.
     """
+    from arborel.operators import flips
+
+    large = points.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > one_task).select("plant_id")
+    large = materialize(large, "large-covers")
+    if not large.isEmpty():
+        covered = flips.delaunay_cover(*[materialize(df.join(large, "plant_id", "left_semi"), "large-soup") for df in (tris, points)])
+        rest = [df.join(large, "plant_id", "left_anti") for df in (tris, points)]
+        return intrinsic(*rest, one_task=one_task).unionByName(covered)
     kind = dict(points.dtypes)["plant_id"]
 
     def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
