@@ -8,7 +8,7 @@ from arborel.config import Config
 from arborel.functions import geometry as G
 from arborel.operators import cloud as C
 from arborel.operators import contraction as K
-from arborel.operators import dissection, paths
+from arborel.operators import dissection, flips, paths
 from arborel.operators import mesh as M
 from arborel.plans.tables import D2, KNN_EDGES, PLANTS, _eigen_sql, _knn_edges, _knn_sql, _plants, _query, _r
 from arborel.scratch import materialize
@@ -240,6 +240,19 @@ GEODESIC = f"""WITH RECURSIVE {PLANTS}, {_knn_sql(8)}, steps2 AS (SELECT DISTINC
 SELECT plant_id, point_id, round(value, 6) + 0.0 AS value FROM (SELECT r.plant_id, unnest(ids) AS point_id, unnest(d) AS value FROM relaxed r JOIN nets USING (plant_id) WHERE step = n) WHERE value < 1e299"""
 
 
+@_query(f"""WITH {SOUP}, {FACES}, sides AS (SELECT plant_id, sqrt(ab) AS a, sqrt(bc) AS b, sqrt(ca) AS c FROM faces),
+ more AS (SELECT plant_id, greatest(0, max(greatest(a - b - c, b - c - a, c - a - b)) + {M.MOLLIFY} * avg((a + b + c) / 3)) AS m FROM sides GROUP BY plant_id),
+ grown AS (SELECT plant_id, a + m AS a, b + m AS b, c + m AS c, (a + b + c + 3 * m) / 2 AS s FROM sides JOIN more USING (plant_id))
+SELECT plant_id, 2 * count(*) AS faces, round(sum(2 * sqrt(s * (s - a) * (s - b) * (s - c))), 6) AS area, 0 AS bad FROM grown GROUP BY plant_id""")
+def delaunay_cover(spark, d):
+    """Faces, area and bad sides of the flipped covers: flips keep the first two and leave none of the last; tests hold them against the kernel."""
+    p, soup = _soup(spark, d)
+    faces = materialize(flips.delaunay_cover(soup, p), "cover")
+    own = faces.groupBy("plant_id").agg(F.count(F.lit(1)).alias("faces"), F.sum(G.heron_area(F.col("ab"), F.col("bc"), F.col("ca"))).alias("area"))
+    off = M.intrinsic_laplacian(faces).where("row <> col").groupBy("plant_id").agg(F.sum(F.when(F.col("val") < -1e-6, 1).otherwise(0)).alias("bad"))
+    return own.join(off, "plant_id").select("plant_id", "faces", *_r("area"), F.col("bad").cast("int").alias("bad"))
+
+
 @_query(GEODESIC)
 def geodesic_from_root(spark, d):
     p = _plants(spark, d)
