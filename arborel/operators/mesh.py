@@ -16,6 +16,8 @@ from arborel.scratch import materialize
 
 #: Rounding of a float turn relative to the sum of its products' sizes (3 + 16 e) e with e = 2^-53, and where underflow may hide one.
 TURN_ERROR, TINY = (3 + 16 * 2.0**-53) * 2.0**-53, 1e-290
+#: The side of tangent planes that counts as the upper one, off the directions that grids have.
+UPWARD = np.array([0.317, 0.414, 0.853])
 #: Coordinates that one_rings takes at a time.
 RING_CELLS = 1 << 18
 
@@ -72,7 +74,10 @@ def _rings(centre: np.ndarray, around: np.ndarray, real: np.ndarray) -> tuple[np
     d = np.where(real[..., None], around - centre[:, None], 0.0)
     d = np.ldexp(d, -np.frexp(np.abs(d).max(axis=(1, 2), initial=0.0))[1][:, None, None])
     _, axes = np.linalg.eigh(d.transpose(0, 2, 1) @ d)
+    # seen from the side of UPWARD, whatever signs the axes came with
+    mirrored = (axes[:, :, 0] @ UPWARD) * np.linalg.det(axes) < 0
     flat = d @ axes[:, :, 1:]
+    flat[mirrored, :, 1] *= -1
     size = (flat**2).sum(axis=2)
     real = real & (size > 1e-300)
     q = np.where(real[..., None], flat / np.where(real, size, 1.0)[..., None], np.inf)
@@ -260,9 +265,11 @@ def tufted_cover(tris: np.ndarray, at: np.ndarray, mollify: float = MOLLIFY, mos
     the next triangle, so that edges of any soup have two sides. Edges first grow by what keeps
     all triangle inequalities. Then edges whose opposite angles add up to more than half a turn
     are flipped, many at once that share no face. lengths[:, i] lies between corners i and i + 1.
-    Triangles that name a corner twice are left out.
+    Triangles that name a corner twice are left out; the others go by their corners, so that
+    the order of rows has no bearing.
     """
     tris = tris[(tris[:, 0] != tris[:, 1]) & (tris[:, 1] != tris[:, 2]) & (tris[:, 2] != tris[:, 0])]
+    tris = tris[np.lexsort((tris[:, 2], tris[:, 1], tris[:, 0]))]
     if not len(tris):
         return np.empty((0, 3), dtype=np.int64), np.empty((0, 3))
     faces = np.stack([tris, tris[:, [0, 2, 1]]], axis=1).reshape(-1, 3)
