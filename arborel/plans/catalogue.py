@@ -87,9 +87,7 @@ def sigma_linearness(spark, d):
 
 
 def _smooth(spark, d):
-    p = _one(spark, d)
-    near = S.radius_join(p, p, SIGMA_RADIUS)
-    return K.smooth_sigma(K.sigma(p, SIGMA_RADIUS, 0.9, near), near)
+    return K.linearness(_one(spark, d), SIGMA_RADIUS, 0.9)
 
 
 @_query(f"WITH {_sigma_sql()} SELECT point_id, round(sigma, 6) AS sigma, round(smooth_sigma, 6) AS smooth_sigma FROM smooth")
