@@ -3,7 +3,8 @@
 At a spacing, points are gone through in a fixed mixed order and kept unless a kept point is
 nearer. On Spark that is a maximal independent set by rounds: a point with no open neighbour
 earlier in the order is kept and its neighbours go; rounds grow with the logarithm of the
-points, as the order is a hash. The spacing is doubled and halved towards the number wanted.
+points, as the order is a hash. Stretches of the order are settled one after the other, so that
+pairs grow with the points and not with their square. The spacing is doubled and halved towards the number wanted.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from arborel.scratch import discard, materialize
 KERNEL = 2048
 #: Spacings tried at most, and the share of a spacing, or of the first one, below which the search ends.
 ROUNDS, FINE = 40, 1 / 1024
+#: Places in the mixed order; the points of a plant's first stretch of them and how many times longer the stretches grow.
+TURNS, FIRST, WIDER = 1 << 32, 4096, 4
+#: Points of a plant's stretch up to which one task settles it.
+STRETCH = 8192
 
 
 def turn(point_id: Column) -> Column:
@@ -32,20 +37,66 @@ def _picked(points: DataFrame) -> DataFrame:
     return points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
 
 
-def spaced_points(points: DataFrame, spacing: float | DataFrame) -> DataFrame:
+def spaced_points(points: DataFrame, spacing: float | DataFrame, most: int | None = None, first: int | None = None) -> DataFrame:
     """(plant_id, point_id) of the points kept at a spacing above 0, or at each plant's of (plant_id, radius).
 
     No two kept points are nearer than the spacing, and each other point is nearer than it to
-    a kept one that comes earlier in the order. No task holds a plant.
+    a kept one that comes earlier in the order. The order is gone through in stretches, the
+    first of some `first` points of a plant (FIRST), each WIDER times as long as all before: a stretch's
+    points that are near a kept one go before pairs are listed, which leaves few neighbours to each
+    of the rest whatever the spacing. Plants are left, and then unfinished, once more than `most`
+    of their points are kept. No task holds a plant.
     """
     points = _picked(points)
     reach = spacing if isinstance(spacing, DataFrame) else points.select("plant_id").distinct().withColumn("radius", F.lit(float(spacing)))
-    points = points.join(reach.select("plant_id"), "plant_id", "left_semi")
+    reach = materialize(reach.select("plant_id", F.col("radius").cast("double")), "spaced-reach")
+    points = points.join(reach.select("plant_id"), "plant_id", "left_semi").withColumn("turn", turn(F.col("point_id")))
+    points = materialize(points, "spaced-turned")
+    largest = points.groupBy("plant_id").count().agg(F.max("count")).first()[0] or 0
+    kept, low, share = None, 0, min(1.0, (first or FIRST) / max(1, largest))
+    while True:
+        high = TURNS if share >= 1 else int(share * TURNS)
+        some = points.where((F.col("turn") >= low) & (F.col("turn") < high))
+        if kept is not None:
+            if most is not None:
+                full = kept.groupBy("plant_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("plant_id")
+                some = some.join(F.broadcast(materialize(full, "spaced-full")), "plant_id", "left_anti")
+            near = radius_join(some, kept, reach).join(reach, "plant_id").where("d2 < radius * radius").select("plant_id", "point_id").distinct()
+            some = some.join(near, ["plant_id", "point_id"], "left_anti")
+        some = materialize(some, "spaced-stretch")
+        new = materialize(_settled(some, reach), "spaced-new")
+        kept = new if kept is None else kept.unionByName(new)
+        if share >= 1:
+            return kept.select("plant_id", "point_id")
+        low, share = high, min(1.0, WIDER * share)
+
+
+def _settled(points: DataFrame, reach: DataFrame) -> DataFrame:
+    """The points of a stretch that are kept: in their order where plants have up to STRETCH points there, else in rounds."""
+    if (points.groupBy("plant_id").count().agg(F.max("count")).first()[0] or 0) > STRETCH:
+        return _in_rounds(points, reach)
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["turn", "point_id"], kind="stable")
+        p, radius = pdf[list("xyz")].to_numpy(float), float(pdf["radius"].iloc[0])
+        free, kept = np.ones(len(p), dtype=bool), []
+        for i in range(len(p)):
+            if free[i]:
+                kept.append(i)
+                gap = p[i:] - p[i]
+                free[i:] &= (gap[:, 0] ** 2 + gap[:, 1] ** 2) + gap[:, 2] ** 2 >= radius * radius
+        return pdf.iloc[kept].drop(columns="radius")
+
+    return points.join(reach, "plant_id").groupBy("plant_id").applyInPandas(greedy, points.schema)
+
+
+def _in_rounds(points: DataFrame, reach: DataFrame) -> DataFrame:
+    """A point with no open neighbour earlier in the order is kept, and its neighbours go."""
     near = radius_join(points, points, reach).join(reach, "plant_id").where("d2 < radius * radius")
     mine, other = F.struct(turn(F.col("point_id")), "point_id"), F.struct(turn(F.col("nbr_id")), "nbr_id")
     open_ = materialize(near.where(mine < other).select("plant_id", F.col("point_id").alias("first"), F.col("nbr_id").alias("after")), "spaced-pairs")
     gone = None
-    while open_.limit(1).count():
+    while not open_.isEmpty():
         held_up = open_.select("plant_id", F.col("after").alias("first")).distinct()
         sure = open_.join(held_up, ["plant_id", "first"], "left_anti")
         drop = materialize(sure.select("plant_id", F.col("after").alias("point_id")).distinct(), "spaced-gone")
@@ -55,8 +106,7 @@ def spaced_points(points: DataFrame, spacing: float | DataFrame) -> DataFrame:
             left = left.join(drop.withColumnRenamed("point_id", end), ["plant_id", end], "left_anti")
         before, open_ = open_, materialize(left.select("plant_id", "first", "after"), "spaced-pairs")
         discard(before)
-    kept = points.select("plant_id", "point_id")
-    return kept if gone is None else kept.join(gone, ["plant_id", "point_id"], "left_anti")
+    return points if gone is None else points.join(gone, ["plant_id", "point_id"], "left_anti")
 
 
 def _kept(d2: np.ndarray, spacing: float) -> np.ndarray:
@@ -100,11 +150,12 @@ def _large(points: DataFrame, starts: DataFrame, n: int, tolerance: float) -> Da
     """_small for plants of any size: all of them try a spacing each in a round."""
     state = starts.select("plant_id", "start", F.lit(0.0).alias("low"), F.lit(None).cast("double").alias("high"), F.col("start").alias("at"), F.lit(False).alias("done"))
     state = materialize(state, "spacing")
+    limit = int(n * (1 + tolerance))  # more than that only says that the spacing is too narrow
     for _ in range(ROUNDS):
         tried = state.where("not done").select("plant_id", F.col("at").alias("radius"))
         if tried.isEmpty():
             break
-        found = spaced_points(points, tried).groupBy("plant_id").agg(F.count(F.lit(1)).alias("found"))
+        found = spaced_points(points, tried, limit).groupBy("plant_id").agg(F.count(F.lit(1)).alias("found"))
         step = state.join(found, "plant_id", "left")
         enough = F.col("found") >= n
         step = step.select(
