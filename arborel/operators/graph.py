@@ -23,6 +23,8 @@ from arborel.scratch import discard, materialize
 JUMPS = 3
 #: Points of a plant up to which its tree is made in one task.
 KERNEL = 8192
+#: Points of a patch whose own edges are told in one task, and of it with what lies around.
+PATCH, AROUND = 1024, 4096
 
 
 def _jump(parent: DataFrame, label: str) -> DataFrame:
@@ -106,7 +108,8 @@ def foreign_tree(points: DataFrame, k: int = 3, max_rounds: int = 60) -> DataFra
     component, and nearer than the component's candidate, are searched for: they walk down the
     partition's boxes, past boxes that hold nothing but their own component and those beyond
     the bound, which falls at every level to the nearest far corner of a box with a foreign point.
-    Equal points are chained by id first and stand for each other through the smallest.
+    Equal points are chained by id first and stand for each other through the smallest. The
+    rounds begin with the components of the edges that patches of points are sure of.
     """
     points = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
     same = ["plant_id", "x", "y", "z"]
@@ -118,9 +121,12 @@ def foreign_tree(points: DataFrame, k: int = 3, max_rounds: int = 60) -> DataFra
     cells = Cells(single, max(8, 2 * (k + 1)))
     near = knn_join(single, single, k, exclude_self=True, brute=0)
     near = materialize(near.select("plant_id", "point_id", "nbr_id", "d2"), "tree-near")
-    state = materialize(cells.filed.drop("depth").withColumn("comp", F.col("point_id")), "tree-state")
+    sure = materialize(_sure_edges(single), "tree-sure")
+    comps = connected_components(sure.select("plant_id", "e.src", "e.dst"), by=["plant_id"]).withColumnsRenamed({"id": "point_id", "component": "comp"})
+    state = cells.filed.drop("depth").join(comps, ["plant_id", "point_id"], "left").withColumn("comp", F.coalesce("comp", "point_id"))
+    state = materialize(state, "tree-state")
     levels = materialize(_ancestors(cells), "tree-levels")
-    tree = chain
+    tree = chain.unionByName(sure)
     for _ in range(max_rounds):
         picked = _nearest_foreign(cells, levels, state, near)
         if picked is None:
@@ -134,6 +140,54 @@ def foreign_tree(points: DataFrame, k: int = 3, max_rounds: int = 60) -> DataFra
     raise RuntimeError(f"the tree is not finished after {max_rounds} rounds")
 
 
+def _sure_edges(points: DataFrame) -> DataFrame:
+    """(plant_id, e): edges (d2, src, dst) of the tree of distinct points that a patch with what lies around it can tell.
+
+    A patch is a leaf of a k-d partition with the points in its box grown by a share of its
+    longest side, the largest share that brings no more than AROUND points. Gone through by
+    length, an edge of the patch's own tree is the least that leaves either side; it is the
+    whole tree's where it is shorter than one side's way out of the grown box.
+    """
+    leaves = Cells(points, PATCH).leaves
+    side = F.greatest(*[F.col(f"high_{a}") - F.col(f"low_{a}") for a in "xyz"])
+    grown = leaves.withColumn("share", F.explode(F.array(*[F.lit(v) for v in (0.0, 0.1, 0.25)]))).withColumn("by", side * F.col("share"))
+    ends = [(F.col(f"low_{a}") - F.col("by")).alias(f"from_{a}") for a in "xyz"] + [(F.col(f"high_{a}") + F.col("by")).alias(f"to_{a}") for a in "xyz"]
+    grown = materialize(grown.select("plant_id", "node", "share", *ends), "tree-patches")
+    inside = " and ".join(f"{a} >= from_{a} and {a} <= to_{a}" for a in "xyz")
+    counts = points.join(grown, "plant_id").where(inside).groupBy("plant_id", "node", "share").agg(F.count(F.lit(1)).alias("n"))
+    share = F.max(F.when(F.col("n") <= AROUND, F.col("share")))
+    chosen = counts.groupBy("plant_id", "node").agg(F.coalesce(share, F.lit(0.0)).alias("share"))
+    chosen = materialize(grown.join(chosen, ["plant_id", "node", "share"]), "tree-patches")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = points.join(chosen, "plant_id").where(inside).repartition(parts, "plant_id", "node")
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point_id", kind="stable")
+        ids, p = pdf["point_id"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
+        gaps = [p - pdf[[f"from_{a}" for a in "xyz"]].to_numpy(float), pdf[[f"to_{a}" for a in "xyz"]].to_numpy(float) - p]
+        clear = (np.minimum(*gaps).min(axis=1) ** 2).tolist()
+        a, b, d2 = _prim(ids, p)
+        up, out = list(range(len(ids))), []
+
+        def top(v: int) -> int:
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        for i in np.lexsort((b, a, d2)):
+            u, v = top(int(a[i])), top(int(b[i]))
+            if d2[i] < max(clear[u], clear[v]):
+                out.append(i)
+            up[v] = u
+            clear[u] = min(clear[u], clear[v])
+        return pd.DataFrame({"plant_id": pdf["plant_id"].iloc[0], "d2": d2[out], "src": ids[a[out]], "dst": ids[b[out]]})
+
+    kind = dict(points.dtypes)["plant_id"]
+    told = held.groupBy("plant_id", "node").applyInPandas(tell, f"plant_id {kind}, d2 double, src long, dst long")
+    return told.distinct().select("plant_id", F.struct("d2", "src", "dst").alias("e"))
+
+
 def _ancestors(cells: Cells) -> DataFrame:
     """(plant_id, node, above): the nodes of cells.boxes that hold each leaf, itself included."""
     kept = cells.leaves.select("plant_id", "node", "depth", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("depth"), F.lit(STEP)), F.array("depth")))).alias("level"))
@@ -191,6 +245,33 @@ def _nearest_foreign(cells: Cells, levels: DataFrame, state: DataFrame, near: Da
     return picked
 
 
+def _prim(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, d2): the tree's edges, from place a to b > a of points in the order of their ids, by (d2, a, b)."""
+    n = len(ids)
+    best, link = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+    free, places, axes = np.ones(n, dtype=bool), np.arange(n), p.T.copy()
+    a, b, out = np.empty(max(0, n - 1), dtype=np.int64), np.empty(max(0, n - 1), dtype=np.int64), np.empty(max(0, n - 1))
+    at = 0
+    for step in range(n - 1):
+        free[at] = False
+        d2 = (axes[0] - axes[0, at]) ** 2 + (axes[1] - axes[1, at]) ** 2 + (axes[2] - axes[2, at]) ** 2
+        nearer = free & (d2 < best)
+        # equal distances: the edge with the smaller ids
+        same = np.flatnonzero(free & (d2 == best))
+        if len(same):
+            low, high = np.minimum(same, at), np.maximum(same, at)
+            old_low, old_high = np.minimum(same, link[same]), np.maximum(same, link[same])
+            nearer[same[(low < old_low) | ((low == old_low) & (high < old_high))]] = True
+        best[nearer], link[nearer] = d2[nearer], at
+        open_ = np.where(free, best, np.inf)
+        rows = places[free & (open_ == open_.min())]
+        ends = np.minimum(rows, link[rows]), np.maximum(rows, link[rows])
+        i = int(np.lexsort((ends[1], ends[0]))[0])
+        at = int(rows[i])
+        a[step], b[step], out[step] = ends[0][i], ends[1][i], best[at]
+    return a, b, out
+
+
 def point_spanning_tree(points: DataFrame) -> DataFrame:
     """The tree of all pairs of each plant's points, without listing pairs: Prim's algorithm, one plant a task.
 
@@ -200,24 +281,9 @@ def point_spanning_tree(points: DataFrame) -> DataFrame:
 
     def prim(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id", kind="stable")
-        ids, p = pdf["point_id"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
-        n = len(ids)
-        best, link, out = np.full(n, np.inf), np.zeros(n, dtype=np.int64), []
-        free = np.ones(n, dtype=bool)
-        at = 0
-        for _ in range(n - 1):
-            free[at] = False
-            d2 = ((p - p[at]) ** 2).sum(axis=1)
-            # equal distances: the edge with the smaller ids
-            low, high = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
-            old_low, old_high = np.minimum(ids, ids[link]), np.maximum(ids, ids[link])
-            nearer = free & ((d2 < best) | ((d2 == best) & ((low < old_low) | ((low == old_low) & (high < old_high)))))
-            best[nearer], link[nearer] = d2[nearer], at
-            rows = np.flatnonzero(free & (best == best[free].min()))
-            a, b = np.minimum(ids[rows], ids[link[rows]]), np.maximum(ids[rows], ids[link[rows]])
-            at = int(rows[np.lexsort((b, a))[0]])
-            out.append((pdf.plant_id.iloc[0], min(ids[at], ids[link[at]]), max(ids[at], ids[link[at]]), float(np.sqrt(best[at]))))
-        return pd.DataFrame(out, columns=["plant_id", "src", "dst", "weight"])
+        ids = pdf["point_id"].to_numpy()
+        a, b, d2 = _prim(ids, pdf[["x", "y", "z"]].to_numpy(float))
+        return pd.DataFrame({"plant_id": pdf.plant_id.iloc[0], "src": ids[a], "dst": ids[b], "weight": np.sqrt(d2)})
 
     kind = dict(points.dtypes)["plant_id"]
     picked = points.select("plant_id", F.col("point_id").cast("long"), *[F.col(a).cast("double") for a in "xyz"])
