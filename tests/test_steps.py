@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arborel.operators import contraction, mesh, spatial
+from arborel.operators import contraction, flips, mesh, spatial
 from arborel.plans import surfaces
 
 POINTS = "plant_id string, point_id long, x double, y double, z double"
@@ -34,3 +34,15 @@ def test_shared_neighbours_give_the_same_step(spark, tmp_path):
     assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in own[1].select(*kept.columns).collect()}
     round6 = lambda df: {tuple(r) for r in df.select("plant_id", "row", "col", F.round("val", 6) + F.lit(0.0)).collect()}
     assert round6(lap) == round6(own[0])
+
+
+def test_rounds_of_flips_write_what_they_changed(spark, monkeypatch):
+    rng = random.Random(3)
+    p = spark.createDataFrame([(q, i, *(rng.random() for _ in range(3))) for q in "ab" for i in range(150)], POINTS)
+    soup = mesh.local_triangles(p, 8)
+    labels, write = [], flips.materialize
+    monkeypatch.setattr(flips, "materialize", lambda df, label, **k: labels.append(label) or write(df, label, **k))
+    faces = flips.delaunay_cover(soup, p)
+    assert labels.count("flip-faces") == 1 and labels.count("flip-changed") > 1
+    assert faces.count() == 2 * soup.count()
+    assert mesh.intrinsic_laplacian(faces).where("row <> col and val < -1e-6").count() == 0
