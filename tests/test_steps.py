@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arborel.operators import contraction, flips, mesh, spatial
+from arborel.operators import contraction, flips, mesh, paths, spatial
 from arborel.plans import surfaces
 
 POINTS = "plant_id string, point_id long, x double, y double, z double"
@@ -46,3 +46,19 @@ def test_rounds_of_flips_write_what_they_changed(spark, monkeypatch):
     assert labels.count("flip-faces") == 1 and labels.count("flip-changed") > 1
     assert faces.count() == 2 * soup.count()
     assert mesh.intrinsic_laplacian(faces).where("row <> col and val < -1e-6").count() == 0
+
+
+def test_geodesics_take_rounds_of_patches(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, [i / 100.0, rng.random() / 1000, 0.0], i % 2) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = surfaces._plants(spark, str(tmp_path))
+    want = {(r.plant_id, r.point_id): round(r.value, 6) for r in contraction.graph_distance(p, surfaces.C.lowest_point(p)).collect()}
+    labels = []
+    for module in (contraction, paths):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, label, write=write, **k: labels.append(label) or write(df, label, **k))
+    got = {(r.plant_id, r.point_id): r.value for r in surfaces.geodesic_from_root(spark, str(tmp_path)).collect()}
+    # hop by hop these are some 50 rounds
+    assert got == want and len(got) == 400
+    assert labels.count("path-settled") + labels.count("geodesic-front") < 5
